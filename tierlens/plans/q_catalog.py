@@ -1,0 +1 @@
+"""Queries (filled in as operators land)."""
