@@ -131,3 +131,22 @@ def rubric_dim(spark: SparkSession) -> DataFrame:
 
 def category_dim(spark: SparkSession) -> DataFrame:
     return literal_dim(spark, [(i, c) for i, c in enumerate(QUERY_CATEGORIES)], "category_idx int, category string")
+
+
+# ---- FIXED VALUES: classifier system prompt used in training examples -----
+SYSTEM_PROMPT = """You are a query complexity router for Mistral AI models. Given a user query, classify it into the appropriate model tier and provide a confidence score.
+
+Output ONLY valid JSON in this exact format:
+{"model_tier": <1|2|3|4>, "confidence": <0.0-1.0>}
+
+Tier definitions:
+- Tier 1 (small): Simple factual lookups, greetings, trivial math, yes/no questions
+- Tier 2 (medium): Summarization, translation, moderate reasoning, simple coding
+- Tier 3 (large): Complex analysis, multi-step reasoning, debugging, comparisons
+- Tier 4 (xlarge): Expert-level research, novel problem-solving, proofs, system design"""
+SFT_FEEDBACK_CONFIDENCE = 0.95
+DPO_CHOSEN_CONFIDENCE = 1.0
+DPO_REJECTED_DEFAULT_CONFIDENCE = 0.5
+SPLIT_FRACTIONS = (0.8, 0.1)  # train, val; test takes the remainder
+TIER_NUMBERS = [1, 2, 3, 4]
+# ---- end of fixed values ---------------------------------------------------

@@ -19,6 +19,8 @@ TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+_REGISTERED_KEY = "tierlens.fixtures.dir"
+
 # Derived views, in dependency order.
 VIEWS: dict[str, str] = {
     # a user message with the assistant reply right after it
@@ -68,14 +70,20 @@ UNION ALL SELECT conv_id, turn*4+3, 'session_info', NULL, NULL, NULL, NULL, conc
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables and the derived views as temp views."""
+    """Register the driver tables and the derived views as temp views.
+
+    Done once per session and folder; the folder is remembered in the session conf.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(_REGISTERED_KEY, None) == sf_dir and spark.catalog.tableExists("v_entry"):
+        return
     for name in TABLES:
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path) or "://" in sf_dir:
             spark.read.parquet(path).createOrReplaceTempView(name)
     for name, sql in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
+    spark.conf.set(_REGISTERED_KEY, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
