@@ -36,46 +36,46 @@ def running_sum(df: DataFrame, key, order: str, value: Column, out: str,
     """``out`` = sum of ``value`` over rows of the same key with smaller
     ``order`` (and the current row when ``include_current``)."""
     ks = _keys(key)
-    d = df.withColumn("_c", _chunk_col(order, chunk)).withColumn("_x", value)
-    w = Window.partitionBy(*ks, "_c").orderBy(order)
+    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
+    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    d = d.withColumn("_local", F.coalesce(F.sum("_x").over(frame), F.lit(0)))
-    tot = d.groupBy(*ks, "_c").agg(F.sum("_x").alias("_tot"))
-    wc = Window.partitionBy(*ks).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*ks, "_c", F.coalesce(F.sum("_tot").over(wc), F.lit(0)).alias("_carry"))
-    return (d.join(carry, [*ks, "_c"], "left")
-             .withColumn(out, F.col("_carry") + F.col("_local"))
-             .drop("_c", "_x", "_local", "_carry"))
+    d = d.withColumn("__local", F.coalesce(F.sum("__val").over(frame), F.lit(0)))
+    tot = d.groupBy(*ks, "__chunk").agg(F.sum("__val").alias("__tot"))
+    wc = Window.partitionBy(*ks).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*ks, "__chunk", F.coalesce(F.sum("__tot").over(wc), F.lit(0)).alias("__carry"))
+    return (d.join(carry, [*ks, "__chunk"], "left")
+             .withColumn(out, F.col("__carry") + F.col("__local"))
+             .drop("__chunk", "__val", "__local", "__carry"))
 
 
 def running_last(df: DataFrame, key, order: str, value: Column, out: str,
                  chunk: int = DEFAULT_CHUNK, include_current: bool = True) -> DataFrame:
     """``out`` = the latest non-null ``value`` at or before each row."""
     ks = _keys(key)
-    d = df.withColumn("_c", _chunk_col(order, chunk)).withColumn("_x", value)
-    w = Window.partitionBy(*ks, "_c").orderBy(order)
+    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
+    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    d = d.withColumn("_local", F.last("_x", ignorenulls=True).over(frame))
-    lastc = (d.filter(F.col("_x").isNotNull()).groupBy(*ks, "_c")
-              .agg(F.max_by("_x", F.col(order)).alias("_lx")))
-    chunks = d.select(*ks, "_c").distinct().join(lastc, [*ks, "_c"], "left")
-    wc = Window.partitionBy(*ks).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    allc = chunks.select(*ks, "_c", F.last("_lx", ignorenulls=True).over(wc).alias("_carry"))
-    return (d.join(allc, [*ks, "_c"], "left")
-             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
-             .drop("_c", "_x", "_local", "_carry"))
+    d = d.withColumn("__local", F.last("__val", ignorenulls=True).over(frame))
+    lastc = (d.filter(F.col("__val").isNotNull()).groupBy(*ks, "__chunk")
+              .agg(F.max_by("__val", F.col(order)).alias("__last")))
+    chunks = d.select(*ks, "__chunk").distinct().join(lastc, [*ks, "__chunk"], "left")
+    wc = Window.partitionBy(*ks).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    allc = chunks.select(*ks, "__chunk", F.last("__last", ignorenulls=True).over(wc).alias("__carry"))
+    return (d.join(allc, [*ks, "__chunk"], "left")
+             .withColumn(out, F.coalesce(F.col("__local"), F.col("__carry")))
+             .drop("__chunk", "__val", "__local", "__carry"))
 
 
 def previous(df: DataFrame, key, order: str, value: Column, out: str,
              chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """``out`` = ``value`` of the previous row of the same key (NULL for the first)."""
     ks = _keys(key)
-    d = df.withColumn("_c", _chunk_col(order, chunk)).withColumn("_x", value)
-    w = Window.partitionBy(*ks, "_c").orderBy(order)
-    d = d.withColumn("_local", F.lag("_x").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    lastc = d.groupBy(*ks, "_c").agg(F.max_by("_x", F.col(order)).alias("_lx"))
-    wc = Window.partitionBy(*ks).orderBy("_c")
-    carry = lastc.select(*ks, "_c", F.lag("_lx").over(wc).alias("_carry"))
-    return (d.join(carry, [*ks, "_c"], "left")
-             .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local")))
-             .drop("_c", "_x", "_local", "_carry", "_first"))
+    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
+    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
+    d = d.withColumn("__local", F.lag("__val").over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    lastc = d.groupBy(*ks, "__chunk").agg(F.max_by("__val", F.col(order)).alias("__last"))
+    wc = Window.partitionBy(*ks).orderBy("__chunk")
+    carry = lastc.select(*ks, "__chunk", F.lag("__last").over(wc).alias("__carry"))
+    return (d.join(carry, [*ks, "__chunk"], "left")
+             .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__local")))
+             .drop("__chunk", "__val", "__local", "__carry", "__first"))
