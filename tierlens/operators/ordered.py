@@ -79,3 +79,20 @@ def previous(df: DataFrame, key, order: str, value: Column, out: str,
     return (d.join(carry, [*ks, "__chunk"], "left")
              .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__local")))
              .drop("__chunk", "__val", "__local", "__carry", "__first"))
+
+
+def top_k(df: DataFrame, group, order: list[Column], k: int, tiebreak: Column, out: str = "rank",
+          buckets: int = 256) -> DataFrame:
+    """First ``k`` rows per group by ``order`` (ties by ``tiebreak``), numbered 1..k.
+
+    Two stages so a hot group is never sorted in one task: stage 1 keeps the
+    top ``k`` of each (group, hash-bucket) split, stage 2 ranks the at most
+    ``buckets * k`` survivors per group.
+    """
+    gs = _keys(group)
+    salt = F.pmod(F.xxhash64(tiebreak), F.lit(buckets))
+    w1 = Window.partitionBy(*gs, "__salt").orderBy(*order, tiebreak)
+    s1 = (df.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1))
+            .filter(F.col("__r1") <= k).drop("__r1", "__salt"))
+    w2 = Window.partitionBy(*gs).orderBy(*order, tiebreak)
+    return s1.withColumn(out, F.row_number().over(w2)).filter(F.col(out) <= k)
