@@ -150,3 +150,73 @@ DPO_REJECTED_DEFAULT_CONFIDENCE = 0.5
 SPLIT_FRACTIONS = (0.8, 0.1)  # train, val; test takes the remainder
 TIER_NUMBERS = [1, 2, 3, 4]
 # ---- end of fixed values ---------------------------------------------------
+
+
+# ---- FIXED VALUES: rubric criteria per tier and the generation prompt -----
+RUBRIC_CRITERIA = {
+    "small": [
+        "Single-hop factual lookups (capitals, dates, definitions)",
+        "Basic arithmetic (add, subtract, multiply, divide)",
+        "Greetings and simple conversational turns",
+        "Yes/No questions with obvious answers",
+        "Simple format conversions (units, temperatures)",
+        "Spelling or grammar of a single word",
+    ],
+    "medium": [
+        "Summarize a short text or article",
+        "Translate a paragraph between languages",
+        "Explain a well-known concept in 2–3 sentences",
+        "Simple coding tasks (write a function, fix a syntax error)",
+        "List-based outputs (top 5, pros and cons)",
+        "Basic data extraction or reformatting",
+        "Multi-step arithmetic or word problems",
+        "Simple creative writing (haiku, short poem)",
+    ],
+    "large": [
+        "Debug a non-trivial code snippet with logical errors",
+        "Compare and contrast two concepts with nuance",
+        "Multi-paragraph explanations with examples",
+        "Code that requires understanding of algorithms or data structures",
+        "Analysis of trade-offs in technical decisions",
+        "Chain-of-thought reasoning problems",
+        "Writing with specific constraints (tone, audience, structure)",
+        "Data analysis or interpretation questions",
+    ],
+    "xlarge": [
+        "Mathematical proofs or formal logic",
+        "System design for large-scale applications",
+        "Research-level analysis or literature review",
+        "Novel algorithm design or optimization",
+        "Long-form content generation (essays, reports, documentation)",
+        "Multi-domain synthesis (combining knowledge from different fields)",
+        "Ambiguous or open-ended problems requiring creativity + expertise",
+        "Security analysis, threat modeling, or architectural review",
+    ],
+}
+GENERATION_PROMPT = """You are generating training data for a query router model. 
+The router classifies user queries into complexity tiers.
+
+{tier_description}
+
+Category: {category}
+
+Generate {count} diverse, realistic user queries that belong to Tier {tier_num} ({tier_label}).
+The queries should:
+- Be in the "{category}" category
+- Match the complexity level described above
+- Be diverse in phrasing and specific topics
+- Be realistic queries a user might actually ask an AI assistant
+- NOT include the tier label or any metadata — just the raw query text
+
+Respond with a JSON array of strings, nothing else:
+["query 1", "query 2", ...]"""
+DATASET_SIZE = 5000
+EXAMPLES_PER_TIER = DATASET_SIZE // 4
+# ---- end of fixed values ---------------------------------------------------
+
+
+def tier_description(label: str) -> str:
+    tier = {lab: t for lab, t, _ in RUBRIC}[label]
+    desc = {lab: d for lab, _, d in RUBRIC}[label]
+    crit = "\n".join(f"  - {c}" for c in RUBRIC_CRITERIA[label])
+    return f"Tier {tier} ({label}): {desc}\nCriteria:\n{crit}"

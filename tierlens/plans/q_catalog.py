@@ -1 +1,308 @@
-"""Queries (filled in as operators land)."""
+"""Catalogue / generation / provider-stream queries: C1, C7, D15, D16, E2, E12, G2, H12, H13, H17, H18, H19."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tierlens import dims
+from tierlens.fixtures import register
+from tierlens.operators import catalog as G
+from tierlens.plans import query
+
+
+def _t(spark, sf_dir, name):
+    register(spark, sf_dir)
+    return spark.table(name)
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_CAT_VALUES = ", ".join(
+    f"({i}, {_sql_str(k)}, {_sql_str(mid)}, {_sql_str(p)}, {mx})" for i, (k, mid, p, _a, mx, *_r) in enumerate(dims.MODEL_CATALOGUE))
+_MODEL_NAMES = ["glm-4.7", "claude-sonnet-4.5", "claude-opus-4.6-copilot", "gpt-5.3-codex", "ministral-3b-latest", "unknown-model"]
+_PROVIDERS = ["github-copilot", "openai-codex", "zhipu", "model-router", None]
+
+
+def _model_requests(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    names = F.element_at(F.array(*[F.lit(n) for n in _MODEL_NAMES]), (F.col("event_id") % len(_MODEL_NAMES) + 1).cast("int"))
+    provs = F.element_at(F.array(*[F.lit(p) if p else F.lit(None).cast("string") for p in _PROVIDERS]),
+                         (F.col("user_id") % len(_PROVIDERS) + 1).cast("int"))
+    return ev.select("event_id", names.alias("model_id"), provs.alias("provider"))
+
+
+_REQ_SQL = ("CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {_sql_str(n)}" for i, n in enumerate(_MODEL_NAMES)) + " END",
+            "CASE user_id % 5 " + " ".join(f"WHEN {i} THEN {_sql_str(p) if p else 'NULL'}" for i, p in enumerate(_PROVIDERS)) + " END")
+
+
+@query("c1_model_lookup", f"""
+, cat AS (SELECT * FROM (VALUES {_CAT_VALUES}) AS c(cat_order, model_key, model_id, provider, max_tokens)),
+rq AS (SELECT event_id, {_REQ_SQL[0]} AS model_id, {_REQ_SQL[1]} AS provider FROM events),
+c1 AS (SELECT r.event_id, min(c.cat_order) AS o FROM rq r JOIN cat c ON c.model_id = r.model_id AND c.provider = r.provider GROUP BY r.event_id),
+c2 AS (SELECT r.event_id, c.model_key, c.max_tokens FROM rq r JOIN cat c ON c.model_key = r.model_id),
+c3 AS (SELECT r.event_id, min(c.cat_order) AS o FROM rq r JOIN cat c ON c.model_id = r.model_id GROUP BY r.event_id)
+SELECT r.event_id, r.model_id, r.provider,
+       CASE WHEN r.provider IS NOT NULL AND c1.o IS NOT NULL THEN (SELECT model_key FROM cat WHERE cat_order = c1.o)
+            WHEN c2.model_key IS NOT NULL THEN c2.model_key
+            WHEN c3.o IS NOT NULL THEN (SELECT model_key FROM cat WHERE cat_order = c3.o) END AS resolved_key,
+       coalesce(c2.max_tokens, 16384) AS max_tokens
+FROM rq r LEFT JOIN c1 ON r.event_id = c1.event_id LEFT JOIN c2 ON r.event_id = c2.event_id LEFT JOIN c3 ON r.event_id = c3.event_id""")
+def c1_model_lookup(spark, sf_dir):
+    """Model lookup for every event's (model, provider) request, with max tokens."""
+    r = G.resolve_models(_model_requests(spark, sf_dir))
+    return r.select("event_id", "model_id", "provider", "resolved_key", F.col("max_tokens").cast("int").alias("max_tokens"))
+
+
+_TARGETS = """
+, tg AS (SELECT CASE corrected_tier WHEN 1 THEN 'small' WHEN 2 THEN 'medium' WHEN 3 THEN 'large' ELSE 'xlarge' END AS tier_label,
+                count(*) AS per_tier, 15 AS n_seeds FROM v_feedback GROUP BY corrected_tier)
+"""
+
+
+def _targets(spark, sf_dir):
+    fbk = _t(spark, sf_dir, "v_feedback")
+    lab = F.create_map(*[x for t, lab, _ in dims.TIERS for x in (F.lit(t), F.lit(lab))])
+    return fbk.groupBy("corrected_tier").agg(F.count(F.lit(1)).alias("per_tier")).select(
+        lab[F.col("corrected_tier")].alias("tier_label"), "per_tier", F.lit(dims.SEEDS_PER_TIER).alias("n_seeds"))
+
+
+@query("c7_generation_grid", _TARGETS + """
+, cats AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {_sql_str(c)})" for i, c in enumerate(dims.QUERY_CATEGORIES)) + """) AS c(category_idx, category))
+SELECT tg.tier_label, cats.category, CAST(greatest(1, (per_tier - n_seeds) // 15) AS INTEGER) AS quota
+FROM tg CROSS JOIN cats WHERE per_tier - n_seeds > 0""")
+def c7_generation_grid(spark, sf_dir):
+    """Tier x category generation cells with per-cell quotas (targets = labelled counts per tier)."""
+    g = G.generation_grid(_targets(spark, sf_dir))
+    return g.select("tier_label", "category", "quota")
+
+
+@query("c7_generation_prompts")
+def c7_generation_prompts(spark, sf_dir):
+    """Rendered generation prompt of every grid cell (rows-only check)."""
+    g = G.generation_grid(_targets(spark, sf_dir))
+    return g.select("tier_label", "category", "quota", F.md5("prompt").alias("prompt_md5"))
+
+
+_GEN = """
+, gen AS (SELECT CASE (conv_id % 4) WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large' ELSE 'xlarge' END AS tier_label,
+                 conv_id % 15 AS category_idx, conv_id, turn AS position, concat('  ', text, ' ') AS query FROM conversations WHERE role = 'user')
+"""
+
+
+def _generated(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    lab = F.element_at(F.array(*[F.lit(lab) for _, lab, _ in dims.TIERS]), (F.col("conv_id") % 4 + 1).cast("int"))
+    return c.select(lab.alias("tier_label"), (F.col("conv_id") % 15).alias("category_idx"), "conv_id",
+                    F.col("turn").alias("position"), F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("query"))
+
+
+@query("e12_quota_cut", _GEN + r"""
+SELECT conv_id, position, md5(regexp_replace(query, '^\s+|\s+$', '', 'g')) AS query_md5 FROM gen WHERE position < 3""")
+def e12_quota_cut(spark, sf_dir):
+    """First quota (3) generated queries per teacher response, trimmed."""
+    g = _generated(spark, sf_dir).withColumn("quota", F.lit(3))
+    out = G.quota_cut(g, ["tier_label", "category_idx"], "position", "quota")
+    return out.select("conv_id", "position", F.md5("query").alias("query_md5"))
+
+
+@query("g2_seeds_plus_generated", _GEN + r"""
+SELECT origin, tier_label, count(*) AS n FROM (
+  SELECT 'seed' AS origin, CASE item_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' WHEN 2 THEN 'large' ELSE 'xlarge' END AS tier_label FROM benchmark
+  UNION ALL SELECT 'generated', tier_label FROM gen WHERE position < 3) GROUP BY origin, tier_label""")
+def g2_seeds_plus_generated(spark, sf_dir):
+    """Seed examples (benchmark items) plus the quota-cut generated queries, counted by origin and tier."""
+    b = _t(spark, sf_dir, "benchmark")
+    seeds = b.select(F.col("text").alias("query"), F.element_at(F.array(*[F.lit(lab) for _, lab, _ in dims.TIERS]),
+                                                                 (F.col("item_id") % 4 + 1).cast("int")).alias("tier_label"))
+    gen = G.quota_cut(_generated(spark, sf_dir).withColumn("quota", F.lit(3)), ["tier_label", "category_idx"], "position", "quota")
+    u = G.seeds_plus_generated(seeds, gen)
+    return u.groupBy("origin", "tier_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RESP = """
+, agg AS (SELECT conv_id, string_agg(concat('"', regexp_replace(left(text, 40), '["\\\\]|\\n', ' ', 'g'), '"'), ', ' ORDER BY turn) AS items
+          FROM conversations GROUP BY conv_id),
+resp AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN concat('Here you go: [', items, '] enjoy')
+                                     WHEN 1 THEN concat('Queries: ', items)
+                                     ELSE concat('[', items, ', oops') END AS response FROM agg)
+"""
+
+
+def _responses(spark, sf_dir):
+    register(spark, sf_dir)
+    return spark.sql(r"""
+        SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN concat('Here you go: [', items, '] enjoy')
+                                         WHEN 1 THEN concat('Queries: ', items)
+                                         ELSE concat('[', items, ', oops') END AS response
+        FROM (SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, concat('"', regexp_replace(left(text, 40), '["\\\\]|\\n', ' '), '"')))),
+                                                   x -> x.col2), ', ') AS items
+              FROM conversations GROUP BY conv_id)""")
+
+
+@query("h12_parse_query_list", _RESP + r"""
+, parsed AS (SELECT conv_id, CASE WHEN regexp_extract(response, '(?s)\[.*\]', 0) <> '' AND json_valid(regexp_extract(response, '(?s)\[.*\]', 0))
+                                   AND json_type(regexp_extract(response, '(?s)\[.*\]', 0)) = 'ARRAY'
+                                  THEN CAST(from_json(regexp_extract(response, '(?s)\[.*\]', 0), '["VARCHAR"]') AS VARCHAR[])
+                                  ELSE regexp_extract_all(response, '"([^"]+)"', 1) END AS qs FROM resp)
+SELECT conv_id, CAST(len(qs) AS INTEGER) AS n_queries, md5(array_to_string(qs, chr(10))) AS queries_md5 FROM parsed""")
+def h12_parse_query_list(spark, sf_dir):
+    """Query lists parsed from free-form teacher responses (JSON array, else quoted strings)."""
+    r = _responses(spark, sf_dir).withColumn("qs", G.parse_query_list(F.col("response")))
+    return r.select("conv_id", F.size("qs").alias("n_queries"), F.md5(F.array_join("qs", "\n")).alias("queries_md5"))
+
+
+_RAW_REASONS = ["stop", "length", "tool_calls", "end_turn", "max_tokens", "tool_use", "content_filter"]
+
+
+@query("h18_stop_reason", """
+, r AS (SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'openai-completions' ELSE 'anthropic' END AS layout,
+               CASE event_id % 7 """ + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_RAW_REASONS)) + """ END AS raw FROM events),
+m AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in dims.STOP_REASONS) + """) AS m(layout, raw, stop_reason))
+SELECT r.event_id, coalesce(m.stop_reason, 'stop') AS stop_reason FROM r LEFT JOIN m ON r.layout = m.layout AND r.raw = m.raw""")
+def h18_stop_reason(spark, sf_dir):
+    """Provider stop reasons normalised (unknown -> stop)."""
+    ev = _t(spark, sf_dir, "events")
+    layout = F.when(F.col("user_id") % 2 == 0, "openai-completions").otherwise("anthropic")
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW_REASONS]), (F.col("event_id") % 7 + 1).cast("int"))
+    return ev.select("event_id", G.normalise_stop_reason(layout, raw).alias("stop_reason"))
+
+
+_USAGE = """
+, u AS (SELECT user_id AS stream_id, event_id AS seq,
+               CASE user_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai-completions' ELSE 'openai-responses' END AS layout,
+               CASE WHEN event_type = 'signup' THEN 'start' ELSE 'delta' END AS kind,
+               CAST(floor(value * 10) AS BIGINT) AS input, CAST(floor(value * 3) AS BIGINT) AS output,
+               CASE WHEN event_type = 'view' THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS cache_read FROM events)
+"""
+
+
+def _usage_events(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"),
+                     F.element_at(F.array(F.lit("anthropic"), F.lit("openai-completions"), F.lit("openai-responses")),
+                                  (F.col("user_id") % 3 + 1).cast("int")).alias("layout"),
+                     F.when(F.col("event_type") == "signup", "start").otherwise("delta").alias("kind"),
+                     F.floor(F.col("value") * 10).cast("bigint").alias("input"),
+                     F.floor(F.col("value") * 3).cast("bigint").alias("output"),
+                     F.when(F.col("event_type") == "view", F.lit(0).cast("bigint")).otherwise(F.floor("value").cast("bigint")).alias("cache_read"))
+
+
+@query("h19_usage_normalise", _USAGE + """
+, st AS (SELECT stream_id, max(seq) AS s_seq, arg_max(input, seq) AS s_in, arg_max(cache_read, seq) AS s_cache
+         FROM u WHERE layout = 'anthropic' AND kind = 'start' GROUP BY stream_id),
+an AS (SELECT u.stream_id, 'anthropic' AS layout, st.s_in + coalesce(st.s_cache, 0) AS input_tokens,
+              arg_max(u.output, u.seq) AS output_tokens,
+              coalesce(arg_max(u.cache_read, CASE WHEN coalesce(u.cache_read, 0) <> 0 THEN u.seq END), st.s_cache, 0) AS cache_read_tokens
+       FROM u JOIN st ON u.stream_id = st.stream_id WHERE u.layout = 'anthropic' AND u.seq >= st.s_seq
+       GROUP BY u.stream_id, st.s_in, st.s_cache),
+ot AS (SELECT stream_id, layout, coalesce(arg_max(input, seq), 0) AS input_tokens, coalesce(arg_max(output, seq), 0) AS output_tokens,
+              coalesce(arg_max(cache_read, seq), 0) AS cache_read_tokens FROM u WHERE layout <> 'anthropic' GROUP BY stream_id, layout)
+SELECT * FROM an UNION ALL SELECT * FROM ot""")
+def h19_usage_normalise(spark, sf_dir):
+    """Final usage per stream from provider usage events (three layouts)."""
+    return G.normalise_usage(_usage_events(spark, sf_dir))
+
+
+_PROVIDER_NAMES = ["zhipu", "github-copilot", "openai-codex", "model-router"]
+_API_TYPES = ["openai-completions", "anthropic-copilot", "openai-responses"]
+
+
+@query("d15_pass_rates", """
+, res AS (SELECT CASE user_id % 4 """ + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROVIDER_NAMES)) + """ END AS provider,
+                 CASE user_id % 3 """ + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_API_TYPES)) + """ END AS api_type,
+                 event_type <> 'error' AS success, value > 25 AS has_thinking FROM events)
+SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(api_type) = 0 THEN 'api_type' ELSE 'all' END AS level,
+       provider, api_type, count(*) AS total, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS passed,
+       CAST(sum(CASE WHEN has_thinking THEN 1 ELSE 0 END) AS BIGINT) AS with_thinking,
+       CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) * 100 // count(*) AS BIGINT) AS pct
+FROM res GROUP BY GROUPING SETS ((), (provider), (api_type))""")
+def d15_pass_rates(spark, sf_dir):
+    """Model test results (one per event) rolled up overall, by provider, by API type."""
+    ev = _t(spark, sf_dir, "events")
+    res = ev.select(
+        F.element_at(F.array(*[F.lit(p) for p in _PROVIDER_NAMES]), (F.col("user_id") % 4 + 1).cast("int")).alias("provider"),
+        F.element_at(F.array(*[F.lit(p) for p in _API_TYPES]), (F.col("user_id") % 3 + 1).cast("int")).alias("api_type"),
+        (F.col("event_type") != "error").alias("success"), (F.col("value") > 25).alias("has_thinking"))
+    return G.pass_rates(res)
+
+
+_PARTS = """
+, parts AS (SELECT user_id AS stream_id, event_id AS seq,
+                   CASE event_type WHEN 'view' THEN 'text' WHEN 'click' THEN 'think' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'metadata' END AS part_type,
+                   props AS text, CASE WHEN event_type = 'click' AND value > 10 THEN concat('sig-', CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR)) END AS signature,
+                   CASE WHEN value > 40 THEN 'length' ELSE 'stop' END AS stop_reason,
+                   concat('err@', CAST(event_id AS VARCHAR)) AS error FROM events)
+"""
+
+
+@query("d16_probe_summary", _PARTS + """
+SELECT stream_id, count(*) FILTER (WHERE part_type = 'text') AS text_chunks, count(*) FILTER (WHERE part_type = 'think') AS thinking_chunks,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE part_type = 'text'), 0) AS BIGINT) AS text_chars,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE part_type = 'think'), 0) AS BIGINT) AS thinking_chars,
+       count(DISTINCT signature) FILTER (WHERE part_type = 'think' AND coalesce(signature, '') <> '') AS n_signatures,
+       arg_max(stop_reason, CASE WHEN part_type = 'done' THEN seq END) AS stop_reason,
+       arg_max(error, CASE WHEN part_type = 'error' THEN seq END) AS error,
+       arg_max(error, CASE WHEN part_type = 'error' THEN seq END) IS NULL AND count(*) FILTER (WHERE part_type = 'text') > 0 AS ok
+FROM parts GROUP BY stream_id""")
+def d16_probe_summary(spark, sf_dir):
+    """Stream probe summary per user stream of events."""
+    ev = _t(spark, sf_dir, "events")
+    kind = (F.when(F.col("event_type") == "view", "text").when(F.col("event_type") == "click", "think")
+             .when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("metadata"))
+    parts = ev.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("part_type"),
+                      F.col("props").alias("text"),
+                      F.when((F.col("event_type") == "click") & (F.col("value") > 10),
+                             F.concat(F.lit("sig-"), F.floor(F.col("value") / 10).cast("bigint").cast("string"))).alias("signature"),
+                      F.when(F.col("value") > 40, "length").otherwise("stop").alias("stop_reason"),
+                      F.concat(F.lit("err@"), F.col("event_id").cast("string")).alias("error"))
+    return G.probe_summary(parts)
+
+
+@query("e2_last_telemetry", """
+SELECT conv_id, turn, predicted_tier FROM v_routed ORDER BY conv_id DESC, turn DESC LIMIT 11""")
+def e2_last_telemetry(spark, sf_dir):
+    """The newest 11 telemetry rows (turn records ordered by conversation and turn)."""
+    t = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", "predicted_tier")
+    return G.newest_rows(t, ["conv_id", "turn"])
+
+
+# ---- H13 / H17: rows-only checks (unit tests hold the known cases)
+_TOOL_TEXTS = [
+    '<tool_call name="bash">{"command": "ls -la"}</tool_call>',
+    '<tool_call name="write">{"write": {"path": "/tmp/a.txt", "content": "hi"}}</tool_call>',
+    '<tool_call name="bash">echo hello</tool_call>',
+    '<tool_call name="read">```json\n{"path": "/etc/hosts"}\n```</tool_call>',
+    '<tool_call name="write">garbage</tool_call>',
+]
+
+
+@query("h13_tool_call_extraction")
+def h13_tool_call_extraction(spark, sf_dir):
+    """Tool calls extracted from assistant messages (each message carries one
+    tagged call of five shapes around its own text)."""
+    c = _t(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    tag = F.element_at(F.array(*[F.lit(x) for x in _TOOL_TEXTS]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    msgs = c.select("conv_id", "turn", F.concat(F.col("text"), F.lit("\n"), tag, F.lit("\nDone.")).alias("text"))
+    _texts, calls, bad = G.extract_tool_calls(msgs, ["conv_id", "turn"])
+    good = calls.select("conv_id", "turn", "call_index", "name", F.to_json("arguments").alias("arguments"),
+                        F.lit("ok").alias("status"))
+    bad = bad.select("conv_id", "turn", "call_index", "name", F.lit(None).cast("string").alias("arguments"),
+                     F.lit("quarantined").alias("status"))
+    return good.unionByName(bad)
+
+
+@query("h17_provider_layouts")
+def h17_provider_layouts(spark, sf_dir):
+    """Conversations exported to the three provider message layouts."""
+    c = _t(spark, sf_dir, "conversations")
+    msgs = c.select("conv_id", F.col("turn").alias("seq"), "role", "text",
+                    F.lit(None).cast("string").alias("thinking"), F.lit(None).cast("string").alias("signature"),
+                    F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("tool_name"),
+                    F.lit(None).cast("string").alias("image"))
+    outs = [G.to_provider_messages(msgs, lay).withColumn("layout", F.lit(lay))
+            for lay in ("openai-completions", "anthropic", "openai-responses")]
+    u = outs[0].unionByName(outs[1]).unionByName(outs[2])
+    return u.select("layout", "conv_id", "seq", "sub", "out_role", "item_type", "cache_mark")
+
