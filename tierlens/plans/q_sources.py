@@ -1 +1,243 @@
-"""Queries (filled in as operators land)."""
+"""Source / sink round trips (A1-A11, A13, A14): each query writes data derived
+from the driver tables to a fresh folder under the shared checkpoint folder,
+reads it back through the reader, and reports what came back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tierlens.fixtures import register
+from tierlens.operators import cost, export, feedback as fb
+from tierlens.runtime import scratch_dir
+from tierlens.sources import readers as R
+from tierlens.sources import writers as W
+from tierlens.plans import query
+
+
+def _t(spark, sf_dir, name):
+    register(spark, sf_dir)
+    return spark.table(name)
+
+
+def _feedback(spark, sf_dir):
+    return _t(spark, sf_dir, "v_feedback").withColumn("is_correct", F.col("predicted_tier") == F.col("corrected_tier"))
+
+
+_SPLIT_COUNTS = """
+, r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), conv_id, turn) - 1 AS rk,
+               count(*) OVER () AS n FROM v_feedback)
+SELECT CASE WHEN rk < CAST(floor(n * 0.8) AS BIGINT) THEN 'train'
+            WHEN rk < CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n_examples
+FROM r GROUP BY 1"""
+
+
+@query("a9_write_splits", _SPLIT_COUNTS)
+def a9_write_splits(spark, sf_dir):
+    """Feedback examples split 80/10/10, written one folder per split plus a
+    combined copy, read back and counted per split."""
+    out = scratch_dir(spark, "splits")
+    ex = fb.sft_examples(_feedback(spark, sf_dir))
+    split = export.split_assign(ex, ["conv_id", "turn"], seed=42)
+    export.write_splits(split.select("messages", "split"), out)
+    back = spark.read.schema("messages array<struct<role:string,content:string>>, split string").json(f"{out}/by_split")
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
+
+
+@query("a1_read_chat_examples", _SPLIT_COUNTS)
+def a1_read_chat_examples(spark, sf_dir):
+    """Chat-example JSONL files named train / val / test read back with the
+    split taken from the file name."""
+    out = scratch_dir(spark, "chat")
+    ex = fb.sft_examples(_feedback(spark, sf_dir))
+    split = export.split_assign(ex, ["conv_id", "turn"], seed=42)
+    for name in ("train", "val", "test"):
+        part = split.filter(F.col("split") == name).select(F.to_json(F.struct("messages")).alias("value"))
+        part.coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
+    files = [f"{out}/{name}" for name in ("train", "val", "test")]
+    back = R.read_chat_examples(spark, files)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
+
+
+@query("a2_read_feedback", """
+SELECT corrected_tier, count(*) AS n, CAST(sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
+FROM v_feedback GROUP BY corrected_tier""")
+def a2_read_feedback(spark, sf_dir):
+    """Feedback entries written as JSONL with blank lines between batches, read back."""
+    out = scratch_dir(spark, "feedback")
+    f = _feedback(spark, sf_dir).select("query", "predicted_tier", "corrected_tier", "confidence",
+                                        F.lit(None).cast("string").alias("notes"),
+                                        F.from_unixtime("event_s").alias("timestamp"), "is_correct")
+    lines = f.select(F.concat(F.to_json(F.struct(*f.columns)), F.lit("\n")).alias("value"))
+    lines.write.mode("overwrite").text(out)
+    back = R.read_feedback(spark, out)
+    return back.groupBy("corrected_tier").agg(F.count(F.lit(1)).alias("n"),
+                                              F.sum(F.col("is_correct").cast("int")).cast("bigint").alias("n_correct"))
+
+
+@query("a3_read_prompt_labels", """
+SELECT predicted_tier AS label, count(*) AS n FROM v_routed GROUP BY predicted_tier""")
+def a3_read_prompt_labels(spark, sf_dir):
+    """Prompt/label pairs written as JSON-array files (one per conversation
+    group) and read back with the multi-line reader."""
+    out = scratch_dir(spark, "prompts")
+    r = _t(spark, sf_dir, "v_routed")
+    arrays = (r.groupBy((F.col("conv_id") % 16).alias("g"))
+               .agg(F.to_json(F.collect_list(F.struct(F.col("query").alias("prompt"),
+                                                      F.col("predicted_tier").cast("string").alias("label")))).alias("value")))
+    arrays.select("value").repartition(16).write.mode("overwrite").text(out)
+    back = R.read_prompt_labels(spark, out)
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a4_read_telemetry_csv", """
+SELECT count(*) AS n_rows, count(confidence) AS n_with_confidence, count(status) AS n_with_status FROM (
+  SELECT CASE WHEN turn % 2 = 0 THEN confidence END AS confidence, CASE WHEN turn % 2 = 0 THEN 'ok' END AS status FROM v_routed)""")
+def a4_read_telemetry_csv(spark, sf_dir):
+    """Ragged telemetry CSV (5-column header, rows of 5 or 7 fields) read with a 7-column schema."""
+    out = scratch_dir(spark, "telemetry")
+    r = _t(spark, sf_dir, "v_routed")
+    priced = cost.running_cost(cost.price_calls(r.withColumnRenamed("predicted_tier", "tier"), out="actual_cost_nano"))
+    line = F.concat_ws(",", F.col("turn_no").cast("string"), F.lit("model"), (F.col("input_tokens") + F.col("output_tokens")).cast("string"),
+                       F.lit("medium"), (F.col("cumulative_cost_nano") / 1e9).cast("string"))
+    line = F.when(F.col("turn") % 2 == 0, F.concat(line, F.lit(","), F.col("confidence").cast("string"), F.lit(",ok"))).otherwise(line)
+    body = priced.select(F.lit(1).alias("o"), "conv_id", "turn", line.alias("value"))
+    header = spark.createDataFrame([(0, -1, -1, "turn,model_used,tokens_used,input_complexity,cumulative_cost")],
+                                   "o int, conv_id bigint, turn bigint, value string")
+    # one file, header line first (a sorted frame keeps its order through coalesce)
+    header.unionByName(body).orderBy("o", "conv_id", "turn").coalesce(1).select("value") \
+          .write.mode("overwrite").text(out)
+    back = R.read_telemetry_csv(spark, out)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("confidence").alias("n_with_confidence"),
+                    F.count("status").alias("n_with_status"))
+
+
+_SESSIONS_WITH_ASSISTANT = """
+, keep AS (SELECT DISTINCT session_id FROM v_entry WHERE type = 'message' AND role = 'assistant')
+SELECT e.session_id, e.type, count(*) AS n FROM v_entry e JOIN keep k ON e.session_id = k.session_id GROUP BY e.session_id, e.type"""
+
+
+def _write_sessions(spark, sf_dir, out):
+    e = _t(spark, sf_dir, "v_entry")
+    heads = e.select("session_id").distinct().select(
+        "session_id", F.concat(F.lit("/work/proj"), (F.col("session_id") % 5).cast("string")).alias("cwd"),
+        F.from_unixtime(F.lit(1704067200) + F.col("session_id") * 3600).alias("created"))
+    W.write_session_logs(heads, e, out)
+    # a stray file with junk lines and no header: rejected as a whole
+    spark.createDataFrame([("not json",), ("",), ('{"type": "message", "id": "x"}',)], "value string") \
+         .coalesce(1).write.mode("overwrite").text(f"{out}/cwd_key=stray/session_id=none")
+
+
+@query("a14_write_session_logs", _SESSIONS_WITH_ASSISTANT)
+def a14_write_session_logs(spark, sf_dir):
+    """Session logs written one folder per session under its working directory
+    (header first), then read back and counted by entry type."""
+    out = scratch_dir(spark, "sessions")
+    _write_sessions(spark, sf_dir, out)
+    _h, ents = R.read_session_logs(spark, out)
+    w = R.entries_wide(ents)
+    return w.groupBy(F.col("session_id").cast("bigint").alias("session_id"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a5_read_session_logs", """
+, keep AS (SELECT DISTINCT session_id FROM v_entry WHERE type = 'message' AND role = 'assistant')
+SELECT e.session_id, CAST(count(*) FILTER (WHERE e.type = 'message') AS BIGINT) AS n_messages,
+       CAST(coalesce(sum(e.output_tokens), 0) AS BIGINT) AS output_tokens
+FROM v_entry e JOIN keep k ON e.session_id = k.session_id GROUP BY e.session_id""")
+def a5_read_session_logs(spark, sf_dir):
+    """Typed session logs read from a directory (bad lines skipped, files
+    without a header rejected), mapped back to entries."""
+    out = scratch_dir(spark, "sessions")
+    _write_sessions(spark, sf_dir, out)
+    _h, ents = R.read_session_logs(spark, out)
+    w = R.entries_wide(ents)
+    return w.groupBy(F.col("session_id").cast("bigint").alias("session_id")).agg(
+        F.count(F.when(F.col("type") == "message", 1)).cast("bigint").alias("n_messages"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("bigint").alias("output_tokens"))
+
+
+@query("a6_table_snapshot", """
+SELECT CAST(floor(event_s / 86400) AS BIGINT) AS batch_day, count(*) AS n_rows FROM v_feedback GROUP BY 1""")
+def a6_table_snapshot(spark, sf_dir):
+    """Feedback snapshots in the columnar table layout (one per day), read back to rows."""
+    out = scratch_dir(spark, "snapshots")
+    f = _feedback(spark, sf_dir).withColumn("batch_day", F.floor(F.col("event_s") / 86400).cast("bigint"))
+    cols = ["timestamp", "query", "predicted_tier", "corrected_tier", "confidence", "status"]
+    row = F.array(F.from_unixtime("event_s"), F.col("query"), F.col("predicted_tier").cast("string"),
+                  F.col("corrected_tier").cast("string"), F.col("confidence").cast("string"),
+                  fb.stored_status(F.col("is_correct")))
+    snap = f.groupBy("batch_day").agg(F.to_json(F.struct(
+        F.array(*[F.lit(c) for c in cols]).alias("columns"),
+        F.collect_list(row).alias("data"))).alias("value"))
+    snap.select("value").repartition(8).write.mode("overwrite").text(out)
+    long_rows = R.read_table_snapshot(spark, out)
+    wide = R.pivot_snapshot(long_rows, cols)
+    day = F.floor(F.unix_timestamp(F.col("timestamp")) / 86400).cast("bigint")
+    return wide.groupBy(day.alias("batch_day")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("a7_cost_records", """
+SELECT kind, count(*) AS n FROM (
+  SELECT 'route' AS kind FROM v_routed WHERE turn % 9 <> 8
+  UNION ALL SELECT 'summary' FROM v_routed WHERE turn % 4 = 2) GROUP BY kind""")
+def a7_cost_records(spark, sf_dir):
+    """Cost records appended in two batches (route, summary) and read back."""
+    from tierlens.plans.q_cost import _usage_log
+
+    out = scratch_dir(spark, "costlog")
+    recs = cost.cost_records(cost.drop_empty_usage(_usage_log(spark, sf_dir)))
+    recs = recs.select(F.lit("2024-01-01T00:00:00").alias("timestamp"), "kind", "is_summarisation", "model", "decision_tier",
+                       "actual_tier", "baseline_tier", "prompt_tokens", "completion_tokens", "total_tokens",
+                       (F.col("actual_cost_nano") / 1e9).alias("actual_cost"), (F.col("baseline_cost_nano") / 1e9).alias("baseline_cost"),
+                       "savings_pct")
+    W.append_cost_records(recs.filter(F.col("kind") == "route"), out)
+    W.append_cost_records(recs.filter(F.col("kind") == "summary"), out)
+    back = spark.read.schema(R.COST_RECORD).json(out)
+    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a8_router_history", """
+SELECT role, count(*) AS n FROM conversations GROUP BY role""")
+def a8_router_history(spark, sf_dir):
+    """Router history appended per conversation and read back in line order."""
+    out = scratch_dir(spark, "history")
+    c = _t(spark, sf_dir, "conversations")
+    h = c.select("role", F.col("text").alias("content"), F.lit("mistral-small-latest").alias("model"),
+                 F.col("conv_id").cast("string").alias("conversation_id"), F.lit("2024-01-01T00:00:00").alias("timestamp"))
+    W.append_history(h, out)
+    back = R.read_router_history(spark, out)
+    return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a10_write_triples", """
+SELECT count(*) AS n_triples FROM v_feedback WHERE predicted_tier <> corrected_tier""")
+def a10_write_triples(spark, sf_dir):
+    """Preference triples written as JSON lines and read back."""
+    out = scratch_dir(spark, "dpo")
+    export.write_triples(fb.dpo_triples(_feedback(spark, sf_dir)), out)
+    back = spark.read.schema("prompt string, chosen string, rejected string").json(out)
+    return back.agg(F.count(F.lit(1)).alias("n_triples"))
+
+
+@query("a11_close_batch", """
+SELECT count(*) FILTER (WHERE (conv_id + turn) % 3 = 0) AS n_archived, count(*) FILTER (WHERE (conv_id + turn) % 3 <> 0) AS n_open
+FROM v_feedback""")
+def a11_close_batch(spark, sf_dir):
+    """A batch close archives the consumed entries under a timestamp; the open
+    set is what the archive does not hold."""
+    out = scratch_dir(spark, "archive")
+    f = _feedback(spark, sf_dir).select("conv_id", "turn", "query", "predicted_tier", "corrected_tier")
+    consumed = f.filter((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    W.close_batch(consumed, out, "20240101_000000")
+    archived = spark.read.schema("conv_id bigint, turn bigint, query string, archive_ts string").json(out)
+    open_rows = fb.open_rows(f, archived, ["conv_id", "turn"])
+    return archived.agg(F.count(F.lit(1)).alias("n_archived")).crossJoin(open_rows.agg(F.count(F.lit(1)).alias("n_open")))
+
+
+@query("a13_list_files")
+def a13_list_files(spark, sf_dir):
+    """The newest 100 JSON files of a folder tree (file contents are not read)."""
+    out = scratch_dir(spark, "listing")
+    r = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", "query")
+    r.repartition(40).write.mode("overwrite").partitionBy("conv_id").json(out)
+    return R.list_files(spark, out, "*.json")

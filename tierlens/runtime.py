@@ -68,3 +68,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 def literal_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed dimension table from code constants; its size is known, so it is broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files under the shared checkpoint folder."""
+    import uuid
+
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tierlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
