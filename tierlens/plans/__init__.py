@@ -37,3 +37,5 @@ def load_all() -> None:
         q_cost, q_routing, q_feedback, q_evaluate, q_sessions, q_context, q_corpus, q_export,
         q_catalog, q_sources, q_streaming, q_user_functions,
     )
+
+    q_streaming._install_twin_oracles()
