@@ -71,8 +71,8 @@ def payload_stats(df: DataFrame, key: str = "conv_id", order: str = "turn",
     new query (2 per earlier turn of the same segment), and their characters.
     Running sums keep this linear instead of one array per turn."""
     chars = F.coalesce(F.length("query"), F.lit(0)) + F.coalesce(F.length("response"), F.lit(0))
-    d = ordered.running_sum(df, [key, "segment_id"], order, F.lit(1), "_k", chunk, include_current=False)
-    d = ordered.running_sum(d, [key, "segment_id"], order, chars, "_c", chunk, include_current=False)
+    d = ordered.scan(df, [key, "segment_id"], order, [("sum", F.lit(1), "_k", False),
+                                                      ("sum", chars, "_c", False)], chunk)
     return (d.withColumn("has_briefing", F.col("segment_id") > 0)
              .withColumn("pending_messages", (2 * F.col("_k")).cast("bigint"))
              .withColumn("pending_chars", F.col("_c").cast("bigint"))

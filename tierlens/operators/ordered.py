@@ -31,54 +31,76 @@ def _chunk_col(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
 
 
+def scan(df: DataFrame, key, order: str, specs: list[tuple], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Several ordered scans over the same (key, order) in one pass.
+
+    ``specs`` items: ``("sum", value, out, include_current)``,
+    ``("last", value, out, include_current)`` (latest non-null) or
+    ``("prev", value, out)`` (previous row). One local window over
+    ``(key, chunk)``, one aggregate row per chunk, one carry window over the
+    chunk table and one join back -- whatever the number of scans.
+    """
+    ks = _keys(key)
+    d = df.withColumn("__chunk", _chunk_col(order, chunk))
+    for i, sp in enumerate(specs):
+        d = d.withColumn(f"__v{i}", sp[1])
+    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    aggs, carry_cols = [], []
+    wc_before = Window.partitionBy(*ks).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    wc = Window.partitionBy(*ks).orderBy("__chunk")
+    for i, sp in enumerate(specs):
+        kind, v = sp[0], F.col(f"__v{i}")
+        if kind == "sum":
+            d = d.withColumn(f"__l{i}", F.coalesce(F.sum(v).over(upto if sp[3] else before), F.lit(0)))
+            aggs.append(F.sum(v).alias(f"__a{i}"))
+            carry_cols.append(F.coalesce(F.sum(f"__a{i}").over(wc_before), F.lit(0)).alias(f"__c{i}"))
+        elif kind == "last":
+            d = d.withColumn(f"__l{i}", F.last(v, ignorenulls=True).over(upto if sp[3] else before))
+            aggs.append(F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(f"__a{i}"))
+            carry_cols.append(F.last(f"__a{i}", ignorenulls=True).over(wc_before).alias(f"__c{i}"))
+        elif kind == "prev":
+            d = d.withColumn(f"__l{i}", F.lag(v).over(w))
+            aggs.append(F.max_by(v, F.col(order)).alias(f"__a{i}"))
+            carry_cols.append(F.lag(f"__a{i}").over(wc).alias(f"__c{i}"))
+        else:
+            raise ValueError(f"unknown scan kind {kind}")
+    d = d.withColumn("__first", F.row_number().over(w) == 1)
+    carry = d.groupBy(*ks, "__chunk").agg(*aggs).select(*ks, "__chunk", *carry_cols)
+    j = d.join(carry, [*ks, "__chunk"], "left")
+    drop = ["__chunk", "__first"]
+    for i, sp in enumerate(specs):
+        kind, out = sp[0], sp[2]
+        loc, car = F.col(f"__l{i}"), F.col(f"__c{i}")
+        if kind == "sum":
+            val = F.coalesce(car, F.lit(0)) + loc
+        elif kind == "last":
+            val = F.coalesce(loc, car)
+        else:
+            val = F.when(F.col("__first"), car).otherwise(loc)
+        j = j.withColumn(out, val)
+        drop += [f"__v{i}", f"__l{i}", f"__c{i}"]
+    return j.drop(*drop)
+
+
 def running_sum(df: DataFrame, key, order: str, value: Column, out: str,
                 chunk: int = DEFAULT_CHUNK, include_current: bool = True) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same key with smaller
     ``order`` (and the current row when ``include_current``)."""
-    ks = _keys(key)
-    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
-    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    d = d.withColumn("__local", F.coalesce(F.sum("__val").over(frame), F.lit(0)))
-    tot = d.groupBy(*ks, "__chunk").agg(F.sum("__val").alias("__tot"))
-    wc = Window.partitionBy(*ks).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*ks, "__chunk", F.coalesce(F.sum("__tot").over(wc), F.lit(0)).alias("__carry"))
-    return (d.join(carry, [*ks, "__chunk"], "left")
-             .withColumn(out, F.col("__carry") + F.col("__local"))
-             .drop("__chunk", "__val", "__local", "__carry"))
+    return scan(df, key, order, [("sum", value, out, include_current)], chunk)
 
 
 def running_last(df: DataFrame, key, order: str, value: Column, out: str,
                  chunk: int = DEFAULT_CHUNK, include_current: bool = True) -> DataFrame:
     """``out`` = the latest non-null ``value`` at or before each row."""
-    ks = _keys(key)
-    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
-    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    d = d.withColumn("__local", F.last("__val", ignorenulls=True).over(frame))
-    lastc = (d.filter(F.col("__val").isNotNull()).groupBy(*ks, "__chunk")
-              .agg(F.max_by("__val", F.col(order)).alias("__last")))
-    chunks = d.select(*ks, "__chunk").distinct().join(lastc, [*ks, "__chunk"], "left")
-    wc = Window.partitionBy(*ks).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    allc = chunks.select(*ks, "__chunk", F.last("__last", ignorenulls=True).over(wc).alias("__carry"))
-    return (d.join(allc, [*ks, "__chunk"], "left")
-             .withColumn(out, F.coalesce(F.col("__local"), F.col("__carry")))
-             .drop("__chunk", "__val", "__local", "__carry"))
+    return scan(df, key, order, [("last", value, out, include_current)], chunk)
 
 
 def previous(df: DataFrame, key, order: str, value: Column, out: str,
              chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """``out`` = ``value`` of the previous row of the same key (NULL for the first)."""
-    ks = _keys(key)
-    d = df.withColumn("__chunk", _chunk_col(order, chunk)).withColumn("__val", value)
-    w = Window.partitionBy(*ks, "__chunk").orderBy(order)
-    d = d.withColumn("__local", F.lag("__val").over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    lastc = d.groupBy(*ks, "__chunk").agg(F.max_by("__val", F.col(order)).alias("__last"))
-    wc = Window.partitionBy(*ks).orderBy("__chunk")
-    carry = lastc.select(*ks, "__chunk", F.lag("__last").over(wc).alias("__carry"))
-    return (d.join(carry, [*ks, "__chunk"], "left")
-             .withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__local")))
-             .drop("__chunk", "__val", "__local", "__carry", "__first"))
+    return scan(df, key, order, [("prev", value, out)], chunk)
 
 
 def top_k(df: DataFrame, group, order: list[Column], k: int, tiebreak: Column, out: str = "rank",

@@ -69,8 +69,8 @@ def settings_in_effect(entries: DataFrame, initial_model: str | None = None,
     none was set; empty names ignored)."""
     model_v = F.when(F.col("type") == "model_change", F.col("value"))
     name_v = F.when((F.col("type") == "session_info") & (F.coalesce(F.col("value"), F.lit("")) != ""), F.col("value"))
-    d = ordered.running_last(entries, "session_id", "seq", model_v, "_m", chunk)
-    d = ordered.running_last(d, "session_id", "seq", name_v, "session_name", chunk)
+    d = ordered.scan(entries, "session_id", "seq", [("last", model_v, "_m", True),
+                                                    ("last", name_v, "session_name", True)], chunk)
     return d.withColumn("model", F.coalesce(F.col("_m"), F.lit(initial_model))).drop("_m")
 
 

@@ -23,15 +23,25 @@ DEFAULT_STALL_SECONDS = 120
 
 
 def _content_parts(parts: DataFrame, chunk: int) -> DataFrame:
-    """Parts that build content, with orphan argument chunks (no open call) dropped."""
+    """Parts that build content, in one ordered pass: orphan argument chunks
+    (no open call) are dropped; ``new_block`` marks where a block starts and
+    ``call_no`` counts tool-call starts so far.
+
+    The last non-delta part before a row decides both: a delta belongs to an
+    open call only when that part is a call start, and -- orphans being
+    dropped -- the previous kept row has that part's kind."""
     kinds = parts.filter(F.col("part_type").isin("text", "think", "tool_call_start", "tool_call_delta"))
     non_delta = F.when(F.col("part_type") != "tool_call_delta", F.col("part_type"))
-    d = ordered.running_last(kinds, "stream_id", "seq", non_delta, "_last_kind", chunk, include_current=False)
-    orphan = (F.col("part_type") == "tool_call_delta") & ~F.coalesce(F.col("_last_kind") == "tool_call_start",
-                                                                     F.col("_last_kind") == "tool_call_delta", F.lit(False))
-    d = d.filter(~orphan).drop("_last_kind")
+    d = ordered.scan(kinds, "stream_id", "seq", [
+        ("last", non_delta, "_lnd", False),
+        ("sum", (F.col("part_type") == "tool_call_start").cast("int"), "call_no", True)], chunk)
+    orphan = (F.col("part_type") == "tool_call_delta") & ~F.coalesce(F.col("_lnd") == "tool_call_start", F.lit(False))
     kind = F.when(F.col("part_type") == "text", "text").when(F.col("part_type") == "think", "thinking").otherwise("tool_call")
-    return d.withColumn("kind", kind)
+    prev_kind = (F.when(F.col("_lnd") == "text", "text").when(F.col("_lnd") == "think", "thinking")
+                  .when(F.col("_lnd") == "tool_call_start", "tool_call"))
+    d = d.filter(~orphan).withColumn("kind", kind)
+    new_block = prev_kind.isNull() | (prev_kind != F.col("kind")) | (F.col("part_type") == "tool_call_start")
+    return d.withColumn("new_block", new_block).drop("_lnd")
 
 
 def assemble_messages(parts: DataFrame, chunk: int = ordered.DEFAULT_CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +54,7 @@ def assemble_messages(parts: DataFrame, chunk: int = ordered.DEFAULT_CHUNK) -> t
     done part's (error parts make it ``error``); ``stop`` with tool calls
     becomes ``tool_use``."""
     d = _content_parts(parts, chunk)
-    d = ordered.previous(d, "stream_id", "seq", F.col("kind"), "_pk", chunk)
-    new_block = F.col("_pk").isNull() | (F.col("_pk") != F.col("kind")) | (F.col("part_type") == "tool_call_start")
-    d = ordered.running_sum(d, "stream_id", "seq", new_block.cast("int"), "block_id", chunk)
+    d = ordered.running_sum(d, "stream_id", "seq", F.col("new_block").cast("int"), "block_id", chunk)
     piece = F.when(F.col("kind") == "tool_call", F.coalesce(F.col("args_delta"), F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
     blocks = d.groupBy("stream_id", "block_id").agg(
         F.first("kind").alias("kind"),
@@ -78,12 +86,10 @@ def progress_rows(parts: DataFrame, chunk: int = ordered.DEFAULT_CHUNK) -> DataF
     """For argument chunks of a tool call, the running chunk count and
     token estimate (characters // 4 per chunk), restarting at every call
     start; a progress row when the estimate exceeds 20 on every 4th chunk."""
-    d = _content_parts(parts, chunk).filter(F.col("kind") == "tool_call")
-    d = ordered.running_sum(d, "stream_id", "seq", (F.col("part_type") == "tool_call_start").cast("int"), "call_no", chunk)
-    deltas = d.filter(F.col("part_type") == "tool_call_delta")
-    deltas = ordered.running_sum(deltas, ["stream_id", "call_no"], "seq", F.lit(1), "chunk_no", chunk)
-    deltas = ordered.running_sum(deltas, ["stream_id", "call_no"], "seq",
-                                 F.floor(F.length(F.coalesce("args_delta", F.lit(""))) / 4).cast("bigint"), "tokens", chunk)
+    deltas = _content_parts(parts, chunk).filter(F.col("part_type") == "tool_call_delta")
+    deltas = ordered.scan(deltas, ["stream_id", "call_no"], "seq", [
+        ("sum", F.lit(1), "chunk_no", True),
+        ("sum", F.floor(F.length(F.coalesce("args_delta", F.lit(""))) / 4).cast("bigint"), "tokens", True)], chunk)
     return deltas.filter((F.col("tokens") > ARGS_TOKEN_THRESHOLD) & (F.col("chunk_no") % ARGS_UPDATE_EVERY == 0)) \
                  .select("stream_id", "call_no", "seq", "chunk_no", "tokens")
 
