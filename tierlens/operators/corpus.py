@@ -51,7 +51,7 @@ def numbered_lines(df: DataFrame, key: str, text_col: str = "text") -> DataFrame
     t = F.col(text_col)
     return (df.select(key, F.posexplode(split_lines(t)).alias("_p", "line"),
                       t.endswith("\n").alias("_nl"), F.size(split_lines(t)).alias("_n"))
-              .select(key, (F.col("_p") + 1).alias("line_no"), "line",
+              .select(key, (F.col("_p") + 1).cast("bigint").alias("line_no"), "line",
                       (((F.col("_p") + 1) < F.col("_n")) | F.col("_nl")).alias("has_newline")))
 
 
@@ -62,21 +62,19 @@ def read_page(df: DataFrame, key: str, text_col: str = "text", offset: int | Non
     than 2000 characters (newline included) is cut with a marker."""
     start = (offset - 1) if offset else 0
     eff = min(limit, READ_MAX_LINES) if limit else READ_MAX_LINES
-    lines = numbered_lines(df, key, text_col).filter(F.col("line_no") > start)
-    page = lines.filter(F.col("line_no") <= start + eff)
+    # one pass: the row after the page becomes the truncation marker when the
+    # page hit the 2000-line cap
+    last = start + eff + (1 if eff == READ_MAX_LINES else 0)
+    lines = numbered_lines(df, key, text_col).filter((F.col("line_no") > start) & (F.col("line_no") <= last))
     full_len = F.length("line") + F.col("has_newline").cast("int")
     body = F.when(full_len > READ_MAX_CHARS,
                   F.concat(F.substring("line", 1, READ_MAX_CHARS),
                            F.lit(f" [output truncated after {READ_MAX_CHARS} chars]\n"))) \
             .otherwise(F.concat("line", F.when(F.col("has_newline"), F.lit("\n")).otherwise(F.lit(""))))
     rendered = F.concat(F.lpad(F.col("line_no").cast("string"), 6, " "), F.lit("\t"), body)
-    out = page.select(key, "line_no", rendered.alias("rendered"))
-    if eff == READ_MAX_LINES:
-        over = (lines.filter(F.col("line_no") == start + eff + 1)
-                     .select(key, F.col("line_no"),
-                             F.lit(f"[output truncated after {READ_MAX_LINES} lines]").alias("rendered")))
-        out = out.unionByName(over)
-    return out
+    marker = F.lit(f"[output truncated after {READ_MAX_LINES} lines]")
+    out = F.when(F.col("line_no") > start + eff, marker).otherwise(rendered)
+    return lines.select(key, "line_no", out.alias("rendered"))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -74,44 +74,51 @@ def metrics(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predict
     return out
 
 
+def _fixed_label_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
+    """One global aggregate (partial per task, one tiny final merge) with the
+    pair counts of the fixed tiers 1..4 plus totals."""
+    t, p = F.col(true_col), F.col(pred_col)
+    cells = [F.count(F.when((t == a) & (p == b), 1)).alias(f"c_{a}_{b}") for a in LABELS for b in LABELS]
+    per = []
+    for lab in LABELS:
+        per += [F.count(F.when(p == lab, 1)).alias(f"pn_{lab}"), F.count(F.when(t == lab, 1)).alias(f"sup_{lab}")]
+    return df.agg(*cells, *per, F.count(F.lit(1)).alias("total"), F.count(F.when(t == p, 1)).alias("ok"))
+
+
 def confusion_matrix(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predicted_tier") -> DataFrame:
     """rows = true tier 1..4, columns p1..p4 = predicted; other labels ignored."""
-    spark = df.sparkSession
-    counts = pair_counts(df, true_col, pred_col).filter(F.col("p").isin(*LABELS))
-    piv = counts.groupBy("t").pivot("p", LABELS).agg(F.sum("n"))
-    for t in LABELS:
-        if str(t) not in piv.columns:
-            piv = piv.withColumn(str(t), F.lit(None).cast("bigint"))
-    rows = fixed_labels(spark).withColumnRenamed("label", "true_tier")
-    out = rows.join(piv, rows.true_tier == piv.t, "left")
-    return out.select("true_tier", *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("bigint").alias(f"pred_{t}") for t in LABELS])
+    c = _fixed_label_counts(df, true_col, pred_col)
+    rows = F.array(*[F.struct(F.lit(a).alias("true_tier"),
+                              *[F.col(f"c_{a}_{b}").cast("bigint").alias(f"pred_{b}") for b in LABELS]) for a in LABELS])
+    return c.select(F.inline(rows))
 
 
 def report(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predicted_tier") -> DataFrame:
     """Per-tier precision/recall/F1/support on tiers 1..4, then accuracy,
-    macro avg and weighted avg rows (averages over the four fixed tiers)."""
-    spark = df.sparkSession
-    counts = pair_counts(df, true_col, pred_col)
-    lab = per_label(counts, fixed_labels(spark))
-    names = F.create_map(*[x for t in LABELS for x in (F.lit(t), F.lit(LABEL_NAMES[t]))])
-    per = lab.select(names[F.col("label")].alias("row_name"), F.round("precision", 9).alias("precision"),
-                     F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"),
-                     F.col("support").cast("bigint").alias("support"))
-    total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("ok"))
-    acc = total.select(F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
-                       F.lit(None).cast("double").alias("recall"),
-                       F.round(_div0(F.col("ok"), F.col("total")), 9).alias("f1"),
-                       F.col("total").cast("bigint").alias("support"))
-    sup = F.sum("support")
-    macro = lab.agg(F.lit("macro avg").alias("row_name"), F.round(F.avg("precision"), 9).alias("precision"),
-                    F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("f1"), 9).alias("f1"),
-                    sup.cast("bigint").alias("support"))
-    weighted = lab.agg(F.lit("weighted avg").alias("row_name"),
-                       F.round(_div0(F.sum(F.col("precision") * F.col("support")), sup), 9).alias("precision"),
-                       F.round(_div0(F.sum(F.col("recall") * F.col("support")), sup), 9).alias("recall"),
-                       F.round(_div0(F.sum(F.col("f1") * F.col("support")), sup), 9).alias("f1"),
-                       sup.cast("bigint").alias("support"))
-    return per.unionByName(acc).unionByName(macro).unionByName(weighted)
+    macro avg and weighted avg rows (averages over the four fixed tiers).
+    Everything is derived from one aggregate row."""
+    c = _fixed_label_counts(df, true_col, pred_col)
+    prec, rec, f1, sup = {}, {}, {}, {}
+    for lab in LABELS:
+        tp, pn, su = F.col(f"c_{lab}_{lab}"), F.col(f"pn_{lab}"), F.col(f"sup_{lab}")
+        prec[lab], rec[lab], f1[lab], sup[lab] = _div0(tp, pn), _div0(tp, su), _div0(2 * tp, pn + su), su
+    total_sup = sum((sup[lab] for lab in LABELS), F.lit(0))
+
+    def row(name, p, r, f, s):
+        return F.struct(F.lit(name).alias("row_name"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"), s.cast("bigint").alias("support"))
+
+    def avg(d):
+        return sum((d[lab] for lab in LABELS), F.lit(0.0)) / len(LABELS)
+
+    def wavg(d):
+        return _div0(sum((d[lab] * sup[lab] for lab in LABELS), F.lit(0.0)), total_sup)
+
+    rows = [row(LABEL_NAMES[lab], F.round(prec[lab], 9), F.round(rec[lab], 9), F.round(f1[lab], 9), sup[lab]) for lab in LABELS]
+    rows.append(row("accuracy", F.lit(None), F.lit(None), F.round(_div0(F.col("ok"), F.col("total")), 9), F.col("total")))
+    rows.append(row("macro avg", F.round(avg(prec), 9), F.round(avg(rec), 9), F.round(avg(f1), 9), total_sup))
+    rows.append(row("weighted avg", F.round(wavg(prec), 9), F.round(wavg(rec), 9), F.round(wavg(f1), 9), total_sup))
+    return c.select(F.inline(F.array(*rows)))
 
 
 def reliability(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predicted_tier",

@@ -82,7 +82,7 @@ scratch AS (SELECT t.conv_id, t.turn, t.query, l.last_tier FROM v_turn t JOIN la
 fbk AS (SELECT DISTINCT query FROM v_feedback WHERE predicted_tier <> corrected_tier AND query IS NOT NULL),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY conv_id, turn) AS rn FROM scratch)
 SELECT conv_id, turn, md5(query) AS query_md5, length(query) AS query_len, last_tier AS predicted_tier,
-       last_tier AS corrected_tier, 1.0 AS confidence, 'recovered_from_scratchpad' AS status
+       last_tier AS corrected_tier, CAST(1.0 AS DOUBLE) AS confidence, 'recovered_from_scratchpad' AS status
 FROM firsts WHERE rn = 1 AND query NOT IN (SELECT query FROM fbk)""")
 def c6_recover_turns(spark, sf_dir):
     """Scratch-pad user turns missing from the stored corrections are recovered
@@ -98,7 +98,7 @@ def c6_recover_turns(spark, sf_dir):
 
 @query("d4_feedback_stats", """
 SELECT count(*) AS total, CAST(sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS BIGINT) AS correct,
-       count(*) - sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS incorrect,
+       CAST(count(*) - sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS BIGINT) AS incorrect,
        round(CAST(sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS accuracy,
        20 AS threshold, count(*) >= 20 AS ready_for_retrain
 FROM v_feedback""")
