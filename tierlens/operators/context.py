@@ -280,11 +280,19 @@ def skill_block(name: Column, description: Column, path: Column) -> Column:
                     F.lit("</description>\n<location>"), escape_xml(path), F.lit("</location>\n</skill>"))
 
 
+def skill_blocks(skills: DataFrame) -> DataFrame:
+    """H6 for catalogues of any size: one escaped ``<skill>`` block per row,
+    ordered by (name, path); the section head and tail are fixed text. A
+    writer streams the blocks in that order, so no catalogue is gathered
+    into a single row."""
+    return skills.withColumn("block", skill_block(F.col("name"), F.col("description"), F.col("path")))
+
+
 def skills_section(skills: DataFrame, group_col: str) -> DataFrame:
-    """H6: the skills prompt section per catalogue (``group_col``), entries in name order."""
+    """H6 as one string per catalogue, for catalogues known to be small (a
+    project's own skills): entries in name order."""
     g = skills.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(
         "name", "path", skill_block(F.col("name"), F.col("description"), F.col("path")).alias("b")))).alias("_a"))
     head = "\n".join(SKILLS_SECTION_HEAD)
     return g.select(group_col, F.concat(F.lit(head + "\n"), F.array_join(F.transform("_a", lambda x: x["b"]), "\n"),
                                         F.lit("\n</available_skills>")).alias("section"))
-

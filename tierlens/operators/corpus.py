@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlens.operators import ordered
@@ -150,9 +150,9 @@ def changed_lines(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     pairs with its n-th occurrence in the new one (full outer equi-join on
     key, line hash and occurrence). ``old``/``new``: (key, line_no, line)."""
     def occ(d):
-        h = F.md5("line")
-        return (d.withColumn("_h", h).withColumn(
-            "_occ", F.row_number().over(Window.partitionBy(key, "_h").orderBy("line_no"))))
+        # occurrence number of a line inside its text: a chunked running count
+        # per (text, line hash), so one line repeated a million times is split
+        return ordered.running_sum(d.withColumn("_h", F.md5("line")), [key, "_h"], "line_no", F.lit(1), "_occ")
     o = occ(old).select(key, "_h", "_occ", F.col("line_no").alias("old_line_no"), F.col("line").alias("old_line"))
     n = occ(new).select(key, "_h", "_occ", F.col("line_no").alias("new_line_no"), F.col("line").alias("new_line"))
     j = o.join(n, [key, "_h", "_occ"], "full_outer")
@@ -235,10 +235,11 @@ def tail_truncate(df: DataFrame, key: str, text_col: str = "text", max_lines: in
     small = base.filter(fits).select(key, F.col("_t").alias("kept_text"), F.col("total_lines").alias("kept_lines"),
                                      "total_lines", F.lit(False).alias("truncated"))
     big = base.filter(~fits)
-    lines = big.select(key, "total_lines", F.posexplode("_l").alias("_p", "line"))
-    rev = Window.partitionBy(key).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    lines = (lines.withColumn("_bytes", F.sum(F.octet_length("line") + 1).over(rev) - 1)
-                  .withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_p").desc()))))
+    lines = big.select(key, "total_lines", F.posexplode("_l").alias("_p", "line")).withColumn("_neg", -F.col("_p"))
+    # running sums from the last line backwards (chunked, so one huge text is split)
+    lines = ordered.scan(lines, key, "_neg", [("sum", F.octet_length("line") + 1, "_b1", True),
+                                              ("sum", F.lit(1), "_k", True)])
+    lines = lines.withColumn("_bytes", F.col("_b1") - 1)
     kept = lines.filter((F.col("_bytes") <= max_bytes) & (F.col("_k") <= max_lines))
     agg = kept.groupBy(key, "total_lines").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "line"))), lambda x: x["line"]), "\n")

@@ -206,20 +206,23 @@ def rewrite_last_user(entries: DataFrame, prompts: DataFrame) -> DataFrame:
 def resolve_ids(sessions: DataFrame, requests: DataFrame, max_len: int = 64) -> DataFrame:
     """Resolve partial session ids (trimmed, case-insensitive): a unique
     exact match wins, else a unique prefix match; otherwise ambiguous, not
-    found, or empty. Prefix matching is an equi-join on exploded id prefixes
-    (no nested loop, no broadcast of either side)."""
+    found, or empty.
+
+    Every id is exploded into its prefixes and the prefixes are aggregated
+    first (count, any id, exact-id count and id): one row per distinct prefix,
+    with map-side partial aggregation. A request then equi-joins one row, so
+    a one-letter request never fans out to all the ids it matches."""
     sid = F.lower(F.col("sid"))
     pref = (sessions.select(F.col("session_key").alias("sid"))
-                    .withColumn("_len", F.sequence(F.lit(1), F.least(F.length("sid"), F.lit(max_len))))
-                    .select("sid", F.explode("_len").alias("_l"))
-                    .select("sid", F.substring(sid, 1, F.col("_l")).alias("_p")))
+                    .select("sid", F.explode(F.sequence(F.lit(1), F.least(F.length("sid"), F.lit(max_len)))).alias("_l"))
+                    .select("sid", F.substring(sid, 1, F.col("_l")).alias("_p"), (F.col("_l") == F.length("sid")).alias("_full")))
+    stats = pref.groupBy("_p").agg(
+        F.count(F.lit(1)).alias("n_prefix"),
+        F.max("sid").alias("_any_sid"),
+        F.count(F.when(F.col("_full"), 1)).alias("n_exact"),
+        F.max(F.when(F.col("_full"), F.col("sid"))).alias("_exact_sid"))
     req = requests.select("request_id", "request", F.lower(F.trim("request")).alias("_p"))
-    m = req.join(pref, "_p", "left")
-    g = m.groupBy("request_id", "request", "_p").agg(
-        F.count("sid").alias("n_prefix"),
-        F.count(F.when(F.lower(F.col("sid")) == F.col("_p"), 1)).alias("n_exact"),
-        F.max_by("sid", F.when(F.lower(F.col("sid")) == F.col("_p"), F.lit(1))).alias("_exact_sid"),
-        F.max("sid").alias("_any_sid"))
+    g = req.join(stats, "_p", "left").fillna(0, ["n_prefix", "n_exact"])
     status = (F.when(F.col("_p") == "", "empty").when(F.col("n_exact") == 1, "exact")
                .when(F.col("n_prefix") == 1, "prefix").when(F.col("n_prefix") > 1, "ambiguous").otherwise("not_found"))
     resolved = F.when(F.col("n_exact") == 1, F.col("_exact_sid")).when(F.col("n_prefix") == 1, F.col("_any_sid"))

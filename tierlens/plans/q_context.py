@@ -203,16 +203,15 @@ esc AS (SELECT layer, name, path,
          '</name>', chr(10), '<description>', replace(replace(replace(replace(replace(description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'),
          '</description>', chr(10), '<location>', replace(replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'),
          '</location>', chr(10), '</skill>') AS b FROM w WHERE rn = 1)
-SELECT layer, md5(concat('# Skills', chr(10), chr(10), 'The following skills provide specialized instructions for specific tasks.', chr(10),
-                         'Use the read tool to load a skill''s file when the task matches its description.', chr(10), chr(10),
-                         '<available_skills>', chr(10), string_agg(b, chr(10) ORDER BY name, path), chr(10), '</available_skills>')) AS section_md5
-FROM esc GROUP BY layer""")
+SELECT layer, name, path, md5(b) AS block_md5 FROM esc""")
 def h6_skills_section(spark, sf_dir):
-    """Skills prompt section per layer from the overlay winners, escaped, in name order."""
+    """Skills prompt-section blocks of the overlay winners (escaped), one row
+    per skill; the section is these blocks in (name, path) order between the
+    fixed head and tail, so no catalogue is gathered into one row."""
     skills = C.load_skills(_skill_files(spark, sf_dir))
     win = C.overlay_skills(skills).filter("is_winner").select("name", "path", "layer")
     full = win.join(skills.select("path", "description"), "path")
-    return C.skills_section(full, "layer").select("layer", F.md5("section").alias("section_md5"))
+    return C.skill_blocks(full).select("layer", "name", "path", F.md5("block").alias("block_md5"))
 
 
 # ---- guideline files from pages

@@ -95,9 +95,11 @@ def i10_snapshot_refresh(spark, sf_dir):
                            T.StructField("status", T.StringType())])
     log, snap = f"{w['out']}/log", f"{w['out']}/snapshots"
     H.run_foreach_batch(H.file_stream(spark, w["input"], schema), lambda df, bid: J.refresh_snapshot(df, bid, log, snap), w["ckpt"])
-    rows = R.read_table_snapshot(spark, snap)
-    newest = rows.agg(F.max("file").alias("file"))
-    return rows.join(newest, "file").select("row_idx").distinct().agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = R.read_table_snapshot(spark, snap).withColumn(
+        "snapshot", F.regexp_extract("file", r"snapshot=(\d+)", 1).cast("bigint"))
+    newest = rows.agg(F.max("snapshot").alias("snapshot"))
+    return (rows.join(newest, "snapshot").select("file", "row_idx").distinct()
+                .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 # ---------------------------------------------------------------- I3 / I11
