@@ -239,25 +239,28 @@ def ancestor_dirs(cwd: Column, stop_dir: Column) -> Column:
             .otherwise(F.array(F.struct(F.lit(0).alias("depth"), cwd.alias("dir"))))
 
 
-def guideline_files(workdirs: DataFrame, files: DataFrame, global_files: DataFrame | None = None) -> DataFrame:
+def guideline_files(workdirs: DataFrame, files: DataFrame, global_dir: str | None = None) -> DataFrame:
     """Per working directory (``cwd``, ``stop_dir``), the guideline file of
     every ancestor directory from the stop directory down to it, at most one
-    per directory (the first candidate name wins), root first; global files
-    first (depth -1); a path is listed once per working directory.
-
-    ``files``: (dir, file_name, path, content). Equi-join on the directory of
-    each exploded ancestor: no per-directory scan, no nested loop."""
+    per directory (the first candidate name wins), root first; the global
+    config directory comes first (depth -1); a path is listed once per
+    working directory.
+
+    ``files``: (dir, file_name, path, content). The global directory is one
+    more exploded ancestor, so every directory (global included) meets its
+    file through one equi-join on ``dir``: no per-directory scan, no nested
+    loop, no cross join."""
     prio = F.array_position(F.array(*[F.lit(n) for n in GUIDELINE_FILE_NAMES]), F.col("file_name"))
     cands = files.filter(prio > 0).withColumn("_prio", prio)
     best = cands.groupBy("dir").agg(F.min(F.struct("_prio", "path", "content")).alias("_b")) \
                 .select("dir", F.col("_b.path").alias("path"), F.col("_b.content").alias("content"))
-    anc = workdirs.select("cwd", F.explode(ancestor_dirs(F.col("cwd"), F.col("stop_dir"))).alias("_a")) \
+    dirs = ancestor_dirs(F.col("cwd"), F.col("stop_dir"))
+    if global_dir is not None:
+        dirs = F.concat(F.array(F.struct(F.lit(-1).alias("depth"), F.lit(global_dir).alias("dir"))), dirs)
+    anc = workdirs.select("cwd", F.explode(dirs).alias("_a")) \
                   .select("cwd", F.col("_a.depth").alias("depth"), F.col("_a.dir").alias("dir"))
     out = anc.join(best, "dir").select("cwd", "depth", "path", "content")
-    if global_files is not None:
-        g = workdirs.select("cwd").crossJoin(F.broadcast(global_files.select("path", "content"))) \
-                    .withColumn("depth", F.lit(-1))
-        out = g.select("cwd", "depth", "path", "content").unionByName(out)
+    if global_dir is not None:
         out = out.groupBy("cwd", "path").agg(F.min(F.struct("depth", "content")).alias("_d")) \
                  .select("cwd", F.col("_d.depth").alias("depth"), "path", F.col("_d.content").alias("content"))
     return out

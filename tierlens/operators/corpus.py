@@ -117,16 +117,15 @@ def grep(lines: DataFrame, pattern: str, include: str | None = None, path_col: s
     """Regex line search; newest file first (then path, line), first 100
     matches, each line cut at 2000 characters with ``...``; ``total_matches``
     counts all matches. The top 100 is a TakeOrderedAndProject (per-partition
-    top-k, then a merge), the total a separate aggregate joined as one row."""
+    top-k, then a merge), the total a scalar subquery (one global count)."""
     m = lines.filter(F.col("line").rlike(pattern))
     if include:
         m = m.filter(F.col(path_col).rlike(glob_to_regex(include)))
-    total = m.agg(F.count(F.lit(1)).alias("total_matches"))
+    total = m.agg(F.count(F.lit(1)).alias("total_matches")).scalar()
     top = m.orderBy(F.col(mtime_col).desc(), F.col(path_col), F.col("line_no")).limit(max_matches)
     text = F.when(F.length("line") > GREP_MAX_LINE, F.concat(F.substring("line", 1, GREP_MAX_LINE), F.lit("..."))) \
             .otherwise(F.col("line"))
-    return (top.select(path_col, mtime_col, "line_no", text.alias("line"))
-               .crossJoin(F.broadcast(total)))
+    return top.select(path_col, mtime_col, "line_no", text.alias("line"), total.alias("total_matches"))
 
 
 def replace_text(df: DataFrame, text_col: str, old: str, new: str, replace_all: bool) -> DataFrame:
@@ -323,17 +322,41 @@ def fuzzy_score_sql(q: str, c: str) -> str:
     return pos
 
 
+def _distinct_chars(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), "")), lambda ch: ch != "")
+
+
 def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "candidate",
                 order_col: str = "cand_order", top: int = FUZZY_TOP) -> DataFrame:
-    """F1: every query against every candidate, top 50 per query by score
-    (then candidate, then input order); an empty query keeps the first 50 in
-    input order. The query side is a small request batch broadcast behind a
-    row-count check; the candidate side is streamed, and the per-query top-k
-    runs in two salted stages."""
-    from tierlens.runtime import bounded_broadcast
-
-    qb = bounded_broadcast(queries.select("query_id", "query"))
-    pairs = candidates.select(cand_col, order_col).crossJoin(qb)
+    """F1: every query scored against every candidate that can match it, top 50
+    per query by score (then candidate, then input order); an empty query keeps
+    the first 50 candidates in input order.
+
+    A match needs every (lower-cased) query character in the candidate, so each
+    query is anchored on the character the fewest candidates contain (counts
+    from one aggregate whose groups are the distinct characters), and the
+    candidates, exploded into their distinct characters, meet the queries
+    through an equi-join on that anchor -- exact pruning, no cross product. A
+    request batch within the broadcast bound makes this a broadcast hash join
+    over the streamed candidates; a larger batch gets a shuffled join whose hot
+    anchor characters AQE splits. The per-query top-k runs in two salted stages."""
+    from tierlens.runtime import BROADCAST_MAX_ROWS
+
+    cand = candidates.select(cand_col, order_col, F.explode(_distinct_chars(F.col(cand_col))).alias("_ch"))
+    # one row per distinct character; AQE sizes this join from the measured shuffle
+    freq = cand.groupBy("_ch").agg(F.count(F.lit(1)).alias("_n"))
+    q = queries.select("query_id", "query")
+    qch = q.select("query_id", F.explode(_distinct_chars(F.col("query"))).alias("_ch"))
+    anchor = (qch.join(freq, "_ch", "left")
+                 .groupBy("query_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_ch"))["_ch"].alias("_ch"))
+                 .join(q, "query_id"))
+    # the empty query lists the first ``top`` candidates in input order: its
+    # anchor is the empty string, which only those candidates carry
+    first = candidates.select(cand_col, order_col).orderBy(order_col).limit(top).withColumn("_ch", F.lit(""))
+    anchor = anchor.unionByName(q.filter(F.col("query") == "").withColumn("_ch", F.lit("")))
+    # at most one anchor row per query: the batch's row count bounds the broadcast
+    small = q.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    pairs = cand.unionByName(first).join(F.broadcast(anchor) if small else anchor, "_ch").drop("_ch")
     m = pairs.withColumn("_m", F.expr(fuzzy_score_sql("query", cand_col)))
     p = F.col("_m")["p"]
     n = F.size(p)

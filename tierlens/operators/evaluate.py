@@ -62,7 +62,10 @@ def metrics(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predict
         F.avg("recall").alias("recall_macro"),
         F.sum(F.col("f1") * F.col("support")).alias("_wf1"),
         F.sum("support").alias("_sup"))
-    out = total.crossJoin(agg).select(
+    # one-row aggregates combine as scalar subqueries, not as a join
+    agg = agg.select(F.struct("f1_macro", "precision_macro", "recall_macro", "_wf1", "_sup").alias("_s")).scalar()
+    out = total.select("total", "ok", *[agg[c].alias(c) for c in
+                                        ("f1_macro", "precision_macro", "recall_macro", "_wf1", "_sup")]).select(
         F.col("total").cast("bigint").alias("n"),
         F.round(_div0(F.col("ok"), F.col("total")), 9).alias("accuracy"),
         F.round(F.coalesce("f1_macro", F.lit(0.0)), 9).alias("f1_macro"),
@@ -70,7 +73,7 @@ def metrics(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predict
         F.round(F.coalesce("precision_macro", F.lit(0.0)), 9).alias("precision_macro"),
         F.round(F.coalesce("recall_macro", F.lit(0.0)), 9).alias("recall_macro"))
     if conf_col:
-        out = out.crossJoin(ece(df, true_col, pred_col, conf_col).select("ece"))
+        out = out.withColumn("ece", ece(df, true_col, pred_col, conf_col).select("ece").scalar())
     return out
 
 
@@ -148,9 +151,9 @@ def tier_distribution(df: DataFrame, tier_col: str, valid: Column | None = None)
     v = valid if valid is not None else F.lit(True)
     x = df.select(F.when(v, F.col(tier_col)).alias("tier"))
     counts = x.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-    total = x.agg(F.count(F.lit(1)).alias("total"))
+    total = x.agg(F.count(F.lit(1)).alias("total")).scalar()
     out = (fixed_labels(spark).withColumnRenamed("label", "tier").join(counts, "tier", "left")
-           .crossJoin(total).select("tier", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "total"))
+           .select("tier", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), total.alias("total")))
     return out.select("tier", "n", F.when(F.col("total") > 0, F.round(F.col("n") * 100.0 / F.col("total"), 9))
                       .otherwise(0.0).alias("pct"))
 

@@ -74,11 +74,12 @@ def stats(df: DataFrame) -> DataFrame:
 def stats_by_tier(df: DataFrame) -> DataFrame:
     """D4 per tier: for each corrected tier 1..4, the count of each predicted
     tier 1..4 -- all 16 cells, zero-filled via the tier x tier frame."""
-    spark = df.sparkSession
-    cells = spark.range(1, 5).select(F.col("id").cast("int").alias("corrected_tier")).crossJoin(
-        spark.range(1, 5).select(F.col("id").cast("int").alias("predicted_tier")))
+    from tierlens.runtime import literal_dim
+
+    cells = literal_dim(df.sparkSession, [(c, p) for c in range(1, 5) for p in range(1, 5)],
+                        "corrected_tier int, predicted_tier int")
     counts = df.groupBy("corrected_tier", "predicted_tier").agg(F.count(F.lit(1)).alias("n"))
-    return (F.broadcast(cells).join(counts, ["corrected_tier", "predicted_tier"], "left")
+    return (cells.join(counts, ["corrected_tier", "predicted_tier"], "left")
             .select("corrected_tier", "predicted_tier", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 

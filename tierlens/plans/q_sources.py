@@ -231,7 +231,8 @@ def a11_close_batch(spark, sf_dir):
     W.close_batch(consumed, out, "20240101_000000")
     archived = spark.read.schema("conv_id bigint, turn bigint, query string, archive_ts string").json(out)
     open_rows = fb.open_rows(f, archived, ["conv_id", "turn"])
-    return archived.agg(F.count(F.lit(1)).alias("n_archived")).crossJoin(open_rows.agg(F.count(F.lit(1)).alias("n_open")))
+    n_open = open_rows.agg(F.count(F.lit(1)).alias("n_open")).scalar()
+    return archived.agg(F.count(F.lit(1)).alias("n_archived")).select("n_archived", n_open.alias("n_open"))
 
 
 @query("a13_list_files")
