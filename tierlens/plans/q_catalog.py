@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tierlens import dims
@@ -78,9 +80,23 @@ def c7_generation_grid(spark, sf_dir):
     return g.select("tier_label", "category", "quota")
 
 
-@query("c7_generation_prompts")
+def _prompt_sql() -> str:
+    """The generation template as a SQL concat over (tier_label, tier_num, tier_description, category, quota)."""
+    cols = {"{tier_description}": "td.tier_description", "{category}": "cats.category",
+            "{count}": "CAST(greatest(1, (per_tier - n_seeds) // 15) AS VARCHAR)",
+            "{tier_num}": "CAST(td.tier_num AS VARCHAR)", "{tier_label}": "tg.tier_label"}
+    parts = [cols.get(x, _sql_str(x)) for x in re.split(r"(\{[a-z_]+\})", dims.GENERATION_PROMPT) if x]
+    return "concat(" + ", ".join(parts) + ")"
+
+
+@query("c7_generation_prompts", _TARGETS + """
+, cats AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {_sql_str(c)})" for i, c in enumerate(dims.QUERY_CATEGORIES)) + """) AS c(category_idx, category)),
+td AS (SELECT * FROM (VALUES """ + ", ".join(f"({_sql_str(lab)}, {t}, {_sql_str(dims.tier_description(lab))})" for lab, t, _ in dims.RUBRIC) + """) AS d(tier_label, tier_num, tier_description))
+SELECT tg.tier_label, cats.category, CAST(greatest(1, (per_tier - n_seeds) // 15) AS INTEGER) AS quota,
+       md5(""" + _prompt_sql() + """) AS prompt_md5
+FROM tg CROSS JOIN cats JOIN td ON td.tier_label = tg.tier_label WHERE per_tier - n_seeds > 0""")
 def c7_generation_prompts(spark, sf_dir):
-    """Rendered generation prompt of every grid cell (rows-only check)."""
+    """Rendered generation prompt of every grid cell."""
     g = G.generation_grid(_targets(spark, sf_dir))
     return g.select("tier_label", "category", "quota", F.md5("prompt").alias("prompt_md5"))
 
