@@ -309,7 +309,19 @@ def h13_tool_call_extraction(spark, sf_dir):
     return good.unionByName(bad)
 
 
-@query("h17_provider_layouts")
+@query("h17_provider_layouts", """
+, m AS (SELECT conv_id, turn AS seq, role FROM conversations WHERE coalesce(text, '') <> ''),
+oc AS (SELECT 'openai-completions' AS layout, conv_id, seq, 0 AS sub,
+              CASE WHEN role = 'tool_result' THEN 'tool' ELSE role END AS out_role,
+              CASE WHEN role = 'tool_result' THEN 'tool' ELSE 'message' END AS item_type, false AS cache_mark FROM m),
+an0 AS (SELECT conv_id, seq, CASE WHEN role = 'tool_result' THEN 'user' ELSE role END AS out_role,
+               CASE WHEN role = 'system' THEN 'system' WHEN role = 'tool_result' THEN 'tool_result' ELSE 'text' END AS item_type FROM m),
+lu AS (SELECT conv_id, max(seq) AS lu_seq FROM an0 WHERE out_role = 'user' GROUP BY conv_id),
+an AS (SELECT 'anthropic' AS layout, a.conv_id, a.seq, 0 AS sub, a.out_role, a.item_type, a.seq = lu.lu_seq AS cache_mark
+       FROM an0 a LEFT JOIN lu ON a.conv_id = lu.conv_id),
+orr AS (SELECT 'openai-responses' AS layout, conv_id, seq, 0 AS sub, role AS out_role,
+               CASE WHEN role = 'tool_result' THEN 'function_call_output' ELSE 'message' END AS item_type, false AS cache_mark FROM m)
+SELECT * FROM oc UNION ALL SELECT * FROM an UNION ALL SELECT * FROM orr""")
 def h17_provider_layouts(spark, sf_dir):
     """Conversations exported to the three provider message layouts."""
     c = _t(spark, sf_dir, "conversations")
