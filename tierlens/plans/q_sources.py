@@ -53,7 +53,7 @@ def a1_read_chat_examples(spark, sf_dir):
     split = export.split_assign(ex, ["conv_id", "turn"], seed=42)
     for name in ("train", "val", "test"):
         part = split.filter(F.col("split") == name).select(F.to_json(F.struct("messages")).alias("value"))
-        part.coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
+        part.write.mode("overwrite").text(f"{out}/{name}")
     files = [f"{out}/{name}" for name in ("train", "val", "test")]
     back = R.read_chat_examples(spark, files)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
@@ -90,6 +90,9 @@ def a3_read_prompt_labels(spark, sf_dir):
     return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TELEMETRY_HEADER = "turn,model_used,tokens_used,input_complexity,cumulative_cost"
+
+
 @query("a4_read_telemetry_csv", """
 SELECT count(*) AS n_rows, count(confidence) AS n_with_confidence, count(status) AS n_with_status FROM (
   SELECT CASE WHEN turn % 2 = 0 THEN confidence END AS confidence, CASE WHEN turn % 2 = 0 THEN 'ok' END AS status FROM v_routed)""")
@@ -101,12 +104,8 @@ def a4_read_telemetry_csv(spark, sf_dir):
     line = F.concat_ws(",", F.col("turn_no").cast("string"), F.lit("model"), (F.col("input_tokens") + F.col("output_tokens")).cast("string"),
                        F.lit("medium"), (F.col("cumulative_cost_nano") / 1e9).cast("string"))
     line = F.when(F.col("turn") % 2 == 0, F.concat(line, F.lit(","), F.col("confidence").cast("string"), F.lit(",ok"))).otherwise(line)
-    body = priced.select(F.lit(1).alias("o"), "conv_id", "turn", line.alias("value"))
-    header = spark.createDataFrame([(0, -1, -1, "turn,model_used,tokens_used,input_complexity,cumulative_cost")],
-                                   "o int, conv_id bigint, turn bigint, value string")
-    # one file, header line first (a sorted frame keeps its order through coalesce)
-    header.unionByName(body).orderBy("o", "conv_id", "turn").coalesce(1).select("value") \
-          .write.mode("overwrite").text(out)
+    # one CSV part file per task, each opening with the header line
+    W.with_header_lines(priced.select(line.alias("value")), _TELEMETRY_HEADER).write.mode("overwrite").text(out)
     back = R.read_telemetry_csv(spark, out)
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("confidence").alias("n_with_confidence"),
                     F.count("status").alias("n_with_status"))

@@ -67,3 +67,18 @@ def session_line(entries: DataFrame):
         F.when(t == "compaction", F.col("value")).alias("summary"),
         F.when(t == "model_change", F.col("value")).alias("model_id"),
         F.when(t == "session_info", F.col("value")).alias("name"))
+
+
+def with_header_lines(lines: DataFrame, header: str) -> DataFrame:
+    """A header line at the start of every partition of a one-column text
+    frame (``value``), so each written part file is a complete CSV document
+    that Spark's reader (``header=True``) parses on its own. Rows keep their
+    partitions: no shuffle, no single-file funnel."""
+    import pandas as pd
+
+    def add(batches):
+        yield pd.DataFrame({"value": [header]})
+        for b in batches:
+            yield b
+
+    return lines.select("value").mapInPandas(add, "value string")
