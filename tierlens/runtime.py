@@ -13,6 +13,55 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 100_000
 
 
+# Settings for a large cluster (about 1000 executors, ~100 TB of parquet input).
+# Initial shuffle partitions are set high and AQE coalesces them to ~256 MB;
+# hot keys are split by AQE's skew join and by the chunked / salted operators;
+# broadcasts happen only when measured sizes (AQE runtime stats) are small.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.session.timeZone": "UTC",
+    # executor loss: retry tasks and stages, move shuffle blocks off decommissioning nodes
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+    "spark.ui.enabled": "false",
+}
+
+
+def cluster_spark(app: str = "tierlens") -> SparkSession:
+    """Session for a cluster run: master, executors and ``spark.checkpoint.dir``
+    (a shared folder) come from spark-submit; :data:`CLUSTER_CONF` fills only
+    keys the submitter left unset."""
+    from pyspark import SparkConf, SparkContext
+
+    SparkContext._ensure_initialized()  # JVM up, so the submitter's settings are visible
+    builder = SparkSession.builder.appName(app)
+    given = SparkConf()
+    for k, v in CLUSTER_CONF.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+    checkpoint_dir(spark)
+    return spark
+
+
 def get_spark(master: str | None = None, app: str = "tierlens", shuffle_partitions: int = 8) -> SparkSession:
     """Local/test session. On a cluster, spark-submit supplies master and sizing."""
     builder = SparkSession.builder.appName(app)
