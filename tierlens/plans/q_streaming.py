@@ -48,10 +48,10 @@ def i1_feedback_ingest(spark, sf_dir):
     """Corrections streamed in time order: each micro-batch validated, accepted
     rows and quarantined rows appended to their own sinks."""
     w = H.workdir(spark, "ingest")
-    H.stage_slices(_submissions(spark, sf_dir), w["input"], "event_s")
+    rp = H.stage_slices(_submissions(spark, sf_dir), w["input"], "event_s")
     acc, quar = f"{w['out']}/accepted", f"{w['out']}/quarantine"
     stream = H.file_stream(spark, w["input"], _SUB_SCHEMA)
-    H.run_foreach_batch(stream, lambda df, bid: J.ingest_feedback(df, bid, acc, quar), w["ckpt"])
+    H.run_foreach_batch(stream, lambda df, bid: J.ingest_feedback(df, bid, acc, quar), w["ckpt"], rp)
     a = spark.read.schema(T.StructType(_SUB_SCHEMA.fields + [T.StructField("is_correct", T.BooleanType()),
                                                              T.StructField("batch", T.LongType())])).json(acc)
     q = spark.read.schema(T.StructType(_SUB_SCHEMA.fields + [T.StructField("reject_reason", T.StringType()),
@@ -65,7 +65,7 @@ def i2_retrain_trigger(spark, sf_dir):
     """Corrections streamed in; whenever 20 or more are open the batch is
     archived and a retrain trigger recorded (keyed by batch id)."""
     w = H.workdir(spark, "retrain")
-    H.stage_slices(_submissions(spark, sf_dir), w["input"], "event_s", n_slices=8)
+    rp = H.stage_slices(_submissions(spark, sf_dir), w["input"], "event_s", n_slices=8)
     acc, quar = f"{w['out']}/accepted", f"{w['out']}/quarantine"
     arch, trig = f"{w['out']}/archive", f"{w['out']}/triggers"
 
@@ -73,7 +73,7 @@ def i2_retrain_trigger(spark, sf_dir):
         J.ingest_feedback(df, bid, acc, quar)
         J.retrain_step(spark, bid, acc, arch, trig, ["conv_id", "turn"])
 
-    H.run_foreach_batch(H.file_stream(spark, w["input"], _SUB_SCHEMA), step, w["ckpt"])
+    H.run_foreach_batch(H.file_stream(spark, w["input"], _SUB_SCHEMA), step, w["ckpt"], rp)
     return spark.read.schema("n_archived long, batch_id long").json(trig)
 
 
@@ -88,13 +88,13 @@ def i10_snapshot_refresh(spark, sf_dir):
     f = _t(spark, sf_dir, "v_feedback").select(
         "event_s", F.from_unixtime("event_s").alias("timestamp"), "query", "predicted_tier", "corrected_tier", "confidence",
         F.when(F.col("predicted_tier") == F.col("corrected_tier"), "confirmed").otherwise("corrected").alias("status"))
-    H.stage_slices(f, w["input"], "event_s", n_slices=4)
+    rp = H.stage_slices(f, w["input"], "event_s", n_slices=4)
     schema = T.StructType([T.StructField("event_s", T.LongType()), T.StructField("timestamp", T.StringType()),
                            T.StructField("query", T.StringType()), T.StructField("predicted_tier", T.IntegerType()),
                            T.StructField("corrected_tier", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
                            T.StructField("status", T.StringType())])
     log, snap = f"{w['out']}/log", f"{w['out']}/snapshots"
-    H.run_foreach_batch(H.file_stream(spark, w["input"], schema), lambda df, bid: J.refresh_snapshot(df, bid, log, snap), w["ckpt"])
+    H.run_foreach_batch(H.file_stream(spark, w["input"], schema), lambda df, bid: J.refresh_snapshot(df, bid, log, snap), w["ckpt"], rp)
     rows = R.read_table_snapshot(spark, snap).withColumn(
         "snapshot", F.regexp_extract("file", r"snapshot=(\d+)", 1).cast("bigint"))
     newest = rows.agg(F.max("snapshot").alias("snapshot"))
@@ -128,11 +128,9 @@ def i3_live_session_roi(spark, sf_dir):
     """Routed calls streamed by turn; the per-session ROI aggregate is updated
     every micro-batch (update log keyed by batch id, newest row per session)."""
     w = H.workdir(spark, "roi")
-    H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
+    rp = H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
     agg = J.session_roi_updates(H.file_stream(spark, w["input"], _CALL_SCHEMA))
-    q = (agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: J.upsert_batch(df, bid, w["out"]))
-            .option("checkpointLocation", w["ckpt"]).trigger(availableNow=True).start())
-    q.awaitTermination()
+    H.run_foreach_batch(agg, lambda df, bid: J.upsert_batch(df, bid, w["out"]), w["ckpt"], rp, mode="update")
     latest = J.latest_per_key(spark, w["out"], ["conv_id", "epoch"])
     return J.roi_columns(latest).select("conv_id", "epoch", "total_turns", "actual_total_nano", "baseline_total_nano",
                                         "savings_nano", "roi_pct")
@@ -143,8 +141,8 @@ def i11_running_telemetry(spark, sf_dir):
     """Telemetry records appended as turns arrive; turn number and running
     cost computed when the table is read."""
     w = H.workdir(spark, "telemetry")
-    H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
-    H.run_to_parquet(J.telemetry_records(H.file_stream(spark, w["input"], _CALL_SCHEMA)), w["out"], w["ckpt"])
+    rp = H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
+    H.run_to_parquet(J.telemetry_records(H.file_stream(spark, w["input"], _CALL_SCHEMA)), w["out"], w["ckpt"], replay=rp)
     recs = spark.read.parquet(w["out"])
     return cost.running_cost(recs).select("conv_id", "turn", "turn_no", "cumulative_cost_nano")
 
@@ -154,8 +152,8 @@ def i11_running_telemetry(spark, sf_dir):
 def i4_pivot_stream(spark, sf_dir):
     """Tier pivots detected on a stream of routed turns with the last tier in keyed state."""
     w = H.workdir(spark, "pivot")
-    H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
-    H.run_to_parquet(J.pivot_stream(H.file_stream(spark, w["input"], _CALL_SCHEMA)), w["out"], w["ckpt"])
+    rp = H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
+    H.run_to_parquet(J.pivot_stream(H.file_stream(spark, w["input"], _CALL_SCHEMA)), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"]).select("conv_id", "turn", "prev_tier", "is_pivot")
 
 
@@ -164,9 +162,9 @@ def i9_compaction_stream(spark, sf_dir):
     """Router-log compaction decided per conversation from keyed state while turns stream in."""
     w = H.workdir(spark, "compaction")
     t = _t(spark, sf_dir, "v_turn").select("conv_id", "turn")
-    H.stage_slices(t, w["input"], "turn")
+    rp = H.stage_slices(t, w["input"], "turn")
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType())])
-    H.run_to_parquet(J.compaction_stream(H.file_stream(spark, w["input"], schema)), w["out"], w["ckpt"])
+    H.run_to_parquet(J.compaction_stream(H.file_stream(spark, w["input"], schema)), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"]).select("conv_id", "turn", "call_no", "compact_before")
 
 
@@ -180,9 +178,9 @@ _ENTRY_SCHEMA = T.StructType([T.StructField("session_id", T.LongType()), T.Struc
 def i8_overflow_alerts(spark, sf_dir):
     """Overflow alerts (window 700, max output 100, buffer 100) raised as session entries stream in."""
     w = H.workdir(spark, "overflow")
-    H.stage_slices(_t(spark, sf_dir, "v_entry"), w["input"], "seq")
+    rp = H.stage_slices(_t(spark, sf_dir, "v_entry"), w["input"], "seq")
     alerts = J.overflow_alerts(H.file_stream(spark, w["input"], _ENTRY_SCHEMA), context_window=700, max_output=100, buffer=100)
-    H.run_to_parquet(alerts.select("session_id", "seq", "tokens_before", "overflow"), w["out"], w["ckpt"])
+    H.run_to_parquet(alerts.select("session_id", "seq", "tokens_before", "overflow"), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"])
 
 
@@ -292,8 +290,8 @@ _PART_SCHEMA = T.StructType([T.StructField("stream_id", T.LongType()), T.StructF
 def i5_assemble_stream(spark, sf_dir):
     """The same parts streamed in seq slices, folded into blocks in keyed state."""
     w = H.workdir(spark, "assemble")
-    H.stage_slices(_parts(spark, sf_dir), w["input"], "seq")
-    H.run_to_parquet(J.assemble_stream(H.file_stream(spark, w["input"], _PART_SCHEMA)), w["out"], w["ckpt"])
+    rp = H.stage_slices(_parts(spark, sf_dir), w["input"], "seq")
+    H.run_to_parquet(J.assemble_stream(H.file_stream(spark, w["input"], _PART_SCHEMA)), w["out"], w["ckpt"], replay=rp)
     out = spark.read.parquet(w["out"])
     return out.select("stream_id", "position", "kind", "name", F.md5("content").alias("content_md5"))
 
@@ -346,10 +344,10 @@ def i7_stall_stream(spark, sf_dir):
     whose timeout lies beyond the last watermark stay pending."""
     w = H.workdir(spark, "stall")
     parts = _event_parts(spark, sf_dir)
-    H.stage_slices(parts, w["input"], "ts_s")
+    rp = H.stage_slices(parts, w["input"], "ts_s")
     schema = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("seq", T.LongType()),
                            T.StructField("part_type", T.StringType()), T.StructField("ts_s", T.LongType())])
-    H.run_to_parquet(J.stall_stream(H.file_stream(spark, w["input"], schema), _STALL_S), w["out"], w["ckpt"])
+    H.run_to_parquet(J.stall_stream(H.file_stream(spark, w["input"], schema), _STALL_S), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"])
 
 
