@@ -263,7 +263,40 @@ def e10_prompt_history(spark, sf_dir):
 FUZZY_QUERIES = [(1, "exmpl"), (2, "th/en"), (3, ""), (4, "zzq"), (5, "HTTPS ORG")]
 
 
-@query("f1_fuzzy_match")
+# Brute force: every (query, page) pair walks the query's characters through
+# the page URL with a recursive CTE; scored and ranked like the Spark job.
+_F1_SQL = ("WITH RECURSIVE qs AS (SELECT * FROM (VALUES "
+           + ", ".join(f"({i}, '{q}')" for i, q in FUZZY_QUERIES) + ") AS t(query_id, query)),"
+           + r"""
+pairs AS (SELECT q.query_id, q.query, lower(q.query) AS lq, p.url AS candidate, lower(p.url) AS lc, p.page_id AS cand_order
+          FROM qs q, pages p WHERE q.query <> ''),
+walk AS (
+  SELECT query_id, query, lq, candidate, lc, cand_order, 0 AS k, 1 AS i, []::INTEGER[] AS ps FROM pairs
+  UNION ALL
+  SELECT query_id, query, lq, candidate, lc, cand_order, k + 1,
+         i + instr(substr(lc, i), substr(lq, k + 1, 1)),
+         list_append(ps, i + instr(substr(lc, i), substr(lq, k + 1, 1)) - 2)
+  FROM walk WHERE k < length(lq) AND instr(substr(lc, i), substr(lq, k + 1, 1)) > 0
+),
+matched AS (SELECT query_id, query, candidate, lc, cand_order, ps, len(ps) AS n FROM walk WHERE k = length(lq) AND k > 0),
+scored AS (
+  SELECT query_id, query, candidate, cand_order, n,
+         (n + 0.5 * len(list_filter(ps, lambda x: regexp_matches(substr(lc, x + 1, 1), '^[\p{L}\p{N}]$')
+                                      AND (x = 0 OR NOT regexp_matches(substr(lc, x, 1), '^[\p{L}\p{N}]$')))))
+         * CASE WHEN n > 1 THEN 1.0 + (n - (1 + len(list_filter(range(1, n), lambda kk: ps[kk + 1] <> ps[kk] + 1))) + 1)::DOUBLE / n ELSE 1.0 END
+         * CASE WHEN ps[1] = 0 THEN 1.2 ELSE 1.0 END AS score
+  FROM matched),
+nonempty AS (SELECT query_id, query, candidate, cand_order, round(score, 9) AS score,
+                    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate, cand_order) AS rank
+             FROM scored WHERE score > 0),
+empty AS (SELECT q.query_id, q.query, p.url AS candidate, p.page_id AS cand_order, 1.0 AS score,
+                 row_number() OVER (PARTITION BY q.query_id ORDER BY p.page_id) AS rank
+          FROM qs q, pages p WHERE q.query = '')
+SELECT query_id, query, candidate, cand_order, score, CAST(rank AS INTEGER) AS rank FROM nonempty WHERE rank <= 50
+UNION ALL SELECT query_id, query, candidate, cand_order, score, CAST(rank AS INTEGER) AS rank FROM empty WHERE rank <= 50""")
+
+
+@query("f1_fuzzy_match", _F1_SQL, views=False)
 def f1_fuzzy_match(spark, sf_dir):
     """Fuzzy completion of a batch of queries against every page URL, top 50 per query."""
     pages = _t(spark, sf_dir, "pages").select(F.col("url").alias("candidate"), F.col("page_id").alias("cand_order"))
