@@ -338,10 +338,19 @@ def i7_stall_batch(spark, sf_dir):
     return ST.stalls(_event_parts(spark, sf_dir), _STALL_S)
 
 
-@query("i7_stall_stream", None)
+@query("i7_stall_stream", f"""
+, p AS (SELECT user_id AS stream_id, event_id AS seq,
+               CASE event_type WHEN 'purchase' THEN 'tool_call_start' WHEN 'click' THEN 'tool_call_delta' WHEN 'view' THEN 'text'
+                               WHEN 'error' THEN 'error' ELSE 'done' END AS part_type,
+               CAST(floor(epoch(ts)) AS BIGINT) AS ts_s FROM events),
+n AS (SELECT *, lead(ts_s) OVER (PARTITION BY stream_id ORDER BY seq) AS next_ts FROM p)
+SELECT stream_id, seq, ts_s + {_STALL_S} AS closed_at_s FROM n
+WHERE part_type IN ('tool_call_start', 'tool_call_delta')
+  AND (next_ts - ts_s > {_STALL_S} OR (next_ts IS NULL AND (SELECT max(ts_s) FROM p) - ts_s > {_STALL_S}))""")
 def i7_stall_stream(spark, sf_dir):
     """The same streams with an event-time timeout in keyed state; closures
-    whose timeout lies beyond the last watermark stay pending."""
+    whose timeout lies beyond the last watermark (the latest event time)
+    stay pending."""
     w = H.workdir(spark, "stall")
     parts = _event_parts(spark, sf_dir)
     rp = H.stage_slices(parts, w["input"], "ts_s")
