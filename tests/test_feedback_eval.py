@@ -81,3 +81,48 @@ def test_recover_turns_dedups_and_skips_known(spark):
     got = sorted((r.query, r.conv_id, r.predicted_tier) for r in fb.recover_turns(scratch, stored).collect())
     assert got == [("a", 1, 2), ("b", 1, 2)]
     assert F is not None
+
+
+def _py_metrics(rows):
+    """Brute force of D6: labels present in truth or prediction (a missing tier
+    is a label that matches nothing), ECE over (lo, hi] bins, missing confidence 0.5."""
+    import math
+
+    labels = {t for t, _, _ in rows} | {p for _, p, _ in rows}
+    f1s, precs, recs, sups = [], [], [], []
+    for lab in labels:
+        if lab is None:
+            tp = pn = sup = 0
+        else:
+            tp = sum(1 for t, p, _ in rows if t == lab and p == lab)
+            pn = sum(1 for _, p, _ in rows if p == lab)
+            sup = sum(1 for t, _, _ in rows if t == lab)
+        precs.append(tp / pn if pn else 0.0)
+        recs.append(tp / sup if sup else 0.0)
+        f1s.append(2 * tp / (pn + sup) if pn + sup else 0.0)
+        sups.append(sup)
+    n = len(rows)
+    ok = sum(1 for t, p, _ in rows if t is not None and p is not None and t == p)
+    bins = {}
+    for t, p, c in rows:
+        c = 0.5 if c is None else c
+        b = math.ceil(c * 10) - 1 if 0 < c <= 1 else None
+        bins.setdefault(b, []).append((c, None if t is None or p is None else float(t == p)))
+    gap = 0.0
+    for b, xs in bins.items():
+        oks = [o for _, o in xs if o is not None]
+        if b is not None and oks:
+            gap += len(xs) * abs(sum(oks) / len(oks) - sum(c for c, _ in xs) / len(xs))
+    return {"n": n, "accuracy": ok / n, "f1_macro": sum(f1s) / len(f1s),
+            "f1_weighted": sum(f * s for f, s in zip(f1s, sups)) / sum(sups) if sum(sups) else 0.0,
+            "precision_macro": sum(precs) / len(precs), "recall_macro": sum(recs) / len(recs), "ece": gap / n}
+
+
+def test_metrics_with_missing_tiers_and_stray_labels(spark):
+    rows = [(1, 1, 0.9), (1, 2, 0.4), (2, 2, None), (3, None, 0.7), (None, 3, 0.2), (4, 7, 1.0),
+            (7, 7, 0.0), (2, 1, 0.55), (3, 3, 0.35), (None, None, 0.8), (4, 4, 1.3), (2, 2, 0.61)]
+    df = spark.createDataFrame(rows, "true_tier int, predicted_tier int, confidence double")
+    got = ev.metrics(df).first().asDict()
+    exp = _py_metrics(rows)
+    for k, v in exp.items():
+        assert abs(got[k] - round(v, 9)) < 1e-9, (k, got[k], v)

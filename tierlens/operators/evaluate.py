@@ -50,31 +50,63 @@ def fixed_labels(spark) -> DataFrame:
 
 
 def metrics(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predicted_tier",
-            conf_col: str | None = "confidence") -> DataFrame:
+            conf_col: str | None = "confidence", n_bins: int = 10) -> DataFrame:
     """Accuracy, macro/weighted F1, macro precision/recall over the labels
-    present in truth or prediction; plus ECE (D9). One row."""
-    counts = pair_counts(df, true_col, pred_col)
-    lab = per_label(counts, present_labels(counts))
-    total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("ok"))
-    agg = lab.agg(
-        F.avg("f1").alias("f1_macro"),
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
-        F.sum(F.col("f1") * F.col("support")).alias("_wf1"),
-        F.sum("support").alias("_sup"))
-    # one-row aggregates combine as scalar subqueries, not as a join
-    agg = agg.select(F.struct("f1_macro", "precision_macro", "recall_macro", "_wf1", "_sup").alias("_s")).scalar()
-    out = total.select("total", "ok", *[agg[c].alias(c) for c in
-                                        ("f1_macro", "precision_macro", "recall_macro", "_wf1", "_sup")]).select(
-        F.col("total").cast("bigint").alias("n"),
-        F.round(_div0(F.col("ok"), F.col("total")), 9).alias("accuracy"),
-        F.round(F.coalesce("f1_macro", F.lit(0.0)), 9).alias("f1_macro"),
-        F.round(_div0(F.col("_wf1"), F.col("_sup")), 9).alias("f1_weighted"),
-        F.round(F.coalesce("precision_macro", F.lit(0.0)), 9).alias("precision_macro"),
-        F.round(F.coalesce("recall_macro", F.lit(0.0)), 9).alias("recall_macro"))
+    present in truth or prediction; plus ECE (D9). One row.
+
+    The input is read once: one aggregate by (true, predicted, confidence bin)
+    -- a few dozen rows whatever the data size -- feeds both the per-label
+    counts (each cell counted on its true and its predicted side) and the
+    per-bin calibration; the two tiny frames meet in one final aggregate."""
+    t, p = F.col(true_col), F.col(pred_col)
+    if conf_col:
+        c = F.coalesce(F.col(conf_col).cast("double"), F.lit(dims.DPO_REJECTED_DEFAULT_CONFIDENCE))
+        b = F.when((c > 0) & (c <= 1), F.ceil(c * n_bins).cast("int") - 1)
+    else:
+        c, b = F.lit(0.0), F.lit(None).cast("int")
+    g = (df.select(t.alias("t"), p.alias("p"), b.alias("bin"), c.alias("c"))
+           .groupBy("t", "p", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("sc")))
+    hit = F.coalesce(F.col("t") == F.col("p"), F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    sides = g.select(F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("sup"), zero.alias("pn"),
+                 F.when(hit, F.col("n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("label"), zero.alias("sup"), F.col("n").alias("pn"), zero.alias("tp")))).alias("s"))
+    lab = sides.groupBy(F.col("s.label").alias("label")).agg(
+        F.sum("s.sup").alias("sup"), F.sum("s.pn").alias("pn"), F.sum("s.tp").alias("tp"))
+    # a missing tier is a present label that matches nothing: zero counts
+    known = F.col("label").isNotNull()
+    sup, pn, tp = [F.when(known, F.col(x)).otherwise(zero) for x in ("sup", "pn", "tp")]
+    lab = lab.select(F.lit(True).alias("is_label"), sup.alias("sup"), tp.alias("tp"),
+                     _div0(tp, pn).alias("prec"), _div0(tp, sup).alias("rec"), _div0(2 * tp, pn + sup).alias("f1"),
+                     F.lit(None).cast("bigint").alias("nb"), F.lit(None).cast("double").alias("gap"))
+    ok_val = F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), hit.cast("double"))
+    bins = g.groupBy("bin").agg(
+        F.sum("n").alias("nb"), F.sum("sc").alias("sc"),
+        F.sum(F.col("n") * ok_val).alias("sok"), F.sum(F.when(ok_val.isNotNull(), F.col("n"))).alias("cok"))
+    gap = F.when(F.col("bin").isNotNull(),
+                 F.col("nb") * F.abs(F.try_divide(F.col("sok"), F.col("cok")) - F.col("sc") / F.col("nb")))
+    bins = bins.select(F.lit(False).alias("is_label"), *[F.lit(None).cast(ty).alias(x) for x, ty in (
+        ("sup", "bigint"), ("tp", "bigint"), ("prec", "double"), ("rec", "double"), ("f1", "double"))],
+        "nb", gap.alias("gap"))
+    u = lab.unionByName(bins)
+    on_label = F.col("is_label")
+    out = u.agg(
+        F.sum("nb").alias("total"), F.sum("tp").alias("ok"),
+        F.avg(F.when(on_label, F.col("f1"))).alias("f1_macro"),
+        F.avg(F.when(on_label, F.col("prec"))).alias("precision_macro"),
+        F.avg(F.when(on_label, F.col("rec"))).alias("recall_macro"),
+        F.sum(F.col("f1") * F.col("sup")).alias("_wf1"), F.sum("sup").alias("_sup"),
+        F.sum("gap").alias("_gap"))
+    cols = [F.col("total").cast("bigint").alias("n"),
+            F.round(_div0(F.col("ok"), F.col("total")), 9).alias("accuracy"),
+            F.round(F.coalesce("f1_macro", F.lit(0.0)), 9).alias("f1_macro"),
+            F.round(_div0(F.col("_wf1"), F.col("_sup")), 9).alias("f1_weighted"),
+            F.round(F.coalesce("precision_macro", F.lit(0.0)), 9).alias("precision_macro"),
+            F.round(F.coalesce("recall_macro", F.lit(0.0)), 9).alias("recall_macro")]
     if conf_col:
-        out = out.withColumn("ece", ece(df, true_col, pred_col, conf_col).select("ece").scalar())
-    return out
+        cols.append(F.round(F.coalesce(F.col("_gap") / F.col("total"), F.lit(0.0)), 9).alias("ece"))
+    return out.select(*cols)
 
 
 def _fixed_label_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
