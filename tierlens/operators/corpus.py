@@ -340,7 +340,7 @@ def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "cand
     request batch within the broadcast bound makes this a broadcast hash join
     over the streamed candidates; a larger batch gets a shuffled join whose hot
     anchor characters AQE splits. The per-query top-k runs in two salted stages."""
-    from tierlens.runtime import BROADCAST_MAX_ROWS
+    from tierlens.runtime import within_bound
 
     cand = candidates.select(cand_col, order_col, F.explode(_distinct_chars(F.col(cand_col))).alias("_ch"))
     # one row per distinct character; AQE sizes this join from the measured shuffle
@@ -355,8 +355,7 @@ def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "cand
     first = candidates.select(cand_col, order_col).orderBy(order_col).limit(top).withColumn("_ch", F.lit(""))
     anchor = anchor.unionByName(q.filter(F.col("query") == "").withColumn("_ch", F.lit("")))
     # at most one anchor row per query: the batch's row count bounds the broadcast
-    small = q.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    pairs = cand.unionByName(first).join(F.broadcast(anchor) if small else anchor, "_ch").drop("_ch")
+    pairs = cand.unionByName(first).join(F.broadcast(anchor) if within_bound(q) else anchor, "_ch").drop("_ch")
     m = pairs.withColumn("_m", F.expr(fuzzy_score_sql("query", cand_col)))
     p = F.col("_m")["p"]
     n = F.size(p)

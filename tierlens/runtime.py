@@ -1,4 +1,4 @@
-"""Session construction and cluster-safe helpers (checkpoint folder, bounded broadcast)."""
+"""Session construction and cluster-safe helpers (checkpoint folder, broadcast bound probe)."""
 
 from __future__ import annotations
 
@@ -103,15 +103,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The probe is a ``limit(max_rows + 1).count()``, which stops reading early.
-    Beyond the bound the frame is returned unchanged, so the planner chooses a
-    shuffled (sort-merge / hash) join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def within_bound(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; the probe reads at most
+    ``max_rows + 1`` rows (``limit(n + 1).count()``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def literal_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
