@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierlens.fixtures import register
+from tierlens.fixtures import register, with_views
 from tierlens.operators import cost
 from tierlens.operators import streams as ST
 from tierlens.plans import query
@@ -60,7 +60,24 @@ def i1_feedback_ingest(spark, sf_dir):
              .unionByName(q.select("conv_id", "turn", "reject_reason", F.lit(None).cast("boolean").alias("is_correct"))))
 
 
-@query("i2_retrain_trigger")
+# Batches are the non-empty event-time slices in order (8 equal ranges from the
+# earliest event); open corrections accumulate until 20 or more trigger an archive.
+_RETRAIN_SQL = with_views("""
+, sub AS (SELECT conv_id, turn, event_s,
+     CASE WHEN (conv_id*3 + turn) % 13 = 0 THEN 0 ELSE predicted_tier END AS pt,
+     CASE WHEN (conv_id + turn*7) % 17 = 0 THEN 5 ELSE corrected_tier END AS ct FROM v_feedback),
+bounds AS (SELECT min(event_s) AS lo, max(event_s) AS hi FROM sub),
+sl AS (SELECT s.*, CAST(floor((event_s - lo) / ((hi - lo + 8) // 8)) AS BIGINT) AS slice FROM sub s, bounds),
+bt AS (SELECT slice, n_acc, row_number() OVER (ORDER BY slice) - 1 AS batch_id
+       FROM (SELECT slice, count(*) FILTER (WHERE pt IN (1, 2, 3, 4) AND ct IN (1, 2, 3, 4)) AS n_acc FROM sl GROUP BY slice) g),
+walk AS (SELECT batch_id, n_acc AS n_open FROM bt WHERE batch_id = 0
+         UNION ALL
+         SELECT bt.batch_id, CASE WHEN w.n_open >= 20 THEN 0 ELSE w.n_open END + bt.n_acc
+         FROM walk w JOIN bt ON bt.batch_id = w.batch_id + 1)
+SELECT CAST(n_open AS BIGINT) AS n_archived, CAST(batch_id AS BIGINT) AS batch_id FROM walk WHERE n_open >= 20""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("i2_retrain_trigger", _RETRAIN_SQL, views=False)
 def i2_retrain_trigger(spark, sf_dir):
     """Corrections streamed in; whenever 20 or more are open the batch is
     archived and a retrain trigger recorded (keyed by batch id)."""
