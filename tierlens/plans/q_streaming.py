@@ -1,7 +1,8 @@
-"""Streaming queries (I1-I11). Each stream query stages its input (derived
-from the driver tables) as ordered file slices, runs the streaming job with
-``availableNow``, and returns what the sink holds; batch twins of the same
-operators are compared against the same oracle."""
+"""Streaming queries (I1-I11). Each stream query replays its input (derived
+from the driver tables) as event-time slices, runs the streaming job with
+``availableNow`` once per slice (resuming from its checkpoint), and returns
+what the sink holds; batch twins of the same operators are compared against
+the same oracle."""
 
 from __future__ import annotations
 
