@@ -78,14 +78,18 @@ def a2_read_feedback(spark, sf_dir):
 @query("a3_read_prompt_labels", """
 SELECT predicted_tier AS label, count(*) AS n FROM v_routed GROUP BY predicted_tier""")
 def a3_read_prompt_labels(spark, sf_dir):
-    """Prompt/label pairs written as JSON-array files (one per conversation
-    group) and read back with the multi-line reader."""
+    """Prompt/label pairs written as JSON-array files (one array per file, at
+    most about 100 000 entries each) and read back with the multi-line reader."""
     out = scratch_dir(spark, "prompts")
     r = _t(spark, sf_dir, "v_routed")
-    arrays = (r.groupBy((F.col("conv_id") % 16).alias("g"))
+    # rows hashed into at least 16 arrays of about 100 000 entries at most, one
+    # array per file (partitionBy puts each group in its own file)
+    n_files = max(16, -(-r.count() // 100_000))
+    g = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(n_files))
+    arrays = (r.groupBy(g.alias("g"))
                .agg(F.to_json(F.collect_list(F.struct(F.col("query").alias("prompt"),
                                                       F.col("predicted_tier").cast("string").alias("label")))).alias("value")))
-    arrays.select("value").repartition(16).write.mode("overwrite").text(out)
+    arrays.write.mode("overwrite").partitionBy("g").text(out)
     back = R.read_prompt_labels(spark, out)
     return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
