@@ -17,3 +17,14 @@ def test_header_per_part_file_round_trip(spark):
     r = back.agg(F.count(F.lit(1)).alias("n"), F.count("status").alias("s"), F.min("turn").alias("lo")).first()
     assert (r.n, r.s, r.lo) == (1000, 500, 0)
     assert len(spark.read.text(out).inputFiles()) == 7
+
+
+def test_snapshot_documents_one_per_file_round_trip(spark):
+    out = scratch_dir(spark, "snap")
+    df = spark.range(0, 2000, numPartitions=4).select(
+        (F.col("id") % 3).alias("day"), F.col("id").cast("string").alias("a"), (F.col("id") * 2).alias("b"))
+    W.write_table_snapshots(df, ["a", "b"], out, ["day"], rows_per_doc=100)
+    wide = R.pivot_snapshot(R.read_table_snapshot(spark, out), ["a", "b"])
+    got = sorted((int(r.a), int(r.b)) for r in wide.collect())
+    assert got == [(i, 2 * i) for i in range(2000)]
+    assert len(spark.read.text(out).inputFiles()) > 3 * 4  # many documents, each in its own file

@@ -162,17 +162,14 @@ def a5_read_session_logs(spark, sf_dir):
 @query("a6_table_snapshot", """
 SELECT CAST(floor(event_s / 86400) AS BIGINT) AS batch_day, count(*) AS n_rows FROM v_feedback GROUP BY 1""")
 def a6_table_snapshot(spark, sf_dir):
-    """Feedback snapshots in the columnar table layout (one per day), read back to rows."""
+    """Feedback snapshots in the columnar table layout (one per day, split into
+    documents of about 10 000 rows), read back to rows."""
     out = scratch_dir(spark, "snapshots")
     f = _feedback(spark, sf_dir).withColumn("batch_day", F.floor(F.col("event_s") / 86400).cast("bigint"))
     cols = ["timestamp", "query", "predicted_tier", "corrected_tier", "confidence", "status"]
-    row = F.array(F.from_unixtime("event_s"), F.col("query"), F.col("predicted_tier").cast("string"),
-                  F.col("corrected_tier").cast("string"), F.col("confidence").cast("string"),
-                  fb.stored_status(F.col("is_correct")))
-    snap = f.groupBy("batch_day").agg(F.to_json(F.struct(
-        F.array(*[F.lit(c) for c in cols]).alias("columns"),
-        F.collect_list(row).alias("data"))).alias("value"))
-    snap.select("value").repartition(8).write.mode("overwrite").text(out)
+    rows = f.select("batch_day", F.from_unixtime("event_s").alias("timestamp"), "query", "predicted_tier",
+                    "corrected_tier", "confidence", fb.stored_status(F.col("is_correct")).alias("status"))
+    W.write_table_snapshots(rows, cols, out, ["batch_day"])
     long_rows = R.read_table_snapshot(spark, out)
     wide = R.pivot_snapshot(long_rows, cols)
     day = F.floor(F.unix_timestamp(F.col("timestamp")) / 86400).cast("bigint")

@@ -82,3 +82,19 @@ def with_header_lines(lines: DataFrame, header: str) -> DataFrame:
             yield b
 
     return lines.select("value").mapInPandas(add, "value string")
+
+
+def write_table_snapshots(df: DataFrame, columns: list[str], path: str, group_cols: list[str] | None = None,
+                          rows_per_doc: int = 10_000) -> None:
+    """Columnar JSON snapshots ``{columns: [...], data: [[...], ...]}``, one
+    per group of ``group_cols`` (the whole table when none), each split into
+    documents of about ``rows_per_doc`` rows (rows spread by a hash of their
+    values). Every document goes to its own file (``partitionBy`` on the
+    document key), because a multi-line JSON file holds exactly one document."""
+    groups = list(group_cols or [])
+    n_docs = max(1, -(-df.count() // rows_per_doc))
+    row = F.array(*[F.col(c).cast("string") for c in columns])
+    doc = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(n_docs))
+    snap = df.groupBy(*groups, doc.alias("doc")).agg(F.to_json(F.struct(
+        F.array(*[F.lit(c) for c in columns]).alias("columns"), F.collect_list(row).alias("data"))).alias("value"))
+    snap.write.mode("overwrite").partitionBy(*groups, "doc").text(path)

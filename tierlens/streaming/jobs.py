@@ -65,19 +65,14 @@ def refresh_snapshot(batch: DataFrame, batch_id: int, log_path: str, snapshot_pa
     """Append the batch to the feedback log, then rebuild the full
     snapshot under ``snapshot=<id>`` (the newest one is current). The table
     is written as several columnar documents of about 10 000 rows each
-    (rows spread by a hash), so no document grows with the whole table."""
+    (rows spread by a hash), one file each, so no document grows with the
+    whole table."""
     batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite") \
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(log_path)
     spark = batch.sparkSession
     log = spark.read.parquet(log_path).filter(F.col("batch") <= batch_id)
-    n_docs = max(1, -(-log.count() // SNAPSHOT_ROWS_PER_DOC))
     cols = ["timestamp", "query", "predicted_tier", "corrected_tier", "confidence", "status"]
-    row = F.array(F.col("timestamp"), F.col("query"), F.col("predicted_tier").cast("string"),
-                  F.col("corrected_tier").cast("string"), F.col("confidence").cast("string"), F.col("status"))
-    doc = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n_docs))
-    snap = log.groupBy(doc.alias("doc")).agg(F.to_json(F.struct(F.array(*[F.lit(c) for c in cols]).alias("columns"),
-                                                                F.collect_list(row).alias("data"))).alias("value"))
-    snap.select("value").write.mode("overwrite").text(f"{snapshot_path}/snapshot={batch_id:08d}")
+    W.write_table_snapshots(log, cols, f"{snapshot_path}/snapshot={batch_id:08d}", rows_per_doc=SNAPSHOT_ROWS_PER_DOC)
 
 
 # ---------------------------------------------------------------- I3
