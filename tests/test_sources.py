@@ -28,3 +28,30 @@ def test_snapshot_documents_one_per_file_round_trip(spark):
     got = sorted((int(r.a), int(r.b)) for r in wide.collect())
     assert got == [(i, 2 * i) for i in range(2000)]
     assert len(spark.read.text(out).inputFiles()) > 3 * 4  # many documents, each in its own file
+
+
+def test_line_numbers_survive_file_splits(spark):
+    import os
+
+    base = scratch_dir(spark, "lines")
+    local = base.replace("file:", "")
+    os.makedirs(local, exist_ok=True)
+    with open(f"{local}/a.jsonl", "w") as fh:
+        for i in range(3000):
+            fh.write("" if i % 7 == 3 else f'{{"n": {i}, "pad": "{"x" * (i % 50)}"}}')
+            fh.write("\n")
+    with open(f"{local}/b.jsonl", "w") as fh:
+        fh.write("first\nsecond\n\nfourth")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = R.numbered_file_lines(spark, local)
+        assert df.rdd.getNumPartitions() > 10  # the big file is read in many splits
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    a = sorted((r.seq, r.line) for r in rows if r.file.endswith("a.jsonl"))
+    assert [s for s, _ in a] == list(range(3000))
+    assert all((line == "") == (s % 7 == 3) and (line == "" or f'"n": {s},' in line) for s, line in a)
+    b = sorted((r.seq, r.line) for r in rows if r.file.endswith("b.jsonl"))
+    assert b == [(0, "first"), (1, "second"), (2, ""), (3, "fourth")]

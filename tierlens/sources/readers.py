@@ -7,7 +7,7 @@ file order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,14 +84,30 @@ def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
                  .option("enforceSchema", True).csv(path))
 
 
+def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, line) for every line of the text files under ``path``;
+    ``seq`` is the 0-based line number within its file.
+
+    Files are read by line, so a large file is split across tasks. A line's
+    number comes from its split (start offset in the file) and its position
+    in the split (the row ids of one split are consecutive); one small row
+    per split, summed over the earlier splits of the same file, gives each
+    split's first line number."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id0"))
+    earlier = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_blk", "_id0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return raw.join(splits, ["file", "_blk"]).select(
+        "file", (F.col("_off") + F.col("_id") - F.col("_id0")).cast("int").alias("seq"), "line")
+
+
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
     """Session JSONL files as (file, seq, raw line, parsed row); blank lines and
-    lines that are not JSON objects are dropped. Whole files are read so that
-    ``seq`` is the true line number."""
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("seq", "line"))
-    lines = lines.filter(F.trim("line") != "")
+    lines that are not JSON objects are dropped; ``seq`` is the true line
+    number (files are read by line, not whole)."""
+    lines = numbered_file_lines(spark, path).filter(F.trim("line") != "")
     parsed = lines.withColumn("e", F.from_json("line", SESSION_LINE, {"mode": "PERMISSIVE"}))
     ok = F.trim("line").startswith("{") & F.col("e.type").isNotNull()
     return parsed.filter(ok)
@@ -135,10 +151,8 @@ def read_cost_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_router_history(spark: SparkSession, path: str) -> DataFrame:
-    """Router history JSONL with its line order (``seq``)."""
-    rows = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("seq", "line"))
-    rows = rows.filter(F.trim("line") != "")
+    """Router history JSONL with its line order (``seq``, the line number)."""
+    rows = numbered_file_lines(spark, path).filter(F.trim("line") != "")
     return rows.select("file", "seq", F.from_json("line", HISTORY).alias("h")).select("file", "seq", "h.*")
 
 
