@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from tierlens.llm import mixing, pii
+from tierlens.llm.exact_dedup import exact_dedup
+from tierlens.llm.multiset_hash import compare_with_edit, shown_as_text
+from tierlens.llm.near_dedup import near_dedup
+from tierlens.llm.sentencepiece_bpe import encode_documents
 from tierlens.llm.substring_dedup import substring_dedup
 from tierlens.llm.suffix_dedup import suffix_dedup
 from tierlens.llm.tables import read, shown
+from tierlens.llm.toxicity import fit, score_documents
+from tierlens.llm.warc import archive_pages
 
 QUERIES = {}
 ORACLES = {}
@@ -24,9 +32,129 @@ def op1_substring_dedup(spark, sf_dir):
     return d.select(shown(), F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _kind_count(kind: int):
+    return F.size(F.filter("base", lambda s: s.k == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+
+@query
+def op2_pii(spark, sf_dir):
+    """Spans of personal data."""
+    d = pii.find_pii(read(spark, sf_dir, "documents"))
+    counts = [_kind_count(k) for k in range(len(pii.KINDS))]
+    return d.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_exact_dedup(spark, sf_dir):
+    """Groups of documents that are equal without white space."""
+    d = exact_dedup(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op3_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h,
+                  length(coalesce(text, '')) AS n FROM documents),
+     k AS (SELECT h, count(*) AS group_size, arg_min(doc_id, {'a': -n, 'b': doc_id}) AS keep_id FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN k USING (h)"""
+
+
 @query
 def op7_suffix_dedup(spark, sf_dir):
     """Bytes that a 50-byte repeat of a smaller document covers, removed."""
     d = suffix_dedup(read(spark, sf_dir, "documents"))
     return d.select(shown(), F.col("n_units").alias("n_bytes"), "n_removed",
                     F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_near_dedup(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets are at least 85 % alike."""
+    return near_dedup(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query
+def op4_multiset_hash(spark, sf_dir):
+    """Fingerprints of texts and edited texts and their likeness."""
+    d = compare_with_edit(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                    shown_as_text(F.col("vector")).alias("fingerprint"),
+                    shown_as_text(F.col("edited_vector")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op5_warc_revisit(spark, sf_dir):
+    """Pages as WARC archives with revisit records, read back and resolved."""
+    return archive_pages(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_warc_revisit"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+     d AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    """Toxicity scores by compression distance."""
+    docs = read(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+#: Share of all tokens that the mixture takes, the most epochs of a document, and the seed of the order.
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.7, 2, 13
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    """Documents of a mixture with target weights by domain, language and source."""
+    docs = mixing.with_domain(read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(docs, mixing.table_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def _mix_sql() -> str:
+    def case(col, table):
+        return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1 END"
+
+    names = "['" + "', '".join(mixing.DOMAIN_NAMES) + "']"
+    weight = {"domain": case("domain", mixing.DOMAIN_WEIGHTS), "lang": case("lang", mixing.LANGUAGE_WEIGHTS), "source": "1"}
+    parts, plan = [], None
+    for depth, name in enumerate(mixing.LEVELS, 1):
+        keys, parents = ", ".join(mixing.LEVELS[:depth]), ", ".join(mixing.LEVELS[:depth - 1])
+        given = f"(SELECT CAST(floor(sum(have) * {MIX_SHARE}) AS BIGINT) FROM leaf)" if plan is None else "p.given"
+        join = "" if plan is None else f" JOIN {plan} p USING ({parents})"
+        by = f"PARTITION BY {parents}" if parents else ""
+        parts.append(f"""n{depth} AS (SELECT {keys}, c.cap, c.w, {given} AS given FROM
+            (SELECT {keys}, CAST(sum(have) AS BIGINT) * {MIX_EPOCHS} AS cap, {weight[name]} AS w FROM leaf GROUP BY {keys}) c{join}),
+          l{depth} AS (SELECT *, CAST(given - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM n{depth}
+            WINDOW o AS ({by} ORDER BY cap / w, {keys})),
+          b{depth} AS (SELECT {keys}, least(cap, CAST(floor(greatest(max(lev) OVER ({by}), 0.0) * CAST(w AS DOUBLE)) AS BIGINT)) AS given FROM l{depth})""")
+        plan = f"b{depth}"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         {names}[1 + coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 3] AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
+      leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS have FROM d GROUP BY ALL),
+      {", ".join(parts)},
+      plan AS (SELECT domain, lang, source, CASE WHEN have > 0 THEN least(given // have, {MIX_EPOCHS}) ELSE 1 END AS whole, given, have
+               FROM b3 JOIN leaf USING (domain, lang, source)),
+      o AS (SELECT d.*, whole, given - whole * have AS rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+               ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+            FROM d JOIN plan USING (domain, lang, source)),
+      u AS (SELECT *, least(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END, {MIX_EPOCHS}) AS used FROM o)
+      SELECT doc_id, domain, lang, source, n_tokens, epoch FROM (SELECT *, unnest(range(CAST(used AS BIGINT))) AS epoch FROM u)"""
+
+
+ORACLES["op8_mixing"] = _mix_sql()
+
+
+@query
+def op10_sentencepiece(spark, sf_dir):
+    """SentencePiece ids of every text, and the text of the ids."""
+    d = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return d.select(shown(), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

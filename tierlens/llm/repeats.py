@@ -177,7 +177,8 @@ def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
         F.lit(None).cast("binary").alias("bits"))
 
     def side(answers: DataFrame) -> DataFrame:
-        return rep_rows.unionByName(answers, allowMissingColumns=True)
+        none = F.lit(0).cast("bigint")  # not null: pandas would turn the ids into floats
+        return rep_rows.unionByName(answers.withColumns({"rep": none, "copies": none}), allowMissingColumns=True)
 
     def first_frame(texts_: pd.DataFrame) -> pd.DataFrame:
         _, b = _load(method, texts_)

@@ -44,3 +44,9 @@ def text_bytes(docs: DataFrame) -> int:
 def pieces(total: int, each: int) -> int:
     """How many blocks of about ``each`` hold ``total``."""
     return max(1, math.ceil(total / each))
+
+
+def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` (null included) is among ``ids``, all columns unchanged."""
+    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
