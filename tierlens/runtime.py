@@ -59,6 +59,7 @@ def cluster_spark(app: str = "tierlens") -> SparkSession:
     if not spark.conf.get("spark.checkpoint.dir", None):
         raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
@@ -81,6 +82,7 @@ def get_spark(master: str | None = None, app: str = "tierlens", shuffle_partitio
     )
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
@@ -114,6 +116,26 @@ def literal_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application: functions that
+    run there are pickled by name and need it importable."""
+    import shutil
+    import sys
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tierlens-package"), "zip", root, "tierlens")
+    path = list(sys.path)
+    sc.addPyFile(archive)  # also puts the archive on the driver's own path, which has the package already
+    sys.path[:] = path
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate files under the shared checkpoint folder."""
     import uuid
