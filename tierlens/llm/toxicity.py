@@ -9,12 +9,13 @@ thresholds, over all windows of its whole text; the curve is calibrated to the
 share of toxic documents among the labels.
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE_ROWS`` per class).
-Half of it trains the dictionaries, the other half calibrates the curve, so
-the calibration never sees text its dictionaries were made of. Most of a toxic
-document is ordinary text, so each dictionary is trained on the ``TELLING``
-words of its class that tell the classes apart best (likelihood ratio of the
-numbers of documents that hold them); both continue the same background,
-trained on ordinary windows, so that plain text compresses alike with either.
+Two thirds make the dictionaries, the other third calibrates the curve, so the
+calibration never sees text its dictionaries were made of. Both dictionaries
+start with the same background, trained on ordinary windows, so that plain
+text compresses alike with either. Most of a toxic document is ordinary text
+too, so the toxic dictionary goes on with what is typical of toxic text: the
+words whose numbers of documents tell the classes apart best (likelihood ratio
+of at least ``RATIO``). The ordinary one goes on with more ordinary text, as long.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from tierlens.llm.tables import keyed, shown
 from tierlens.llm.words import utf8
 
 #: Bytes of a window, about: it ends at the next white space.
-WINDOW = 64
+WINDOW = 48
 #: Labelled rows of each class used for fitting, at most, and their text in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8_000_000
-#: Words of a class that its dictionary is trained on, and bytes of the dictionaries.
-TELLING, OWN_BYTES, BACKGROUND_BYTES = 64, 1024, 4096
+#: Most words of the toxic part, their least likelihood ratio, and bytes of the common background.
+TELLING, RATIO, BACKGROUND_BYTES = 64, 30.0, 4096
 LEVEL = 6
 #: Bytes saved from which on a window counts, per feature.
 CUTS = (2, 3, 5)
@@ -81,30 +82,38 @@ class Distance:
         return np.array([len(ordinary(t)) - len(toxic(t)) for t in texts], np.float64)
 
 
-def _dictionary(samples: list[bytes], size: int, segment: int, d: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     """Trained on the samples; where they are too few, their own end."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=d).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:] or b" " * 8
 
 
-def _telling(docs: list[set[bytes]], toxic: np.ndarray) -> tuple[set[bytes], set[bytes]]:
-    """The words of either class with the largest likelihood ratio."""
+def _telling(docs: list[set[bytes]], toxic: np.ndarray) -> list[bytes]:
+    """The words most typical of toxic documents, best last (the nearest are the cheapest to refer to)."""
     counts = [Counter(w for d, t in zip(docs, toxic) if t == k for w in d) for k in (0, 1)]
     n = [max(int((toxic == k).sum()), 1) for k in (0, 1)]
 
-    def weight(word: bytes) -> float:
+    def ratio(word: bytes) -> float:
         have = [counts[k][word] for k in (0, 1)]
         due = [sum(have) * n[k] / sum(n) for k in (0, 1)]
-        g = 2 * sum(h * math.log(h / e) for h, e in zip(have, due) if h)
-        return g if have[1] / n[1] > have[0] / n[0] else -g
+        return 2 * sum(h * math.log(h / e) for h, e in zip(have, due) if h)
 
-    order = sorted(counts[0].keys() | counts[1].keys(), key=lambda w: (weight(w), w))
-    return set(order[-TELLING:]), set(order[:TELLING])
+    typical = sorted((ratio(w), w) for w in counts[1] if counts[1][w] / n[1] > counts[0][w] / n[0])
+    return [w for _, w in [x for x in typical if x[0] >= RATIO][-TELLING:] or typical[-8:]]
+
+
+def _train(texts: list[bytes], toxic: np.ndarray) -> Distance:
+    words = b" " + b" ".join(_telling([set(t.lower().split()) for t in texts], toxic)) + b" "
+    plain = [w for t, k in zip(texts, toxic) if not k for w in windows(t)]
+    background = _dictionary(plain[::2], BACKGROUND_BYTES)
+    return Distance(background + words, background + _dictionary(plain[1::2], max(512, len(words)))[-len(words):])
 
 
 def _features(diff: np.ndarray) -> list[float]:
+    if not len(diff):
+        return [0.0] * (len(CUTS) + 2)
     return [float(diff.mean()), float(np.log1p(len(diff))), *[float((diff >= c).mean()) for c in CUTS]]
 
 
@@ -129,25 +138,15 @@ class Classifier:
 
     def __init__(self, texts: list[bytes], toxic: list[int], rate: float):
         y = np.array(toxic, int)
-        own = np.arange(len(y)) % 2 == 0
+        own = np.arange(len(y)) % 3 != 2
         self.prior, self.beta = rate, None
         if min([int((y[h] == k).sum()) for h in (own, ~own) for k in (0, 1)]) < 2:
             return
-        docs = [t.lower().split() for t, h in zip(texts, own) if h]
-        words = _telling([set(d) for d in docs], y[own])
-        background = _dictionary([w for t, h, k in zip(texts, own, y) if h and not k for w in windows(t)], BACKGROUND_BYTES, 64, 8)
-
-        def part(sel: set[bytes], kind: int) -> bytes:
-            samples = [b" " + b" ".join(w for w in d if w in sel) + b" " for d, k in zip(docs, y[own]) if k == kind]
-            return background + _dictionary([s for s in samples if len(s) > 8], OWN_BYTES, 32, 6)
-
-        self.distance = Distance(part(words[0], 1), part(words[1], 0))
-        rest = [(windows(t), k) for t, h, k in zip(texts, own, y) if not h and t.strip()]
-        x = np.array([_features(self.distance(w)) for w, _ in rest])
-        y = np.array([k for _, k in rest])
+        self.distance = _train([t for t, o in zip(texts, own) if o], y[own])
+        x = np.array([_features(self.distance(windows(t))) for t, o in zip(texts, own) if not o])
+        y = y[~own]
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean())) if 0 < y.mean() < 1 else np.ones(len(y))
-        self.beta = _curve((x - self.mean) / self.scale, y, weight)
+        self.beta = _curve((x - self.mean) / self.scale, y, np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean())))
 
     def score(self, raw: bytes) -> float:
         """0 to 1, higher for toxic; an empty text has no window and scores 0."""
