@@ -179,6 +179,11 @@ def encode_units(model: Model, units: list[str]) -> list[bytes]:
     return [flat[at[i]:at[i + 1]].tobytes() for i in range(len(units))]
 
 
+def _units(text: str) -> list[str]:
+    """Units of a text after the dummy prefix; the space symbol itself counts as a space."""
+    return _UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
 class Encoder:
     """Texts to ids, with a bounded table of units."""
 
@@ -198,7 +203,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end id; an empty text has only these."""
-        units = _UNIT.findall(" " + text) if text else []
+        units = _units(text)
         new = {u for u in units if u not in self.known}
         if new:
             if len(self.known) + len(new) > TABLE_UNITS:
@@ -212,8 +217,7 @@ class Encoder:
         """As :meth:`encode`; the unseen units of all texts go through the rounds together."""
         new = set()
         for t in texts:
-            if t:
-                new.update(u for u in _UNIT.findall(" " + t) if u not in self.known)
+            new.update(u for u in _units(t) if u not in self.known)
             if len(new) >= TABLE_UNITS // 2:
                 break
         if len(self.known) + len(new) > TABLE_UNITS:
