@@ -10,13 +10,15 @@ the smallest rank of each segment, merges all its leftmost non-overlapping
 occurrences at once, and compacts the arrays; finished segments leave. The
 library merges one pair at a time. Both give the same pieces unless a merge
 makes a pair that ranks no worse than the pair just merged; such segments (the
-space-only pieces all tie) are encoded again with one merge per round.
+space-only pieces all tie) are encoded again pair by pair from a heap, as are
+segments so long that rounds over all of them would not pay.
 
 Characters without a piece become their UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -33,6 +35,8 @@ _NONE = np.int32(2**31 - 1)
 TABLE_UNITS = 300_000
 #: Characters encoded together, about.
 ROUND_CHARS = 1_000_000
+#: Units of more characters are merged one pair at a time.
+LONG_UNIT = 5_000
 
 
 class Model:
@@ -78,6 +82,7 @@ class Model:
                 a, b = normal.get(text[:cut]), normal.get(text[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = (order[-pieces[i].score], i)
+        self.table = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in sorted(pairs)] + [_NONE], np.int32)
         self.merged = np.array([pairs[k][1] for k in sorted(pairs)] + [0], np.int32)
@@ -89,9 +94,9 @@ class Model:
         return np.where(self.keys[at] == key, at, len(self.keys)).astype(np.int32)
 
 
-def _merge_rounds(model: Model, sym: np.ndarray, unit: np.ndarray, n: int, single: bool):
+def _merge_rounds(model: Model, sym: np.ndarray, unit: np.ndarray, n: int):
     """Merge until no pair remains. Returns (symbols, their units, units that
-    need one merge per round)."""
+    need one merge at a time)."""
     done_sym, done_unit, again = [], [], np.zeros(n, bool)
     last = np.full(n, -1, np.int64)
     end = np.empty(len(sym), bool)
@@ -105,8 +110,7 @@ def _merge_rounds(model: Model, sym: np.ndarray, unit: np.ndarray, n: int, singl
         rank = model.ranks[at]
         least = np.minimum.reduceat(rank, start)
         u = unit[start]
-        if not single:
-            again[u] |= (least <= last[u]) & (least != _NONE)
+        again[u] |= (least <= last[u]) & (least != _NONE)
         last[u] = least
         live = (least != _NONE) & ~again[u]
         size = np.diff(np.append(start, len(sym)))
@@ -121,18 +125,13 @@ def _merge_rounds(model: Model, sym: np.ndarray, unit: np.ndarray, n: int, singl
                 break
             start = np.concatenate(([0], np.cumsum(size)[:-1]))
         hit = rank == np.repeat(least, size)
-        if single:
-            where = np.flatnonzero(hit)
-            first = where[np.searchsorted(where, start)]
-            hit = np.zeros(len(sym), bool)
-            hit[first] = True
-        else:  # of neighbouring occurrences every other one, from the left
-            run = np.concatenate(([0], np.cumsum(~hit)))[:-1]
-            where = np.flatnonzero(hit)
-            group = run[where]
-            head = np.concatenate(([True], group[1:] != group[:-1])) if len(where) else np.empty(0, bool)
-            odd = (where - where[np.flatnonzero(head)][np.cumsum(head) - 1]) % 2
-            hit[where[odd == 1]] = False
+        # of neighbouring occurrences every other one, from the left
+        run = np.concatenate(([0], np.cumsum(~hit)))[:-1]
+        where = np.flatnonzero(hit)
+        group = run[where]
+        head = np.concatenate(([True], group[1:] != group[:-1])) if len(where) else np.empty(0, bool)
+        odd = (where - where[np.flatnonzero(head)][np.cumsum(head) - 1]) % 2
+        hit[where[odd == 1]] = False
         left = np.flatnonzero(hit)
         sym[left] = model.merged[at[left]]
         end[left] = end[left + 1]
@@ -152,17 +151,45 @@ def _merge_rounds(model: Model, sym: np.ndarray, unit: np.ndarray, n: int, singl
     return sym, unit, again
 
 
+def _merge_singly(model: Model, sym: list[int]) -> list[int]:
+    """One segment, one merge at a time: best rank first, of equal ranks the leftmost."""
+    before, after = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
+    heap = []
+
+    def offer(left: int) -> None:
+        right = after[left] if left >= 0 else -1
+        if right >= 0 and (found := model.table.get(sym[left] << 32 | sym[right])):
+            heapq.heappush(heap, (found[0], left, right, sym[left], sym[right], found[1]))
+
+    for i in range(len(sym)):
+        offer(i)
+    while heap:
+        _, left, right, a, b, made = heapq.heappop(heap)
+        if sym[left] != a or sym[right] != b or after[left] != right:
+            continue
+        sym[left], sym[right] = made, -1
+        after[left] = after[right]
+        if after[left] >= 0:
+            before[after[left]] = left
+        offer(before[left])
+        offer(left)
+    return [x for x in sym if x >= 0]
+
+
 def encode_units(model: Model, units: list[str]) -> list[bytes]:
     """Ids (little-endian unsigned 32 bit) of each non-empty unit."""
     chars = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(u) for u in units])
     unit = np.repeat(np.arange(len(units)), sizes)
     sym = model.symbol[chars]
-    out, unit_out, again = _merge_rounds(model, sym.copy(), unit, len(units), False)
+    short = sizes[unit] <= LONG_UNIT
+    out, unit_out, again = _merge_rounds(model, sym[short], unit[short], len(units))
+    again |= sizes > LONG_UNIT
     if again.any():
-        part = again[unit]
-        redo, redo_unit, _ = _merge_rounds(model, sym[part], unit[part], len(units), True)
-        out, unit_out = np.concatenate([out, redo]), np.concatenate([unit_out, redo_unit])
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        redo = [_merge_singly(model, sym[at[i]:at[i + 1]].tolist()) for i in np.flatnonzero(again)]
+        out = np.concatenate([out, *[np.array(r, out.dtype) for r in redo]])
+        unit_out = np.concatenate([unit_out, np.repeat(np.flatnonzero(again), [len(r) for r in redo])])
         order = np.argsort(unit_out, kind="stable")
         out, unit_out = out[order], unit_out[order]
     strange = np.flatnonzero(out >= model.size)
