@@ -8,9 +8,6 @@ Money is carried as BIGINT nano-USD: a rate in USD per million tokens times
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tierlens.runtime import literal_dim
 
 # ---- FIXED VALUES: tiers -------------------------------------------------
 # tier -> (label, model)
@@ -94,45 +91,6 @@ def nano_per_token(usd_per_million: float) -> int:
     return int(round(usd_per_million * 1000))
 
 
-def tier_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, TIERS, "tier int, tier_label string, model_name string")
-
-
-def price_dim(spark: SparkSession, book: str | None = None) -> DataFrame:
-    rows = [
-        (b, t, nano_per_token(i), nano_per_token(o))
-        for b, rates in PRICE_BOOKS.items()
-        for t, (i, o) in rates.items()
-        if book is None or b == book
-    ]
-    return literal_dim(spark, rows, "price_book string, tier int, in_nano bigint, out_nano bigint")
-
-
-def model_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(
-        spark,
-        MODEL_CATALOGUE,
-        "model_key string, model_id string, provider string, api string, max_tokens int, "
-        "supports_images boolean, supports_thinking boolean, context_window int",
-    )
-
-
-def tool_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, [(t,) for t in TOOLS], "tool_name string")
-
-
-def stop_reason_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, STOP_REASONS, "layout string, raw_reason string, stop_reason string")
-
-
-def rubric_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, RUBRIC, "tier_label string, tier int, description string")
-
-
-def category_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, [(i, c) for i, c in enumerate(QUERY_CATEGORIES)], "category_idx int, category string")
-
-
 # ---- FIXED VALUES: classifier system prompt used in training examples -----
 SYSTEM_PROMPT = """You are a query complexity router for Mistral AI models. Given a user query, classify it into the appropriate model tier and provide a confidence score.
 

@@ -47,7 +47,3 @@ def price_out(book: str, tier: Column) -> Column:
 def cost_nano(book: str, tier: Column, input_tokens: Column, output_tokens: Column) -> Column:
     """Cost of one call in nano-USD; NULL when the tier has no price."""
     return input_tokens.cast("bigint") * price_in(book, tier) + output_tokens.cast("bigint") * price_out(book, tier)
-
-
-def nano_to_usd(nano: Column) -> Column:
-    return nano.cast("double") / F.lit(1e9)

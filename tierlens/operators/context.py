@@ -163,7 +163,7 @@ def frontmatter(content: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(
         strip_ws(F.substring_index(x, ":", 1)).alias("key"),
         _unquote(strip_ws(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))).alias("value")))
-    last_wins = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1 << 30), lambda q: q["key"] == p["key"]))
+    last_wins = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     empty = F.create_map().cast("map<string,string>")
     return F.when(has, F.map_from_entries(last_wins)).otherwise(empty)
 
@@ -229,7 +229,7 @@ def ancestor_dirs(cwd: Column, stop_dir: Column) -> Column:
     """Directories from ``stop_dir`` down to ``cwd`` (root first) as
     array<struct<depth, dir>>; just ``cwd`` when it is not under ``stop_dir``."""
     under = cwd.startswith(F.concat(stop_dir, F.lit("/")))
-    rest = F.substring(cwd, F.length(stop_dir) + 2, 1 << 30)
+    rest = cwd.substr(F.length(stop_dir) + 2, F.length(cwd))
     parts = F.split(rest, "/")
     lst = F.transform(F.sequence(F.lit(1), F.size(parts)),
                       lambda k: F.struct(k.alias("depth"),
@@ -289,13 +289,3 @@ def skill_blocks(skills: DataFrame) -> DataFrame:
     writer streams the blocks in that order, so no catalogue is gathered
     into a single row."""
     return skills.withColumn("block", skill_block(F.col("name"), F.col("description"), F.col("path")))
-
-
-def skills_section(skills: DataFrame, group_col: str) -> DataFrame:
-    """H6 as one string per catalogue, for catalogues known to be small (a
-    project's own skills): entries in name order."""
-    g = skills.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(
-        "name", "path", skill_block(F.col("name"), F.col("description"), F.col("path")).alias("b")))).alias("_a"))
-    head = "\n".join(SKILLS_SECTION_HEAD)
-    return g.select(group_col, F.concat(F.lit(head + "\n"), F.array_join(F.transform("_a", lambda x: x["b"]), "\n"),
-                                        F.lit("\n</available_skills>")).alias("section"))

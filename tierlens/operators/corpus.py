@@ -46,12 +46,12 @@ def split_lines(text: Column) -> Column:
              .when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
-def numbered_lines(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, line_no 1-based, line, last_line) -- one row per line, whole text."""
+def numbered_lines(df: DataFrame, key: str, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, line_no 1-based, line, has_newline) -- one row per line, whole text."""
     t = F.col(text_col)
-    return (df.select(key, F.posexplode(split_lines(t)).alias("_p", "line"),
+    return (df.select(key, *carry, F.posexplode(split_lines(t)).alias("_p", "line"),
                       t.endswith("\n").alias("_nl"), F.size(split_lines(t)).alias("_n"))
-              .select(key, (F.col("_p") + 1).cast("bigint").alias("line_no"), "line",
+              .select(key, *carry, (F.col("_p") + 1).cast("bigint").alias("line_no"), "line",
                       (((F.col("_p") + 1) < F.col("_n")) | F.col("_nl")).alias("has_newline")))
 
 
@@ -77,9 +77,8 @@ def read_page(df: DataFrame, key: str, text_col: str = "text", offset: int | Non
     return lines.select(key, "line_no", out.alias("rendered"))
 
 
-def glob_to_regex(glob: str) -> str:
-    """A path glob as a Java regex over the whole path; a glob without a slash
-    matches the file name in any directory."""
+def _glob_body(glob: str) -> str:
+    """A path glob as a Java regex without anchors; ``[!...]`` negates, braces hold globs."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
@@ -96,20 +95,26 @@ def glob_to_regex(glob: str) -> str:
             if j < 0:
                 out.append(re.escape(c))
             else:
-                out.append(glob[i:j + 1])
+                cls = glob[i + 1:j]
+                out.append("[^" + cls[1:] + "]" if cls[:1] == "!" else f"[{cls}]")
                 i = j
         elif c == "{":
             j = glob.find("}", i)
             if j < 0:
                 out.append(re.escape(c))
             else:
-                out.append("(?:" + "|".join(re.escape(x) for x in glob[i + 1:j].split(",")) + ")")
+                out.append("(?:" + "|".join(_glob_body(x) for x in glob[i + 1:j].split(",")) + ")")
                 i = j
         else:
             out.append(re.escape(c))
         i += 1
-    body = "".join(out)
-    return ("^(?:.*/)?" if "/" not in glob else "^") + body + "$"
+    return "".join(out)
+
+
+def glob_to_regex(glob: str) -> str:
+    """A path glob as a Java regex over the whole path; a glob without a slash
+    matches the file name in any directory."""
+    return ("^(?:.*/)?" if "/" not in glob else "^") + _glob_body(glob) + "$"
 
 
 def grep(lines: DataFrame, pattern: str, include: str | None = None, path_col: str = "path",
@@ -137,7 +142,7 @@ def replace_text(df: DataFrame, text_col: str, old: str, new: str, replace_all:
     if replace_all:
         new_t = F.replace(t, F.lit(old), F.lit(new))
     else:
-        new_t = F.concat(F.substring(t, 1, pos - 1), F.lit(new), t.substr(pos + F.lit(len(old)), F.lit(1 << 30)))
+        new_t = F.concat(F.substring(t, 1, pos - 1), F.lit(new), t.substr(pos + F.lit(len(old)), F.length(t)))
     status = F.when(t.isNull(), "missing").when(pos == 0, "not_found").otherwise("updated")
     return (df.withColumn("status", status)
               .withColumn("new_text", F.when(status == "updated", new_t).otherwise(t)))
@@ -213,12 +218,10 @@ def sanitize_output(text: Column) -> Column:
 def sanitize_json_surrogates(raw_json: Column) -> Column:
     """H7 (model text): lone UTF-16 surrogate escapes in raw JSON text become
     U+FFFD before the text is decoded (a decoded Spark string cannot hold one)."""
-    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-    lone = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
-    # protect valid pairs, replace the rest, restore
-    t = F.regexp_replace(raw_json, f"({pair})", "\u0001$1\u0002")
-    t = F.regexp_replace(t, f"(?<!\u0001){lone}|{lone}(?!\u0002)", "\\\\ufffd")
-    return F.regexp_replace(F.regexp_replace(t, "\u0001", ""), "\u0002", "")
+    escape = r"(?<=(?<!\\)(?:\\\\){0,40})\\u"  # after an even number of backslashes, so the backslash is no escaped one
+    high, low = r"[dD][89abAB][0-9a-fA-F]{2}", r"[dD][c-fC-F][0-9a-fA-F]{2}"
+    lone = rf"{escape}{high}(?!\\u{low})|(?<!(?<!\\)(?:\\\\){{0,40}}\\u{high}){escape}{low}"
+    return F.regexp_replace(raw_json, lone, r"\\ufffd")
 
 
 # ---------------------------------------------------------------- truncation
@@ -336,12 +339,10 @@ def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "cand
     query is anchored on the character the fewest candidates contain (counts
     from one aggregate whose groups are the distinct characters), and the
     candidates, exploded into their distinct characters, meet the queries
-    through an equi-join on that anchor -- exact pruning, no cross product. A
-    request batch within the broadcast bound makes this a broadcast hash join
-    over the streamed candidates; a larger batch gets a shuffled join whose hot
-    anchor characters AQE splits. The per-query top-k runs in two salted stages."""
-    from tierlens.runtime import within_bound
-
+    through an equi-join on that anchor -- exact pruning, no cross product. AQE
+    broadcasts a request batch that measures small; a larger one gets a shuffled
+    join whose hot anchor characters AQE splits. The per-query top-k runs in two
+    salted stages."""
     cand = candidates.select(cand_col, order_col, F.explode(_distinct_chars(F.col(cand_col))).alias("_ch"))
     # one row per distinct character; AQE sizes this join from the measured shuffle
     freq = cand.groupBy("_ch").agg(F.count(F.lit(1)).alias("_n"))
@@ -354,8 +355,7 @@ def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "cand
     # anchor is the empty string, which only those candidates carry
     first = candidates.select(cand_col, order_col).orderBy(order_col).limit(top).withColumn("_ch", F.lit(""))
     anchor = anchor.unionByName(q.filter(F.col("query") == "").withColumn("_ch", F.lit("")))
-    # at most one anchor row per query: the batch's row count bounds the broadcast
-    pairs = cand.unionByName(first).join(F.broadcast(anchor) if within_bound(q) else anchor, "_ch").drop("_ch")
+    pairs = cand.unionByName(first).join(anchor, "_ch").drop("_ch")
     m = pairs.withColumn("_m", F.expr(fuzzy_score_sql("query", cand_col)))
     p = F.col("_m")["p"]
     n = F.size(p)

@@ -5,11 +5,12 @@ All money is BIGINT nano-USD so sums are exact; ratios are rounded to 9 digits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlens import dims
 from tierlens.functions.lookups import cost_nano, model_tier
+from tierlens.operators import ordered
 
 
 def _ratio_pct(num: Column, den: Column) -> Column:
@@ -115,8 +116,7 @@ def measured_baseline(turns: DataFrame, measured: DataFrame, key=("conv_id", "tu
 
 def running_cost(df: DataFrame, run_col: str = "conv_id", order_col: str = "turn",
                  cost_col: str = "actual_cost_nano") -> DataFrame:
-    """Turn number and cumulative cost per run (a window per run key)."""
-    w = Window.partitionBy(run_col).orderBy(order_col)
-    return (df.withColumn("turn_no", F.row_number().over(w).cast("bigint"))
-              .withColumn("cumulative_cost_nano",
-                          F.sum(cost_col).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")))
+    """Turn number and cumulative cost per run, as chunked ordered sums."""
+    d = ordered.scan(df, run_col, order_col, [("sum", F.lit(1), "turn_no", True), ("sum", F.col(cost_col), "cumulative_cost_nano", True)])
+    return d.withColumn("turn_no", F.col("turn_no").cast("bigint")) \
+            .withColumn("cumulative_cost_nano", F.col("cumulative_cost_nano").cast("bigint"))

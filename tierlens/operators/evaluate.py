@@ -21,30 +21,6 @@ def _div0(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def pair_counts(df: DataFrame, true_col: str = "true_tier", pred_col: str = "predicted_tier") -> DataFrame:
-    return (df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p"))
-              .agg(F.count(F.lit(1)).alias("n")))
-
-
-def per_label(counts: DataFrame, labels: DataFrame) -> DataFrame:
-    """tp, fp, fn, support per label of ``labels`` (column ``label``)."""
-    c = counts
-    tp = c.filter(F.col("t") == F.col("p")).groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("tp"))
-    pred_tot = c.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("pred_n"))
-    true_tot = c.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    out = (labels.join(tp, "label", "left").join(pred_tot, "label", "left").join(true_tot, "label", "left")
-                 .fillna(0, ["tp", "pred_n", "support"]))
-    out = (out.withColumn("fp", F.col("pred_n") - F.col("tp"))
-              .withColumn("fn", F.col("support") - F.col("tp")))
-    return (out.withColumn("precision", _div0(F.col("tp"), F.col("tp") + F.col("fp")))
-               .withColumn("recall", _div0(F.col("tp"), F.col("tp") + F.col("fn")))
-               .withColumn("f1", _div0(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
-
-
-def present_labels(counts: DataFrame) -> DataFrame:
-    return counts.select(F.col("t").alias("label")).union(counts.select(F.col("p").alias("label"))).distinct()
-
-
 def fixed_labels(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(t,) for t in LABELS], "label int"))
 

@@ -6,6 +6,8 @@ helpers cut each key into chunks of at most ``chunk`` consecutive ``seq``
 values, scan inside ``(key, chunk)`` groups in parallel, and fix the chunk
 boundaries with a carry-in computed from one small aggregate row per chunk:
 
+0. the rows with their local scans are written once to the shared checkpoint
+   folder, so everything upstream runs once however many scans are chained,
 1. ``(key, chunk)`` aggregate (partial aggregation, no skew),
 2. a window over that chunk table per key (``rows / chunk`` rows per key),
 3. an equi-join of the carry back on ``(key, chunk)`` -- a join key that can
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierlens.runtime import scratch_dir
+
 DEFAULT_CHUNK = 1 << 20
 
 
@@ -31,14 +35,23 @@ def _chunk_col(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
 
 
-def scan(df: DataFrame, key, order: str, specs: list[tuple], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from a Parquet table in the shared checkpoint folder."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "scan")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scan(df: DataFrame, key, order: str, specs: list[tuple], chunk: int = DEFAULT_CHUNK, write: bool = True) -> DataFrame:
     """Several ordered scans over the same (key, order) in one pass.
 
     ``specs`` items: ``("sum", value, out, include_current)``,
     ``("last", value, out, include_current)`` (latest non-null) or
     ``("prev", value, out)`` (previous row). One local window over
     ``(key, chunk)``, one aggregate row per chunk, one carry window over the
-    chunk table and one join back -- whatever the number of scans.
+    chunk table and one join back -- whatever the number of scans. ``write=False`` is
+    for plain tables, where reading twice costs less than a copy.
     """
     ks = _keys(key)
     d = df.withColumn("__chunk", _chunk_col(order, chunk))
@@ -67,6 +80,8 @@ def scan(df: DataFrame, key, order: str, specs: list[tuple], chunk: int = DEFAUL
         else:
             raise ValueError(f"unknown scan kind {kind}")
     d = d.withColumn("__first", F.row_number().over(w) == 1)
+    if write:
+        d = _written(d)
     carry = d.groupBy(*ks, "__chunk").agg(*aggs).select(*ks, "__chunk", *carry_cols)
     j = d.join(carry, [*ks, "__chunk"], "left")
     drop = ["__chunk", "__first"]

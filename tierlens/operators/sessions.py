@@ -86,12 +86,20 @@ def settings_at_end(entries: DataFrame, initial_model: str | None = None) -> Dat
 
 def drop_noop_changes(entries: DataFrame, initial_model: str | None = None,
                       chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
-    """A model change equal to the model already in effect is dropped."""
-    model_v = F.when(F.col("type") == "model_change", F.col("value"))
-    d = ordered.running_last(entries, "session_id", "seq", model_v, "_before", chunk, include_current=False)
-    before = F.coalesce(F.col("_before"), F.lit(initial_model))
-    noop = (F.col("type") == "model_change") & before.eqNullSafe(F.col("value"))
-    return d.filter(~noop).drop("_before")
+    """A model change equal to the model already in effect is dropped. A
+    model is its id together with provider and base address, where the log has
+    them; ``initial_model`` has neither."""
+    def model(value: Column, provider: Column, base_url: Column) -> Column:
+        return F.struct(value.alias("model_id"), provider.alias("provider"), base_url.alias("base_url"))
+
+    none = F.lit(None).cast("string")
+    own = model(F.col("value"), _col_or_null(entries, "provider", "string"), _col_or_null(entries, "base_url", "string"))
+    is_change = F.col("type") == "model_change"
+    d = ordered.running_last(entries.withColumn("_model", own), "session_id", "seq", F.when(is_change, F.col("_model")), "_before", chunk,
+                             include_current=False)
+    before = F.coalesce(F.col("_before"), model(F.lit(initial_model).cast("string"), none, none))
+    noop = is_change & before.eqNullSafe(F.col("_model"))
+    return d.filter(~noop).drop("_before", "_model")
 
 
 def overflow_turns(entries: DataFrame, context_window: int = DEFAULT_CONTEXT_WINDOW,
@@ -203,18 +211,21 @@ def rewrite_last_user(entries: DataFrame, prompts: DataFrame) -> DataFrame:
              .withColumn("rewritten", F.coalesce(hit, F.lit(False))).drop("_useq", "prompt"))
 
 
-def resolve_ids(sessions: DataFrame, requests: DataFrame, max_len: int = 64) -> DataFrame:
+def resolve_ids(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     """Resolve partial session ids (trimmed, case-insensitive): a unique
     exact match wins, else a unique prefix match; otherwise ambiguous, not
     found, or empty.
 
-    Every id is exploded into its prefixes and the prefixes are aggregated
-    first (count, any id, exact-id count and id): one row per distinct prefix,
-    with map-side partial aggregation. A request then equi-joins one row, so
-    a one-letter request never fans out to all the ids it matches."""
+    Every id is exploded into its prefixes of the lengths that are asked for
+    (one small array), and the prefixes are aggregated first (count, any id,
+    exact-id count and id): one row per distinct prefix, with map-side partial
+    aggregation. A request then equi-joins one row, so a one-letter request
+    never fans out to all the ids it matches."""
     sid = F.lower(F.col("sid"))
+    asked = requests.agg(F.collect_set(F.length(F.trim("request"))).alias("l")).scalar()
     pref = (sessions.select(F.col("session_key").alias("sid"))
-                    .select("sid", F.explode(F.sequence(F.lit(1), F.least(F.length("sid"), F.lit(max_len)))).alias("_l"))
+                    .select("sid", asked.alias("_asked"))
+                    .select("sid", F.explode(F.filter("_asked", lambda l: (l > 0) & (l <= F.length("sid")))).alias("_l"))
                     .select("sid", F.substring(sid, 1, F.col("_l")).alias("_p"), (F.col("_l") == F.length("sid")).alias("_full")))
     stats = pref.groupBy("_p").agg(
         F.count(F.lit(1)).alias("n_prefix"),

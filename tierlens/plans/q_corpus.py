@@ -46,8 +46,7 @@ def _doc_lines(spark, sf_dir):
         "doc_id", "text",
         F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang", F.lit(".txt")).alias("path"),
         (F.lit(1704067200) + (F.col("doc_id") * 7919) % 100000).alias("mtime"))
-    lines = K.numbered_lines(d, "doc_id").join(d.select("doc_id", "path", "mtime"), "doc_id")
-    return lines
+    return K.numbered_lines(d, "doc_id", carry=("path", "mtime"))
 
 
 @query("b11_grep", _LINES + r"""
@@ -183,6 +182,23 @@ def h7_sanitize(spark, sf_dir):
     return d.select("doc_id", F.md5(K.sanitize_output(F.col("text"))).alias("clean_md5"))
 
 
+# raw JSON text with valid pairs and lone halves of UTF-16 escapes after every line
+_RAW_JSON = r"""replace(text, chr(10), concat('\ud83d\ude00 ', CASE doc_id % 4 WHEN 0 THEN '\ud83d x' WHEN 1 THEN '\ude00\ud83d\ude01' WHEN 2 THEN '\ud83d\ud83d\ude02' ELSE '\uDC00\uD800' END, ' '))"""
+
+
+@query("h7_surrogates", rf"""
+, raw AS (SELECT doc_id, {_RAW_JSON} AS t FROM documents),
+cut AS (SELECT doc_id, string_split_regex(t, '\\u[dD][89abAB][0-9a-fA-F]{{2}}\\u[dD][c-fC-F][0-9a-fA-F]{{2}}') AS gaps,
+               regexp_extract_all(t, '\\u[dD][89abAB][0-9a-fA-F]{{2}}\\u[dD][c-fC-F][0-9a-fA-F]{{2}}') AS pairs FROM raw)
+SELECT doc_id, md5(array_to_string(list_transform(range(len(gaps)), lambda i: concat(
+         regexp_replace(gaps[i + 1], '\\u[dD][89a-fA-F][0-9a-fA-F]{{2}}', chr(92) || chr(92) || 'ufffd', 'g'), coalesce(pairs[i + 1], ''))), '')) AS clean_md5
+FROM cut""")
+def h7_surrogates(spark, sf_dir):
+    """Lone surrogate escapes in raw JSON text replaced, valid pairs kept."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_RAW_JSON.replace("\\", "\\\\")).alias("t"))
+    return d.select("doc_id", F.md5(K.sanitize_json_surrogates(F.col("t"))).alias("clean_md5"))
+
+
 @query("h8_tail_truncate", """
 , p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 s AS (SELECT doc_id, text, len(parts) AS total_lines, octet_length(encode(text)) AS nbytes, parts FROM p),

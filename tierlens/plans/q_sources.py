@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierlens.fixtures import register
+from tierlens import dims
 from tierlens.operators import cost, export, feedback as fb
+from tierlens.operators import ordered
 from tierlens.runtime import scratch_dir
 from tierlens.sources import readers as R
 from tierlens.sources import writers as W
@@ -23,28 +25,42 @@ def _feedback(spark, sf_dir):
     return _t(spark, sf_dir, "v_feedback").withColumn("is_correct", F.col("predicted_tier") == F.col("corrected_tier"))
 
 
-_SPLIT_COUNTS = """
-, r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), conv_id, turn) - 1 AS rk,
+SYS = "'" + dims.SYSTEM_PROMPT.replace("'", "''") + "'"
+
+# a split's rows with everything a chat example holds
+_SPLIT_ROWS = """
+, r AS (SELECT conv_id, turn, query, corrected_tier, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), conv_id, turn) - 1 AS rk,
                count(*) OVER () AS n FROM v_feedback)
 SELECT CASE WHEN rk < CAST(floor(n * 0.8) AS BIGINT) THEN 'train'
             WHEN rk < CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) THEN 'val' ELSE 'test' END AS split,
-       count(*) AS n_examples
-FROM r GROUP BY 1"""
+       'system,user,assistant' AS roles, md5(SYSTEM_TEXT) AS system_md5, md5(query) AS user_md5,
+       concat('{"model_tier": ', CAST(corrected_tier AS VARCHAR), ', "confidence": 0.95}') AS assistant_content
+FROM r""".replace("SYSTEM_TEXT", SYS)
+
+
+def _shown_examples(df):
+    m = F.col("messages")
+    return df.select("split", F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"), F.md5(m[0]["content"]).alias("system_md5"),
+                     F.md5(m[1]["content"]).alias("user_md5"), m[2]["content"].alias("assistant_content"))
 
 
-@query("a9_write_splits", _SPLIT_COUNTS)
+
+@query("a9_write_splits", _SPLIT_ROWS + "\nUNION ALL SELECT 'all', 'system,user,assistant', md5(" + SYS + """), md5(query),
+  concat('{"model_tier": ', CAST(corrected_tier AS VARCHAR), ', "confidence": 0.95}') FROM v_feedback""")
 def a9_write_splits(spark, sf_dir):
     """Feedback examples split 80/10/10, written one folder per split plus a
-    combined copy, read back and counted per split."""
+    combined copy; both read back, every message compared."""
     out = scratch_dir(spark, "splits")
     ex = fb.sft_examples(_feedback(spark, sf_dir))
     split = export.split_assign(ex, ["conv_id", "turn"], seed=42)
     export.write_splits(split.select("messages", "split"), out)
-    back = spark.read.schema("messages array<struct<role:string,content:string>>, split string").json(f"{out}/by_split")
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
+    kind = "messages array<struct<role:string,content:string>>"
+    back = spark.read.schema(f"{kind}, split string").json(f"{out}/by_split")
+    whole = spark.read.schema(kind).json(f"{out}/all").withColumn("split", F.lit("all"))
+    return _shown_examples(back).unionByName(_shown_examples(whole))
 
 
-@query("a1_read_chat_examples", _SPLIT_COUNTS)
+@query("a1_read_chat_examples", _SPLIT_ROWS)
 def a1_read_chat_examples(spark, sf_dir):
     """Chat-example JSONL files named train / val / test read back with the
     split taken from the file name."""
@@ -55,13 +71,13 @@ def a1_read_chat_examples(spark, sf_dir):
         part = split.filter(F.col("split") == name).select(F.to_json(F.struct("messages")).alias("value"))
         part.write.mode("overwrite").text(f"{out}/{name}")
     files = [f"{out}/{name}" for name in ("train", "val", "test")]
-    back = R.read_chat_examples(spark, files)
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
+    return _shown_examples(R.read_chat_examples(spark, files))
 
 
 @query("a2_read_feedback", """
-SELECT corrected_tier, count(*) AS n, CAST(sum(CASE WHEN predicted_tier = corrected_tier THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
-FROM v_feedback GROUP BY corrected_tier""")
+SELECT md5(query) AS query_md5, predicted_tier, corrected_tier, confidence, CAST(NULL AS VARCHAR) AS notes,
+       strftime(make_timestamp(event_s * 1000000), '%Y-%m-%d %H:%M:%S') AS timestamp, predicted_tier = corrected_tier AS is_correct
+FROM v_feedback""")
 def a2_read_feedback(spark, sf_dir):
     """Feedback entries written as JSONL with blank lines between batches, read back."""
     out = scratch_dir(spark, "feedback")
@@ -71,35 +87,33 @@ def a2_read_feedback(spark, sf_dir):
     lines = f.select(F.concat(F.to_json(F.struct(*f.columns)), F.lit("\n")).alias("value"))
     lines.write.mode("overwrite").text(out)
     back = R.read_feedback(spark, out)
-    return back.groupBy("corrected_tier").agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum(F.col("is_correct").cast("int")).cast("bigint").alias("n_correct"))
+    return back.select(F.md5("query").alias("query_md5"), "predicted_tier", "corrected_tier", "confidence", "notes", "timestamp", "is_correct")
 
 
 @query("a3_read_prompt_labels", """
-SELECT predicted_tier AS label, count(*) AS n FROM v_routed GROUP BY predicted_tier""")
+SELECT md5(query) AS prompt_md5, predicted_tier AS label FROM v_routed""")
 def a3_read_prompt_labels(spark, sf_dir):
     """Prompt/label pairs written as JSON-array files (one array per file, at
     most about 100 000 entries each) and read back with the multi-line reader."""
     out = scratch_dir(spark, "prompts")
     r = _t(spark, sf_dir, "v_routed")
-    # rows hashed into at least 16 arrays of about 100 000 entries at most, one
-    # array per file (partitionBy puts each group in its own file)
-    n_files = max(16, -(-r.count() // 100_000))
-    g = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(n_files))
-    arrays = (r.groupBy(g.alias("g"))
+    # consecutive rows of a partition, at most 100 000 to an array, one array
+    # per file (partitionBy puts each group in its own file)
+    g = F.floor(F.monotonically_increasing_id() / 100_000).cast("bigint")
+    arrays = (r.withColumn("g", g).groupBy("g")
                .agg(F.to_json(F.collect_list(F.struct(F.col("query").alias("prompt"),
                                                       F.col("predicted_tier").cast("string").alias("label")))).alias("value")))
     arrays.write.mode("overwrite").partitionBy("g").text(out)
     back = R.read_prompt_labels(spark, out)
-    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return back.select(F.md5("prompt").alias("prompt_md5"), "label")
 
 
 _TELEMETRY_HEADER = "turn,model_used,tokens_used,input_complexity,cumulative_cost"
 
 
 @query("a4_read_telemetry_csv", """
-SELECT count(*) AS n_rows, count(confidence) AS n_with_confidence, count(status) AS n_with_status FROM (
-  SELECT CASE WHEN turn % 2 = 0 THEN confidence END AS confidence, CASE WHEN turn % 2 = 0 THEN 'ok' END AS status FROM v_routed)""")
+SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, 'model' AS model_used, input_tokens + output_tokens AS tokens_used,
+       'medium' AS input_complexity, CASE WHEN turn % 2 = 0 THEN confidence END AS confidence, CASE WHEN turn % 2 = 0 THEN 'ok' END AS status FROM v_routed""")
 def a4_read_telemetry_csv(spark, sf_dir):
     """Ragged telemetry CSV (5-column header, rows of 5 or 7 fields) read with a 7-column schema."""
     out = scratch_dir(spark, "telemetry")
@@ -111,13 +125,14 @@ def a4_read_telemetry_csv(spark, sf_dir):
     # one CSV part file per task, each opening with the header line
     W.with_header_lines(priced.select(line.alias("value")), _TELEMETRY_HEADER).write.mode("overwrite").text(out)
     back = R.read_telemetry_csv(spark, out)
-    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("confidence").alias("n_with_confidence"),
-                    F.count("status").alias("n_with_status"))
+    return back.select("turn", "model_used", "tokens_used", "input_complexity", "confidence", "status")
 
 
 _SESSIONS_WITH_ASSISTANT = """
 , keep AS (SELECT DISTINCT session_id FROM v_entry WHERE type = 'message' AND role = 'assistant')
-SELECT e.session_id, e.type, count(*) AS n FROM v_entry e JOIN keep k ON e.session_id = k.session_id GROUP BY e.session_id, e.type"""
+SELECT e.session_id, concat('work-proj', CAST(e.session_id % 5 AS VARCHAR)) AS cwd_key, row_number() OVER (PARTITION BY e.session_id ORDER BY e.seq) AS position,
+       e.type, e.role, md5(e.text) AS text_md5, e.input_tokens, e.output_tokens, e.value
+FROM v_entry e JOIN keep k ON e.session_id = k.session_id"""
 
 
 def _write_sessions(spark, sf_dir, out):
@@ -134,12 +149,14 @@ def _write_sessions(spark, sf_dir, out):
 @query("a14_write_session_logs", _SESSIONS_WITH_ASSISTANT)
 def a14_write_session_logs(spark, sf_dir):
     """Session logs written one folder per session under its working directory
-    (header first), then read back and counted by entry type."""
+    (header first), then read back with directory, line order and every field."""
     out = scratch_dir(spark, "sessions")
     _write_sessions(spark, sf_dir, out)
     _h, ents = R.read_session_logs(spark, out)
-    w = R.entries_wide(ents)
-    return w.groupBy(F.col("session_id").cast("bigint").alias("session_id"), "type").agg(F.count(F.lit(1)).alias("n"))
+    cwd = ents.select("session_id", F.regexp_extract("file", "cwd_key=([^/]*)/", 1).alias("cwd_key")).distinct()
+    w = R.entries_wide(ents).join(cwd, "session_id")
+    return w.select(F.col("session_id").cast("bigint").alias("session_id"), "cwd_key", F.col("seq").alias("position"), "type", "role",
+                    F.md5("text").alias("text_md5"), "input_tokens", "output_tokens", "value")
 
 
 @query("a5_read_session_logs", """
@@ -160,7 +177,8 @@ def a5_read_session_logs(spark, sf_dir):
 
 
 @query("a6_table_snapshot", """
-SELECT CAST(floor(event_s / 86400) AS BIGINT) AS batch_day, count(*) AS n_rows FROM v_feedback GROUP BY 1""")
+SELECT strftime(make_timestamp(event_s * 1000000), '%Y-%m-%d %H:%M:%S') AS timestamp, md5(query) AS query_md5, CAST(predicted_tier AS VARCHAR) AS predicted_tier,
+       CAST(corrected_tier AS VARCHAR) AS corrected_tier, confidence FROM v_feedback""")
 def a6_table_snapshot(spark, sf_dir):
     """Feedback snapshots in the columnar table layout (one per day, split into
     documents of about 10 000 rows), read back to rows."""
@@ -172,8 +190,7 @@ def a6_table_snapshot(spark, sf_dir):
     W.write_table_snapshots(rows, cols, out, ["batch_day"])
     long_rows = R.read_table_snapshot(spark, out)
     wide = R.pivot_snapshot(long_rows, cols)
-    day = F.floor(F.unix_timestamp(F.col("timestamp")) / 86400).cast("bigint")
-    return wide.groupBy(day.alias("batch_day")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return wide.select("timestamp", F.md5("query").alias("query_md5"), "predicted_tier", "corrected_tier", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("a7_cost_records", """
@@ -192,35 +209,40 @@ def a7_cost_records(spark, sf_dir):
                        "savings_pct")
     W.append_cost_records(recs.filter(F.col("kind") == "route"), out)
     W.append_cost_records(recs.filter(F.col("kind") == "summary"), out)
-    back = spark.read.schema(R.COST_RECORD).json(out)
+    back = R.read_cost_records(spark, out)
     return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a8_router_history", """
-SELECT role, count(*) AS n FROM conversations GROUP BY role""")
+SELECT CAST(conv_id AS VARCHAR) AS conversation_id, role, md5(text) AS content_md5, 'mistral-small-latest' AS model,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations""")
 def a8_router_history(spark, sf_dir):
     """Router history appended per conversation and read back in line order."""
     out = scratch_dir(spark, "history")
-    c = _t(spark, sf_dir, "conversations")
+    c = _t(spark, sf_dir, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     h = c.select("role", F.col("text").alias("content"), F.lit("mistral-small-latest").alias("model"),
                  F.col("conv_id").cast("string").alias("conversation_id"), F.lit("2024-01-01T00:00:00").alias("timestamp"))
     W.append_history(h, out)
     back = R.read_router_history(spark, out)
-    return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    placed = ordered.running_sum(back, "conversation_id", "seq", F.lit(1), "position")
+    return placed.select("conversation_id", "role", F.md5("content").alias("content_md5"), "model", F.col("position").cast("bigint").alias("position"))
 
 
-@query("a10_write_triples", """
-SELECT count(*) AS n_triples FROM v_feedback WHERE predicted_tier <> corrected_tier""")
+@query("a10_write_triples", f"""
+SELECT md5(concat({SYS}, chr(10), chr(10), 'User Query: ', query)) AS prompt_md5,
+       concat('{{"model_tier": ', CAST(corrected_tier AS VARCHAR), ', "confidence": 1.0}}') AS chosen,
+       concat('{{"model_tier": ', CAST(predicted_tier AS VARCHAR), ', "confidence": ', coalesce(CAST(confidence AS VARCHAR), 'null'), '}}') AS rejected
+FROM v_feedback WHERE predicted_tier <> corrected_tier""")
 def a10_write_triples(spark, sf_dir):
     """Preference triples written as JSON lines and read back."""
     out = scratch_dir(spark, "dpo")
     export.write_triples(fb.dpo_triples(_feedback(spark, sf_dir)), out)
     back = spark.read.schema("prompt string, chosen string, rejected string").json(out)
-    return back.agg(F.count(F.lit(1)).alias("n_triples"))
+    return back.select(F.md5("prompt").alias("prompt_md5"), "chosen", "rejected")
 
 
 @query("a11_close_batch", """
-SELECT count(*) FILTER (WHERE (conv_id + turn) % 3 = 0) AS n_archived, count(*) FILTER (WHERE (conv_id + turn) % 3 <> 0) AS n_open
+SELECT conv_id, turn, md5(query) AS query_md5, predicted_tier, corrected_tier, CASE WHEN (conv_id + turn) % 3 = 0 THEN '20240101_000000' END AS archive_ts
 FROM v_feedback""")
 def a11_close_batch(spark, sf_dir):
     """A batch close archives the consumed entries under a timestamp; the open
@@ -229,16 +251,23 @@ def a11_close_batch(spark, sf_dir):
     f = _feedback(spark, sf_dir).select("conv_id", "turn", "query", "predicted_tier", "corrected_tier")
     consumed = f.filter((F.col("conv_id") + F.col("turn")) % 3 == 0)
     W.close_batch(consumed, out, "20240101_000000")
-    archived = spark.read.schema("conv_id bigint, turn bigint, query string, archive_ts string").json(out)
-    open_rows = fb.open_rows(f, archived, ["conv_id", "turn"])
-    n_open = open_rows.agg(F.count(F.lit(1)).alias("n_open")).scalar()
-    return archived.agg(F.count(F.lit(1)).alias("n_archived")).select("n_archived", n_open.alias("n_open"))
+    kind = "conv_id bigint, turn bigint, query string, predicted_tier int, corrected_tier int, archive_ts string"
+    archived = spark.read.schema(kind).json(out)
+    open_rows = fb.open_rows(f, archived, ["conv_id", "turn"]).withColumn("archive_ts", F.lit(None).cast("string"))
+    cols = ["conv_id", "turn", F.md5("query").alias("query_md5"), "predicted_tier", "corrected_tier", "archive_ts"]
+    return archived.select(*cols).unionByName(open_rows.select(*cols))
 
 
-@query("a13_list_files")
+@query("a13_list_files", """
+SELECT conv_id, min(turn) AS first_turn, count(*) AS n_rows FROM v_routed GROUP BY conv_id ORDER BY conv_id LIMIT 100""")
 def a13_list_files(spark, sf_dir):
-    """The newest 100 JSON files of a folder tree (file contents are not read)."""
+    """The newest 100 JSON files of a folder tree (one file per conversation,
+    of which the first 100 exist), each opened to see what it holds."""
     out = scratch_dir(spark, "listing")
     r = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", "query")
-    r.repartition(40).write.mode("overwrite").partitionBy("conv_id").json(out)
-    return R.list_files(spark, out, "*.json")
+    first = r.select("conv_id").distinct().orderBy("conv_id").limit(100)
+    r.join(F.broadcast(first), "conv_id").repartition("conv_id").write.mode("overwrite").partitionBy("conv_id").json(out)
+    listed = R.list_files(spark, out, "*.json")
+    rows = spark.read.schema("turn bigint, query string, conv_id bigint").json(out).withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
+    found = listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    return rows.join(found, "path").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))

@@ -1,4 +1,4 @@
-"""Session construction and cluster-safe helpers (checkpoint folder, broadcast bound probe)."""
+"""Session construction and cluster-safe helpers (checkpoint folder, package shipping)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a caller-supplied side may have before we stop
-# forcing a broadcast and let the planner pick a shuffled join instead.
-BROADCAST_MAX_ROWS = 100_000
-
-
 # Settings for a large cluster (about 1000 executors, ~100 TB of parquet input).
 # Initial shuffle partitions are set high and AQE coalesces them to ~256 MB;
 # hot keys are split by AQE's skew join and by the chunked / salted operators;
@@ -89,7 +84,8 @@ def get_spark(master: str | None = None, app: str = "tierlens", shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) do we create a scratch folder.
+    Only a local session (tests) gets a scratch folder of its own; on a cluster
+    a folder that the driver alone can see would lose data, so none is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
@@ -99,18 +95,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tierlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
-def within_bound(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; the probe reads at most
-    ``max_rows + 1`` rows (``limit(n + 1).count()``)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def literal_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed dimension table from code constants; its size is known, so it is broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -100,7 +100,7 @@ def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "_blk", "_id0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     return raw.join(splits, ["file", "_blk"]).select(
-        "file", (F.col("_off") + F.col("_id") - F.col("_id0")).cast("int").alias("seq"), "line")
+        "file", (F.col("_off") + F.col("_id") - F.col("_id0")).cast("bigint").alias("seq"), "line")
 
 
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -120,12 +120,12 @@ def read_session_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     files without a header line are rejected (left-semi on headers)."""
     rows = read_session_lines(spark, path)
     headers = rows.filter(F.col("e.type") == "header").select(
-        "file", F.col("e.id").alias("session_id"), F.col("e.cwd").alias("cwd"),
+        "file", "seq", F.col("e.id").alias("session_id"), F.col("e.cwd").alias("cwd"),
         F.col("e.timestamp").alias("created"), F.col("e.version").alias("version"))
     ents = rows.filter(F.col("e.type").isin(*ENTRY_TYPES[1:])).select("file", "seq", "e.*")
-    one_header = headers.groupBy("file").agg(F.max("session_id").alias("session_id"))
+    one_header = headers.groupBy("file").agg(F.max_by("session_id", "seq").alias("session_id"))
     entries = ents.join(one_header, "file")
-    return headers, entries
+    return headers.drop("seq"), entries
 
 
 def read_table_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ def write_session_logs(headers: DataFrame, entries: DataFrame, path: str) -> Non
     has_asst = entries.filter((F.col("type") == "message") & (F.col("role") == "assistant")).select("session_id").distinct()
     h = headers.join(has_asst, "session_id", "left_semi")
     e = entries.join(has_asst, "session_id", "left_semi")
-    cwd_key = F.regexp_replace(F.regexp_replace(F.col("cwd"), r"^/+", ""), r"[/\\:]", "-")
+    cwd_key = F.regexp_replace(F.regexp_replace(F.col("cwd"), r"[/\\]", "-"), "^-+|-+$", "")
     head_lines = h.select("session_id", cwd_key.alias("cwd_key"), F.lit(-1).cast("bigint").alias("seq"),
                           F.to_json(F.struct(F.lit("header").alias("type"), F.lit(1).alias("version"),
                                              F.col("session_id").alias("id"), F.col("created").alias("timestamp"),
@@ -88,13 +88,13 @@ def write_table_snapshots(df: DataFrame, columns: list[str], path: str, group_co
                           rows_per_doc: int = 10_000) -> None:
     """Columnar JSON snapshots ``{columns: [...], data: [[...], ...]}``, one
     per group of ``group_cols`` (the whole table when none), each split into
-    documents of about ``rows_per_doc`` rows (rows spread by a hash of their
-    values). Every document goes to its own file (``partitionBy`` on the
+    documents of at most ``rows_per_doc`` rows (consecutive rows of a partition).
+    Every document goes to its own file (``partitionBy`` on the
     document key), because a multi-line JSON file holds exactly one document."""
     groups = list(group_cols or [])
-    n_docs = max(1, -(-df.count() // rows_per_doc))
     row = F.array(*[F.col(c).cast("string") for c in columns])
-    doc = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(n_docs))
+    # the id counts the rows of a partition from partition * 2^33 on
+    doc = F.floor(F.monotonically_increasing_id() / rows_per_doc).cast("bigint")
     snap = df.groupBy(*groups, doc.alias("doc")).agg(F.to_json(F.struct(
         F.array(*[F.lit(c) for c in columns]).alias("columns"), F.collect_list(row).alias("data"))).alias("value"))
     snap.write.mode("overwrite").partitionBy(*groups, "doc").text(path)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,9 @@ def retrain_step(spark: SparkSession, batch_id: int, accepted_path: str, archive
     try:
         archived = spark.read.schema(T.StructType(schema.fields + [T.StructField("archive_ts", T.StringType())])).json(archive_path) \
                         .filter(F.col("archive_ts") != f"batch-{batch_id}")
-    except Exception:  # noqa: BLE001 - nothing archived yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing folder means that nothing is archived yet
+            raise
         archived = entries.limit(0).withColumn("archive_ts", F.lit(None).cast("string"))
     open_rows = fb.open_rows(entries, archived, key_cols)
     n_open = open_rows.count()
