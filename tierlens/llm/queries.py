@@ -36,6 +36,19 @@ def _kind_count(kind: int):
     return F.size(F.filter("base", lambda s: s.k == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
 
 
+# every 50-word window by its hash; words of windows that start in a smaller document go
+ORACLES["op1_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+     first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING count(*) > 1),
+     gone AS (SELECT DISTINCT win.doc_id, win.i + k.range AS p FROM win JOIN first USING (h), range(50) k WHERE m < win.doc_id),
+     word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+     kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+     n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 @query
 def op2_pii(spark, sf_dir):
     """Spans of personal data."""
@@ -66,12 +79,45 @@ def op7_suffix_dedup(spark, sf_dir):
                     F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# bytes as hexadecimal digits, two each
+ORACLES["op7_suffix_dedup"] = r"""
+WITH b AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+     win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 100)) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 48)) AS i FROM b)),
+     first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING count(*) > 1),
+     hit AS (SELECT win.doc_id, win.i FROM win JOIN first USING (h) WHERE m < win.doc_id),
+     run AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM hit),
+     span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM run) GROUP BY doc_id, g),
+     gap AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM span),
+     part AS (SELECT b.doc_id, prev AS p, substr(x, 2 * prev - 1, 2 * (a - prev)) AS s FROM gap JOIN b USING (doc_id)
+              UNION ALL SELECT b.doc_id, z, substr(x, 2 * z - 1) FROM (SELECT doc_id, max(z) AS z FROM span GROUP BY doc_id) JOIN b USING (doc_id)),
+     kept AS (SELECT doc_id, string_agg(s, '' ORDER BY p) AS x FROM part GROUP BY doc_id),
+     n AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.x, b.x))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 @query
 def op9_near_dedup(spark, sf_dir):
     """Components of documents whose 3-word shingle sets are at least 85 % alike."""
     return near_dedup(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+# exact: pairs by their shared shingles, components by repeated smallest neighbours
+ORACLES["op9_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+     n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+     pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.c + b.c - common)),
+     edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+     reach(doc_id, r) AS (SELECT x, x FROM edge UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.r = edge.x),
+     comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.c, 0) AS n_shingles, coalesce(comp.c, w.doc_id) AS component_id, coalesce(comp.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
+
+
 @query
 def op4_multiset_hash(spark, sf_dir):
     """Fingerprints of texts and edited texts and their likeness."""
