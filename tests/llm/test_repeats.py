@@ -56,6 +56,16 @@ def test_small_blocks_and_buckets(messy, messy_rows, monkeypatch, op, units, joi
     assert got == brute([r[:2] for r in messy_rows], units, join)
 
 
+@pytest.mark.parametrize("op,units,join", [WORDS, BYTES])
+def test_several_blocks_to_a_range(messy, messy_rows, monkeypatch, op, units, join):
+    from tierlens.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 5_000)
+    monkeypatch.setattr(repeats, "MOST_RANGES", 3)
+    got = sorted(as_shown(result(op(messy))), key=str)
+    assert got == brute([r[:2] for r in messy_rows], units, join)
+
+
 @pytest.mark.parametrize("op,units,join", [WORDS, BYTES])
 def test_table_against_brute_force(spark, sf_dir, op, units, join):
     docs = read(spark, sf_dir, "documents")

@@ -20,12 +20,10 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlens.llm.tables import keyed, pieces, shown, text_bytes
+from tierlens.llm.tables import MOST_RANGES, id_bounds, keyed, pieces, range_of, shown, text_bytes
 
 LANES = 32
 FIELDS, FIELD_BITS = 4, 12
@@ -33,8 +31,8 @@ FIELDS, FIELD_BITS = 4, 12
 _MODULUS = 1 << 62
 _MASK = (0x3FFF << 48) | sum(1 << (FIELD_BITS * i) for i in range(FIELDS))
 
-#: Text of one range of ids, about, and the most ranges there are.
-RANGE_BYTES, MOST_RANGES = 8_000_000, 10_000
+#: Text of one range of ids, about.
+RANGE_BYTES = 8_000_000
 
 PIECE_END = r"\n|(?<=[.!?])[ \t]+"
 
@@ -79,23 +77,6 @@ def likeness(a: Column, b: Column, proj_a: Column, proj_b: Column) -> Column:
     return F.when(a == b, 1.0).when(size > 0, F.least(F.greatest(dot(proj_a, proj_b) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most ``value``, found in two steps of about sqrt(n) comparisons."""
-    def at_most(array: Column) -> Column:
-        return F.size(F.filter(array, lambda b: b <= value))
-
-    def numbers(xs: list[int]) -> Column:
-        return F.array(*[F.lit(x).cast("bigint") for x in xs])
-
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) or 1
-    groups = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    high = at_most(numbers([g[0] for g in groups]))
-    low = at_most(F.element_at(F.array(*[numbers(g) for g in groups]), F.greatest(high, F.lit(1))))
-    return F.when(high == 0, 0).otherwise((high - 1) * step + low)
-
-
 def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
     """``docs`` (doc_id, text without null, ...) with ``next_<col>`` of the next
     row by descending doc_id, cyclically; equal ids by a hash of the text.
@@ -106,9 +87,7 @@ def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
     last. No global window, and texts are shuffled once.
     """
     ranges = min(MOST_RANGES, pieces(text_bytes(docs), RANGE_BYTES))
-    at = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges)).first()[0] if at else []
-    docs = docs.withColumn("__range", _range_of(F.col("doc_id"), sorted(set(found or [])))).withColumn("__tie", F.xxhash64("text"))
+    docs = docs.withColumn("__range", range_of(F.col("doc_id"), id_bounds(docs, ranges))).withColumn("__tie", F.xxhash64("text"))
     every = Window.partitionBy(F.lit(0))  # over one row per range: at most MOST_RANGES
     heads = docs.groupBy("__range").agg(F.max("doc_id").alias("doc_id")).withColumn(
         "__to", F.coalesce(F.lead("__range").over(every.orderBy("__range")), F.min("__range").over(every)))

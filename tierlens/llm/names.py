@@ -24,8 +24,8 @@ BUCKET_NAMES = 2_000_000
 SENT = "block long, bucket int, kind int, names binary, ranks binary, ids binary"
 ANSWER = "block long, bucket int, kind int, bits binary"
 
-#: kind of a row: names on their way, an answer to them, a row only passed through.
-NAMES, CARRY = 0, 1
+#: kind of a row: names, a row only passed through, names whose blocks are in document order.
+NAMES, CARRY, ORDERED = 0, 1, 3
 
 
 def bucket_bits(expected: int) -> int:
@@ -59,7 +59,7 @@ def _cuts(names: np.ndarray, bits: int) -> np.ndarray:
 
 
 def send(block: int, names: np.ndarray, bits: int, ranks: np.ndarray | None = None,
-         ids: np.ndarray | None = None, low: int = 0) -> Iterator[pd.DataFrame]:
+         ids: np.ndarray | None = None, low: int = 0, kind: int = NAMES) -> Iterator[pd.DataFrame]:
     """Rows of :data:`SENT` for a block's sorted distinct names.
 
     ``ranks[i]`` is the index in ``ids`` of the smallest document of name i;
@@ -69,7 +69,7 @@ def send(block: int, names: np.ndarray, bits: int, ranks: np.ndarray | None = No
     for b in np.flatnonzero(np.diff(at)):
         s = slice(at[b], at[b + 1])
         yield pd.DataFrame({
-            "block": [block], "bucket": [int(b)], "kind": [NAMES], "names": [pack(names[s] >> np.uint64(low))],
+            "block": [block], "bucket": [int(b)], "kind": [kind], "names": [pack(names[s] >> np.uint64(low))],
             "ranks": [None if ranks is None else _pack16(ranks[s])],
             "ids": [None if ids is None else ids.astype(np.int64).tobytes()]})
 
@@ -81,18 +81,19 @@ def carry(block: int, bits: int, payload: bytes) -> pd.DataFrame:
 
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge one bucket. Bit i of an answer: without ids, another block sent
-    the same name; with ids, another block has a smaller document for it."""
+    """Merge one bucket. Bit i of an answer: another block sent the same name;
+    for ordered names, a smaller block did; with ids, another block has a
+    smaller document for it."""
     out = pdf[pdf.kind == CARRY].rename(columns={"names": "bits"})[["block", "bucket", "kind", "bits"]]
-    rows = pdf[pdf.kind == NAMES]
+    rows = pdf[pdf.kind != CARRY]
     if not len(rows):
         return out
     lists = [unpack(x) for x in rows.names]
     lengths = np.array([len(x) for x in lists])
     names = np.concatenate(lists)
     del lists
-    with_ids = rows.ids.iloc[0] is not None
-    order = np.argsort(names, kind="stable")
+    ordered, with_ids = rows.kind.iloc[0] == ORDERED, rows.ids.iloc[0] is not None
+    order = np.argsort(names)
     sorted_names = names[order]
     first = np.concatenate(([True], sorted_names[1:] != sorted_names[:-1]))
     start = np.flatnonzero(first)
@@ -100,6 +101,9 @@ def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     if with_ids:
         docs = np.concatenate([np.frombuffer(i, np.int64)[_unpack16(r)] for i, r in zip(rows.ids, rows.ranks)])[order]
         flag = docs > np.minimum.reduceat(docs, start)[group]
+    elif ordered:
+        block = np.repeat(rows.block.to_numpy(), lengths)[order]
+        flag = block > np.minimum.reduceat(block, start)[group]
     else:
         flag = np.diff(np.append(start, len(names)))[group] > 1
     bits = np.empty(len(names), dtype=bool)

@@ -6,17 +6,17 @@ for shared substrings are formed; what runs on Spark is the same:
 
 1. every whole text gets a SHA-256 digest; equal texts collapse to the row
    with the smallest id (a copy of 50 units or more is covered entirely);
-2. texts travel once, grouped into blocks by digest;
+2. texts travel once, grouped into blocks of neighbouring ids;
 3. each block sends local names (:mod:`tierlens.llm.names`) and learns which
    other blocks hold them too: windows without shared names are done;
-4. windows still open are named by their whole content (64-bit hash) and sent
-   with their smallest document; the answer says which ones start in a
-   smaller document elsewhere;
+4. windows still open are named by their whole content (64-bit hash) and sent;
+   as blocks are in the order of ids, the answer says which ones start in a
+   smaller block, and inside a block the documents themselves tell;
 5. the block cuts the covered units out of its texts.
 
 Texts and blocks are processed whole; nothing is capped. The same exchange of
-texts serves steps 3 to 5. A text with millions of copies travels once per
-input partition and otherwise as one small row per copy.
+texts serves steps 3 to 5. Copies of a text travel with their own blocks, so
+millions of them are spread over all blocks; one block keeps the text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlens.llm import names as nm
-from tierlens.llm.tables import keyed, pieces, save
+from tierlens.llm.tables import MOST_RANGES, id_bounds, keyed, pieces, range_of, save
 from tierlens.llm.words import utf8
 
 #: Bytes of text in a block, about.
@@ -96,42 +96,54 @@ def _digests(window: int, method: Method):
 
 
 def _texts(parts):
-    """Each text of a partition once, packed."""
-    seen: set[bytes] = set()
+    """Each text of a partition once for every block it goes to, packed."""
+    seen: set[tuple[int, bytes]] = set()
     pack = zstandard.ZstdCompressor(level=3)
     for pdf in parts:
-        digest, body = [], []
-        for t in pdf.text:
+        block, digest, body = [], [], []
+        for b, t in zip(pdf.block.tolist(), pdf.text):
             raw = utf8(t)
             d = hashlib.sha256(raw).digest()
-            if d[:16] not in seen:
-                seen.add(d[:16])
+            if (b, d[:16]) not in seen:
+                seen.add((b, d[:16]))
+                block.append(b)
                 digest.append(d)
                 body.append(pack.compress(raw))
-        yield pd.DataFrame({"digest": digest, "body": body})
+        yield pd.DataFrame({"block": block, "digest": digest, "body": body})
 
 
-def _load(method: Method, texts: pd.DataFrame) -> tuple[list[bytes], dict]:
-    """Each distinct text of a block once, in digest order."""
-    texts = texts.drop_duplicates("digest").sort_values("digest")
+def _load(method: Method, texts: pd.DataFrame, rows: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The texts that have their smallest id in this block, by that id: (flat
+    arrays, ids, rows that are shown for each). Copies of other blocks' texts go."""
+    texts = texts.drop_duplicates("digest").merge(rows.loc[rows.kind == _REP, ["digest", "rep", "copies"]], on="digest").sort_values(["rep", "digest"])
     unpack = zstandard.ZstdDecompressor()
-    return list(texts.digest), method.prepare([unpack.decompress(b) for b in texts.body])
+    return method.prepare([unpack.decompress(b) for b in texts.body]), texts.rep.to_numpy(np.int64), texts.copies.to_numpy(np.int64)
 
 
-def shared_inside(names: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct names, and whether two texts of the block hold each."""
+def shared_inside(names: np.ndarray, texts: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names, and whether two texts of the block hold each. The
+    names' lowest ``low`` bits are zero and take the text's number for one sort."""
     if not len(names):
         return names, np.empty(0, bool)
-    order = np.argsort(names, kind="stable")
-    names, texts = names[order], texts[order]
-    start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-    return names[start], np.minimum.reduceat(texts, start) != np.maximum.reduceat(texts, start)
+    both = np.sort(names | texts.astype(np.uint64))
+    names = both >> np.uint64(low)
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    last = np.append(first[1:], len(names)) - 1
+    return names[first] << np.uint64(low), both[first] != both[last]
 
 
 def whole_windows(block: dict, window: int) -> np.ndarray:
     """For every unit: does a window that starts here end in the same text?"""
-    n = block["starts"][-1]
-    return np.arange(n) + window <= np.repeat(block["starts"][1:], np.diff(block["starts"]))
+    ok = np.ones(block["starts"][-1], bool)
+    for a, z in zip(block["starts"][:-1].tolist(), block["starts"][1:].tolist()):
+        ok[max(a, z - window + 1):z] = False
+    return ok
+
+
+def covering(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """For n places: does one of the ranges [first, end) hold it?"""
+    step = np.bincount(first, minlength=n + 1)[:n + 1] - np.bincount(end, minlength=n + 1)[:n + 1]
+    return np.cumsum(step[:n]) > 0
 
 
 def text_of_unit(block: dict) -> np.ndarray:
@@ -143,11 +155,13 @@ def _second_names(method: Method, block: dict, open_: np.ndarray, reps: np.ndarr
     names, the smallest document (as rank in the sorted ids) of each."""
     all_names = method.window_names(block, open_)
     ids = np.unique(reps)
-    rank = np.searchsorted(ids, reps)[text_of_unit(block)[open_]] if len(open_) else np.empty(0, np.int64)
-    order = np.lexsort((rank, all_names))
+    if not len(open_):
+        return all_names, np.empty(0, np.int64), all_names, np.empty(0, np.int64), ids
+    rank = np.searchsorted(ids, reps)[text_of_unit(block)[open_]]
+    order = np.argsort(all_names)
     s = all_names[order]
-    first = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
-    return all_names, rank, s[first], rank[order][first], ids
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return all_names, rank, s[first], np.minimum.reduceat(rank[order], first), ids
 
 
 def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
@@ -167,53 +181,58 @@ def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
             .select("digest", F.col("r.doc_id").alias("rep"), F.col("r.copies").alias("copies")))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = pieces(total, BLOCK_BYTES)
+    ranges = min(n_blocks, MOST_RANGES)
+    bounds, n_sub = id_bounds(base, ranges), pieces(n_blocks, ranges)
+    ordered = n_sub == 1
+
+    def block_of(doc_id: str):
+        """Ranges of ids, so that a smaller block has smaller ids; beyond the most
+        ranges there are, a range's documents are dealt to several blocks."""
+        at = range_of(F.col(doc_id), bounds)
+        return (at if ordered else at * n_sub + F.pmod(F.xxhash64(doc_id), F.lit(n_sub))).cast("bigint").alias("block")
+
     bits1 = nm.bucket_bits(int(total * method.names_per_byte))
     bits2 = nm.bucket_bits(int(total * method.windows_per_byte))
-    block_of = F.pmod(F.xxhash64("digest"), F.lit(n_blocks))
-    texts = base.mapInPandas(_texts, "digest binary, body binary").withColumn("block", block_of)
+    texts = base.select(block_of("doc_id"), "text").mapInPandas(_texts, "block long, digest binary, body binary")
 
     rep_rows = reps.select(
-        block_of.alias("block"), F.lit(_REP).alias("kind"), F.lit(0).alias("bucket"), "digest", "rep", "copies",
+        block_of("rep"), F.lit(_REP).alias("kind"), F.lit(0).alias("bucket"), "digest", "rep", "copies",
         F.lit(None).cast("binary").alias("bits"))
 
     def side(answers: DataFrame) -> DataFrame:
         none = F.lit(0).cast("bigint")  # not null: pandas would turn the ids into floats
         return rep_rows.unionByName(answers.withColumns({"rep": none, "copies": none}), allowMissingColumns=True)
 
-    def first_frame(texts_: pd.DataFrame) -> pd.DataFrame:
-        _, b = _load(method, texts_)
+    def first_frame(texts_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts_):
+            return _NOTHING
+        b, _, _ = _load(method, texts_, rows)
         found, _ = method.local_names(b)
         parts = list(nm.send(int(texts_.block.iloc[0]), found, bits1, low=method.low))
         return pd.concat(parts) if parts else _NOTHING
 
-    def rep_of(digests: list[bytes], rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        r = rows[rows.kind == _REP]
-        known = dict(zip(r.digest, zip(r.rep, r.copies)))
-        both = [known[d] for d in digests]
-        return np.array([x[0] for x in both], np.int64), np.array([x[1] for x in both], np.int64)
-
     def second_frame(texts_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(texts_):
             return _NOTHING
         block = int(texts_.block.iloc[0])
-        digests, b = _load(method, texts_)
+        b, reps_, _ = _load(method, texts_, rows)
         found, inside = method.local_names(b)
         told = nm.received(rows[rows.kind == _ANSWER], found, bits1)
         open_ = method.candidates(b, found[told | inside])
         if not len(open_):
             return _NOTHING
-        _, _, distinct, rank, ids = _second_names(method, b, open_, rep_of(digests, rows)[0])
-        parts = list(nm.send(block, distinct, bits2, ranks=rank, ids=ids))
+        _, _, distinct, rank, ids = _second_names(method, b, open_, reps_)
+        parts = list(nm.send(block, distinct, bits2, kind=nm.ORDERED) if ordered else
+                     nm.send(block, distinct, bits2, ranks=rank, ids=ids))
         parts.append(nm.carry(block, bits2, zstandard.compress(nm.pack(open_))))
         return pd.concat(parts)
 
     def last_frame(texts_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(texts_):
-            digests, b = _load(method, texts_)
-            ids, copies = rep_of(digests, rows)
+            b, ids, copies = _load(method, texts_, rows)
             starts, n = b["starts"], b["starts"][-1]
-            gone = np.zeros(n + 1, np.int32)
+            hit = np.empty(0, np.int64)
             carried = rows[rows.kind == _CARRY]
             if len(carried):
                 open_ = nm.unpack(zstandard.decompress(carried.bits.iloc[0])).astype(np.int64)
@@ -221,9 +240,7 @@ def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
                 told = nm.received(rows[rows.kind == _ANSWER], distinct, bits2)
                 at = np.searchsorted(distinct, all_names)
                 hit = open_[told[at] | (rank > least[at])]
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + window, -1)
-            covered = np.cumsum(gone[:-1]) > 0
+            covered = covering(hit, hit + window, n)
             for k, (i, c) in enumerate(zip(ids, copies)):
                 cut = covered[starts[k]:starts[k + 1]]
                 edge = np.diff(np.concatenate(([0], cut.view(np.int8), [0])))
@@ -231,7 +248,8 @@ def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
                 out.append((int(i), int(c), len(cut), int(cut.sum()), runs, method.join(method.parse(b["raws"][k]), ~cut)))
         return pd.DataFrame(out, columns=["doc_id", "copies", "n_units", "n_removed", "spans", "kept"])
 
-    answers1 = texts.groupBy("block").applyInPandas(first_frame, nm.SENT).groupBy("bucket").applyInPandas(nm.answer, nm.ANSWER)
+    answers1 = (texts.groupBy("block").cogroup(rep_rows.groupBy("block")).applyInPandas(first_frame, nm.SENT)
+                .groupBy("bucket").applyInPandas(nm.answer, nm.ANSWER))
     answers2 = (texts.groupBy("block").cogroup(side(answers1).groupBy("block")).applyInPandas(second_frame, nm.SENT)
                 .groupBy("bucket").applyInPandas(nm.answer, nm.ANSWER))
     own = texts.groupBy("block").cogroup(side(answers2).groupBy("block")).applyInPandas(last_frame, RESULT)

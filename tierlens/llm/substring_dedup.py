@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tierlens.llm.repeats import Method, remove_repeats, shared_inside, text_of_unit, whole_windows
+from tierlens.llm.repeats import Method, covering, remove_repeats, shared_inside, text_of_unit, whole_windows
 from tierlens.llm.words import WordTable, mix, rolling, word_hashes
 
 #: Rounds of run and pair naming; a symbol then stands for about 2.4 words.
@@ -95,7 +95,7 @@ class Recompression(Method):
         table = WordTable()
         each = [word_hashes(r.split(), table) for r in raws]
         starts = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-        b = {"raws": raws, "starts": starts, "words": np.concatenate(each)}
+        b = {"raws": raws, "starts": starts, "words": np.concatenate([np.empty(0, np.uint64), *each])}
         sym, text, lo, hi = recompress(b["words"], text_of_unit(b))
         use = (lo >= 0) & (hi - lo < self.window)
         b["symbols"] = (sym[use] >> np.uint64(self.low)) << np.uint64(self.low), text[use], lo[use], hi[use]
@@ -103,19 +103,17 @@ class Recompression(Method):
 
     def local_names(self, block):
         sym, text, _, _ = block["symbols"]
-        return shared_inside(sym, text)
+        return shared_inside(sym, text, self.low)
 
     def candidates(self, block, shared):
         sym, _, lo, hi = block["symbols"]
         at = np.minimum(np.searchsorted(shared, sym), max(len(shared) - 1, 0))
         alone = shared[at] != sym if len(shared) else np.ones(len(sym), bool)
-        step = np.zeros(block["starts"][-1] + 1, np.int64)
-        np.add.at(step, np.maximum(hi[alone] - self.window + 1, 0), 1)
-        np.add.at(step, lo[alone] + 1, -1)
-        return np.flatnonzero((np.cumsum(step[:-1]) == 0) & whole_windows(block, self.window))
+        out = covering(np.maximum(hi[alone] - self.window + 1, 0), lo[alone] + 1, block["starts"][-1])
+        return np.flatnonzero(~out & whole_windows(block, self.window))
 
     def window_names(self, block, starts):
-        return rolling(block["words"], self.window)[starts]
+        return mix(rolling(block["words"], self.window)[starts])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

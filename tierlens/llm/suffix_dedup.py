@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tierlens.llm.repeats import Method, remove_repeats, shared_inside, text_of_unit, whole_windows
+from tierlens.llm.repeats import Method, covering, remove_repeats, shared_inside, text_of_unit, whole_windows
 from tierlens.llm.words import mix, rolling
 
 #: A perfect difference set: each non-zero difference modulo 21 occurs once.
@@ -56,25 +56,23 @@ class DifferenceCover(Method):
         sampled = np.zeros(PERIOD, bool)
         sampled[list(COVER)] = True
         at = np.flatnonzero(np.resize(sampled, n) & whole_windows(block, width)) if n else np.empty(0, np.int64)
-        names = rolling(_BYTE[block["bytes"]], width)[at]
+        names = mix(rolling(_BYTE[block["bytes"]], width)[at])
         return at, (names >> np.uint64(self.low)) << np.uint64(self.low)
 
     def local_names(self, block):
         at, names = self._samples(block)
-        return shared_inside(names, text_of_unit(block)[at])
+        return shared_inside(names, text_of_unit(block)[at], self.low)
 
     def candidates(self, block, shared):
         at, names = self._samples(block)
         if not len(shared):
             return np.empty(0, np.int64)
         hit = at[shared[np.minimum(np.searchsorted(shared, names), len(shared) - 1)] == names]
-        step = np.zeros(block["starts"][-1] + 1, np.int32)
-        np.add.at(step, np.maximum(hit - PERIOD + 1, 0), 1)
-        np.add.at(step, hit + 1, -1)
-        return np.flatnonzero((np.cumsum(step[:-1]) > 0) & whole_windows(block, self.window))
+        near = covering(np.maximum(hit - PERIOD + 1, 0), hit + 1, block["starts"][-1])
+        return np.flatnonzero(near & whole_windows(block, self.window))
 
     def window_names(self, block, starts):
-        return rolling(_BYTE[block["bytes"]], self.window)[starts]
+        return mix(rolling(_BYTE[block["bytes"]], self.window)[starts])
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

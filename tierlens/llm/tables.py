@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlens.runtime import scratch_dir
@@ -50,3 +50,31 @@ def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` (null included) is among ``ids``, all columns unchanged."""
     ids = ids.select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+
+
+#: Ranges of ids at most: their bounds travel inside an expression.
+MOST_RANGES = 10_000
+
+
+def id_bounds(docs: DataFrame, ranges: int) -> list[int]:
+    """Bounds of about equally full ranges of ``doc_id`` (approximate quantiles), at most ``ranges`` - 1."""
+    at = [i / ranges for i in range(1, ranges)]
+    found = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges)).first()[0] if at else []
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many bounds are at most ``value``, found in two steps of about sqrt(n) comparisons."""
+    def at_most(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: b <= value))
+
+    def numbers(xs: list[int]) -> Column:
+        return F.array(*[F.lit(x).cast("bigint") for x in xs])
+
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) or 1
+    groups = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    high = at_most(numbers([g[0] for g in groups]))
+    low = at_most(F.element_at(F.array(*[numbers(g) for g in groups]), F.greatest(high, F.lit(1))))
+    return F.when(high == 0, 0).otherwise((high - 1) * step + low)

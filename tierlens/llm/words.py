@@ -67,7 +67,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def rolling(units: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k units from every position on (of those that have k), by
-    prefix sums of a polynomial modulo 2^64; the value depends on content only."""
+    prefix sums of a polynomial modulo 2^64; the value depends on content only.
+    Callers spread what they keep of it with :func:`mix`."""
     n = len(units)
     if n < k:
         return np.empty(0, np.uint64)
@@ -81,4 +82,4 @@ def rolling(units: np.ndarray, k: int) -> np.ndarray:
     power[:] = _INVERSE
     power[0] = 1
     out *= np.cumprod(power, out=power)
-    return mix(out)
+    return out
