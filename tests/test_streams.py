@@ -6,7 +6,13 @@ from tierlens.streaming import jobs as J
 
 class _State:
     def __init__(self):
-        self.value, self.exists = None, False
+        self.value, self.exists, self.hasTimedOut, self.timeout_ms = None, False, False, None
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout_ms = ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
 
     @property
     def get(self):
@@ -39,13 +45,26 @@ def test_batch_assembly_matches_stream_state_machine(spark):
     df = spark.createDataFrame(PARTS, ", ".join(f"{c} {'long' if c in ('stream_id', 'seq') else 'string'}" for c in COLS))
     for chunk in (2, 3, 1 << 20):
         blocks, msg = ST.assemble_messages(df, chunk)
-        got = sorted((r.position, r.kind, r.content, r.name) for r in blocks.collect())
+        got = sorted((r.position, r.kind, r.content, r.name, r.call_id, r.signature) for r in blocks.collect())
         st = _State()
-        pdf = pd.DataFrame(PARTS, columns=COLS)
+        pdf = pd.DataFrame(PARTS, columns=COLS).assign(ts_s=100)
         out = pd.concat(list(J._assemble_fn((1,), iter([pdf]), st)))
-        exp = sorted((int(r.position), r.kind, r.content, r.name) for r in out.itertuples())
+        exp = sorted((int(r.position), r.kind, r.content, r.name, r.call_id, r.signature) for r in out.itertuples())
         assert got == exp, chunk
         assert [(b[1], b[2]) for b in got] == [("text", "Hello"), ("thinking", "hmm"), ("text", "bye"),
                                                ("tool_call", '{"path": "/x"}'), ("tool_call", "{}")]
         m = msg.first()
         assert (m.n_tool_calls, m.stop_reason) == (2, "tool_use")
+
+
+def test_stream_without_done_is_emitted_after_silence_and_late_errors_open_nothing():
+    st = _State()
+    first = pd.DataFrame([p for p in PARTS[:4]], columns=COLS).assign(ts_s=[100, 101, 102, 103])
+    assert list(J._assemble_fn((1,), iter([first]), st)) == [] and st.exists and st.timeout_ms == (103 + J.SILENT_S) * 1000
+    st.hasTimedOut = True
+    out = pd.concat(list(J._assemble_fn((1,), iter([]), st)))
+    assert [(r.kind, r.content, r.signature) for r in out.itertuples()] == [("text", "Hello", None), ("thinking", "hmm", "sig")]
+    assert not st.exists
+    late = _State()
+    error = pd.DataFrame([(1, 11, "error", None, None, None, None, None, None)], columns=COLS).assign(ts_s=200)
+    assert list(J._assemble_fn((1,), iter([error]), late)) == [] and not late.exists

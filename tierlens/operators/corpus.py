@@ -229,29 +229,24 @@ def tail_truncate(df: DataFrame, key: str, text_col: str = "text", max_lines: in
                   max_bytes: int = TAIL_MAX_BYTES) -> DataFrame:
     """H8: keep the newest lines within 2000 lines and 50 KB (bytes of the
     kept lines plus one newline between them), stopping at the first line
-    that does not fit; returns kept text, kept and total line counts."""
+    that does not fit; returns kept text, kept and total line counts. Row by
+    row, from the last lines backwards; a null text is left out."""
     t = F.col(text_col)
     parts = F.split(t, "\n", -1)
-    base = df.select(key, t.alias("_t"), parts.alias("_l"), F.size(parts).alias("total_lines"))
+    base = df.filter(t.isNotNull()).select(key, t.alias("_t"), parts.alias("_l"), F.size(parts).alias("total_lines"))
     fits = (F.col("total_lines") <= max_lines) & (F.octet_length("_t") <= max_bytes)
-    small = base.filter(fits).select(key, F.col("_t").alias("kept_text"), F.col("total_lines").alias("kept_lines"),
-                                     "total_lines", F.lit(False).alias("truncated"))
-    big = base.filter(~fits)
-    lines = big.select(key, "total_lines", F.posexplode("_l").alias("_p", "line")).withColumn("_neg", -F.col("_p"))
-    # running sums from the last line backwards (chunked, so one huge text is split)
-    lines = ordered.scan(lines, key, "_neg", [("sum", F.octet_length("line") + 1, "_b1", True),
-                                              ("sum", F.lit(1), "_k", True)])
-    lines = lines.withColumn("_bytes", F.col("_b1") - 1)
-    kept = lines.filter((F.col("_bytes") <= max_bytes) & (F.col("_k") <= max_lines))
-    agg = kept.groupBy(key, "total_lines").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "line"))), lambda x: x["line"]), "\n")
-         .alias("kept_text"), F.count(F.lit(1)).alias("kept_lines"))
-    none_kept = big.select(key, "total_lines").join(agg.select(key), key, "left_anti") \
-                   .select(key, F.lit("").alias("kept_text"), F.lit(0).cast("bigint").alias("kept_lines"), "total_lines")
-    trunc = agg.select(key, "kept_text", "kept_lines", "total_lines").unionByName(none_kept) \
-               .withColumn("truncated", F.lit(True))
-    return small.withColumn("kept_lines", F.col("kept_lines").cast("bigint")).unionByName(
-        trunc.withColumn("kept_lines", F.col("kept_lines").cast("bigint")))
+    newest = F.reverse(F.slice("_l", F.greatest(F.col("total_lines") - max_lines + 1, F.lit(1)), max_lines))
+
+    def take(acc: Column, line: Column) -> Column:
+        room = acc["open"] & (acc["bytes"] + F.octet_length(line) <= max_bytes)
+        return F.when(room, F.struct((acc["bytes"] + F.octet_length(line) + 1).alias("bytes"), (acc["lines"] + 1).alias("lines"), F.lit(True).alias("open"))) \
+                .otherwise(F.struct(acc["bytes"].alias("bytes"), acc["lines"].alias("lines"), F.lit(False).alias("open")))
+
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("lines"), F.lit(True).alias("open"))
+    kept = F.when(fits, F.col("total_lines")).otherwise(F.aggregate(newest, start, take, lambda acc: acc["lines"]))
+    base = base.withColumn("_k", kept)
+    text = F.when(fits, F.col("_t")).otherwise(F.array_join(F.slice("_l", F.col("total_lines") - F.col("_k") + 1, F.col("_k")), "\n"))
+    return base.select(key, text.alias("kept_text"), F.col("_k").cast("bigint").alias("kept_lines"), "total_lines", (~fits).alias("truncated"))
 
 
 def head_truncate(text: Column, max_lines: int) -> Column:

@@ -207,8 +207,8 @@ small AS (SELECT doc_id, md5(text) AS kept_md5, CAST(total_lines AS BIGINT) AS k
 big AS (SELECT doc_id, total_lines, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM s WHERE NOT (total_lines <= 2000 AND nbytes <= 51200)),
 rb AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS b,
               row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS k FROM big),
-kept AS (SELECT doc_id, total_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS kept_md5, count(*) AS kept_lines
-         FROM rb WHERE b <= 51200 AND k <= 2000 GROUP BY doc_id, total_lines)
+kept AS (SELECT s.doc_id, s.total_lines, md5(coalesce(string_agg(line, chr(10) ORDER BY pos), '')) AS kept_md5, count(line) AS kept_lines
+         FROM (SELECT DISTINCT doc_id, total_lines FROM big) s LEFT JOIN rb ON rb.doc_id = s.doc_id AND b <= 51200 AND k <= 2000 GROUP BY s.doc_id, s.total_lines)
 SELECT * FROM small
 UNION ALL SELECT doc_id, kept_md5, CAST(kept_lines AS BIGINT), CAST(total_lines AS BIGINT), true FROM kept""")
 def h8_tail_truncate(spark, sf_dir):

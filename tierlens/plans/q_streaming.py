@@ -213,7 +213,8 @@ def _parts(spark, sf_dir):
     word_parts = words.select("stream_id", F.col("seq").cast("bigint").alias("seq"),
                               F.when(F.col("seq") % 11 >= 3, F.when(F.col("seq") % 11 <= 4, "think").otherwise("text"))
                                .otherwise("text").alias("part_type"),
-                              F.concat("w", F.lit(" ")).alias("text"))
+                              F.concat("w", F.lit(" ")).alias("text"),
+                              F.when(F.col("seq") % 11 == 4, F.concat(F.lit("sig-"), F.col("seq").cast("string"))).alias("signature"))
     n = c.select("stream_id", "k", F.size(F.split("text", " ", -1)).cast("bigint").alias("n"),
                  F.regexp_replace("text", "[^a-zA-Z ]", "").alias("clean"))
     args = F.when(F.col("k") % 4 == 2, F.concat(F.lit('{"path": '), "clean")) \
@@ -222,7 +223,7 @@ def _parts(spark, sf_dir):
     n_chunks = F.floor((F.length("args") + _CHUNK - 1) / _CHUNK).cast("int")
     calls = n.filter(F.col("args").isNotNull())
     start = calls.select("stream_id", F.col("n").alias("seq"), F.lit("tool_call_start").alias("part_type"),
-                         F.lit("write").alias("name"))
+                         F.lit("write").alias("name"), F.concat(F.lit("call-"), F.col("stream_id").cast("string")).alias("call_id"))
     deltas = calls.select("stream_id", "n", "args", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("j")).select(
         "stream_id", (F.col("n") + 1 + F.col("j")).alias("seq"), F.lit("tool_call_delta").alias("part_type"),
         F.expr(f"substring(args, {_CHUNK} * j + 1, {_CHUNK})").alias("args_delta"))
@@ -254,11 +255,12 @@ tl AS (SELECT am.stream_id, am.k, am.n, coalesce(CAST(ceil(length(ca.args) / 16.
        FROM am LEFT JOIN ca ON am.stream_id = ca.stream_id),
 parts AS (
   SELECT stream_id, CAST(seq AS BIGINT) AS seq, CASE WHEN seq % 11 IN (3, 4) THEN 'think' ELSE 'text' END AS part_type,
-         concat(w, ' ') AS text, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS args_delta, CAST(NULL AS VARCHAR) AS stop_reason FROM wd
-  UNION ALL SELECT stream_id, n, 'tool_call_start', NULL, 'write', NULL, NULL FROM ca
-  UNION ALL SELECT stream_id, n + 1 + j, 'tool_call_delta', NULL, NULL, substring(args, 16 * j + 1, 16), NULL FROM ch
-  UNION ALL SELECT stream_id, n + extra, 'error', NULL, NULL, NULL, NULL FROM tl WHERE k % 5 = 0
-  UNION ALL SELECT stream_id, n + extra + 1, 'done', NULL, NULL, NULL, 'stop' FROM tl)
+         concat(w, ' ') AS text, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS args_delta, CAST(NULL AS VARCHAR) AS stop_reason,
+         CAST(NULL AS VARCHAR) AS call_id, CASE WHEN seq % 11 = 4 THEN concat('sig-', CAST(seq AS VARCHAR)) END AS signature FROM wd
+  UNION ALL SELECT stream_id, n, 'tool_call_start', NULL, 'write', NULL, NULL, concat('call-', CAST(stream_id AS VARCHAR)), NULL FROM ca
+  UNION ALL SELECT stream_id, n + 1 + j, 'tool_call_delta', NULL, NULL, substring(args, 16 * j + 1, 16), NULL, NULL, NULL FROM ch
+  UNION ALL SELECT stream_id, n + extra, 'error', NULL, NULL, NULL, NULL, NULL, NULL FROM tl WHERE k % 5 = 0
+  UNION ALL SELECT stream_id, n + extra + 1, 'done', NULL, NULL, NULL, 'stop', NULL, NULL FROM tl)
 """
 
 _BLOCKS_SQL = _PARTS_SQL + """,
@@ -267,21 +269,21 @@ cp AS (SELECT *, CASE part_type WHEN 'text' THEN 'text' WHEN 'think' THEN 'think
 nb AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR lag(kind) OVER w <> kind OR part_type = 'tool_call_start' THEN 1 ELSE 0 END AS nb
        FROM cp WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
 bi AS (SELECT *, sum(nb) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block_id FROM nb),
-bl AS (SELECT stream_id, block_id, min(kind) AS kind, max(name) AS name,
+bl AS (SELECT stream_id, block_id, min(kind) AS kind, max(name) AS name, max(call_id) AS call_id, arg_max(signature, CASE WHEN signature <> '' THEN seq END) AS signature,
               string_agg(CASE WHEN kind = 'tool_call' THEN coalesce(args_delta, '') ELSE coalesce(text, '') END, '' ORDER BY seq) AS c
        FROM bi GROUP BY stream_id, block_id),
-blocks AS (SELECT stream_id, CASE WHEN kind = 'tool_call' THEN 1099511627776 + block_id ELSE block_id END AS position, kind, name,
+blocks AS (SELECT stream_id, CASE WHEN kind = 'tool_call' THEN 1099511627776 + block_id ELSE block_id END AS position, kind, name, call_id, signature,
                   CASE WHEN kind <> 'tool_call' THEN c WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN c ELSE '{}' END AS content FROM bl)
 """
 
 
 @query("i5_assemble_batch", _BLOCKS_SQL + """
-SELECT stream_id, CAST(position AS BIGINT) AS position, kind, name, md5(content) AS content_md5 FROM blocks""")
+SELECT stream_id, CAST(position AS BIGINT) AS position, kind, name, call_id, signature, md5(content) AS content_md5 FROM blocks""")
 def i5_assemble_batch(spark, sf_dir):
     """Streamed parts of every assistant message assembled into content blocks (batch twin)."""
     blocks, _msg = ST.assemble_messages(_parts(spark, sf_dir))
     return blocks.select("stream_id", F.col("position").cast("bigint").alias("position"), "kind", "name",
-                         F.md5("content").alias("content_md5"))
+                         "call_id", "signature", F.md5("content").alias("content_md5"))
 
 
 @query("i5_assemble_messages", _PARTS_SQL + """
@@ -301,17 +303,18 @@ _PART_SCHEMA = T.StructType([T.StructField("stream_id", T.LongType()), T.StructF
                              T.StructField("part_type", T.StringType()), T.StructField("text", T.StringType()),
                              T.StructField("signature", T.StringType()), T.StructField("call_id", T.StringType()),
                              T.StructField("name", T.StringType()), T.StructField("args_delta", T.StringType()),
-                             T.StructField("stop_reason", T.StringType())])
+                             T.StructField("stop_reason", T.StringType()), T.StructField("ts_s", T.LongType())])
 
 
 @query("i5_assemble_stream", None)
 def i5_assemble_stream(spark, sf_dir):
     """The same parts streamed in seq slices, folded into blocks in keyed state."""
     w = H.workdir(spark, "assemble")
-    rp = H.stage_slices(_parts(spark, sf_dir), w["input"], "seq")
+    timed = _parts(spark, sf_dir).withColumn("ts_s", F.lit(1704067200) + F.col("seq"))
+    rp = H.stage_slices(timed, w["input"], "seq")
     H.run_to_parquet(J.assemble_stream(H.file_stream(spark, w["input"], _PART_SCHEMA)), w["out"], w["ckpt"], replay=rp)
     out = spark.read.parquet(w["out"])
-    return out.select("stream_id", "position", "kind", "name", F.md5("content").alias("content_md5"))
+    return out.select("stream_id", "position", "kind", "name", "call_id", "signature", F.md5("content").alias("content_md5"))
 
 
 @query("i6_progress_rows", _PARTS_SQL + """

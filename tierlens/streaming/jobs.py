@@ -174,7 +174,10 @@ def compaction_stream(stream: DataFrame, interval: int = dims.SUMMARY_INTERVAL)
 # ---------------------------------------------------------------- I5
 BLOCK_OUT = T.StructType([
     T.StructField("stream_id", T.LongType()), T.StructField("position", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("content", T.StringType()), T.StructField("name", T.StringType()), T.StructField("stop_reason", T.StringType())])
+    T.StructField("content", T.StringType()), T.StructField("name", T.StringType()), T.StructField("call_id", T.StringType()),
+    T.StructField("signature", T.StringType()), T.StructField("stop_reason", T.StringType())])
+#: A message whose last part is so much older than the watermark is closed as it is.
+SILENT_S = 600
 BLOCK_STATE = T.StructType([T.StructField("assembly", T.StringType())])
 
 
@@ -183,7 +186,7 @@ def _assemble_fn(key, pdfs, state):
 
     st = json.loads(state.get[0]) if state.exists else {"blocks": [], "cur": None, "calls": [], "stop": None,
                                                         "err": False, "n": 0}
-    pdf = pd.concat(list(pdfs)).sort_values("seq")
+    pdf = None if state.hasTimedOut else pd.concat(list(pdfs)).sort_values("seq")
     done = False
 
     def close():
@@ -196,7 +199,7 @@ def _assemble_fn(key, pdfs, state):
             st["blocks"].append(cur)
         st["cur"] = None
 
-    for r in pdf.itertuples():
+    for r in pdf.itertuples() if pdf is not None else ():
         t = r.part_type
         cur = st["cur"]
         if t in ("text", "think"):
@@ -206,10 +209,11 @@ def _assemble_fn(key, pdfs, state):
                 st["n"] += 1
                 st["cur"] = {"kind": kind, "content": "", "name": None, "id": st["n"]}
             st["cur"]["content"] += r.text or ""
+            st["cur"]["signature"] = r.signature or st["cur"].get("signature")
         elif t == "tool_call_start":
             close()
             st["n"] += 1
-            st["cur"] = {"kind": "tool_call", "content": "", "name": r.name, "id": st["n"]}
+            st["cur"] = {"kind": "tool_call", "content": "", "name": r.name, "call_id": r.call_id, "id": st["n"]}
         elif t == "tool_call_delta":
             if cur is not None and cur["kind"] == "tool_call":
                 cur["content"] += r.args_delta or ""
@@ -220,19 +224,24 @@ def _assemble_fn(key, pdfs, state):
             done = True
         elif t == "error":
             st["err"] = True
-    if not done:
-        state.update((json.dumps(st),))
+    if not done and not state.hasTimedOut:
+        if state.exists or st["n"]:  # an error after the message was closed opens none
+            state.update((json.dumps(st),))
+            last = int(pdf["ts_s"].max()) * 1000
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + SILENT_S * 1000)
         return
-    state.remove()
+    close()
+    if state.exists:
+        state.remove()
     rows = []
     for b in st["blocks"]:
-        rows.append((int(key[0]), b["id"], b["kind"], b["content"], None))
+        rows.append((int(key[0]), b["id"], b["kind"], b["content"], None, None, b.get("signature")))
     for c in st["calls"]:
         try:
             ok = isinstance(json.loads(c["content"]), dict)
         except ValueError:
             ok = False
-        rows.append((int(key[0]), (1 << 40) + c["id"], "tool_call", c["content"] if ok else "{}", c["name"]))
+        rows.append((int(key[0]), (1 << 40) + c["id"], "tool_call", c["content"] if ok else "{}", c["name"], c.get("call_id"), None))
     stop = "error" if st["err"] else (st["stop"] or "stop")
     if stop == "stop" and st["calls"]:
         stop = "tool_use"
@@ -241,9 +250,12 @@ def _assemble_fn(key, pdfs, state):
 
 def assemble_stream(stream: DataFrame) -> DataFrame:
     """I5 (stream): parts are folded into blocks in keyed state; the message's
-    blocks are emitted when its ``done`` part arrives."""
-    return stream.groupBy("stream_id").applyInPandasWithState(
-        _assemble_fn, BLOCK_OUT, BLOCK_STATE, "append", GroupStateTimeout.NoTimeout)
+    blocks are emitted when its ``done`` part arrives, or when the watermark is
+    :data:`SILENT_S` past its last part (``ts_s``, seconds), so a stream that
+    breaks off is emitted too and no state stays for ever."""
+    s = stream.withColumn("event_time", F.timestamp_seconds("ts_s")).withWatermark("event_time", "0 seconds")
+    return s.groupBy("stream_id").applyInPandasWithState(
+        _assemble_fn, BLOCK_OUT, BLOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- I7
