@@ -77,3 +77,43 @@ def test_drop_noop_model_changes(spark):
                          (1, 3, "message", "user", "x", None, None, None)])
     kept = [r.seq for r in S.drop_noop_changes(e, initial_model="m1").orderBy("seq").collect()]
     assert kept == [1, 3]
+
+
+def test_message_content_model_through_reader_and_operators(spark):
+    import json
+
+    from tierlens.operators import context
+    from tierlens.runtime import scratch_dir
+    from tierlens.sources import readers as R
+
+    lines = [
+        {"type": "header", "version": 1, "id": "s1", "timestamp": "t", "cwd": "/w"},
+        {"type": "message", "id": "1", "message": {"role": "user", "content": [{"type": "text", "text": "look"}, {"type": "image", "data": "QUJD", "mime_type": "image/png"}]}},
+        {"type": "thinking_level_change", "id": "2", "thinking_level": "high"},
+        {"type": "model_change", "id": "3", "provider": "p", "model_id": "m", "base_url": "u"},
+        {"type": "model_change", "id": "4", "provider": "q", "model_id": "m", "base_url": "u"},
+        {"type": "message", "id": "5", "message": {"role": "assistant", "content": [
+            {"type": "thinking", "thinking": "hm", "signature": "sg"}, {"type": "text", "text": "a"}, {"type": "text", "text": "b "},
+            {"type": "tool_call", "id": "c1", "name": "read", "arguments": {"path": "x", "n": 1}}],
+            "usage": {"input_tokens": 5, "output_tokens": 3, "cache_read_tokens": 7, "cache_write_tokens": 2}, "stop_reason": "tool_use"}},
+        {"type": "message", "id": "6", "message": {"role": "tool_result", "tool_call_id": "c1", "tool_name": "read",
+                                                  "content": [{"type": "text", "text": "line"}, {"type": "image", "data": "WFla", "mime_type": "image/png"}]}},
+        {"type": "message", "id": "7", "message": {"role": "user", "content": "plain [text]"}}]
+    out = scratch_dir(spark, "content")
+    spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.text(out)
+    e = R.entries_wide(R.read_session_logs(spark, out)[1]).cache()
+    rows = {r.id: r for r in e.collect()}
+    assert rows["5"].text == "ab " and rows["7"].text == "plain [text]" and rows["1"].text == "look"
+    assert [(p["kind"], p["text"], p["signature"]) for p in rows["5"].parts][0] == ("thinking", "hm", "sg")
+    assert json.loads(rows["5"].tool_calls[0]["arguments"]) == {"path": "x", "n": 1}
+    c = S.counts(e).first()
+    assert (c.n_user, c.n_assistant, c.n_tool_calls, c.n_tool_results) == (2, 1, 1, 1)
+    assert S.token_totals(e).first().cached_tokens == 7
+    used = S.overflow_turns(e, 20, 1, 3).first()
+    assert used.tokens_before == 17 and not used.overflow
+    at_end = {r.id: r for r in S.settings_in_effect(e).collect()}["7"]
+    assert (at_end.model, at_end.thinking_level) == ("m", "high")
+    assert {r.id for r in S.drop_noop_changes(e).filter("type = 'model_change'").collect()} == {"3", "4"}
+    upto = e.filter("seq < 7").withColumn("conv_id", F.lit(1))
+    assert context.latest_input(upto, order="seq").first().latest_input == "Tool result for read:\nline\nImage: WFla"
+    assert S.last_assistant_text(S.compacted_view(e)).first().last_assistant_text == "ab"

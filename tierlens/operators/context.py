@@ -132,7 +132,13 @@ def context_text(entries: DataFrame, key: str = "conv_id", order: str = "turn")
 
 def latest_input(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """The newest user or tool-result message per conversation; its text
-    parts joined by newlines, with a ``Tool result for <name>:`` prefix."""
+    parts joined by newlines and images as ``Image: <data>`` (``parts``, where
+    the messages have them, else ``text``), with a ``Tool result for <name>:``
+    prefix."""
+    if "parts" in messages.columns:
+        shown = F.transform("parts", lambda p: F.when((p["kind"] == "text") & (p["text"] != ""), p["text"])
+                            .when((p["kind"] == "image") & (p["data"] != ""), F.concat(F.lit("Image: "), p["data"])))
+        messages = messages.withColumn("text", F.array_join(shown, "\n"))
     cand = messages.filter(F.col("role").isin("user", "tool_result"))
     newest = cand.groupBy(key).agg(F.max_by(F.struct("role", "text", "tool_name"), order).alias("_m"))
     m = F.col("_m")

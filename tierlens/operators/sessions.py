@@ -65,12 +65,15 @@ def last_assistant_text(view: DataFrame) -> DataFrame:
 
 def settings_in_effect(entries: DataFrame, initial_model: str | None = None,
                        chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
-    """E5: model and session name in effect at every entry (initial model when
-    none was set; empty names ignored)."""
+    """E5: model, session name and (where the log has it) thinking level in
+    effect at every entry (initial model when none was set; empty names ignored)."""
     model_v = F.when(F.col("type") == "model_change", F.col("value"))
     name_v = F.when((F.col("type") == "session_info") & (F.coalesce(F.col("value"), F.lit("")) != ""), F.col("value"))
-    d = ordered.scan(entries, "session_id", "seq", [("last", model_v, "_m", True),
-                                                    ("last", name_v, "session_name", True)], chunk)
+    specs = [("last", model_v, "_m", True), ("last", name_v, "session_name", True)]
+    if "thinking_level" in entries.columns:
+        entries = entries.withColumnRenamed("thinking_level", "_level")
+        specs.append(("last", F.when(F.col("type") == "thinking_level_change", F.col("_level")), "thinking_level", True))
+    d = ordered.scan(entries, "session_id", "seq", specs, chunk).drop("_level")
     return d.withColumn("model", F.coalesce(F.col("_m"), F.lit(initial_model))).drop("_m")
 
 

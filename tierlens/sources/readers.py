@@ -7,7 +7,7 @@ file order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +48,17 @@ SESSION_LINE = T.StructType([
         T.StructField("usage", T.StructType([
             T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()),
             T.StructField("cache_read_tokens", T.LongType()), T.StructField("cache_write_tokens", T.LongType())])),
-        T.StructField("tool_call_id", T.StringType()), T.StructField("tool_name", T.StringType())])),
+        T.StructField("tool_call_id", T.StringType()), T.StructField("tool_name", T.StringType()),
+        T.StructField("is_error", T.BooleanType())])),
     T.StructField("thinking_level", T.StringType()), T.StructField("provider", T.StringType()),
     T.StructField("model_id", T.StringType()), T.StructField("base_url", T.StringType()),
     T.StructField("summary", T.StringType()), T.StructField("first_kept_entry_id", T.StringType()),
     T.StructField("tokens_before", T.LongType()), T.StructField("custom_type", T.StringType()),
     T.StructField("content", T.StringType()), T.StructField("display", T.BooleanType()),
     T.StructField("name", T.StringType())])
+# One content part as stored; arguments stay JSON text.
+CONTENT_PART = ("array<struct<type:string,text:string,thinking:string,signature:string,id:string,name:string,arguments:string,"
+                "data:string,mime_type:string>>")
 ENTRY_TYPES = ["header", "message", "thinking_level_change", "model_change", "compaction", "custom_message", "session_info"]
 
 
@@ -165,11 +169,34 @@ def list_files(spark: SparkSession, path: str, pattern: str, limit: int = 100) -
               .orderBy(F.col("mtime").desc(), "path").limit(limit))
 
 
+def content_parts(content: Column) -> Column:
+    """Stored message content (a string, or a JSON array of parts) as
+    array<struct<kind, text, signature, call_id, name, arguments, mime, data>>."""
+    kind = "array<struct<kind:string,text:string,signature:string,call_id:string,name:string,arguments:string,mime:string,data:string>>"
+    none = F.lit(None).cast("string")
+
+    def part(**values) -> Column:
+        return F.struct(*[values.get(n, none).alias(n) for n in ("kind", "text", "signature", "call_id", "name", "arguments", "mime", "data")])
+
+    listed = F.transform(F.from_json(content, CONTENT_PART), lambda p: part(
+        kind=p["type"], text=F.coalesce(p["text"], p["thinking"]), signature=p["signature"], call_id=p["id"], name=p["name"],
+        arguments=p["arguments"], mime=p["mime_type"], data=p["data"]))
+    plain = F.array(part(kind=F.lit("text"), text=content))
+    return F.when(content.startswith("["), F.coalesce(listed, plain)).when(content.isNotNull(), plain).cast(kind)
+
+
 def entries_wide(entries: DataFrame) -> DataFrame:
-    """A5 rows back to the wide entry schema used by the session operators."""
-    return entries.select(
-        "session_id", "seq", "type", F.col("message.role").alias("role"), F.col("message.content").alias("text"),
-        F.col("message.usage.input_tokens").alias("input_tokens"),
-        F.col("message.usage.output_tokens").alias("output_tokens"),
-        F.col("message.stop_reason").alias("stop_reason"),
-        F.coalesce("summary", "model_id", "name").alias("value"), F.col("id"), F.col("parent_id"))
+    """A5 rows back to the wide entry schema used by the session operators:
+    ``text`` is the message's text parts joined, ``parts`` its whole content,
+    ``tool_calls`` the calls among them; usage with cache counters, thinking
+    level and the model's provider and base address come along."""
+    e = entries.withColumn("parts", content_parts(F.col("message.content")))
+    text = F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    usage = [F.col(f"message.usage.{c}_tokens").alias(n) for c, n in (
+        ("input", "input_tokens"), ("output", "output_tokens"), ("cache_read", "cache_read"), ("cache_write", "cache_write"))]
+    return e.select(
+        "session_id", "seq", "type", F.col("message.role").alias("role"), text.alias("text"), "parts",
+        F.filter("parts", lambda p: p["kind"] == "tool_call").alias("tool_calls"), *usage,
+        F.col("message.stop_reason").alias("stop_reason"), F.col("message.tool_call_id").alias("call_id"),
+        F.col("message.tool_name").alias("tool_name"), F.coalesce("message.is_error", F.lit(False)).alias("is_error"),
+        "thinking_level", "provider", "base_url", F.coalesce("summary", "model_id", "name").alias("value"), F.col("id"), F.col("parent_id"))
