@@ -41,3 +41,11 @@ def test_guideline_files_with_global_dir(spark):
         assert [p for _, p, _ in rows] == _brute(cwd, stop, files, "/cfg"), cwd
         assert all(c == p.replace("/AGENTS.md", ":AGENTS.md").replace("/CLAUDE.md", ":CLAUDE.md") for _, p, c in rows)
     assert sorted(got["/r/a/b"])[0] == (-1, "/cfg/AGENTS.md", "/cfg:AGENTS.md")
+
+
+def test_payload_carries_a_briefing_unless_the_topic_shifted(spark):
+    df = spark.createDataFrame([(1, 0, "q1", "r1", 0), (1, 1, "q2", None, 1), (2, 0, "x", None, 0)],
+                               "conv_id long, turn long, query string, response string, segment_id long")
+    briefings = spark.createDataFrame([(1, " earlier facts "), (2, "none.")], "conv_id long, briefing string")
+    got = {r.conv_id: [(m["role"], m["content"]) for m in r.messages] for r in C.latest_payload(df, briefings).collect()}
+    assert got == {1: [("system", C.BRIEFING_PREFIX + "earlier facts"), ("user", "q2")], 2: [("user", "x")]}

@@ -84,14 +84,15 @@ def latest_payload(df: DataFrame, briefings: DataFrame | None = None, key: str =
                    order: str = "turn") -> DataFrame:
     """E16 materialised for the newest turn of each conversation only: the
     briefing (if any) as a system message, the open segment's turns in order,
-    then the new query. ``briefings``: (key, briefing)."""
+    then the new query. ``briefings``: (key, briefing); one that signals a topic
+    shift (H21) is left out."""
     newest = df.groupBy(key).agg(F.max_by("segment_id", order).alias("_seg"), F.max(order).alias("_last"))
     open_seg = df.join(newest, key).filter((F.col("segment_id") == F.col("_seg")) & (F.col(order) < F.col("_last")))
     pend = open_seg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "query", "response"))).alias("_t"))
     q = df.join(newest, key).filter(F.col(order) == F.col("_last")).select(key, "query")
     out = q.join(pend, key, "left")
     if briefings is not None:
-        out = out.join(briefings, key, "left")
+        out = out.join(briefings, key, "left").withColumn("briefing", briefing_after_rule(F.col("briefing")))
     else:
         out = out.withColumn("briefing", F.lit(None).cast("string"))
     turns = F.flatten(F.transform(F.coalesce(F.col("_t"), F.array()), lambda t: F.array(
