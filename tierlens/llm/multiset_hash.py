@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tierlens.llm.tables import MOST_RANGES, id_bounds, keyed, pieces, range_of, shown, text_bytes
 
-LANES = 32
+LANES = 24
 FIELDS, FIELD_BITS = 4, 12
 #: Sums stay below this power of two, so two of them add without overflow.
 _MODULUS = 1 << 62
@@ -39,12 +39,15 @@ PIECE_END = r"\n|(?<=[.!?])[ \t]+"
 
 def vector(text: Column) -> Column:
     """[number of pieces, lane sums ...] of a text without null."""
-    hashed = F.transform(F.filter(F.split(text, PIECE_END, -1), lambda p: p != ""),
-                         lambda p: F.struct(F.xxhash64(p).alias("a"), F.crc32(p.cast("binary")).alias("b")))
-    lanes = F.transform(F.sequence(F.lit(1), F.lit(LANES)), lambda j: F.aggregate(
-        hashed, F.lit(0).cast("bigint"),
-        lambda acc, h: (acc + F.xxhash64(h.a, h.b, j).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MODULUS - 1))))
-    return F.concat(F.array(F.size(hashed).cast("bigint")), lanes)
+    hashed = F.transform(F.filter(F.split(text, PIECE_END, -1), lambda p: p != ""), lambda p: F.xxhash64(p))
+
+    def sums(hs: Column) -> Column:
+        lanes = F.transform(F.sequence(F.lit(1), F.lit(LANES)), lambda j: F.aggregate(
+            hs, F.lit(0).cast("bigint"),
+            lambda acc, h: (acc + F.xxhash64(h, j).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MODULUS - 1))))
+        return F.concat(F.array(F.size(hs).cast("bigint")), lanes)
+
+    return F.element_at(F.transform(F.array(hashed), sums), 1)  # a lambda variable, so the pieces are hashed once for all lanes
 
 
 def insert(fingerprint: Column, more: Column) -> Column:
