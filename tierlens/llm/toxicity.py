@@ -34,12 +34,12 @@ from tierlens.llm.tables import keyed, shown
 from tierlens.llm.words import utf8
 
 #: Bytes of a window, about: it ends at the next white space.
-WINDOW = 48
+WINDOW = 32
 #: Labelled rows of each class used for fitting, at most, and their text in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8_000_000
 #: Most words of the toxic part, their least likelihood ratio, and bytes of the common background.
 TELLING, RATIO, BACKGROUND_BYTES = 64, 30.0, 4096
-LEVEL = 6
+LEVEL = 8
 #: Bytes saved from which on a window counts, per feature.
 CUTS = (2, 3, 5)
 THRESHOLD = 0.3
