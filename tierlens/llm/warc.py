@@ -46,18 +46,18 @@ def _record_id(page: Column, url: Column) -> Column:
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Headers of all pages: ``page_id, url, payload_digest, payload_bytes,
-    record_type, refers_to``. The response of a payload of at least
+    record_type, refers_to`` (and ``mark``, which tells rows of one page apart). The response of a payload of at least
     ``least_bytes`` is its smallest page; smaller payloads are all responses.
     Payloads are equal if SHA-1, SHA-256 and size agree."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     heads = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page_id"), "url",
                          base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"),
-                         F.unhex(F.sha2(payload, 256)).alias("check"))
+                         F.unhex(F.sha2(payload, 256)).alias("check"), F.xxhash64(payload).alias("mark"))
     key = ["payload_digest", "payload_bytes", "check"]
     first = heads.groupBy(*key).agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"))
     joined = heads.join(first, key)
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") != F.col("first.page_id"))
-    return joined.select("page_id", "url", "payload_digest", "payload_bytes",
+    return joined.select("page_id", "url", "payload_digest", "payload_bytes", "mark",
                          F.when(again, "revisit").otherwise("response").alias("record_type"),
                          F.when(again, F.col("first.page_id")).alias("refers_to"),
                          F.when(again, F.col("first.url")).alias("refers_to_url"))
@@ -70,9 +70,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     heads = resolve(pages, least_bytes)
     bodies = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page_id"),
                           F.col("url").alias("own_url"), F.coalesce(F.col("html"), F.lit("")).alias("html"),
-                          base32_sha1(F.coalesce(F.col("html"), F.lit(""))).alias("own_digest"))
+                          F.xxhash64(F.coalesce(F.col("html"), F.lit(""))).alias("own_mark"))
     heads = heads.distinct().withColumnRenamed("payload_digest", "d")
-    rows = bodies.join(heads.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("own_digest") == F.col("d"))
+    rows = bodies.join(heads.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("own_mark") == F.col("mark"))
                        & F.col("own_url").eqNullSafe(F.col("url"))).withColumn("url", F.regexp_replace("own_url", "[\r\n]", ""))
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
