@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -62,6 +64,27 @@ def test_equal_texts_and_distinct_texts(spark, sf_dir):
     assert all(len(f) == 1 for f in by.values()) and len({next(iter(f)) for f in by.values()}) == len(by)
 
 
+def cosine(a, b):
+    a, b = (Counter(p for p in re.split(mh.PIECE_END, t) if p) for t in (a, b))
+    norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    return sum(v * b[p] for p, v in a.items()) / norm
+
+
+def test_likeness_of_long_texts(spark):
+    def lines(tag, n):
+        return "\n".join(f"{tag} line {i}" for i in range(n))
+
+    rows = [(90, lines("a", 5000)), (80, lines("b", 5000)), (70, lines("c", 10_000)), (60, lines("d", 10_000)), (50, "short text\nof two lines"),
+            (40, lines("e", 50_000)), (30, lines("f", 50_000)), (20, "the same line\n" * 10_000), (10, "another line!\n" * 10_000), (0, lines("g", 12_000))]
+    texts = [t for _, t in rows]
+    got = {r.doc_id: r for r in mh.compare_with_edit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    edits = brute_edits(rows)
+    for k, (i, t) in enumerate(rows):
+        assert abs(got[i].near_edited - cosine(t, edits[i])) < 0.2, i
+        assert abs(got[i].near_next - cosine(t, texts[(k + 1) % len(texts)])) < 0.35, i
+    assert got[20].vector[0] == 10_000
+
+
 def test_messy_and_empty(spark, messy, empty):
     got = mh.compare_with_edit(messy).collect()
     assert len(got) == messy.count()

@@ -1,19 +1,18 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A text is the multiset of its paragraph pieces (lines, cut further after
-sentence ends). Each piece is hashed to a wide vector of ``LANES``
-numbers, and the fingerprint is the sum of the vectors, each lane modulo 2^62,
-after the number of pieces. Sums do not depend on the order of the pieces, and
-pieces can be inserted or deleted by adding or subtracting their vectors
-(:func:`insert`, :func:`delete`).
-
-A lane of one piece holds 14 random high bits and four random bits, each the
-lowest of a 12-bit field. The high parts of all lanes tell different multisets
-apart. The fields count, per bit, the pieces that have it set; twice the count
-less the number of pieces is a random projection of the multiset, and the
-cosine of two such projections estimates how alike the multisets are. Beyond
-4095 pieces with one bit set a field carries into the next, which moves the
-estimate by less than the projection's own noise; sums stay exact.
+sentence ends). Each piece is hashed to a wide vector, and the fingerprint is
+the sum of the vectors, each lane modulo 2^62, after the number of pieces. Sums
+do not depend on the order of the pieces, and pieces can be inserted or deleted
+by adding or subtracting their vectors (:func:`insert`, :func:`delete`).
+
+``EQUAL_LANES`` lanes of 62 random bits tell different multisets apart. Each of
+the other ``COUNT_LANES`` lanes holds ``FIELDS`` random bits, each the lowest of
+a field of ``FIELD_BITS`` bits. The fields count, per bit, the pieces that have
+it set; twice the count less the number of pieces is a random projection of the
+multiset, and the cosine of two such projections estimates how alike the
+multisets are. A field holds 2^31 - 1 pieces and a text, at most 2^31 bytes, has
+at most 2^30 (every cut takes a character), so no field ever carries into the next.
 
 Only DataFrame functions are used.
 """
@@ -25,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tierlens.llm.tables import MOST_RANGES, id_bounds, keyed, pieces, range_of, shown, text_bytes
 
-LANES = 24
-FIELDS, FIELD_BITS = 4, 12
+EQUAL_LANES, COUNT_LANES = 8, 48
+FIELDS, FIELD_BITS = 2, 31
 #: Sums stay below this power of two, so two of them add without overflow.
 _MODULUS = 1 << 62
-_MASK = (0x3FFF << 48) | sum(1 << (FIELD_BITS * i) for i in range(FIELDS))
+_ONES = sum(1 << (FIELD_BITS * i) for i in range(FIELDS))
 
 #: Text of one range of ids, about.
 RANGE_BYTES = 8_000_000
@@ -42,10 +41,13 @@ def vector(text: Column) -> Column:
     hashed = F.transform(F.filter(F.split(text, PIECE_END, -1), lambda p: p != ""), lambda p: F.xxhash64(p))
 
     def sums(hs: Column) -> Column:
-        lanes = F.transform(F.sequence(F.lit(1), F.lit(LANES)), lambda j: F.aggregate(
-            hs, F.lit(0).cast("bigint"),
-            lambda acc, h: (acc + F.xxhash64(h, j).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MODULUS - 1))))
-        return F.concat(F.array(F.size(hs).cast("bigint")), lanes)
+        def lanes(first: int, last: int, mask: int) -> Column:
+            return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda j: F.aggregate(
+                hs, F.lit(0).cast("bigint"),
+                lambda acc, h: (acc + F.xxhash64(h, j).bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(_MODULUS - 1))))
+
+        return F.concat(F.array(F.size(hs).cast("bigint")), lanes(1, EQUAL_LANES, _MODULUS - 1),
+                        lanes(EQUAL_LANES + 1, EQUAL_LANES + COUNT_LANES, _ONES))
 
     return F.element_at(F.transform(F.array(hashed), sums), 1)  # a lambda variable, so the pieces are hashed once for all lanes
 
@@ -66,7 +68,7 @@ def shown_as_text(fingerprint: Column) -> Column:
 
 def projection(fingerprint: Column) -> Column:
     n = F.element_at(fingerprint, 1)
-    counts = F.flatten(F.transform(F.slice(fingerprint, 2, LANES), lambda x: F.array(
+    counts = F.flatten(F.transform(F.slice(fingerprint, 2 + EQUAL_LANES, COUNT_LANES), lambda x: F.array(
         *[F.shiftrightunsigned(x, FIELD_BITS * i).bitwiseAND(F.lit((1 << FIELD_BITS) - 1)) for i in range(FIELDS)])))
     return F.transform(counts, lambda c: (2 * c - n).cast("double"))
 
