@@ -105,3 +105,17 @@ def test_format_helpers(spark):
     ages = spark.createDataFrame([(0, 30), (0, 7200), (0, 3 * 86400), (0, 20 * 86400), (0, 400 * 86400), (100, 0)],
                                  "m long, now long").select(K.age_bucket(F.col("now"), F.col("m")).alias("a"))
     assert [r.a for r in ages.collect()] == [" 0m", " 2h", " 3d", " 2w", " 1y", " 0m"]
+
+
+def test_lone_surrogates_after_many_backslashes(spark):
+    from tierlens.operators.corpus import sanitize_json_surrogates
+
+    cases = []
+    for n in (0, 1, 2, 40, 41, 50, 10_000):
+        even = "\\\\" * n
+        cases += [(even + r"\ud83d x", even + r"\ufffd x"), (even + r"\ud83d\ude00!", even + r"\ud83d\ude00!"),
+                  (even + r"\\ud83d", even + r"\\ud83d"), (even + r"\ude00\ud83d\ude01\uD800", even + r"\ufffd\ud83d\ude01\ufffd")]
+    cases += [("", ""), (None, None), ("plain\n\\", "plain\n\\"), ("é🤦 \\u00e9 \\n" * 3, "é🤦 \\u00e9 \\n" * 3)]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, t string")
+    got = dict(df.select("i", sanitize_json_surrogates(F.col("t"))).collect())
+    assert [got[i] for i in range(len(cases))] == [b for _, b in cases]

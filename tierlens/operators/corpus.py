@@ -218,10 +218,12 @@ def sanitize_output(text: Column) -> Column:
 def sanitize_json_surrogates(raw_json: Column) -> Column:
     """H7 (model text): lone UTF-16 surrogate escapes in raw JSON text become
     U+FFFD before the text is decoded (a decoded Spark string cannot hold one)."""
-    escape = r"(?<=(?<!\\)(?:\\\\){0,40})\\u"  # after an even number of backslashes, so the backslash is no escaped one
-    high, low = r"[dD][89abAB][0-9a-fA-F]{2}", r"[dD][c-fC-F][0-9a-fA-F]{2}"
-    lone = rf"{escape}{high}(?!\\u{low})|(?<!(?<!\\)(?:\\\\){{0,40}}\\u{high}){escape}{low}"
-    return F.regexp_replace(raw_json, lone, r"\\ufffd")
+    lone = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
+    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    # forward, one token after the other: plain text, a pair, a lone surrogate, any other escape (so an escaped backslash opens none)
+    tokens = F.regexp_extract_all(raw_json, F.lit(rf"[^\\]+|{pair}|{lone}|\\[\s\S]?"), F.lit(0))
+    fixed = F.transform(tokens, lambda t: F.when(F.regexp_like(t, F.lit(rf"^{lone}$")), F.lit(r"\ufffd")).otherwise(t))
+    return F.array_join(fixed, "")
 
 
 # ---------------------------------------------------------------- truncation
