@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from tierlens.runtime import scratch_dir
@@ -55,3 +57,32 @@ def test_line_numbers_survive_file_splits(spark):
     assert all((line == "") == (s % 7 == 3) and (line == "" or f'"n": {s},' in line) for s, line in a)
     b = sorted((r.seq, r.line) for r in rows if r.file.endswith("b.jsonl"))
     assert b == [(0, "first"), (1, "second"), (2, ""), (3, "fourth")]
+
+
+def test_newest_files_by_their_times(spark, tmp_path):
+    for i in range(130):
+        folder = tmp_path / f"d{i % 3}"
+        folder.mkdir(exist_ok=True)
+        for kind in ("json", "txt"):
+            f = folder / f"{i}.{kind}"
+            f.write_text("{}")
+            os.utime(f, (1_000_000, 1_000_000 + i * 7919 % 130))
+    order = sorted(range(130), key=lambda i: -(i * 7919 % 130))
+    names = [r.path.rsplit("/", 1)[1] for r in R.list_files(spark, str(tmp_path), "*.json").collect()]
+    assert names == [f"{i}.json" for i in order[:100]]
+    assert len(R.list_files(spark, str(tmp_path), "*.json", 7).collect()) == 7
+
+
+def test_listing_holds_every_conversation(spark, monkeypatch):
+    from tierlens.plans.q_sources import a13_list_files
+
+    sf, files, list_files = "/root/testdata/sf0.1", [], R.list_files
+
+    def listed(spark, path, pattern):
+        files.append(list_files(spark, path, pattern, 5000).count())
+        return list_files(spark, path, pattern)
+
+    monkeypatch.setattr(R, "list_files", listed)
+    got = sorted(r.conv_id for r in a13_list_files(spark, sf).collect())
+    ids = sorted(r.conv_id for r in spark.table("v_routed").select("conv_id").distinct().collect())
+    assert files == [len(ids)] and len(ids) > 100 and got == ids[:100]

@@ -4,6 +4,8 @@ reads it back through the reader, and reports what came back."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tierlens.fixtures import register
@@ -261,13 +263,15 @@ def a11_close_batch(spark, sf_dir):
 @query("a13_list_files", """
 SELECT conv_id, min(turn) AS first_turn, count(*) AS n_rows FROM v_routed GROUP BY conv_id ORDER BY conv_id LIMIT 100""")
 def a13_list_files(spark, sf_dir):
-    """The newest 100 JSON files of a folder tree (one file per conversation,
-    of which the first 100 exist), each opened to see what it holds."""
+    """The newest 100 JSON files of a folder tree, each opened to see what it
+    holds. Every conversation has a file; those of the 100 smallest ids are
+    written after all others, so SQL can say which files are the newest."""
     out = scratch_dir(spark, "listing")
     r = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", "query")
-    first = r.select("conv_id").distinct().orderBy("conv_id").limit(100)
-    r.join(F.broadcast(first), "conv_id").repartition("conv_id").write.mode("overwrite").partitionBy("conv_id").json(out)
-    listed = R.list_files(spark, out, "*.json")
-    rows = spark.read.schema("turn bigint, query string, conv_id bigint").json(out).withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
-    found = listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    return rows.join(found, "path").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))
+    last = F.broadcast(r.select("conv_id").distinct().orderBy(F.col("conv_id").asc_nulls_last()).limit(100))
+    for mode, how in (("overwrite", "left_anti"), ("append", "left_semi")):
+        r.join(last, "conv_id", how).repartition("conv_id").write.mode(mode).partitionBy("conv_id").json(out)
+        time.sleep(1.1)  # some stores keep modification times in whole seconds
+    paths = [f.path for f in R.list_files(spark, out, "*.json").collect()]
+    rows = spark.read.schema("turn bigint, query string, conv_id bigint").option("basePath", out).json(paths or out)
+    return rows.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))
