@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tierlens.llm import toxicity as tx
 from tierlens.llm.tables import read
@@ -35,6 +37,22 @@ def test_messy_and_empty(spark, sf_dir, messy, empty):
     assert tx.without_toxic(messy, model).columns == messy.columns
 
 
+def test_long_labelled_texts_are_skipped_not_the_rows_after_them(spark, monkeypatch):
+    def text(i):
+        return f"you are a vile idiot number {i} " * 8 if i % 2 else f"the garden of house {i} is quiet " * 8
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, toxic int")
+    first = labels.filter("toxic = 1").filter(~tx.held_out()).orderBy(F.xxhash64("doc_id")).first().doc_id
+    long_ = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", F.lit(100))).otherwise(F.col("text")))
+    monkeypatch.setattr(tx, "SAMPLE_BYTES", 20_000)
+    model = tx.fit(long_, labels)
+    assert model.beta is not None and model.score(text(1).encode()) > tx.THRESHOLD > model.score(text(2).encode())
+    monkeypatch.setattr(tx, "SAMPLE_BYTES", 100)
+    with pytest.raises(ValueError, match="toxicity"):
+        tx.fit(long_, labels)
+
+
 def test_no_labels_scores_the_prior(spark, messy):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = tx.fit(messy, labels)

@@ -37,6 +37,8 @@ from tierlens.llm.words import utf8
 WINDOW = 32
 #: Labelled rows of each class used for fitting, at most, and their text in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8_000_000
+#: A class with so many labelled rows must keep as many in the sample and give a curve, or fitting fails.
+ENOUGH_ROWS = 12
 #: Most words of the toxic part, their least likelihood ratio, and bytes of the common background.
 TELLING, RATIO, BACKGROUND_BYTES = 64, 30.0, 4096
 LEVEL = 8
@@ -167,23 +169,35 @@ def held_out(col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learn from labelled rows outside the held-out part: per class the
     ``SAMPLE_ROWS`` rows with the smallest hash of their id, up to
-    ``SAMPLE_BYTES`` of text. Null labels and ids are not learnt from."""
+    ``SAMPLE_BYTES`` of text; a row that no longer fits is skipped, and the next
+    smaller ones are taken. Raises ValueError if that leaves fewer than
+    ``ENOUGH_ROWS`` of a class that has as many, or no curve although rows were
+    skipped or both classes have as many. Null labels and ids are not learnt
+    from."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "id is not null and toxic in (0, 1)").filter(~held_out("id"))
     marked = marked.distinct()
     share = marked.agg(F.avg("toxic")).first()[0]
-    rows = []
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows, seen, kept = [], [], []
     for kind in (0, 1):
         chosen = marked.filter(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-        found = keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-        size = 0
+        found = keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(
+            "id", size.alias("size"), F.when(size <= SAMPLE_BYTES, F.col("text")).alias("text"))  # no larger text reaches the driver
+        room, n, before = SAMPLE_BYTES, 0, len(rows)
         for r in found.orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_ROWS).toLocalIterator():
-            size += len(utf8(r.text))
-            if size > SAMPLE_BYTES:
-                break
-            rows.append((xxhash.xxh3_64_intdigest(str(r.id)), utf8(r.text), kind))
+            n += 1
+            if r.size <= room:
+                room -= r.size
+                rows.append((xxhash.xxh3_64_intdigest(str(r.id)), utf8(r.text), kind))
+        seen.append(n)
+        kept.append(len(rows) - before)
     rows.sort()
-    return Classifier([r[1] for r in rows], [r[2] for r in rows], share or 0.0)
+    model = Classifier([r[1] for r in rows], [r[2] for r in rows], share or 0.0)
+    thin = any(n >= ENOUGH_ROWS > k for n, k in zip(seen, kept))
+    if thin or model.beta is None and (seen != kept or min(seen) >= ENOUGH_ROWS):
+        raise ValueError(f"toxicity: no classifier from {kept} of {seen} labelled rows (ordinary, toxic) within {SAMPLE_BYTES} bytes a class")
+    return model
 
 
 def score_documents(docs: DataFrame, model: Classifier) -> DataFrame:
