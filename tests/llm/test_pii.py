@@ -41,6 +41,12 @@ def test_edge_cases(spark):
     assert all(set(b) <= set(s) for b, s in zip(base, spans))
 
 
+def test_cards_without_two_adjacent_digits(spark):
+    texts = [sep.join("4111111111111111") for sep in " -"] + ["paid 4 1 1 1-1 1 1 1 1 1 1 1 1 1 1-1 é", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2"]
+    want = [brute(t) for t in texts]
+    assert [len(w) for w in want] == [1, 1, 1, 0] and found(spark, texts)[0] == want
+
+
 def test_random_texts(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("0123456789 .-+()@ab_é\n") for _ in range(rnd.randint(0, 300))) for _ in range(400)]

@@ -98,7 +98,7 @@ def base_spans(text: Column) -> Column:
     def of(kind: int) -> Column:
         passed = F.filter(_matches(text, _BASE[kind]), lambda m: _valid(kind, m.v))
         found = F.transform(passed, lambda m: F.struct(m.s.alias("s"), F.lit(kind).alias("k"), m.e.alias("e")))
-        may = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.regexp_like(text, F.lit("[0-9]{2}"))
+        may = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.regexp_like(text, F.lit("[0-9][ -]?[0-9]"))
         return F.when(may, found).otherwise(none)
 
     return F.array_sort(F.concat(*[of(kind) for kind in _BASE]))
