@@ -118,9 +118,10 @@ def previous(df: DataFrame, key, order: str, value: Column, out: str,
     return scan(df, key, order, [("prev", value, out)], chunk)
 
 
-def top_k(df: DataFrame, group, order: list[Column], k: int, tiebreak: Column, out: str = "rank",
+def top_k(df: DataFrame, group, order: list[Column], k: int | Column, tiebreak: Column, out: str = "rank",
           buckets: int = 256) -> DataFrame:
-    """First ``k`` rows per group by ``order`` (ties by ``tiebreak``), numbered 1..k.
+    """First ``k`` rows per group by ``order`` (ties by ``tiebreak``), numbered 1..k;
+    ``k`` is a number or a column that is constant in a group.
 
     Two stages so a hot group is never sorted in one task: stage 1 keeps the
     top ``k`` of each (group, hash-bucket) split, stage 2 ranks the at most

@@ -91,7 +91,7 @@ def generate(grid: DataFrame, teacher: Factory) -> tuple[DataFrame, DataFrame]:
     ok = resp.filter(F.col("call_error").isNull())
     qs = ok.select("tier", "tier_label", "category", "quota",
                    F.posexplode(catalog.parse_query_list(F.col("response"))).alias("position", "query"))
-    cut = catalog.quota_cut(qs, ["tier_label", "category"], "position", "quota")
+    cut = catalog.quota_cut(qs, ["tier_label", "category"], "position", F.col("quota"))
     conf = fb.hashed_confidence(7, F.concat_ws("|", "tier_label", "category", F.col("position").cast("string")), 0.85, 0.99)
     examples = fb.sft_examples(cut, "query", "tier", conf)
     return examples, failed
