@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tierlens.llm import mixing, pii
+from tierlens.llm.compression_rules import compression_rules
 from tierlens.llm.exact_dedup import exact_dedup
+from tierlens.llm.hard_negatives import hard_negatives, relabelled, scaled
 from tierlens.llm.multiset_hash import compare_with_edit, shown_as_text
 from tierlens.llm.near_dedup import near_dedup
 from tierlens.llm.sentencepiece_bpe import encode_documents
+from tierlens.llm.spelling import spelling_variants
 from tierlens.llm.substring_dedup import substring_dedup
 from tierlens.llm.suffix_dedup import suffix_dedup
 from tierlens.llm.tables import read, shown
@@ -204,3 +207,61 @@ def op10_sentencepiece(spark, sf_dir):
     """SentencePiece ids of every text, and the text of the ids."""
     d = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return d.select(shown(), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_compression_rules(spark, sf_dir):
+    """Quality counts of every text and the verdict of base rules and compression bands."""
+    return compression_rules(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives(relabelled(scaled(read(spark, sf_dir, "embeddings"))))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+                  CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+     p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same QUALIFY r <= 5),
+     n AS (SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                  CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank
+           FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Frequent words, their near words, the form each belongs to and the root of its chain."""
+    return spelling_variants(read(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+# crc32 by its table; near words by the strings that deletions leave
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE bit(i, k, v) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+         UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8),
+     tab AS (SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8),
+     run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents WHERE text IS NOT NULL),
+     own AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS x FROM run GROUP BY doc_id, w),
+     h AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM own, tab),
+     word AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+     v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM word WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+     del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+     near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM del a JOIN v b ON a.d = b.word
+              UNION SELECT b.word, a.word, a.n FROM del a JOIN v b ON a.d = b.word),
+     best AS (SELECT word, count(*) AS n_near, arg_min(near, {'a': -near_n, 'b': near}) AS w, max(near_n) AS m FROM near GROUP BY word),
+     f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN w END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+           FROM v LEFT JOIN best USING (word)),
+     chain(word, last, n) AS (SELECT word, form, form_n FROM f WHERE form IS NOT NULL
+         UNION ALL SELECT chain.word, f.form, f.form_n FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL),
+     root AS (SELECT word, arg_max(last, n) AS root FROM chain GROUP BY word)
+SELECT f.word, f.n, n_near, form, form_n, coalesce(root, f.word) AS root FROM f LEFT JOIN root USING (word)"""
