@@ -52,3 +52,15 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "x")], "page_id bigint, url string, html string")
     assert sorted(r.record_type for r in warc.archive_pages(df).collect()) == ["response", "response", "revisit"]
     assert warc.archive_pages(df.filter("false")).collect() == []
+
+
+def test_long_payloads_fill_few_records_a_file(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", (10, 100))
+    monkeypatch.setattr(warc, "FILE_BYTES", 300)
+    rows = [(i, f"u{i}", "x" * n) for i, n in enumerate([5] * 40 + [50, 60, 70, 80, 90, 100, 101, 5000, 5000])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = scratch_dir(spark, "warc-sizes")
+    assert sorted(map(tuple, warc.archive_pages(df, path).collect()), key=str) == brute([(i, h) for i, _, h in rows])
+    files = [[len(r.payload or b"") for r in warc.read_archives(spark, f.path).collect()]
+             for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path").collect()]
+    assert sum(map(len, files)) == len(rows) and all(sum(f) <= 300 or len(f) == 1 for f in files)

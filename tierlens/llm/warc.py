@@ -19,11 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlens.llm.tables import NO_ID
+from tierlens.llm.tables import NO_ID, save
 from tierlens.runtime import scratch_dir
 
-#: Records of one archive file at most; bounds what a reading task holds.
-FILE_RECORDS = 2000
+#: Payload bytes of one archive file, about, and its records at most: both bound what a reading task holds. A
+#: payload beyond SIZES[-1] gets a file of its own.
+FILE_BYTES, FILE_RECORDS = 128_000_000, 2000
+SIZES = (64_000, 2_000_000)
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,6 +56,7 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
                          base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"),
                          F.unhex(F.sha2(payload, 256)).alias("check"), F.xxhash64(payload).alias("mark"))
     key = ["payload_digest", "payload_bytes", "check"]
+    heads = save(heads, "warc-heads")  # about 150 bytes a page: payloads are read and hashed once
     first = heads.groupBy(*key).agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"))
     joined = heads.join(first, key)
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") != F.col("first.page_id"))
@@ -64,14 +67,30 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = WARC_DATE) -> None:
-    """One WARC/1.1 record per row of ``pages`` (page_id, url, html), gzip
-    files of at most :data:`FILE_RECORDS` records. Null html is an empty
-    payload; a null address or id leaves its field out."""
-    heads = resolve(pages, least_bytes)
-    bodies = pages.select(F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page_id"),
-                          F.col("url").alias("own_url"), F.coalesce(F.col("html"), F.lit("")).alias("html"),
-                          F.xxhash64(F.coalesce(F.col("html"), F.lit(""))).alias("own_mark"))
-    heads = heads.distinct().withColumnRenamed("payload_digest", "d")
+    """One WARC/1.1 record per row of ``pages`` (page_id, url, html), gzip files
+    of at most :data:`FILE_RECORDS` records and about :data:`FILE_BYTES` bytes:
+    payloads of each size class fill files of their own, fewer to a file the
+    longer they may be. Null html is an empty payload; a null address or id
+    leaves its field out."""
+    heads = save(resolve(pages, least_bytes).distinct(), "warc-resolved")
+    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
+    low = -1
+    for high in (*SIZES, max(longest, SIZES[-1])):
+        if low < longest and high > low or low < 0:
+            _write_class(pages, heads, low, high, path, date)
+        low = high
+
+
+def _write_class(pages: DataFrame, heads: DataFrame, low: int, high: int, path: str, date: str) -> None:
+    """Records whose payloads have more than ``low`` and at most ``high`` bytes."""
+    def own(size: Column) -> Column:
+        return (size > low) & (size <= high)
+
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    bodies = pages.filter(own(F.octet_length(payload))).select(
+        F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID)).alias("page_id"), F.col("url").alias("own_url"),
+        payload.alias("html"), F.xxhash64(payload).alias("own_mark"))
+    heads = heads.filter(own(F.col("payload_bytes"))).withColumnRenamed("payload_digest", "d")
     rows = bodies.join(heads.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("own_mark") == F.col("mark"))
                        & F.col("own_url").eqNullSafe(F.col("url"))).withColumn("url", F.regexp_replace("own_url", "[\r\n]", ""))
     revisit = F.col("record_type") == "revisit"
@@ -93,8 +112,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length("block").cast("string"), F.lit(_END), F.col("block"))
-    (rows.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip")
-     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    (rows.select(record.alias("value")).write.mode("append").option("lineSep", _END).option("compression", "gzip")
+     .option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // max(high, 1)))).text(path))
 
 
 def _parse(raw: bytes):
