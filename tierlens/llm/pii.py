@@ -3,20 +3,25 @@
 **Base spans.** Four patterns (email, ip, card, phone), leftmost and
 non-overlapping per kind, each with its check. They always stay.
 
-**Candidates.** Two generators of high recall propose overlapping spans:
-addresses with the at sign written out or spaced, and digit groups with
-loose separators. Each has small whole-number features of format and context;
-the marks that the base patterns hang on (the at sign, the leading plus, the
-card checksum) are not among them.
-
-**Boosted trees.** Candidates that overlap a base span of their kind are the
-positive examples. Training rows are grouped by feature vector first, so all
-candidates of the corpus count and the driver gets one row per vector (their
-number is bounded by the features' ranges, not by the input). Trees of depth
-two are fitted to the logistic loss on one half of the documents; on the other
-half a threshold per kind is calibrated as the lowest score from which on at
-least ``PRECISION`` of the candidates are positive. The trees become a column
-expression; candidates that pass and are no base span are added.
+**Candidates.** Generators of high recall propose overlapping spans: addresses
+with the at sign written out or spaced, digit groups with loose separators or
+without blanks, and dotted numbers with the dots written out. Each has small
+whole-number features of format and context; the marks that the base patterns
+hang on (the at sign, the leading plus, the separators of a card) are not among
+them.
+
+**Boosted trees.** What is written plainly teaches what its disguises look like:
+every base span of the corpus is rewritten once in its context, marks written
+out, dropped or exchanged (a positive example), and damaged once, a digit changed,
+a part out of range, digits cut off (a negative one). Candidates of the corpus
+that lie in no base span are negatives too. Training rows are grouped by feature vector
+first, so all of them count and the driver gets one row per vector (their number
+is bounded by the features' ranges, not by the input). Trees of depth two are
+fitted to the logistic loss on one half of the documents; on the other half a
+threshold per kind is calibrated as the lowest score from which on at least
+``PRECISION`` of the examples are positive (a disguise that is already in the
+corpus counts as a negative there, so the true precision is higher). The trees become a column expression;
+candidates that pass and lie in no base span are added.
 """
 
 from __future__ import annotations
@@ -44,36 +49,62 @@ _BASE = {
 _NEEDS = {EMAIL: "@", IP: ".", PHONE: "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+_AT = r" ?(?:@|\[at\]|\(at\)|\{at\}| at ) ?"
+_DOT = r"(?: ?\[dot\] ?| ?\(dot\) ?| dot |\[\.\]|\.)"
 _GENERATORS = {
-    0: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]++(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]++)++",
-    1: r"(?<![0-9A-Za-z])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+",
+    0: rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    1: r"(?<![0-9A-Za-z])\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}+",
+    2: r"(?<![0-9A-Za-z])[0-9](?:[.\-/]?[0-9]){6,}+",
+    3: rf"(?<![0-9A-Za-z])[0-9]++(?: ?{_DOT} ?[0-9]++){{3}}+",
 }
 _CONTEXT = r"(?i)\b(?:e-?mail|mail|phone|tel|telephone|call|fax|contact|card|visa|credit|ip|host|server)\b"
 
 #: Largest value of each feature; the product bounds the number of training rows.
-FEATURES = {"gen": 1, "digits": 5, "seps": 3, "dots": 4, "size": 4, "context": 1, "after": 2, "paren": 1, "group": 3}
-ROUNDS, RATE, PRECISION, LEAST = 30, 0.3, 0.95, 20
+FEATURES = {"gen": 3, "check": 1, "digits": 5, "seps": 3, "dots": 4, "size": 4, "context": 1, "after": 2, "paren": 1, "group": 3}
+ROUNDS, RATE, PRECISION, LEAST = 30, 0.3, 0.9, 20
+
+
+#: Matches numbered together; a text's matches are numbered in time linear in them.
+_BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _matches(text: Column, pattern: str, context: bool = False) -> Column:
     """Every match as (s, e, v[, left, right]), code points, end exclusive: the
-    pieces between matches give the positions."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    pieces between matches give the positions, summed in two levels (inside
+    blocks of matches, then over blocks)."""
     fields = "s:int,e:int,v:string" + (",left:string,right:string" if context else "")
 
-    def add(acc, h):
-        start = acc.pos + F.char_length(F.get(acc.gaps, F.size(acc.out)))
-        got = [start.alias("s"), (start + F.char_length(h)).alias("e"), h.alias("v")]
-        if context:
-            left = F.get(acc.gaps, F.size(acc.out))
-            right = F.get(acc.gaps, F.size(acc.out) + 1)
-            got += [F.right(left, F.lit(24)).alias("left"), F.left(right, F.lit(1)).alias("right")]
-        return F.struct((start + F.char_length(h)).alias("pos"), acc.gaps.alias("gaps"),
-                        F.concat(acc.out, F.array(F.struct(*got))).alias("out"))
+    def pieces(gaps: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            got = [F.char_length(F.get(gaps, i)).alias("gap"), h.alias("v")]
+            if context:
+                got += [F.right(F.get(gaps, i), F.lit(24)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("right")]
+            return F.struct(*got)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
+
+    def add(acc: Column, m: Column) -> Column:
+        start = acc.pos + m.gap
+        end = start + F.char_length(m.v)
+        got = [start.alias("s"), end.alias("e"), m.v.alias("v")] + ([m.left.alias("left"), m.right.alias("right")] if context else [])
+        return F.struct(end.alias("pos"), F.concat(acc.out, F.array(F.struct(*got))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def blocks(all_: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_) / _BLOCK).cast("int"), F.lit(1)) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(all_, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
 
-    zero = F.struct(F.lit(0).alias("pos"), gaps.alias("gaps"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
-    return F.aggregate(hits, zero, add, lambda acc: acc.out)
+    def placed(done: Column) -> Column:
+        starts = F.aggregate(done, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b.pos)))
+        return _let(starts, lambda at: F.flatten(F.transform(done, lambda b, i: F.transform(b.out, lambda m: m.withField(
+            "s", m.s + F.get(at, i)).withField("e", m.e + F.get(at, i))))))
+
+    return _let(_let(_let(F.split(text, pattern, -1), pieces), blocks), placed)
 
 
 def _digits(v: Column) -> Column:
@@ -91,19 +122,43 @@ def _valid(kind: int, v: Column) -> Column:
     return n.between(10, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<s, k, e>> of the four base kinds, by start, then kind."""
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+def base_matches(text: Column) -> Column:
+    """array<struct<s, k, e, v, left, right>> of the four base kinds, by start, then kind."""
+    kind_of = "array<struct<s:int,k:int,e:int,v:string,left:string,right:string>>"
 
     def of(kind: int) -> Column:
-        passed = F.filter(_matches(text, _BASE[kind]), lambda m: _valid(kind, m.v))
-        found = F.transform(passed, lambda m: F.struct(m.s.alias("s"), F.lit(kind).alias("k"), m.e.alias("e")))
+        passed = F.filter(_matches(text, _BASE[kind], context=True), lambda m: _valid(kind, m.v))
+        found = F.transform(passed, lambda m: F.struct(m.s.alias("s"), F.lit(kind).alias("k"), m.e.alias("e"), m.v.alias("v"),
+                                                       m.left.alias("left"), m.right.alias("right"))).cast(kind_of)
         may = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.regexp_like(text, F.lit("[0-9][ -]?[0-9]"))
-        return F.when(may, found).otherwise(none)
+        return F.when(may, found).otherwise(F.array().cast(kind_of))
 
     return F.array_sort(F.concat(*[of(kind) for kind in _BASE]))
 
 
+def _rewritten(kind: Column, v: Column, turn: Column) -> Column:
+    """A base span in disguise; ``turn`` picks one of three."""
+    def pick(*ways: Column) -> Column:
+        return F.element_at(F.array(*ways), turn + 1)
+
+    grouped = F.trim(F.regexp_replace(_digits(v), "(.{4})", "$1 "))
+    plain = F.substr(v, F.lit(2))
+    email = pick(F.replace(v, F.lit("@"), F.lit(" [at] ")), F.replace(v, F.lit("@"), F.lit(" at ")),
+                 F.replace(F.replace(v, F.lit("@"), F.lit("(at)")), F.lit("."), F.lit(" [dot] ")))
+    ip = pick(F.replace(v, F.lit("."), F.lit("[.]")), F.replace(v, F.lit("."), F.lit(" [dot] ")), F.replace(v, F.lit("."), F.lit(" dot ")))
+    card = pick(F.replace(grouped, F.lit(" "), F.lit("/")), F.replace(grouped, F.lit(" "), F.lit(".")), F.replace(grouped, F.lit(" "), F.lit(" - ")))
+    phone = pick(plain, F.concat(F.lit("00"), plain), F.replace(F.regexp_replace(plain, "[()]", ""), F.lit(" "), F.lit("/")))
+    return F.when(kind == EMAIL, email).when(kind == IP, ip).when(kind == CARD, card).otherwise(phone)
+
+
+def _damaged(kind: Column, v: Column) -> Column:
+    """A base span that is none any more, in disguise too."""
+    number = _digits(v)
+    wrong = F.concat(F.left(number, F.length(number) - 1), ((F.right(number, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    return (F.when(kind == EMAIL, F.regexp_replace(F.replace(v, F.lit("@"), F.lit(" at ")), r"\.", " ")).when(kind == IP, F.concat(F.lit("9"), F.replace(v, F.lit("."), F.lit(".9"))))
+            .when(kind == CARD, F.trim(F.regexp_replace(wrong, "(.{4})", "$1 "))).otherwise(F.left(number, F.lit(8))))
+
+
 def _step(value: Column, *bounds: int) -> Column:
     """How many of the rising bounds ``value`` has reached."""
     out = F.lit(0)
@@ -115,13 +170,15 @@ def _step(value: Column, *bounds: int) -> Column:
 def _candidate(gen: int, m: Column) -> Column:
     n = F.length(_digits(m.v))
     dots = F.length(m.v) - F.length(F.replace(m.v, F.lit("."), F.lit("")))
-    quad = F.regexp_like(m.v, F.lit(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"))
+    four = F.regexp_replace(m.v, r"[^0-9]+", ".")
+    quad = F.lit(True) if gen == 3 else F.regexp_like(m.v, F.lit(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"))
     kind = F.lit(EMAIL) if gen == 0 else F.when(quad, IP).when(n.between(14, 19), CARD).otherwise(PHONE)
+    check = F.lit(0) if gen == 0 else (F.when(quad, _valid(IP, four)).otherwise(F.call_function("luhn_check", _digits(m.v)))).cast("int")
     seps = sum((F.contains(m.v, F.lit(c)).cast("int") for c in (" ", "-", "/")), F.lit(0))
     longest = F.array_max(F.transform(F.split(m.v, "[^0-9]+", -1), F.char_length))
     after = F.when(F.regexp_like(m.right, F.lit("[A-Za-z0-9]")), 1).when(F.regexp_like(m.right, F.lit(r"[^\s]")), 2).otherwise(0)
     values = {
-        "gen": F.lit(gen), "digits": _step(n, 1, 7, 10, 14, 20), "seps": seps, "dots": F.least(dots, F.lit(4)),
+        "gen": F.lit(gen), "check": check, "digits": _step(n, 1, 7, 10, 14, 20), "seps": seps, "dots": F.least(dots, F.lit(4)),
         "size": _step(F.char_length(m.v), 12, 16, 20, 30), "context": F.regexp_like(m.left, F.lit(_CONTEXT)).cast("int"),
         "after": after, "paren": F.contains(m.v, F.lit("(")).cast("int"), "group": _step(longest, 4, 5, 9)}
     return F.struct(m.s.alias("s"), kind.alias("k"), m.e.alias("e"), *[values[f].cast("int").alias(f) for f in FEATURES])
@@ -132,8 +189,13 @@ def candidate_spans(text: Column) -> Column:
     kind = "array<struct<s:int,k:int,e:int," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
 
     def of(gen: int) -> Column:
-        found = F.transform(_matches(text, _GENERATORS[gen], context=True), lambda m: _candidate(gen, m)).cast(kind)
+        matches = _matches(text, _GENERATORS[gen], context=True)
+        if gen in (1, 2):  # no number of a person is longer than a card's
+            matches = F.filter(matches, lambda m: F.length(_digits(m.v)) <= 19)
+        found = F.transform(matches, lambda m: _candidate(gen, m)).cast(kind)
         may = F.regexp_like(text, F.lit("[0-9]")) if gen else F.regexp_like(text, F.lit(r"@|[\[({ ]at[\]) }]"))
+        if gen == 3:
+            may = F.regexp_like(text, F.lit(r"[0-9] ?[\[(. ]"))
         return F.when(may, found).otherwise(F.array().cast(kind))
 
     return F.concat(*[of(gen) for gen in _GENERATORS])
@@ -199,12 +261,43 @@ class Trees:
         return out
 
 
-def fit(found: DataFrame) -> tuple[Trees, dict[int, float]]:
-    """Trees from one half of the documents, thresholds per kind from the other."""
-    rows = found.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), "base", F.explode("cands").alias("c"))
-    hit = F.exists("base", lambda b: (b.k == F.col("c.k")) & (b.s < F.col("c.e")) & (b.e > F.col("c.s")))
-    table = rows.groupBy("half", "c.k", *[F.col(f"c.{f}") for f in FEATURES]).agg(
-        F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")).collect()
+#: Code points of a bin in which spans of one text are compared.
+_BIN = 64
+
+
+def loose_candidates(found: DataFrame) -> DataFrame:
+    """(row, half, c) of every candidate that lies in no base span: spans of a
+    text meet by bins of its positions, so a text of many spans is many small keys."""
+    cands = found.select("row", "half", F.explode("cands").alias("c")).withColumn("bin", F.floor(F.col("c.s") / _BIN))
+    bins = F.explode(F.sequence(F.floor(F.col("b.s") / _BIN), F.floor(F.col("b.e") / _BIN)))
+    base = found.select(F.col("row").alias("r"), F.explode("base").alias("b")).select("r", F.col("b.s").alias("bs"), F.col("b.e").alias("be"), bins.alias("bbin"))
+    inside = (F.col("row") == F.col("r")) & (F.col("bin") == F.col("bbin")) & (F.col("bs") <= F.col("c.s")) & (F.col("be") >= F.col("c.e"))
+    return save(cands.join(base, inside, "left_anti").select("row", "half", "c"), "loose")
+
+
+def examples(found: DataFrame, loose: DataFrame) -> DataFrame:
+    """(half, c, good): one row per training example, a candidate and whether it is one of personal data."""
+    outside = loose.select("half", "c", F.lit(False).alias("good"))
+    known = found.select("half", F.explode("base").alias("b")).select("half", "b.*")
+    turn = F.pmod(F.xxhash64("v"), F.lit(3)).cast("int")
+    written = known.select("half", "k", "left", "right", F.explode(F.array(
+        F.struct(_rewritten(F.col("k"), F.col("v"), turn).alias("v"), F.lit(True).alias("good")),
+        F.struct(_damaged(F.col("k"), F.col("v")).alias("v"), F.lit(False).alias("good")))).alias("w"))
+    written = written.withColumn("text", F.concat(F.coalesce("left", F.lit("")), "w.v", F.coalesce("right", F.lit(""))))
+    start = F.char_length(F.coalesce("left", F.lit("")))
+    end = start + F.char_length("w.v")
+    inside = written.select("half", "k", "w", start.alias("start"), end.alias("end"), F.explode(candidate_spans(F.col("text"))).alias("c"))
+    inside = inside.filter((F.col("c.s") < F.col("end")) & (F.col("c.e") > F.col("start")))
+    whole = (F.col("c.k") == F.col("k")) & (F.col("c.s") <= F.col("start")) & (F.col("c.e") >= F.col("end"))
+    return outside.unionByName(inside.select("half", "c", (F.col("w.good") & whole).alias("good")))
+
+
+def fit(found: DataFrame, loose: DataFrame) -> tuple[Trees, dict[int, float], dict[int, tuple[float, float]]]:
+    """Trees from one half of the documents; from the other half a threshold per
+    kind, and its (precision, recall) there."""
+    table = examples(found, loose).groupBy("half", "c.k", *[F.col(f"c.{f}") for f in FEATURES]).agg(
+        F.count_if("good").alias("pos"), F.count_if(~F.col("good")).alias("neg")).collect()
+
     def part(half):
         own = sorted(tuple(r) for r in table if r["half"] == half)
         a = np.array(own, np.float64).reshape(-1, len(FEATURES) + 4)
@@ -213,14 +306,25 @@ def fit(found: DataFrame) -> tuple[Trees, dict[int, float]]:
     _, x, pos, neg = part(0)
     trees = Trees(x, pos, neg)
     kind, x, pos, neg = part(1)
-    scores, limits = trees.scores(x), {}
+    scores, limits, reached = trees.scores(x), {}, {}
     for k in range(len(KINDS)):
         for t in sorted(set(scores[kind == k])):
             m = (kind == k) & (scores >= t)
             if pos[m].sum() >= LEAST and pos[m].sum() >= PRECISION * (pos[m].sum() + neg[m].sum()):
                 limits[k] = float(t) - 1e-9
+                reached[k] = float(pos[m].sum() / (pos[m].sum() + neg[m].sum())), float(pos[m].sum() / pos[kind == k].sum())
                 break
-    return trees, limits
+    return trees, limits, reached
+
+
+def spans_found(docs: DataFrame) -> DataFrame:
+    """(row, half, doc_id, base, cands): base matches and candidates of every
+    text, in the shared folder; ``half`` deals documents to training and calibration."""
+    text = F.coalesce("text", F.lit(""))
+    found = keyed(docs).select("doc_id", text.alias("text")).select(
+        F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), "doc_id",
+        base_matches(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("cands"))
+    return save(found, "spans")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -229,23 +333,22 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty and has no spans; a null id is kept; equal rows
     give equal spans; extra columns are ignored; an empty table gives an empty
-    result. Without enough base spans to calibrate a kind nothing is added.
+    result. Without enough base spans to calibrate a kind nothing is added to it.
     """
-    text = F.coalesce("text", F.lit(""))
-    found = keyed(docs).select("doc_id", text.alias("text")).select(
-        "doc_id", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("cands"))
-    found = save(found, "spans")
-    trees, limits = fit(found)
-
-    def passes(c: Column) -> Column:
-        out = F.lit(False)
-        for k, t in limits.items():
-            out = out | ((c.k == k) & (trees.column(c) >= t))
-        return out
-
-    inside = lambda c: F.exists("base", lambda b: (b.k == c.k) & (b.s <= c.s) & (b.e >= c.e))
-    more = F.transform(F.filter("cands", lambda c: passes(c) & ~inside(c)), lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e")))
-    return found.select(shown(), "base", F.array_sort(F.array_distinct(F.concat("base", more))).alias("spans"))
+    found = spans_found(docs)
+    loose = loose_candidates(found)
+    trees, limits, _ = fit(found, loose)
+
+    def bare(x: Column) -> Column:
+        return F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"))
+
+    c, passes = F.col("c"), F.lit(False)
+    for k, t in limits.items():
+        passes = passes | ((c.k == k) & (trees.column(c) >= t))
+    more = loose.filter(passes).select(F.col("row").alias("r"), bare(c).alias("x")).distinct().groupBy("r").agg(F.collect_list("x").alias("more"))
+    plain = F.transform("base", bare)
+    all_ = F.when(F.col("more").isNull(), plain).otherwise(F.array_sort(F.concat(plain, "more")))
+    return found.join(more, F.col("row") == F.col("r"), "left").select(shown(), plain.alias("base"), all_.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
