@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlens.operators import ordered
@@ -150,13 +150,13 @@ def replace_text(df: DataFrame, text_col: str, old: str, new: str, replace_all:
 
 def changed_lines(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Kept / removed / added lines between two versions of each text,
-    compared as multisets of lines: a line's n-th occurrence in the old text
+    compared as multisets of lines (where a moved line counts as kept; the diff
+    in order is :mod:`tierlens.operators.diff`): a line's n-th occurrence in the old text
     pairs with its n-th occurrence in the new one (full outer equi-join on
     key, line hash and occurrence). ``old``/``new``: (key, line_no, line)."""
     def occ(d):
-        # occurrence number of a line inside its text: a chunked running count
-        # per (text, line hash), so one line repeated a million times is split
-        return ordered.running_sum(d.withColumn("_h", F.md5("line")), [key, "_h"], "line_no", F.lit(1), "_occ")
+        # all lines of a text come out of one row, so a window per (text, line) holds no more than that row did
+        return d.withColumn("_h", F.md5("line")).withColumn("_occ", F.row_number().over(Window.partitionBy(key, "_h").orderBy("line_no")))
     o = occ(old).select(key, "_h", "_occ", F.col("line_no").alias("old_line_no"), F.col("line").alias("old_line"))
     n = occ(new).select(key, "_h", "_occ", F.col("line_no").alias("new_line_no"), F.col("line").alias("new_line"))
     j = o.join(n, [key, "_h", "_occ"], "full_outer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierlens.fixtures import register
 from tierlens.functions.text import md5_len
 from tierlens.operators import corpus as K
+from tierlens.operators import diff as D
 from tierlens.operators import sessions as S
 from tierlens.plans import query
 
@@ -119,6 +120,46 @@ def h20_changed_lines(spark, sf_dir):
     return K.diff_counts(ch, "doc_id")
 
 
+# Every line carries its number, so lines are unique and what stays is known: the
+# last third of the lines moves to the front and ' the ' is rewritten. Lines that
+# stay in order belong to the block that holds the longest unchanged run (the
+# first block if equal); those of the other block go and come.
+_MOVED = _LINES + """
+, k AS (SELECT doc_id, line_no, concat(CAST(line_no AS VARCHAR), ': ', line) AS line, count(*) OVER (PARTITION BY doc_id) AS n FROM lines),
+e AS (SELECT *, replace(line, ' the ', ' THE ') AS edited, line_no > n - n // 3 AS tail FROM k),
+r AS (SELECT *, line = edited AS same, line_no - row_number() OVER (PARTITION BY doc_id, tail, line = edited ORDER BY line_no) AS grp FROM e),
+run AS (SELECT doc_id, tail, count(*) AS len, min(line_no) AS first FROM r WHERE same GROUP BY doc_id, tail, grp),
+best AS (SELECT doc_id, arg_min(tail, {'a': -len, 'b': first}) AS tail FROM run GROUP BY doc_id),
+x AS (SELECT r.doc_id, line_no, CASE WHEN r.tail THEN line_no - (n - n // 3) ELSE line_no + n // 3 END AS new_no,
+             same AND r.tail = best.tail IS TRUE AS kept, edited FROM r LEFT JOIN best USING (doc_id))
+SELECT d.doc_id, count(*) FILTER (WHERE NOT kept) AS added, count(*) FILTER (WHERE NOT kept) AS removed,
+       md5(coalesce(string_agg(CASE WHEN NOT kept THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no), '')) AS removed_md5,
+       md5(coalesce(string_agg(CASE WHEN NOT kept THEN concat(CAST(new_no AS VARCHAR), ' ', edited) END, chr(10) ORDER BY new_no), '')) AS added_md5
+FROM documents d JOIN x USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("h20_line_diff", _MOVED)
+def h20_line_diff(spark, sf_dir):
+    """Diff in order between the numbered lines of every document and a version
+    whose last third comes first and whose ' the ' is rewritten."""
+    docs = _t(spark, sf_dir, "documents")
+    lines = F.transform(K.split_lines(F.col("text")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), F.regexp_replace(x, D._BOUNDARY, " ")))
+    d = docs.select("doc_id", lines.alias("x")).filter(F.size("x") > 0)
+    edited = F.transform("x", lambda x: F.replace(x, F.lit(" the "), F.lit(" THE ")))
+    keep = F.size("x") - F.floor(F.size("x") / 3).cast("int")
+    moved = F.concat(F.slice(edited, keep + 1, F.size("x") - keep), F.slice(edited, F.lit(1), keep))
+    old, new = d.select("doc_id", F.array_join("x", "\n").alias("text")), d.select("doc_id", F.array_join(moved, "\n").alias("text"))
+    diffs = D.diff_texts(old, new, "doc_id")
+    changes = D.diff_lines(diffs, "doc_id").filter("kind != 'kept'")
+    listed = changes.groupBy("doc_id").agg(
+        F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "removed", F.col("old_line_no")))).cast("array<string>"), ",")).alias("removed_md5"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "added", F.struct("new_line_no", "line")))),
+                                       lambda x: F.concat(x.new_line_no.cast("string"), F.lit(" "), x.line)), "\n")).alias("added_md5"))
+    none = F.md5(F.lit(""))
+    return diffs.select("doc_id", D.added().alias("added"), D.removed().alias("removed")).join(listed, "doc_id", "left").select(
+        "doc_id", "added", "removed", F.coalesce("removed_md5", none).alias("removed_md5"), F.coalesce("added_md5", none).alias("added_md5"))
+
+
 @query("h1_token_estimate", """
 SELECT conv_id, turn, CAST(floor(coalesce(length(text), 0) / 4) AS BIGINT) AS tokens FROM conversations""")
 def h1_token_estimate(spark, sf_dir):
