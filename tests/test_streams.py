@@ -1,6 +1,7 @@
 import pandas as pd
 
 from tierlens.operators import streams as ST
+from tierlens.streaming import harness as H
 from tierlens.streaming import jobs as J
 
 
@@ -41,15 +42,22 @@ PARTS = [
 ]
 
 
+def _blocks(spark, frames):
+    log = spark.createDataFrame(pd.concat(frames).astype(object).where(lambda x: x.notna(), None).to_dict("records"), J.PIECE_OUT)
+    return J.assembled_blocks(log).collect()
+
+
 def test_batch_assembly_matches_stream_state_machine(spark):
     df = spark.createDataFrame(PARTS, ", ".join(f"{c} {'long' if c in ('stream_id', 'seq') else 'string'}" for c in COLS))
+    pdf = pd.DataFrame(PARTS, columns=COLS).assign(ts_s=100)
     for chunk in (2, 3, 1 << 20):
         blocks, msg = ST.assemble_messages(df, chunk)
         got = sorted((r.position, r.kind, r.content, r.name, r.call_id, r.signature) for r in blocks.collect())
-        st = _State()
-        pdf = pd.DataFrame(PARTS, columns=COLS).assign(ts_s=100)
-        out = pd.concat(list(J._assemble_fn((1,), iter([pdf]), st)))
-        exp = sorted((int(r.position), r.kind, r.content, r.name, r.call_id, r.signature) for r in out.itertuples())
+        st, out = _State(), []
+        for a in range(0, len(pdf), min(chunk, 11)):  # the same parts in micro-batches of any size
+            out += J._assemble_fn((1,), iter([pdf.iloc[a:a + chunk]]), st)
+        assert not st.exists and sum(len(o) for o in out) == 10  # nine parts of blocks, once each, and the closing row
+        exp = sorted((r.position, r.kind, r.content, r.name, r.call_id, r.signature) for r in _blocks(spark, out))
         assert got == exp, chunk
         assert [(b[1], b[2]) for b in got] == [("text", "Hello"), ("thinking", "hmm"), ("text", "bye"),
                                                ("tool_call", '{"path": "/x"}'), ("tool_call", "{}")]
@@ -57,14 +65,112 @@ def test_batch_assembly_matches_stream_state_machine(spark):
         assert (m.n_tool_calls, m.stop_reason) == (2, "tool_use")
 
 
-def test_stream_without_done_is_emitted_after_silence_and_late_errors_open_nothing():
+def test_stream_without_done_is_emitted_after_silence_and_late_errors_open_nothing(spark):
     st = _State()
     first = pd.DataFrame([p for p in PARTS[:4]], columns=COLS).assign(ts_s=[100, 101, 102, 103])
-    assert list(J._assemble_fn((1,), iter([first]), st)) == [] and st.exists and st.timeout_ms == (103 + J.SILENT_S) * 1000
+    out = list(J._assemble_fn((1,), iter([first]), st))
+    assert st.exists and st.timeout_ms == (103 + J.SILENT_S) * 1000 and _blocks(spark, out) == []
     st.hasTimedOut = True
-    out = pd.concat(list(J._assemble_fn((1,), iter([]), st)))
-    assert [(r.kind, r.content, r.signature) for r in out.itertuples()] == [("text", "Hello", None), ("thinking", "hmm", "sig")]
+    out += J._assemble_fn((1,), iter([]), st)
+    assert sorted((r.position, r.kind, r.content, r.signature, r.stop_reason) for r in _blocks(spark, out)) == [
+        (1, "text", "Hello", None, "stop"), (2, "thinking", "hmm", "sig", "stop")]
     assert not st.exists
     late = _State()
     error = pd.DataFrame([(1, 11, "error", None, None, None, None, None, None)], columns=COLS).assign(ts_s=200)
     assert list(J._assemble_fn((1,), iter([error]), late)) == [] and not late.exists
+
+
+def test_state_does_not_grow_with_the_message():
+    st = _State()
+    sizes = []
+    for a in range(0, 3000, 1000):
+        parts = pd.DataFrame([(1, a + i, "text", "x" * 50, None, None, None, None, None) for i in range(1000)], columns=COLS).assign(ts_s=100 + a)
+        assert sum(len(o) for o in J._assemble_fn((1,), iter([parts]), st)) == 1000
+        sizes.append(len(repr(st.value)))
+    assert max(sizes) == min(sizes)
+
+
+def _turns(*rows):
+    return iter([pd.DataFrame(rows, columns=["turn", "tier", "ts_s"])])
+
+
+def test_idle_conversations_leave_the_state_and_start_anew():
+    fn, st = J._pivot_fn(100), _State()
+    out = pd.concat(fn((1,), _turns((0, 2, 10), (1, 3, 20)), st))
+    assert out["is_pivot"].tolist() == [False, True] and st.timeout_ms == (20 + 100) * 1000
+    late = pd.concat(fn((1,), _turns((2, 1, 200)), st))  # the state is still there, the pause counts all the same
+    assert late["prev_tier"].isna().all() and not late["is_pivot"].any()
+    st.hasTimedOut = True
+    assert list(fn((1,), iter([]), st)) == [] and not st.exists
+    st.hasTimedOut = False
+    assert pd.concat(fn((1,), _turns((3, 2, 400), (4, 2, 410)), st))["prev_tier"].isna().tolist() == [True, False]
+    fn, st = J._compact_state_fn(4, 100), _State()
+    assert pd.concat(fn((1,), _turns((0, 1, 0), (1, 1, 1), (2, 1, 2)), st))["compact_before"].tolist() == [False, False, True]
+    assert pd.concat(fn((1,), _turns((3, 1, 500)), st))["call_no"].tolist() == [1]
+
+
+def test_expired_keys_leave_the_state_store(spark):
+    """Old conversations end when the watermark passes; the store keeps the live one only."""
+    w = H.workdir(spark, "idle-test")
+    schema = "conv_id long, turn long, tier int, ts_s long"
+    rows = [(c, 0, 1, 1000 + c) for c in range(20)] + [(99, 0, 1, 5000), (99, 1, 2, 5010), (99, 2, 2, 5020), (3, 1, 2, 9000)]
+    query = None
+    for batch in ([r for r in rows if r[3] < 2000], rows[20:21], rows[21:23], rows[23:]):
+        spark.createDataFrame(batch, schema).write.mode("append").json(w["input"])
+        query = J.pivot_stream(H.file_stream(spark, w["input"], schema), idle_s=600).writeStream.format("parquet").option("path", w["out"]) \
+            .option("checkpointLocation", w["ckpt"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+    kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert kept[-1] <= 1  # conversation 99 has ended too, 3 is live again
+    got = {(r.conv_id, r.turn): (r.prev_tier, r.is_pivot) for r in spark.read.parquet(w["out"]).collect()}
+    assert got[(99, 1)] == (1, True) and got[(3, 1)] == (None, False) and len(got) == 24
+
+
+def test_reset_starts_an_epoch_and_summaries_are_costed_apart():
+    cols = ["conv_id", "seq", "kind", "actual_cost_nano", "baseline_cost_nano"]
+    st = _State()
+
+    def feed(*rows):
+        frames = list(J._roi_state((7,), iter([pd.DataFrame([(7, *r) for r in rows], columns=cols)]), st))
+        return [tuple(r) for r in pd.concat(frames).itertuples(index=False)]
+
+    assert feed((2, "summary", 5, 9), (1, "call", 10, 40), (3, "call", 20, 40)) == [(7, 0, 2, 35, 89, 30, 5)]
+    assert feed((4, "call", 1, 1), (5, "reset", 0, 0), (6, "reset", 0, 0), (7, "summary", 2, 3)) == [(7, 0, 3, 36, 90, 31, 5), (7, 2, 0, 2, 3, 0, 2)]
+    assert feed((8, "reset", 0, 0)) == [] and st.value == (3, 0, 0, 0, 0, 0)
+
+
+def test_snapshot_writes_only_its_batch_and_merges_levels(spark, monkeypatch):
+    monkeypatch.setattr(J, "SNAPSHOT_MERGE", 3)
+    path = H.workdir(spark, "snapshot-test")["out"]
+
+    def rows(b):
+        return spark.createDataFrame([(f"t{b}", f"q{b}-{i}", 1, 2, 0.5, "corrected") for i in range(5)],
+                                     "timestamp string, query string, predicted_tier int, corrected_tier int, confidence double, status string")
+
+    for b in range(10):
+        J.refresh_snapshot(rows(b), b, path)
+        if b == 4:
+            J.refresh_snapshot(rows(b), b, path)  # a replay
+        assert J.read_snapshot(spark, path).count() == 5 * (b + 1)
+    assert J.snapshot_parts(spark, path) == [(0, 8), (9, 9)]
+    assert J.snapshot_parts(spark, path, 6) == [(0, 2), (3, 5), (6, 6)]
+    assert J.read_snapshot(spark, path, 6).count() == 35
+    got = {(r.timestamp, r.query, r.confidence) for r in J.read_snapshot(spark, path).collect()}
+    assert got == {(f"t{b}", f"q{b}-{i}", "0.5") for b in range(10) for i in range(5)}
+    assert J.read_snapshot(spark, path + "-none").count() == 0
+
+
+def test_trigger_reads_batches_since_the_last_one(spark):
+    w = H.workdir(spark, "trigger-test")
+    acc, arch, trig = (f"{w['out']}/{x}" for x in ("accepted", "archive", "triggers"))
+    for b in range(6):
+        entries = spark.createDataFrame([(f"q{b}{i}", 1, 2, 0.5, None, "t", False, b, i) for i in range(3)],
+                                        "query string, predicted_tier int, corrected_tier int, confidence double, notes string, timestamp string, "
+                                        "is_correct boolean, conv_id long, turn long")
+        J.W.write_feedback_batch(entries, acc, b)
+        J.retrain_step(spark, b, acc, arch, trig, ["conv_id", "turn"], threshold=8)
+    got = sorted(tuple(r) for r in spark.read.schema("n_archived long, batch_id long").json(trig).collect())
+    assert got == [(9, 2), (9, 5)]
+    J.retrain_step(spark, 5, acc, arch, trig, ["conv_id", "turn"], threshold=8)  # a replay of the batch
+    assert sorted(tuple(r) for r in spark.read.schema("n_archived long, batch_id long").json(trig).collect()) == got
+    assert J.last_closed(spark, 5, trig) == 2

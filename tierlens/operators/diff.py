@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 CONTEXT_LINES = 4
 #: Line boundaries: a carriage return with a line feed is one.
-_BOUNDARY = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+_BOUNDARY = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 _OPS = "array<struct<tag:string,a:int,b:int,c:int,d:int>>"
 

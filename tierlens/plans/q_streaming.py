@@ -6,6 +6,7 @@ the same oracle."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,62 +97,91 @@ def i2_retrain_trigger(spark, sf_dir):
 
 
 @query("i10_snapshot_refresh", """
-SELECT count(*) AS n_rows FROM v_feedback""")
+SELECT strftime(make_timestamp(CAST(event_s * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS timestamp, md5(query) AS query_md5,
+       CAST(predicted_tier AS VARCHAR) AS predicted_tier, CAST(corrected_tier AS VARCHAR) AS corrected_tier, confidence,
+       CASE WHEN predicted_tier = corrected_tier THEN 'confirmed' ELSE 'corrected' END AS status FROM v_feedback""")
 def i10_snapshot_refresh(spark, sf_dir):
-    """Every micro-batch of corrections rebuilds the full snapshot table; the
-    newest snapshot is read back to rows."""
-    from tierlens.sources import readers as R
-
+    """Every micro-batch of corrections adds its documents and a manifest row;
+    the newest snapshot is read back to rows, every field of them."""
     w = H.workdir(spark, "snapshot")
     f = _t(spark, sf_dir, "v_feedback").select(
         "event_s", F.from_unixtime("event_s").alias("timestamp"), "query", "predicted_tier", "corrected_tier", "confidence",
         F.when(F.col("predicted_tier") == F.col("corrected_tier"), "confirmed").otherwise("corrected").alias("status"))
-    rp = H.stage_slices(f, w["input"], "event_s", n_slices=4)
+    rp = H.stage_slices(f, w["input"], "event_s", n_slices=10)
     schema = T.StructType([T.StructField("event_s", T.LongType()), T.StructField("timestamp", T.StringType()),
                            T.StructField("query", T.StringType()), T.StructField("predicted_tier", T.IntegerType()),
                            T.StructField("corrected_tier", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
                            T.StructField("status", T.StringType())])
-    log, snap = f"{w['out']}/log", f"{w['out']}/snapshots"
-    H.run_foreach_batch(H.file_stream(spark, w["input"], schema), lambda df, bid: J.refresh_snapshot(df, bid, log, snap), w["ckpt"], rp)
-    rows = R.read_table_snapshot(spark, snap).withColumn(
-        "snapshot", F.regexp_extract("file", r"snapshot=(\d+)", 1).cast("bigint"))
-    newest = rows.agg(F.max("snapshot").alias("snapshot"))
-    return (rows.join(newest, "snapshot").select("file", "row_idx").distinct()
-                .agg(F.count(F.lit(1)).alias("n_rows")))
+    H.run_foreach_batch(H.file_stream(spark, w["input"], schema), lambda df, bid: J.refresh_snapshot(df, bid, w["out"]), w["ckpt"], rp)
+    rows = J.read_snapshot(spark, w["out"])
+    return rows.select("timestamp", F.md5("query").alias("query_md5"), "predicted_tier", "corrected_tier",
+                       F.col("confidence").cast("double").alias("confidence"), "status")
 
 
 # ---------------------------------------------------------------- I3 / I11
 _CALL_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                              T.StructField("tier", T.IntegerType()), T.StructField("input_tokens", T.LongType()),
-                             T.StructField("output_tokens", T.LongType()), T.StructField("epoch", T.IntegerType())])
+                             T.StructField("output_tokens", T.LongType()), T.StructField("ts_s", T.LongType())])
 
 
 def _calls(spark, sf_dir):
     r = _t(spark, sf_dir, "v_routed")
     return r.select("conv_id", "turn", F.col("predicted_tier").alias("tier"), "input_tokens", "output_tokens",
-                    F.lit(0).alias("epoch"))
+                    (F.lit(1704067200) + F.col("turn") * 60).cast("bigint").alias("ts_s"))
 
 
 _ROI_PRICES = "(VALUES (1,100,100),(2,100,300),(3,400,2000),(4,500,1500)) AS p(tier, pin, pout)"
 
 
-@query("i3_live_session_roi", """
-, t AS (SELECT r.conv_id, coalesce(r.input_tokens*p.pin + r.output_tokens*p.pout, 0) AS a, r.input_tokens*400 + r.output_tokens*2000 AS b
-        FROM v_routed r LEFT JOIN """ + _ROI_PRICES + """ ON r.predicted_tier = p.tier)
-SELECT conv_id, 0 AS epoch, CAST(count(*) AS BIGINT) AS total_turns, CAST(sum(a) AS BIGINT) AS actual_total_nano,
-       CAST(sum(b) AS BIGINT) AS baseline_total_nano, CAST(sum(b) - sum(a) AS BIGINT) AS savings_nano,
+# Session events: the routed calls; before a call of another tier than the one
+# before, a summary of the conversation at tier 1; a reset after some turns.
+_EVENTS_SQL = """
+, c AS (SELECT conv_id, turn, predicted_tier AS tier, input_tokens, output_tokens,
+               lag(predicted_tier) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM v_routed),
+ev AS (SELECT conv_id, turn * 4 + 2 AS seq, 'call' AS kind, tier, input_tokens, output_tokens FROM c
+       UNION ALL SELECT conv_id, turn * 4 + 1, 'summary', 1, 200 + turn * 3, 40 + conv_id % 7 FROM c WHERE prev <> tier
+       UNION ALL SELECT conv_id, turn * 4 + 3, 'reset', NULL, NULL, NULL FROM c WHERE (conv_id + turn) % 7 = 5),
+ep AS (SELECT *, count(*) FILTER (WHERE kind = 'reset') OVER (PARTITION BY conv_id ORDER BY seq) AS epoch FROM ev)"""
+
+
+def _session_events(spark, sf_dir):
+    c = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", F.col("predicted_tier").alias("tier"), "input_tokens", "output_tokens")
+    prev = F.lag("tier").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = c.withColumn("prev", prev)
+
+    def event(rows, offset, kind, tier, tin, tout):
+        return rows.select("conv_id", (F.col("turn") * 4 + offset).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), tier.cast("int").alias("tier"),
+                           tin.cast("bigint").alias("input_tokens"), tout.cast("bigint").alias("output_tokens"))
+
+    none = F.lit(None)
+    return (event(c, 2, "call", F.col("tier"), F.col("input_tokens"), F.col("output_tokens"))
+            .unionByName(event(c.filter("prev != tier"), 1, "summary", F.lit(1), F.col("turn") * 3 + 200, F.col("conv_id") % 7 + 40))
+            .unionByName(event(c.filter((F.col("conv_id") + F.col("turn")) % 7 == 5), 3, "reset", none, none, none)))
+
+
+_EVENT_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()),
+                              T.StructField("tier", T.IntegerType()), T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
+
+
+@query("i3_live_session_roi", _EVENTS_SQL + """
+, t AS (SELECT conv_id, epoch, kind = 'summary' AS is_sum, coalesce(input_tokens*p.pin + output_tokens*p.pout, 0) AS a,
+               input_tokens*400 + output_tokens*2000 AS b FROM ep LEFT JOIN """ + _ROI_PRICES + """ ON ep.tier = p.tier WHERE kind <> 'reset')
+SELECT conv_id, CAST(epoch AS BIGINT) AS epoch, CAST(count(*) FILTER (WHERE NOT is_sum) AS BIGINT) AS total_turns, CAST(sum(a) AS BIGINT) AS actual_total_nano,
+       CAST(sum(b) AS BIGINT) AS baseline_total_nano, CAST(coalesce(sum(a) FILTER (WHERE NOT is_sum), 0) AS BIGINT) AS model_cost_nano,
+       CAST(coalesce(sum(a) FILTER (WHERE is_sum), 0) AS BIGINT) AS summarisation_nano, CAST(sum(b) - sum(a) AS BIGINT) AS savings_nano,
        CASE WHEN sum(b) > 0 THEN round(CAST(sum(b) - sum(a) AS DOUBLE) * 100.0 / CAST(sum(b) AS DOUBLE), 9) ELSE 0.0 END AS roi_pct
-FROM t GROUP BY conv_id""")
+FROM t GROUP BY conv_id, epoch""")
 def i3_live_session_roi(spark, sf_dir):
-    """Routed calls streamed by turn; the per-session ROI aggregate is updated
-    every micro-batch (update log keyed by batch id, newest row per session)."""
+    """Calls, summaries and resets streamed in order; the ROI of every session
+    and epoch is updated each micro-batch (update log keyed by batch id, newest
+    row per session and epoch)."""
     w = H.workdir(spark, "roi")
-    rp = H.stage_slices(_calls(spark, sf_dir), w["input"], "turn")
-    agg = J.session_roi_updates(H.file_stream(spark, w["input"], _CALL_SCHEMA))
+    rp = H.stage_slices(_session_events(spark, sf_dir), w["input"], "seq")
+    agg = J.session_roi_updates(H.file_stream(spark, w["input"], _EVENT_SCHEMA))
     H.run_foreach_batch(agg, lambda df, bid: J.upsert_batch(df, bid, w["out"]), w["ckpt"], rp, mode="update")
     latest = J.latest_per_key(spark, w["out"], ["conv_id", "epoch"])
-    return J.roi_columns(latest).select("conv_id", "epoch", "total_turns", "actual_total_nano", "baseline_total_nano",
-                                        "savings_nano", "roi_pct")
+    return J.roi_columns(latest).select("conv_id", "epoch", "total_turns", "actual_total_nano", "baseline_total_nano", "model_cost_nano",
+                                        "summarisation_nano", "savings_nano", "roi_pct")
 
 
 @query("i11_running_telemetry", None)
@@ -179,9 +209,9 @@ def i4_pivot_stream(spark, sf_dir):
 def i9_compaction_stream(spark, sf_dir):
     """Router-log compaction decided per conversation from keyed state while turns stream in."""
     w = H.workdir(spark, "compaction")
-    t = _t(spark, sf_dir, "v_turn").select("conv_id", "turn")
+    t = _t(spark, sf_dir, "v_turn").select("conv_id", "turn", (F.lit(1704067200) + F.col("turn") * 60).cast("bigint").alias("ts_s"))
     rp = H.stage_slices(t, w["input"], "turn")
-    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType())])
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("ts_s", T.LongType())])
     H.run_to_parquet(J.compaction_stream(H.file_stream(spark, w["input"], schema)), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"]).select("conv_id", "turn", "call_no", "compact_before")
 
@@ -308,12 +338,12 @@ _PART_SCHEMA = T.StructType([T.StructField("stream_id", T.LongType()), T.StructF
 
 @query("i5_assemble_stream", None)
 def i5_assemble_stream(spark, sf_dir):
-    """The same parts streamed in seq slices, folded into blocks in keyed state."""
+    """The same parts streamed in seq slices, numbered with their blocks in keyed state."""
     w = H.workdir(spark, "assemble")
     timed = _parts(spark, sf_dir).withColumn("ts_s", F.lit(1704067200) + F.col("seq"))
     rp = H.stage_slices(timed, w["input"], "seq")
     H.run_to_parquet(J.assemble_stream(H.file_stream(spark, w["input"], _PART_SCHEMA)), w["out"], w["ckpt"], replay=rp)
-    out = spark.read.parquet(w["out"])
+    out = J.assembled_blocks(spark.read.parquet(w["out"]))
     return out.select("stream_id", "position", "kind", "name", "call_id", "signature", F.md5("content").alias("content_md5"))
 
 

@@ -132,12 +132,14 @@ def read_session_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return headers.drop("seq"), entries
 
 
-def read_table_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def read_table_snapshot(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Columnar JSON snapshots ``{columns: [...], data: [[...], ...]}`` to
     long rows (file, row_idx, column, value) -- values read as strings."""
     schema = T.StructType([T.StructField("columns", T.ArrayType(T.StringType())),
                            T.StructField("data", T.ArrayType(T.ArrayType(T.StringType())))])
-    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    several = isinstance(path, list)  # folders of their own, whose names are no partition columns
+    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", several)
+    df = read.json(path).withColumn("file", F.col("_metadata.file_path"))
     rows = df.select("file", "columns", F.posexplode("data").alias("row_idx", "row"))
     return rows.select("file", "row_idx", F.posexplode(F.arrays_zip("columns", "row")).alias("col_idx", "z")) \
                .select("file", "row_idx", "col_idx", F.col("z.columns").alias("column"), F.col("z.row").alias("value"))
