@@ -49,3 +49,20 @@ def test_payload_carries_a_briefing_unless_the_topic_shifted(spark):
     briefings = spark.createDataFrame([(1, " earlier facts "), (2, "none.")], "conv_id long, briefing string")
     got = {r.conv_id: [(m["role"], m["content"]) for m in r.messages] for r in C.latest_payload(df, briefings).collect()}
     assert got == {1: [("system", C.BRIEFING_PREFIX + "earlier facts"), ("user", "q2")], 2: [("user", "x")]}
+
+
+def test_segments_in_chunks_of_any_size_equal_a_loop(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(c, t, rnd.randint(1, 2)) for c in range(6) for t in sorted(rnd.sample(range(40), rnd.randint(1, 25)))]
+    want, last = {}, {}
+    for c, t, tier in rows:
+        prev, seg = last.get(c, (None, 0))
+        pivot = prev is not None and prev != tier
+        want[(c, t)] = (prev, pivot, seg + pivot)
+        last[c] = (tier, seg + pivot)
+    df = spark.createDataFrame(rows, "conv_id int, turn int, tier int").repartition(4)
+    for chunk in (1, 3, 7, 1 << 20):
+        got = {(r.conv_id, r.turn): (r.prev_tier, r.is_pivot, r.segment_id) for r in C.segments(df, chunk=chunk).collect()}
+        assert got == want, chunk

@@ -48,11 +48,13 @@ def pivots(df: DataFrame, key: str = "conv_id", order: str = "turn", tier_col: s
     return d.withColumn("is_pivot", F.coalesce(F.col("prev_tier") != F.col(tier_col), F.lit(False)))
 
 
-def segments(df: DataFrame, key: str = "conv_id", order: str = "turn",
+def segments(df: DataFrame, key: str = "conv_id", order: str = "turn", tier_col: str = "tier",
              chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
-    """Segment id = running count of pivots; the turns of a segment are
-    the pending turns, earlier segments are folded into the briefing."""
-    return ordered.running_sum(df, key, order, F.col("is_pivot").cast("int"), "segment_id", chunk)
+    """E3 and E4 in one pass over routed turns: ``prev_tier``, ``is_pivot`` and
+    the segment id, a running count of pivots; the turns of a segment are the
+    pending turns, earlier segments are folded into the briefing."""
+    d = ordered.changes(df, key, order, F.col(tier_col), lambda prev, cur: prev != cur, "prev_tier", "segment_id", chunk=chunk)
+    return d.withColumn("is_pivot", F.coalesce(F.col("prev_tier") != F.col(tier_col), F.lit(False)))
 
 
 def segment_summary(df: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -170,9 +172,11 @@ def frontmatter(content: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(
         strip_ws(F.substring_index(x, ":", 1)).alias("key"),
         _unquote(strip_ws(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))).alias("value")))
-    last_wins = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    # the pairs bound to a name: a lambda over an expression would evaluate it for every element
+    last_wins = F.get(F.transform(F.array(pairs), lambda all_: F.map_from_entries(F.filter(
+        all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])))), F.lit(0))
     empty = F.create_map().cast("map<string,string>")
-    return F.when(has, F.map_from_entries(last_wins)).otherwise(empty)
+    return F.when(has, last_wins).otherwise(empty)
 
 
 def _unquote(v: Column) -> Column:
@@ -200,7 +204,7 @@ def load_skills(files: DataFrame) -> DataFrame:
     """H4 + H5 per skill file (``path``, ``dir_name``, ``layer``, ``content``):
     name (falls back to the directory), description, warnings, loaded flag
     (skills without a description are not loaded)."""
-    fm = files.withColumn("_fm", frontmatter(F.col("content")))
+    fm = files.select("*", F.explode(F.array(frontmatter(F.col("content")))).alias("_fm"))  # parsed once, not in every use
     name = F.coalesce(F.when(F.col("_fm")["name"] != "", F.col("_fm")["name"]), F.col("dir_name"))
     desc = F.coalesce(F.col("_fm")["description"], F.lit(""))
     out = fm.withColumn("name", name).withColumn("description", desc)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tierlens.operators import ordered
@@ -121,16 +121,21 @@ def grep(lines: DataFrame, pattern: str, include: str | None = None, path_col: s
          mtime_col: str = "mtime", max_matches: int = GREP_MAX_MATCHES) -> DataFrame:
     """Regex line search; newest file first (then path, line), first 100
     matches, each line cut at 2000 characters with ``...``; ``total_matches``
-    counts all matches. The top 100 is a TakeOrderedAndProject (per-partition
-    top-k, then a merge), the total a scalar subquery (one global count)."""
+    counts all matches. The corpus is read once: the top 100 is a
+    TakeOrderedAndProject (per-partition top-k, then a merge), and the total is
+    observed on the rows that flow into it. The report, ``max_matches`` rows at
+    most, passes through the driver."""
     m = lines.filter(F.col("line").rlike(pattern))
     if include:
         m = m.filter(F.col(path_col).rlike(glob_to_regex(include)))
-    total = m.agg(F.count(F.lit(1)).alias("total_matches")).scalar()
-    top = m.orderBy(F.col(mtime_col).desc(), F.col(path_col), F.col("line_no")).limit(max_matches)
+    seen = Observation("grep")
+    m = m.observe(seen, F.count(F.lit(1)).alias("total_matches"))
     text = F.when(F.length("line") > GREP_MAX_LINE, F.concat(F.substring("line", 1, GREP_MAX_LINE), F.lit("..."))) \
             .otherwise(F.col("line"))
-    return top.select(path_col, mtime_col, "line_no", text.alias("line"), total.alias("total_matches"))
+    top = m.orderBy(F.col(mtime_col).desc(), F.col(path_col), F.col("line_no")).limit(max_matches).select(path_col, mtime_col, "line_no", text.alias("line"))
+    rows = top.collect()  # max_matches at most
+    found = lines.sparkSession.createDataFrame(rows, top.schema)
+    return found.withColumn("total_matches", F.lit(seen.get["total_matches"]).cast("bigint"))
 
 
 def replace_text(df: DataFrame, text_col: str, old: str, new: str, replace_all: bool) -> DataFrame:

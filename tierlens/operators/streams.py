@@ -32,16 +32,15 @@ def _content_parts(parts: DataFrame, chunk: int) -> DataFrame:
     dropped -- the previous kept row has that part's kind."""
     kinds = parts.filter(F.col("part_type").isin("text", "think", "tool_call_start", "tool_call_delta"))
     non_delta = F.when(F.col("part_type") != "tool_call_delta", F.col("part_type"))
-    d = ordered.scan(kinds, "stream_id", "seq", [
-        ("last", non_delta, "_lnd", False),
-        ("sum", (F.col("part_type") == "tool_call_start").cast("int"), "call_no", True)], chunk)
+
+    def opens(prev, cur):
+        return F.coalesce(prev != cur, F.lit(True)) | (cur == "tool_call_start")
+
+    d = ordered.changes(kinds, "stream_id", "seq", non_delta, opens, "_lnd", "block_id",
+                        sums=(((F.col("part_type") == "tool_call_start").cast("int"), "call_no"),), chunk=chunk)
     orphan = (F.col("part_type") == "tool_call_delta") & ~F.coalesce(F.col("_lnd") == "tool_call_start", F.lit(False))
     kind = F.when(F.col("part_type") == "text", "text").when(F.col("part_type") == "think", "thinking").otherwise("tool_call")
-    prev_kind = (F.when(F.col("_lnd") == "text", "text").when(F.col("_lnd") == "think", "thinking")
-                  .when(F.col("_lnd") == "tool_call_start", "tool_call"))
-    d = d.filter(~orphan).withColumn("kind", kind)
-    new_block = prev_kind.isNull() | (prev_kind != F.col("kind")) | (F.col("part_type") == "tool_call_start")
-    return d.withColumn("new_block", new_block).drop("_lnd")
+    return d.filter(~orphan).withColumn("kind", kind).drop("_lnd")
 
 
 def assemble_messages(parts: DataFrame, chunk: int = ordered.DEFAULT_CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +53,6 @@ def assemble_messages(parts: DataFrame, chunk: int = ordered.DEFAULT_CHUNK) -> t
     done part's (error parts make it ``error``); ``stop`` with tool calls
     becomes ``tool_use``."""
     d = _content_parts(parts, chunk)
-    d = ordered.running_sum(d, "stream_id", "seq", F.col("new_block").cast("int"), "block_id", chunk)
     piece = F.when(F.col("kind") == "tool_call", F.coalesce(F.col("args_delta"), F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
     blocks = d.groupBy("stream_id", "block_id").agg(
         F.first("kind").alias("kind"),

@@ -36,7 +36,7 @@ SELECT conv_id, CAST(segment_id AS BIGINT) AS segment_id, min(turn) AS first_tur
 FROM sg GROUP BY conv_id, segment_id""")
 def e4_context_segments(spark, sf_dir):
     """Segments between pivots: turns pending until the next pivot folds them into a briefing."""
-    s = C.segments(C.pivots(_routed(spark, sf_dir)))
+    s = C.segments(_routed(spark, sf_dir))
     return C.segment_summary(s)
 
 
@@ -48,7 +48,7 @@ SELECT conv_id, turn, segment_id > 0 AS has_briefing, CAST(2 * k AS BIGINT) AS p
 FROM c""")
 def e16_payload_stats(spark, sf_dir):
     """Per request: briefing present, pending messages and characters, message count."""
-    s = C.segments(C.pivots(_routed(spark, sf_dir)))
+    s = C.segments(_routed(spark, sf_dir))
     return C.payload_stats(s).select("conv_id", "turn", "has_briefing", "pending_messages", "pending_chars", "n_messages")
 
 
@@ -62,7 +62,7 @@ msgs AS (SELECT s.conv_id, s.turn * 2 AS o, concat('user: ', s.query) AS m FROM
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, md5(string_agg(m, chr(10) ORDER BY o)) AS payload_md5 FROM msgs GROUP BY conv_id""")
 def e16_latest_payload(spark, sf_dir):
     """Payload of the newest request per conversation: open segment's turns, then the query."""
-    s = C.segments(C.pivots(_routed(spark, sf_dir)))
+    s = C.segments(_routed(spark, sf_dir))
     p = C.latest_payload(s)
     rendered = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return p.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.md5(rendered).alias("payload_md5"))
