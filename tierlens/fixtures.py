@@ -65,6 +65,20 @@ UNION ALL SELECT conv_id, turn*4+2, 'model_change', NULL, NULL, NULL, NULL, conc
   FROM conversations WHERE (conv_id+turn)%3=0
 UNION ALL SELECT conv_id, turn*4+3, 'session_info', NULL, NULL, NULL, NULL, concat('name-',CAST(turn AS STRING))
   FROM conversations WHERE turn%5=4""",
+    # the same log with cache counters, stop reasons, tool calls, list content (an image first) and thinking levels
+    "v_log": """
+SELECT session_id, seq, type, role,
+       CASE WHEN role='assistant' AND (session_id+seq)%13=8 AND seq%8=0 THEN '' ELSE text END AS text,
+       output_tokens, input_tokens, value,
+       CASE WHEN role='assistant' THEN CAST((seq*7+session_id)%60 AS BIGINT) END AS cache_read,
+       CASE WHEN role='assistant' THEN CAST((seq*3+session_id)%20 AS BIGINT) END AS cache_write,
+       CASE WHEN role='assistant' THEN CASE (session_id+seq)%13 WHEN 4 THEN 'error' WHEN 8 THEN 'interrupted' WHEN 2 THEN 'tool_use' ELSE 'stop' END END AS stop_reason,
+       CASE WHEN type='message' THEN CASE WHEN role='user' AND (session_id+seq)%5=0 THEN 'image' ELSE 'text' END END AS first_kind,
+       CASE WHEN role='assistant' AND (session_id+seq)%13=2 THEN CAST(1+session_id%3 AS INT) WHEN type='message' THEN 0 END AS n_calls,
+       CAST(NULL AS STRING) AS thinking_level FROM v_entry
+UNION ALL SELECT session_id, seq+3, 'thinking_level_change', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN (session_id+seq)%2=0 THEN 'low' ELSE 'high' END
+  FROM v_entry WHERE type='message' AND CAST(floor(seq/4.0) AS BIGINT)%5=2""",
 }
 
 

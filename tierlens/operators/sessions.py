@@ -78,13 +78,20 @@ def settings_in_effect(entries: DataFrame, initial_model: str | None = None,
 
 
 def settings_at_end(entries: DataFrame, initial_model: str | None = None) -> DataFrame:
-    """E5 at session end: one grouped aggregate per session."""
-    g = entries.groupBy("session_id").agg(
-        F.max_by(F.when(F.col("type") == "model_change", F.col("value")),
-                 F.when((F.col("type") == "model_change") & F.col("value").isNotNull(), F.col("seq"))).alias("_m"),
-        F.max_by(F.col("value"), F.when((F.col("type") == "session_info") & (F.coalesce(F.col("value"), F.lit("")) != ""),
-                                        F.col("seq"))).alias("session_name"))
-    return g.select("session_id", F.coalesce("_m", F.lit(initial_model)).alias("model"), "session_name")
+    """E5 at session end: one grouped aggregate per session; the thinking level
+    too where the log has it (null: none was set)."""
+    def newest(value: Column, kind: str, set_: Column) -> Column:
+        return F.max_by(value, F.when((F.col("type") == kind) & set_, F.col("seq")))
+
+    value = F.col("value")
+    aggs = [newest(value, "model_change", value.isNotNull()).alias("_m"),
+            newest(value, "session_info", F.coalesce(value, F.lit("")) != "").alias("session_name")]
+    cols = [F.coalesce("_m", F.lit(initial_model)).alias("model"), F.col("session_name")]
+    if "thinking_level" in entries.columns:
+        level = F.col("thinking_level")
+        aggs.append(newest(level, "thinking_level_change", level.isNotNull()).alias("_level"))
+        cols.append(F.col("_level").alias("thinking_level"))
+    return entries.groupBy("session_id").agg(*aggs).select("session_id", *cols)
 
 
 def drop_noop_changes(entries: DataFrame, initial_model: str | None = None,
@@ -124,14 +131,20 @@ def overflow_turns(entries: DataFrame, context_window: int = DEFAULT_CONTEXT_WIN
 
 def listing(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Id, cwd, created, modified, message count (all roles), first
-    non-empty user text (100 chars) or ``(no messages)``; newest file first.
-    ``files`` carries the header and file metadata: session_id, cwd,
-    created_s, modified_s; sessions without a header row are not listed."""
+    user text (100 chars) or ``(no messages)``; newest file first. A user message
+    counts with its first part: if that is no text (an image), the next user
+    message is asked; logs without parts count with their text. ``files``
+    carries the header and file metadata: session_id, cwd, created_s,
+    modified_s; sessions without a header row are not listed."""
     is_msg = F.col("type") == "message"
-    first_user = F.when(is_msg & (F.col("role") == "user") & (F.coalesce(F.col("text"), F.lit("")) != ""), F.col("seq"))
+    text = F.col("text")
+    if "parts" in entries.columns:
+        lead = F.get("parts", F.lit(0))
+        text = F.when(lead["kind"] == "text", lead["text"])
+    first_user = F.when(is_msg & (F.col("role") == "user") & (F.coalesce(text, F.lit("")) != ""), F.col("seq"))
     g = entries.groupBy("session_id").agg(
         F.sum(is_msg.cast("int")).cast("bigint").alias("message_count"),
-        F.min_by(F.col("text"), first_user).alias("_first"))
+        F.min_by(text, first_user).alias("_first"))
     out = (files.join(g, "session_id", "left")
                 .withColumn("message_count", F.coalesce("message_count", F.lit(0)).cast("bigint"))
                 .withColumn("first_message", F.coalesce(F.substring("_first", 1, FIRST_MESSAGE_CHARS), F.lit(NO_MESSAGES))))
@@ -139,7 +152,7 @@ def listing(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def counts(entries: DataFrame) -> DataFrame:
-    """User / assistant / tool-call / tool-result counts and token totals."""
+    """User / assistant / tool-call / tool-result counts and token totals, cached tokens apart."""
     is_msg = F.col("type") == "message"
     n_calls = F.size(F.col("tool_calls")) if "tool_calls" in entries.columns else F.lit(0)
     asst = is_msg & (F.col("role") == "assistant")
@@ -150,6 +163,7 @@ def counts(entries: DataFrame) -> DataFrame:
         F.sum((is_msg & (F.col("role") == "tool_result")).cast("int")).cast("bigint").alias("n_tool_results"),
         F.coalesce(F.sum(F.when(asst, F.col("input_tokens"))), F.lit(0)).cast("bigint").alias("input_tokens"),
         F.coalesce(F.sum(F.when(asst, F.col("output_tokens"))), F.lit(0)).cast("bigint").alias("output_tokens"),
+        F.coalesce(F.sum(F.when(asst, _col_or_null(entries, "cache_read", "bigint"))), F.lit(0)).cast("bigint").alias("cached_tokens"),
     ).withColumn("n_messages", F.col("n_user") + F.col("n_assistant")) \
      .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
@@ -168,7 +182,7 @@ def token_totals(entries: DataFrame) -> DataFrame:
         F.max_by(ctx, "seq").cast("bigint").alias("context_tokens"))
 
 
-def run_usage(entries: DataFrame, continue_text: str | None = None,
+def run_usage(entries: DataFrame, continue_text: str | Column | None = None,
               chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
     """Usage per agent run; a run starts at a user message (the
     synthetic continue message after a compaction does not start one)."""

@@ -18,6 +18,27 @@ def _entries(spark, sf_dir):
     return spark.table("v_entry")
 
 
+def _log(spark, sf_dir):
+    """Entries with their content: list parts, tool calls, cache counters, stop reasons, thinking levels."""
+    register(spark, sf_dir)
+    e = spark.table("v_log")
+    part = "struct<kind:string,text:string,signature:string,call_id:string,name:string,arguments:string,mime:string,data:string>"
+    none = F.lit(None).cast("string")
+
+    def made(kind, text, call=none, name=none, arguments=none, mime=none, data=none):
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), none.alias("signature"), call.alias("call_id"), name.alias("name"),
+                        arguments.alias("arguments"), mime.alias("mime"), data.alias("data"))
+
+    seq = F.col("seq").cast("string")
+    image = made("image", none, mime=F.lit("image/png"), data=F.concat(F.lit("img"), seq))
+    calls = F.transform(F.filter(F.sequence(F.lit(1), F.greatest("n_calls", F.lit(1))), lambda i: i <= F.col("n_calls")), lambda i: made(
+        "tool_call", none, F.concat(F.lit("c"), seq, F.lit("-"), i.cast("string")), F.lit("read"), F.concat(F.lit('{"path":"/'), seq, F.lit('"}'))))
+    lead = F.when(F.col("first_kind") == "image", F.array(image)).otherwise(F.array().cast(f"array<{part}>"))
+    parts = F.when(F.col("type") == "message", F.concat(lead, F.array(made("text", F.col("text"))), calls))
+    e = e.withColumn("parts", parts.cast(f"array<{part}>"))
+    return e.withColumn("tool_calls", F.filter("parts", lambda p: p["kind"] == "tool_call")).drop("first_kind", "n_calls")
+
+
 _LC = """
 , lc AS (SELECT session_id, max(seq) AS c_seq, arg_max(value, seq) AS summary FROM v_entry WHERE type = 'compaction' GROUP BY session_id),
 view AS (
@@ -37,36 +58,38 @@ def e7_compacted_view(spark, sf_dir):
     return v.select("session_id", "part", "seq", "role", *md5_len(F.col("text"), "text"))
 
 
-@query("e8_last_assistant_text", _LC + r"""
+@query("e8_last_assistant_text", _LC.replace("e.text, NULL FROM v_entry e", "e.text, e.stop_reason FROM v_log e").replace("FROM v_entry", "FROM v_log") + r"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY part DESC, seq DESC) AS rn
-             FROM view WHERE role = 'assistant')
+             FROM view WHERE role = 'assistant' AND NOT (stop_reason IS NOT DISTINCT FROM 'interrupted' AND coalesce(text, '') = ''))
 SELECT session_id, md5(nullif(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '')) AS last_md5
 FROM ranked WHERE rn = 1""")
 def e8_last_assistant_text(spark, sf_dir):
     """Newest assistant text of the compacted view, trimmed; empty -> NULL."""
-    out = S.last_assistant_text(S.compacted_view(_entries(spark, sf_dir)))
+    out = S.last_assistant_text(S.compacted_view(_log(spark, sf_dir)))
     return out.select("session_id", F.md5("last_assistant_text").alias("last_md5"))
 
 
 @query("e5_settings_in_effect", """
 SELECT session_id, seq, type,
   coalesce(last_value(CASE WHEN type = 'model_change' THEN value END IGNORE NULLS) OVER w, 'model-1') AS model,
-  last_value(CASE WHEN type = 'session_info' AND coalesce(value, '') <> '' THEN value END IGNORE NULLS) OVER w AS session_name
-FROM v_entry WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+  last_value(CASE WHEN type = 'session_info' AND coalesce(value, '') <> '' THEN value END IGNORE NULLS) OVER w AS session_name,
+  last_value(CASE WHEN type = 'thinking_level_change' THEN thinking_level END IGNORE NULLS) OVER w AS thinking_level
+FROM v_log WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def e5_settings_in_effect(spark, sf_dir):
-    """Model (initial model-1) and session name in effect at every entry."""
-    d = S.settings_in_effect(_entries(spark, sf_dir), initial_model="model-1")
-    return d.select("session_id", "seq", "type", "model", "session_name")
+    """Model (initial model-1), session name and thinking level in effect at every entry."""
+    d = S.settings_in_effect(_log(spark, sf_dir), initial_model="model-1")
+    return d.select("session_id", "seq", "type", "model", "session_name", "thinking_level")
 
 
 @query("e5_settings_at_end", """
 SELECT session_id,
   coalesce(arg_max(CASE WHEN type = 'model_change' THEN value END, CASE WHEN type = 'model_change' AND value IS NOT NULL THEN seq END), 'model-1') AS model,
-  arg_max(value, CASE WHEN type = 'session_info' AND coalesce(value, '') <> '' THEN seq END) AS session_name
-FROM v_entry GROUP BY session_id""")
+  arg_max(value, CASE WHEN type = 'session_info' AND coalesce(value, '') <> '' THEN seq END) AS session_name,
+  arg_max(thinking_level, CASE WHEN type = 'thinking_level_change' THEN seq END) AS thinking_level
+FROM v_log GROUP BY session_id""")
 def e5_settings_at_end(spark, sf_dir):
-    """Model and session name in effect at the end of each session."""
-    return S.settings_at_end(_entries(spark, sf_dir), initial_model="model-1")
+    """Model, session name and thinking level in effect at the end of each session."""
+    return S.settings_at_end(_log(spark, sf_dir), initial_model="model-1")
 
 
 @query("e6_drop_noop_changes", """
@@ -80,12 +103,12 @@ def e6_drop_noop_changes(spark, sf_dir):
 
 
 @query("e9_overflow", """
-SELECT session_id, seq, CAST(coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS BIGINT) AS tokens_before,
-       coalesce(input_tokens, 0) + coalesce(output_tokens, 0) >= 600 AS overflow
-FROM v_entry WHERE type = 'message' AND role = 'assistant' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL)""")
+SELECT session_id, seq, CAST(coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_read, 0) + coalesce(cache_write, 0) AS BIGINT) AS tokens_before,
+       coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_read, 0) + coalesce(cache_write, 0) >= 600 AS overflow
+FROM v_log WHERE stop_reason IS DISTINCT FROM 'error' AND type = 'message' AND role = 'assistant' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL)""")
 def e9_overflow(spark, sf_dir):
     """Overflow per assistant turn with window 700, max output 100, buffer 100."""
-    d = S.overflow_turns(_entries(spark, sf_dir), context_window=700, max_output=100, buffer=100)
+    d = S.overflow_turns(_log(spark, sf_dir), context_window=700, max_output=100, buffer=100)
     return d.select("session_id", "seq", "tokens_before", "overflow")
 
 
@@ -105,58 +128,62 @@ def _files(spark, sf_dir):
 
 
 @query("d11_session_listing", _FILES + """
-, firsts AS (SELECT session_id, arg_min(text, seq) AS first_text FROM v_entry
-             WHERE type = 'message' AND role = 'user' AND coalesce(text, '') <> '' GROUP BY session_id),
-counts AS (SELECT session_id, count(*) FILTER (WHERE type = 'message') AS message_count FROM v_entry GROUP BY session_id)
+, firsts AS (SELECT session_id, arg_min(text, seq) AS first_text FROM v_log
+             WHERE type = 'message' AND role = 'user' AND first_kind = 'text' AND coalesce(text, '') <> '' GROUP BY session_id),
+counts AS (SELECT session_id, count(*) FILTER (WHERE type = 'message') AS message_count FROM v_log GROUP BY session_id)
 SELECT f.session_id, f.cwd, f.created_s, f.modified_s, CAST(coalesce(c.message_count, 0) AS BIGINT) AS message_count,
        coalesce(substring(x.first_text, 1, 100), '(no messages)') AS first_message
 FROM files f LEFT JOIN counts c ON f.session_id = c.session_id LEFT JOIN firsts x ON f.session_id = x.session_id""")
 def d11_session_listing(spark, sf_dir):
     """Session list: cwd, times, message count, first user text; newest first."""
-    return S.listing(_entries(spark, sf_dir), _files(spark, sf_dir))
+    return S.listing(_log(spark, sf_dir), _files(spark, sf_dir))
 
 
 @query("d12_session_counts", """
 SELECT session_id,
   CAST(count(*) FILTER (WHERE type = 'message' AND role = 'user') AS BIGINT) AS n_user,
   CAST(count(*) FILTER (WHERE type = 'message' AND role = 'assistant') AS BIGINT) AS n_assistant,
-  CAST(0 AS BIGINT) AS n_tool_calls,
+  CAST(coalesce(sum(n_calls) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS n_tool_calls,
   CAST(count(*) FILTER (WHERE type = 'message' AND role = 'tool_result') AS BIGINT) AS n_tool_results,
   CAST(coalesce(sum(input_tokens) FILTER (WHERE type = 'message' AND role = 'assistant'), 0) AS BIGINT) AS input_tokens,
   CAST(coalesce(sum(output_tokens) FILTER (WHERE type = 'message' AND role = 'assistant'), 0) AS BIGINT) AS output_tokens,
   CAST(count(*) FILTER (WHERE type = 'message' AND role IN ('user', 'assistant')) AS BIGINT) AS n_messages,
   CAST(coalesce(sum(input_tokens) FILTER (WHERE type = 'message' AND role = 'assistant'), 0)
-     + coalesce(sum(output_tokens) FILTER (WHERE type = 'message' AND role = 'assistant'), 0) AS BIGINT) AS total_tokens
-FROM v_entry GROUP BY session_id""")
+     + coalesce(sum(output_tokens) FILTER (WHERE type = 'message' AND role = 'assistant'), 0) AS BIGINT) AS total_tokens,
+  CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS cached_tokens
+FROM v_log GROUP BY session_id""")
 def d12_session_counts(spark, sf_dir):
     """Per-session message, tool-call, tool-result and token counts."""
-    return S.counts(_entries(spark, sf_dir))
+    return S.counts(_log(spark, sf_dir))
 
 
 @query("d13_token_totals", """
 SELECT session_id, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens,
-       CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cached_tokens,
+       CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, CAST(sum(coalesce(cache_read, 0)) AS BIGINT) AS cached_tokens,
        CAST(arg_max(coalesce(input_tokens, 0) + coalesce(output_tokens, 0), seq) AS BIGINT) AS context_tokens
-FROM v_entry WHERE type = 'message' AND role = 'assistant' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL)
+FROM v_log WHERE type = 'message' AND role = 'assistant' AND (input_tokens IS NOT NULL OR output_tokens IS NOT NULL)
 GROUP BY session_id""")
 def d13_token_totals(spark, sf_dir):
     """Token totals and current context size (newest usage's input + output)."""
-    return S.token_totals(_entries(spark, sf_dir))
+    return S.token_totals(_log(spark, sf_dir))
 
 
 @query("d14_run_usage", """
-, r AS (SELECT *, sum(CASE WHEN type = 'message' AND role = 'user' THEN 1 ELSE 0 END)
-                 OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_no FROM v_entry)
+, r AS (SELECT *, sum(CASE WHEN type = 'message' AND role = 'user' AND coalesce(text, '') <> (SELECT min(text) FROM v_log WHERE role = 'user' AND text <> '') THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_no FROM v_log)
 SELECT session_id, CAST(run_no AS BIGINT) AS run_no,
   CAST(sum(CASE WHEN type = 'message' AND role = 'assistant' THEN coalesce(input_tokens, 0) ELSE 0 END) AS BIGINT) AS input_tokens,
   CAST(sum(CASE WHEN type = 'message' AND role = 'assistant' THEN coalesce(output_tokens, 0) ELSE 0 END) AS BIGINT) AS output_tokens,
-  CAST(0 AS BIGINT) AS cache_read, CAST(0 AS BIGINT) AS cache_write,
+  CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS cache_read, CAST(coalesce(sum(cache_write), 0) AS BIGINT) AS cache_write,
   CAST(count(*) FILTER (WHERE type = 'message' AND role = 'assistant') AS BIGINT) AS turns,
-  CAST(NULL AS VARCHAR) AS stop_reason
+  arg_max(stop_reason, seq) FILTER (WHERE role = 'assistant') AS stop_reason
 FROM r WHERE run_no > 0 GROUP BY session_id, run_no""")
 def d14_run_usage(spark, sf_dir):
-    """Usage per agent run (a user message up to the next one)."""
-    return S.run_usage(_entries(spark, sf_dir))
+    """Usage per agent run (a user message up to the next one); the smallest user
+    text stands for the message that continues a run after a compaction."""
+    log = _log(spark, sf_dir)
+    told = log.filter("role = 'user' and text != ''").agg(F.min("text")).scalar()
+    return S.run_usage(log, continue_text=told)
 
 
 _CHAIN = """

@@ -219,14 +219,16 @@ def i9_compaction_stream(spark, sf_dir):
 _ENTRY_SCHEMA = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),
                               T.StructField("type", T.StringType()), T.StructField("role", T.StringType()),
                               T.StructField("text", T.StringType()), T.StructField("output_tokens", T.LongType()),
-                              T.StructField("input_tokens", T.LongType()), T.StructField("value", T.StringType())])
+                              T.StructField("input_tokens", T.LongType()), T.StructField("value", T.StringType()),
+                              T.StructField("cache_read", T.LongType()), T.StructField("cache_write", T.LongType()),
+                              T.StructField("stop_reason", T.StringType())])
 
 
 @query("i8_overflow_alerts", None)
 def i8_overflow_alerts(spark, sf_dir):
     """Overflow alerts (window 700, max output 100, buffer 100) raised as session entries stream in."""
     w = H.workdir(spark, "overflow")
-    rp = H.stage_slices(_t(spark, sf_dir, "v_entry"), w["input"], "seq")
+    rp = H.stage_slices(_t(spark, sf_dir, "v_log").select([f.name for f in _ENTRY_SCHEMA]), w["input"], "seq")
     alerts = J.overflow_alerts(H.file_stream(spark, w["input"], _ENTRY_SCHEMA), context_window=700, max_output=100, buffer=100)
     H.run_to_parquet(alerts.select("session_id", "seq", "tokens_before", "overflow"), w["out"], w["ckpt"], replay=rp)
     return spark.read.parquet(w["out"])

@@ -4,7 +4,7 @@ committer (task output is promoted only on job commit)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,20 +53,46 @@ def write_session_logs(headers: DataFrame, entries: DataFrame, path: str) -> Non
 
 
 
+def stored_parts(parts: Column) -> Column:
+    """Content parts (as the reader gives them) in their stored form, a variant;
+    arguments are stored as the JSON they are, where they are JSON."""
+    def of(p: Column) -> Column:
+        think, arguments = p["kind"] == "thinking", F.coalesce(F.try_parse_json(p["arguments"]), p["arguments"].cast("variant"))
+        return F.struct(p["kind"].alias("type"), F.when(~think, p["text"]).alias("text"), F.when(think, p["text"]).alias("thinking"), p["signature"].alias("signature"),
+                        p["call_id"].alias("id"), p["name"].alias("name"), arguments.alias("arguments"), p["mime"].alias("mime_type"), p["data"].alias("data"))
+
+    return F.parse_json(F.to_json(F.transform(parts, of)))
+
+
 def session_line(entries: DataFrame):
     """Wide entry row (session_id, seq, type, role, text, input/output tokens,
-    value) -> the typed session-line struct (NULL fields are not written)."""
+    value, and where the frame has them: id, parent_id, timestamp, parts, call_id,
+    tool_name, is_error, cache counters, stop reason, thinking level, provider,
+    base address, first kept entry, tokens before, custom type, display) -> the
+    typed session-line struct (NULL fields are not written). Content is its list
+    of parts, or the text alone where there are none."""
+    def col(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in entries.columns else F.lit(None).cast(kind)
+
     t = F.col("type")
-    eid = F.concat(F.col("session_id").cast("string"), F.lit("-"), F.col("seq").cast("string"))
-    usage = F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(),
-                   F.struct(F.col("input_tokens").alias("input_tokens"), F.col("output_tokens").alias("output_tokens")))
+    eid = F.coalesce(col("id"), F.concat(F.col("session_id").cast("string"), F.lit("-"), F.col("seq").cast("string")))
+    counters = {"input_tokens": F.col("input_tokens"), "output_tokens": F.col("output_tokens"),
+                "cache_read_tokens": col("cache_read", "bigint"), "cache_write_tokens": col("cache_write", "bigint")}
+    usage = F.when(F.coalesce(*counters.values()).isNotNull(), F.struct(*[c.alias(n) for n, c in counters.items()]))
+    text = F.col("text").cast("variant")
+    content = F.when(F.col("parts").isNotNull(), stored_parts(F.col("parts"))).otherwise(text) if "parts" in entries.columns else text
+    message = F.struct(F.col("role").alias("role"), content.alias("content"), col("stop_reason").alias("stop_reason"), usage.alias("usage"),
+                       col("call_id").alias("tool_call_id"), col("tool_name").alias("tool_name"), col("is_error", "boolean").alias("is_error"))
+    change, compaction, custom = t == "model_change", t == "compaction", t == "custom_message"
     return F.struct(
-        t.alias("type"), eid.alias("id"),
-        F.when(t == "message", F.struct(F.col("role").alias("role"), F.col("text").alias("content"),
-                                        usage.alias("usage"))).alias("message"),
-        F.when(t == "compaction", F.col("value")).alias("summary"),
-        F.when(t == "model_change", F.col("value")).alias("model_id"),
-        F.when(t == "session_info", F.col("value")).alias("name"))
+        t.alias("type"), eid.alias("id"), col("parent_id").alias("parent_id"), col("timestamp").alias("timestamp"),
+        F.when(t == "message", message).alias("message"),
+        F.when(t == "thinking_level_change", col("thinking_level")).alias("thinking_level"),
+        F.when(compaction, F.col("value")).alias("summary"), F.when(compaction, col("first_kept_entry_id")).alias("first_kept_entry_id"),
+        F.when(compaction, col("tokens_before", "bigint")).alias("tokens_before"),
+        F.when(change, F.col("value")).alias("model_id"), F.when(change, col("provider")).alias("provider"), F.when(change, col("base_url")).alias("base_url"),
+        F.when(custom, col("custom_type")).alias("custom_type"), F.when(custom, F.col("value")).alias("content"),
+        F.when(custom, col("display", "boolean")).alias("display"), F.when(t == "session_info", F.col("value")).alias("name"))
 
 
 def with_header_lines(lines: DataFrame, header: str) -> DataFrame:
