@@ -86,3 +86,44 @@ def test_listing_holds_every_conversation(spark, monkeypatch):
     got = sorted(r.conv_id for r in a13_list_files(spark, sf).collect())
     ids = sorted(r.conv_id for r in spark.table("v_routed").select("conv_id").distinct().collect())
     assert files == [len(ids)] and len(ids) > 100 and got == ids[:100]
+
+
+def test_session_lines_keep_every_field(spark):
+    """Stored lines of every type, read, written and read again."""
+    import json
+
+    lines = [
+        {"type": "header", "version": 1, "id": "s1", "timestamp": "2024-01-01T00:00:00", "cwd": "/work/a b"},
+        {"type": "message", "id": "e1", "parent_id": None, "timestamp": "t1", "message": {"role": "user", "content": [
+            {"type": "image", "mime_type": "image/png", "data": "QUJD"}, {"type": "text", "text": "what is \"this\"?\nsay"}]}},
+        {"type": "message", "id": "e2", "parent_id": "e1", "timestamp": "t2", "message": {"role": "assistant", "content": [
+            {"type": "thinking", "thinking": "hm", "signature": "sig"}, {"type": "text", "text": "a"},
+            {"type": "tool_call", "id": "c1", "name": "read", "arguments": {"path": "/x", "n": 3}}],
+            "stop_reason": "tool_use", "usage": {"input_tokens": 10, "output_tokens": 5, "cache_read_tokens": 7, "cache_write_tokens": 2}}},
+        {"type": "message", "id": "e3", "parent_id": "e2", "timestamp": "t3", "message": {"role": "tool_result", "content": "[not json", "tool_call_id": "c1",
+                                                                                          "tool_name": "read", "is_error": True}},
+        {"type": "thinking_level_change", "id": "e4", "parent_id": "e3", "timestamp": "t4", "thinking_level": "high"},
+        {"type": "model_change", "id": "e5", "parent_id": "e4", "timestamp": "t5", "provider": "p", "model_id": "m-2", "base_url": "http://b"},
+        {"type": "compaction", "id": "e6", "parent_id": "e5", "timestamp": "t6", "summary": "so far", "first_kept_entry_id": "e3", "tokens_before": 900},
+        {"type": "custom_message", "id": "e7", "parent_id": "e6", "timestamp": "t7", "custom_type": "note", "content": "hello", "display": False},
+        {"type": "session_info", "id": "e8", "parent_id": "e7", "timestamp": "t8", "name": "my session"},
+        {"type": "message", "id": "e9", "parent_id": "e8", "timestamp": "t9", "message": {"role": "user", "content": "plain"}}]
+    first = scratch_dir(spark, "lines-in")
+    spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.text(first)
+    heads, entries = R.read_session_logs(spark, first)
+    wide = R.entries_wide(entries)
+    second = scratch_dir(spark, "lines-out")
+    W.write_session_logs(heads.select("session_id", "cwd", "created"), wide, second)
+    back = R.entries_wide(R.read_session_logs(spark, second)[1])
+
+    def plain(x):  # arguments are JSON objects: the order of their keys is free
+        if isinstance(x, (list, tuple)):
+            return tuple(plain(y) for y in x)
+        return json.dumps(json.loads(x), sort_keys=True) if isinstance(x, str) and x.startswith("{") else x
+
+    a, b = (sorted((plain(r) for r in d.collect()), key=lambda r: r[1]) for d in (wide, back))
+    assert a == b and len(a) == 9
+    stored = [json.loads(r.value) for r in spark.read.text(second).collect()]
+    message = next(x for x in stored if x.get("id") == "e2")["message"]
+    assert message["content"][2] == {"type": "tool_call", "id": "c1", "name": "read", "arguments": {"path": "/x", "n": 3}}
+    assert message["usage"]["cache_read_tokens"] == 7 and message["stop_reason"] == "tool_use"

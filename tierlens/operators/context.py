@@ -66,20 +66,27 @@ def segment_summary(df: DataFrame, key: str = "conv_id", order: str = "turn") ->
         F.count(F.lit(1)).alias("n_turns"), F.sum(chars).cast("bigint").alias("pending_chars"))
 
 
-def payload_stats(df: DataFrame, key: str = "conv_id", order: str = "turn",
+def payload_stats(df: DataFrame, key: str = "conv_id", order: str = "turn", briefings: DataFrame | None = None,
                   chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
     """E16 without materialising payloads: per turn, whether a briefing system
-    message leads (any earlier pivot), how many pending messages precede the
+    message leads (the pivot into its segment left one; with ``briefings``, a
+    (key, segment_id, briefing) frame, only one that signals no topic shift, H21),
+    how many pending messages precede the
     new query (2 per earlier turn of the same segment), and their characters.
     Running sums keep this linear instead of one array per turn."""
     chars = F.coalesce(F.length("query"), F.lit(0)) + F.coalesce(F.length("response"), F.lit(0))
     d = ordered.scan(df, [key, "segment_id"], order, [("sum", F.lit(1), "_k", False),
                                                       ("sum", chars, "_c", False)], chunk)
-    return (d.withColumn("has_briefing", F.col("segment_id") > 0)
+    leads = F.col("segment_id") > 0
+    if briefings is not None:
+        kept = briefings.select(key, "segment_id", (F.coalesce(briefing_after_rule(F.col("briefing")), F.lit("")) != "").alias("_b"))
+        d = d.join(kept, [key, "segment_id"], "left")
+        leads = leads & F.coalesce("_b", F.lit(False))
+    return (d.withColumn("has_briefing", leads)
              .withColumn("pending_messages", (2 * F.col("_k")).cast("bigint"))
              .withColumn("pending_chars", F.col("_c").cast("bigint"))
              .withColumn("n_messages", F.col("pending_messages") + 1 + F.col("has_briefing").cast("int"))
-             .drop("_k", "_c"))
+             .drop("_k", "_c", "_b"))
 
 
 def latest_payload(df: DataFrame, briefings: DataFrame | None = None, key: str = "conv_id",

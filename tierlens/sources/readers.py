@@ -201,4 +201,5 @@ def entries_wide(entries: DataFrame) -> DataFrame:
         F.filter("parts", lambda p: p["kind"] == "tool_call").alias("tool_calls"), *usage,
         F.col("message.stop_reason").alias("stop_reason"), F.col("message.tool_call_id").alias("call_id"),
         F.col("message.tool_name").alias("tool_name"), F.coalesce("message.is_error", F.lit(False)).alias("is_error"),
-        "thinking_level", "provider", "base_url", F.coalesce("summary", "model_id", "name").alias("value"), F.col("id"), F.col("parent_id"))
+        "thinking_level", "provider", "base_url", F.coalesce("summary", "model_id", "name", "content").alias("value"), "id", "parent_id",
+        "timestamp", "first_kept_entry_id", "tokens_before", "custom_type", "display")

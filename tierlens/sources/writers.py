@@ -55,7 +55,7 @@ def write_session_logs(headers: DataFrame, entries: DataFrame, path: str) -> Non
 
 def stored_parts(parts: Column) -> Column:
     """Content parts (as the reader gives them) in their stored form, a variant;
-    arguments are stored as the JSON they are, where they are JSON."""
+    arguments are stored as the JSON they are (keys in alphabetical order), where they are JSON."""
     def of(p: Column) -> Column:
         think, arguments = p["kind"] == "thinking", F.coalesce(F.try_parse_json(p["arguments"]), p["arguments"].cast("variant"))
         return F.struct(p["kind"].alias("type"), F.when(~think, p["text"]).alias("text"), F.when(think, p["text"]).alias("thinking"), p["signature"].alias("signature"),
