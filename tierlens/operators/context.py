@@ -127,17 +127,44 @@ def compaction_schedule(df: DataFrame, key: str = "conv_id", order: str = "turn"
     return d.withColumn("compact_before", (n >= n1) & (((n - n1) % p) == 0))
 
 
-def context_text(entries: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Context string of a router log: the summary block first, then
-    ``[role]: content`` blocks, separated by a blank line. Only entries from
+#: What stands between two entries of a context text, and characters of a block of it, about.
+CONTEXT_SEPARATOR = "\n\n"
+CONTEXT_BLOCK_CHARS = 16_384
+
+
+def context_entries(entries: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, order, piece): the entries of a router log as they stand in its
+    context: ``[role]: content``, the summary under its header. Only entries from
     the newest summary on are kept, which is what the compacted log holds."""
     is_sum = F.col("role") == "summary"
     last_sum = entries.filter(is_sum).groupBy(key).agg(F.max(order).alias("_s"))
     e = entries.join(last_sum, key, "left").filter(F.col("_s").isNull() | (F.col(order) >= F.col("_s")))
-    block = F.when(is_sum, F.concat(F.lit(SUMMARY_HEADER), F.coalesce("text", F.lit(""))))\
+    piece = F.when(is_sum, F.concat(F.lit(SUMMARY_HEADER), F.coalesce("text", F.lit(""))))\
              .otherwise(F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit(""))))
-    g = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b")))).alias("_a"))
-    return g.select(key, F.array_join(F.transform("_a", lambda x: x["b"]), "\n\n").alias("context"))
+    return e.select(key, order, piece.alias("piece"))
+
+
+def _joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("piece").alias("b")))).alias("_a"))
+    return g.select(*keys, F.array_join(F.transform("_a", lambda x: x["b"]), CONTEXT_SEPARATOR).alias("text"))
+
+
+def context_text(entries: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Context string of a router log, its pieces separated by a blank line.
+    One row holds one conversation's text; :func:`context_blocks` is for any length."""
+    return _joined(context_entries(entries, key, order), [key], order).withColumnRenamed("text", "context")
+
+
+def context_blocks(entries: DataFrame, key: str = "conv_id", order: str = "turn", block_chars: int = CONTEXT_BLOCK_CHARS,
+                   chunk: int = ordered.DEFAULT_CHUNK) -> DataFrame:
+    """E14 in blocks: ``key, block_no, text``; a conversation's blocks in order,
+    joined by the separator, are its context text. An entry belongs to the block
+    in which it starts (a running sum of lengths, cut into chunks), so a block holds
+    about ``block_chars`` characters however long the conversation."""
+    size = F.length("piece") + len(CONTEXT_SEPARATOR)
+    d = ordered.running_sum(context_entries(entries, key, order), key, order, size, "_at", chunk, include_current=False)
+    d = d.withColumn("block_no", F.floor(F.col("_at") / block_chars).cast("bigint"))
+    return _joined(d, [key, "block_no"], order)
 
 
 def latest_input(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -66,17 +66,59 @@ def classify(df: DataFrame, scorer: Factory, query_col: str = "query") -> DataFr
     return df.withColumn("qkey", F.md5(F.col(query_col))).join(decided, "qkey", "left").drop("qkey")
 
 
-def summarise(entries: DataFrame, summariser: Factory, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Context text per conversation (E14) summarised by a user function;
-    the result is a compaction entry with the summary, its token estimate and
-    the tokens before compaction."""
-    ctx = context.context_text(entries, key, order)
-    out = _call_slot(ctx, [key], "context", summariser, "summary", {key: entries.schema[key].dataType})
-    return (out.join(ctx, key)
+#: Reads a conversation's context block by block and returns its summary.
+Summariser = Callable[[], Callable[[Iterator[str]], str]]
+
+
+def of_whole_text(factory: Factory) -> Summariser:
+    """A summariser from a function of whole texts, for conversations that fit a task."""
+    def make():
+        fn = factory()
+        return lambda blocks: fn([context.CONTEXT_SEPARATOR.join(blocks)])[0]
+    return make
+
+
+def _fold_slot(blocks: DataFrame, key: str, factory: Summariser, out_col: str) -> DataFrame:
+    """Run ``factory()`` per task over the blocks of one key after the other, in
+    order (Spark sorts them, on disk where needed); a task holds one Arrow batch
+    of blocks. A key whose call raises becomes an error row."""
+    schema = T.StructType([T.StructField(key, blocks.schema[key].dataType), T.StructField(out_col, T.StringType()), T.StructField("call_error", T.StringType())])
+
+    def run(batches: Iterator):
+        import itertools
+
+        import pandas as pd
+
+        fn = factory()
+        rows = (pair for pdf in batches for pair in zip(pdf[key].tolist(), pdf["text"].tolist()))
+        for value, own in itertools.groupby(rows, key=lambda pair: pair[0]):
+            texts = (text for _, text in own)
+            try:
+                out, error = fn(texts), None
+            except Exception as e:  # noqa: BLE001 - one conversation fails, not the job
+                out, error = None, f"{type(e).__name__}: {e}"
+            for _ in texts:  # what the function left unread
+                pass
+            yield pd.DataFrame({key: [value], out_col: [out], "call_error": [error]}, dtype=object)
+
+    return blocks.select(key, "block_no", "text").repartition(key).sortWithinPartitions(key, "block_no").mapInPandas(run, schema)
+
+
+def summarise(entries: DataFrame, summariser: Summariser, key: str = "conv_id", order: str = "turn",
+              block_chars: int = context.CONTEXT_BLOCK_CHARS) -> DataFrame:
+    """Context per conversation (E14) summarised by a user function, which
+    reads it block by block; the result is a compaction entry with the summary,
+    its token estimate and the tokens before compaction. No conversation's text
+    is gathered into one row."""
+    blocks = context.context_blocks(entries, key, order, block_chars)
+    out = _fold_slot(blocks, key, summariser, "summary")
+    between = len(context.CONTEXT_SEPARATOR)
+    sizes = context.context_entries(entries, key, order).groupBy(key).agg((F.sum(F.length("piece") + between) - between).alias("_chars"))
+    return (out.join(sizes, key)
                .withColumn("type", F.lit("compaction"))
                .withColumn("summary_tokens", F.floor(F.length("summary") / 4).cast("bigint"))
-               .withColumn("tokens_before", F.floor(F.length("context") / 4).cast("bigint"))
-               .drop("context"))
+               .withColumn("tokens_before", F.floor(F.col("_chars") / 4).cast("bigint"))
+               .drop("_chars"))
 
 
 def generate(grid: DataFrame, teacher: Factory) -> tuple[DataFrame, DataFrame]:
@@ -123,11 +165,17 @@ def stub_scorer() -> Callable[[list[str]], list[str]]:
     return score
 
 
-def stub_summariser() -> Callable[[list[str]], list[str]]:
-    """A stand-in summariser over the whole context text."""
-    def summarise_all(texts: list[str]) -> list[str]:
-        return [f"{len(t.split())} words, {t.count(chr(10)) + 1} lines, {len(t)} chars" for t in texts]
-    return summarise_all
+def stub_summariser() -> Callable[[Iterator[str]], str]:
+    """A stand-in summariser that reads block after block."""
+    def summarise_blocks(blocks: Iterator[str]) -> str:
+        words = breaks = chars = 0
+        for i, t in enumerate(blocks):
+            between = context.CONTEXT_SEPARATOR if i else ""
+            words += len(t.split())
+            breaks += t.count("\n") + between.count("\n")
+            chars += len(t) + len(between)
+        return f"{words} words, {breaks + 1} lines, {chars} chars"
+    return summarise_blocks
 
 
 def stub_teacher() -> Callable[[list[str]], list[str]]:

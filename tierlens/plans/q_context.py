@@ -94,6 +94,16 @@ def e14_context_text(spark, sf_dir):
     return c.select("conv_id", *md5_len(F.col("context"), "context"))
 
 
+@query("e14_context_blocks", """
+, e AS (SELECT conv_id, turn, concat('[', role, ']: ', text) AS b FROM conversations),
+pl AS (SELECT *, coalesce(sum(length(b) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM e)
+SELECT conv_id, CAST(p // 300 AS BIGINT) AS block_no, md5(string_agg(b, concat(chr(10), chr(10)) ORDER BY turn)) AS text_md5 FROM pl GROUP BY conv_id, p // 300""")
+def e14_context_blocks(spark, sf_dir):
+    """Context text per conversation in blocks of about 300 characters."""
+    register(spark, sf_dir)
+    return C.context_blocks(spark.table("conversations"), block_chars=300).select("conv_id", "block_no", F.md5("text").alias("text_md5"))
+
+
 @query("e17_latest_input", """
 SELECT conv_id, md5(arg_max(text, turn)) AS input_md5 FROM conversations WHERE role IN ('user', 'tool_result') GROUP BY conv_id""")
 def e17_latest_input(spark, sf_dir):
