@@ -66,6 +66,24 @@ def test_several_blocks_to_a_range(messy, messy_rows, monkeypatch, op, units, jo
     assert got == brute([r[:2] for r in messy_rows], units, join)
 
 
+@pytest.mark.parametrize("low", [0, 2, 52])
+@pytest.mark.parametrize("op,units,join", [WORDS, BYTES])
+def test_any_width_of_names(messy, messy_rows, monkeypatch, op, units, join, low):
+    """Full names, too few spare bits for the texts of a block, names that mostly meet by chance."""
+    from tierlens.llm import repeats
+
+    monkeypatch.setattr(repeats, "free_bits", lambda names: low)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 20_000)
+    got = sorted(as_shown(result(op(messy))), key=str)
+    assert got == brute([r[:2] for r in messy_rows], units, join)
+
+
+def test_names_widen_with_their_number():
+    from tierlens.llm.repeats import free_bits
+
+    assert [free_bits(n) for n in (0, 2**20, 2**28, 2**29, 2**45, 2**60)] == [24, 24, 24, 23, 7, 0]
+
+
 @pytest.mark.parametrize("op,units,join", [WORDS, BYTES])
 def test_table_against_brute_force(spark, sf_dir, op, units, join):
     docs = read(spark, sf_dir, "documents")

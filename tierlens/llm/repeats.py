@@ -21,7 +21,9 @@ millions of them are spread over all blocks; one block keeps the text.
 
 from __future__ import annotations
 
+import copy
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -45,12 +47,20 @@ RESULT = "doc_id long, copies long, n_units long, n_removed long, spans array<st
 _NOTHING = pd.DataFrame(columns=["block", "bucket", "kind", "names", "ranks", "ids"])
 
 
+def free_bits(names: float) -> int:
+    """Low bits that about so many local names can do without: names keep 12 bits
+    more than it takes to number them (40 at least), so one in 4096 at most meets
+    another by chance whatever the input. Such a name leaves windows open, which
+    their whole names then settle; it is no error."""
+    return max(0, 64 - max(40, math.ceil(math.log2(max(1.0, names))) + 12))
+
+
 class Method:
     """What an operator supplies; an instance travels to the tasks."""
 
     window = 50
-    #: low bits of a local name that do not travel; more names shared by chance are open windows, not errors
-    low = 24
+    #: low bits of a local name that do not travel (:func:`free_bits` of the input, set on a copy)
+    low = 0
     #: local names and windows per byte of text, about (for the number of buckets)
     names_per_byte = 0.25
     windows_per_byte = 0.25
@@ -122,9 +132,16 @@ def _load(method: Method, texts: pd.DataFrame, rows: pd.DataFrame) -> tuple[dict
 
 def shared_inside(names: np.ndarray, texts: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct names, and whether two texts of the block hold each. The
-    names' lowest ``low`` bits are zero and take the text's number for one sort."""
+    names' lowest ``low`` bits are zero and take the text's number for one sort;
+    where they are too few for the texts of the block, the two are sorted together."""
     if not len(names):
         return names, np.empty(0, bool)
+    if int(texts.max()) >> low:
+        order = np.lexsort((texts, names))
+        names, texts = names[order], texts[order]
+        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        last = np.append(first[1:], len(names)) - 1
+        return names[first], texts[first] != texts[last]
     both = np.sort(names | texts.astype(np.uint64))
     names = both >> np.uint64(low)
     first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
@@ -181,6 +198,8 @@ def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
             .select("digest", F.col("r.doc_id").alias("rep"), F.col("r.copies").alias("copies")))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = pieces(total, BLOCK_BYTES)
+    method = copy.copy(method)
+    method.low = free_bits(total * method.names_per_byte)
     ranges = min(n_blocks, MOST_RANGES)
     bounds, n_sub = id_bounds(base, ranges), pieces(n_blocks, ranges)
     ordered = n_sub == 1

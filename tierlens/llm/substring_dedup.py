@@ -81,7 +81,6 @@ def recompress(words: np.ndarray, text: np.ndarray, rounds: int = ROUNDS):
 
 
 class Recompression(Method):
-    low = 24
     names_per_byte = 0.07
     windows_per_byte = 0.04
 

@@ -35,7 +35,6 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class DifferenceCover(Method):
-    low = 24
     names_per_byte = 0.24
     windows_per_byte = 0.2
 
