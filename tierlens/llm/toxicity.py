@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A window that compresses shorter with the toxic dictionary than with the
+Two zstandard dictionaries share a background trained on common text: the toxic
+one adds the words most typical of toxic text, the ordinary one more ordinary
+text (README: a dictionary trained on toxic windows separates worse). A window that compresses shorter with the toxic dictionary than with the
 ordinary one speaks for toxicity; the difference, per window of about
 ``WINDOW`` bytes, is the only thing a score is made of. A document's score is
 a logistic curve over the mean difference and the shares of windows beyond
