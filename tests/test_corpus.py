@@ -71,6 +71,24 @@ def test_fuzzy_scores_match_brute_force(spark):
                 assert (qq, cc) not in got
 
 
+def test_fuzzy_pairs_hold_every_query_character(spark):
+    cands = ["abc", "cba", "ab", "xyz", "a\u00e9b", "\U0001f600ab", "", None]
+    c = spark.createDataFrame([(x, i) for i, x in enumerate(cands)], "candidate string, cand_order long")
+    q = spark.createDataFrame([(1, "ABC"), (2, "\u00e9"), (3, "\U0001f600B"), (4, "q"), (5, None)], "query_id int, query string")
+    pairs = {(r.query_id, r.candidate) for r in K.fuzzy_pairs(c, q).collect()}
+    assert pairs == {(1, "abc"), (1, "cba"), (2, "a\u00e9b"), (3, "\U0001f600ab")}
+    got = {(r.query_id, r.candidate) for r in K.fuzzy_match(c, q).collect()}
+    assert got == pairs - {(1, "cba")}
+    assert K.fuzzy_match(c, q.limit(0)).count() == 0 and K.fuzzy_match(c.limit(0), q).count() == 0
+
+
+def test_fuzzy_repeated_and_missing_characters(spark):
+    """A character that is not found again fails, whatever follows it."""
+    c = spark.createDataFrame([("banana", 0), ("bnaa", 1)], "candidate string, cand_order long")
+    q = spark.createDataFrame([(1, "aaa"), (2, "aab"), (3, "nab")], "query_id int, query string")
+    assert {(r.query_id, r.candidate) for r in K.fuzzy_match(c, q).collect()} == {(1, "banana")}
+
+
 def test_tail_truncation(spark):
     text = "\n".join(f"line {i:05d}" for i in range(3000))
     df = spark.createDataFrame([(1, text), (2, "short\ntext")], "doc_id long, text string")

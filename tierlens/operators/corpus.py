@@ -314,21 +314,46 @@ def content_text(content: Column) -> Column:
 
 
 # ---------------------------------------------------------------- fuzzy match
-def fuzzy_score_sql(q: str, c: str) -> str:
-    """SQL expression: greedy left-to-right case-insensitive subsequence match
-    of query ``q`` in candidate ``c``; 0 when not a subsequence, else
-    matches + 0.5 per word-initial hit, times (1 + (n - groups + 1) / n) for
-    n > 1 matched characters in ``groups`` runs, times 1.2 when it starts at 0."""
-    pos = (f"aggregate(split(lower({q}), ''), named_struct('i', 1, 'ok', true, 'p', cast(array() as array<int>)), "
-           f"(acc, ch) -> CASE WHEN NOT acc.ok OR ch = '' THEN acc ELSE "
-           f"(CASE WHEN locate(ch, lower({c}), acc.i) = 0 THEN named_struct('i', acc.i, 'ok', false, 'p', acc.p) "
-           f"ELSE named_struct('i', locate(ch, lower({c}), acc.i) + 1, 'ok', true, "
-           f"'p', concat(acc.p, array(locate(ch, lower({c}), acc.i) - 1))) END) END)")
-    return pos
+def _positions_sql(q: str, low: str) -> str:
+    """SQL expression: 1-based positions of a greedy left-to-right match of the
+    characters of ``q`` in ``low``, a zero first; a character that is not found
+    gives a further zero, so a match is an array without one after the first."""
+    return (f"aggregate({q}, cast(array(0) as array<int>), "
+            f"(acc, ch) -> array_append(acc, locate(ch, {low}, element_at(acc, -1) + 1)))")
 
 
-def _distinct_chars(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), "")), lambda ch: ch != "")
+def _chars(lowered: Column) -> Column:
+    return F.filter(F.split(lowered, ""), lambda ch: ch != "")
+
+
+def _mask(chars: Column) -> Column:
+    """64-bit set of characters, each at its code point modulo 64."""
+    return F.aggregate(chars, F.lit(0).cast("bigint"),
+                       lambda acc, ch: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(ch) % 64)))
+
+
+def fuzzy_pairs(candidates: DataFrame, queries: DataFrame, cand_col: str = "candidate",
+                order_col: str = "cand_order", top: int = FUZZY_TOP) -> DataFrame:
+    """The (query, candidate) pairs that may match: candidates with the query's
+    rarest character whose character set covers the query's, characters modulo 64.
+    Lowered text (``_low``) and query characters (``_q``) come along. A null
+    candidate or query has no pairs."""
+    low = candidates.select(cand_col, order_col, F.lower(cand_col).alias("_low"))
+    cand = low.withColumn("_set", F.array_distinct(_chars(F.col("_low"))))
+    # one row per distinct character; AQE sizes this join from the measured shuffle
+    freq = cand.select(F.explode("_set").alias("_ch")).groupBy("_ch").agg(F.count(F.lit(1)).alias("_n"))
+    q = queries.select("query_id", "query", _chars(F.lower("query")).alias("_q"))
+    anchor = (q.select("query_id", F.explode(F.array_distinct("_q")).alias("_ch")).join(freq, "_ch", "left")
+               .groupBy("query_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_ch"))["_ch"].alias("_ch")))
+    cand = cand.select(cand_col, order_col, "_low", _mask(F.col("_set")).alias("_mask"), F.explode("_set").alias("_ch"))
+    asked = anchor.join(q, "query_id").withColumn("_need", _mask(F.col("_q")))
+    covers = F.bitwise_not("_mask").bitwiseAND(F.col("_need")) == 0
+    # the empty query lists the first ``top`` candidates in input order: its
+    # anchor is the empty string, which only those candidates carry
+    first = low.orderBy(order_col).limit(top).withColumns({"_mask": F.lit(0).cast("bigint"), "_ch": F.lit("")})
+    asked = asked.unionByName(q.filter(F.col("query") == "").withColumns({"_need": F.lit(0).cast("bigint"), "_ch": F.lit("")}))
+    pairs = cand.unionByName(first).alias("c").join(asked.alias("a"), (F.col("c._ch") == F.col("a._ch")) & covers)
+    return pairs.select("query_id", "query", "_q", cand_col, order_col, "_low")
 
 
 def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "candidate",
@@ -340,39 +365,26 @@ def fuzzy_match(candidates: DataFrame, queries: DataFrame, cand_col: str = "cand
     A match needs every (lower-cased) query character in the candidate, so each
     query is anchored on the character the fewest candidates contain (counts
     from one aggregate whose groups are the distinct characters), and the
-    candidates, exploded into their distinct characters, meet the queries
-    through an equi-join on that anchor -- exact pruning, no cross product. AQE
-    broadcasts a request batch that measures small; a larger one gets a shuffled
-    join whose hot anchor characters AQE splits. The per-query top-k runs in two
-    salted stages."""
-    cand = candidates.select(cand_col, order_col, F.explode(_distinct_chars(F.col(cand_col))).alias("_ch"))
-    # one row per distinct character; AQE sizes this join from the measured shuffle
-    freq = cand.groupBy("_ch").agg(F.count(F.lit(1)).alias("_n"))
-    q = queries.select("query_id", "query")
-    qch = q.select("query_id", F.explode(_distinct_chars(F.col("query"))).alias("_ch"))
-    anchor = (qch.join(freq, "_ch", "left")
-                 .groupBy("query_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_ch"))["_ch"].alias("_ch"))
-                 .join(q, "query_id"))
-    # the empty query lists the first ``top`` candidates in input order: its
-    # anchor is the empty string, which only those candidates carry
-    first = candidates.select(cand_col, order_col).orderBy(order_col).limit(top).withColumn("_ch", F.lit(""))
-    anchor = anchor.unionByName(q.filter(F.col("query") == "").withColumn("_ch", F.lit("")))
-    pairs = cand.unionByName(first).join(anchor, "_ch").drop("_ch")
-    m = pairs.withColumn("_m", F.expr(fuzzy_score_sql("query", cand_col)))
-    p = F.col("_m")["p"]
+    candidates meet the queries through an equi-join on that anchor, then a test
+    of character sets as bits (:func:`fuzzy_pairs`) -- exact pruning, no cross
+    product. AQE broadcasts a request batch that measures small; a larger one
+    gets a shuffled join whose hot anchor characters AQE splits. Positions are
+    searched only in pairs that pass, one search a character. The per-query top-k
+    runs in two salted stages."""
+    m = fuzzy_pairs(candidates, queries, cand_col, order_col, top).withColumn("_p", F.expr(_positions_sql("_q", "_low")))
+    m = m.withColumn("_p", F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))))
+    empty_q = F.col("query") == ""
+    p, low = F.col("_p"), F.col("_low")
     n = F.size(p)
-    low = F.lower(F.col(cand_col))
-    word_start = F.filter(p, lambda i: F.substring(low, i + 1, 1).rlike(r"^[\p{L}\p{N}]$") &
-                          ((i == 0) | ~F.substring(low, i, 1).rlike(r"^[\p{L}\p{N}]$")))
+    letter = r"^[\p{L}\p{N}]$"
+    word_start = F.filter(p, lambda i: F.substring(low, i, 1).rlike(letter) & ((i == 1) | ~F.substring(low, i - 1, 1).rlike(letter)))
     groups = F.lit(1) + F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                                         lambda k: (k < n) & (F.element_at(p, k + 1) != F.element_at(p, k) + 1)))
     base = n.cast("double") + F.size(word_start) * 0.5
     score = base * F.when(n > 1, F.lit(1.0) + (n - groups + 1).cast("double") / n).otherwise(F.lit(1.0))
-    score = score * F.when(F.element_at(p, 1) == 0, F.lit(1.2)).otherwise(F.lit(1.0))
-    empty_q = F.col("query") == ""
-    scored = (m.withColumn("score", F.when(empty_q, F.lit(1.0)).when(F.col("_m")["ok"] & (n > 0), score)
-                           .otherwise(F.lit(0.0)))
-               .filter(empty_q | (F.col("score") > 0)))
+    score = score * F.when(F.element_at(p, 1) == 1, F.lit(1.2)).otherwise(F.lit(1.0))
+    found = (n > 0) & ~F.array_contains(p, 0)
+    scored = m.withColumn("score", F.when(empty_q, F.lit(1.0)).when(found, score).otherwise(F.lit(0.0))).filter(F.col("score") > 0)
     order = [F.when(empty_q, F.lit(0.0)).otherwise(-F.col("score")),
              F.when(empty_q, F.lit(None).cast("string")).otherwise(F.col(cand_col)), F.col(order_col)]
     top_rows = ordered.top_k(scored, "query_id", order, top, F.col(order_col))
