@@ -150,12 +150,12 @@ def _write_sessions(spark, sf_dir, out):
     W.write_session_logs(heads, e, out)
     # a stray file with junk lines and no header: rejected as a whole
     spark.createDataFrame([("not json",), ("",), ('{"type": "message", "id": "x"}',)], "value string") \
-         .coalesce(1).write.mode("overwrite").text(f"{out}/cwd_key=stray/session_id=none")
+         .coalesce(1).write.mode("overwrite").text(f"{out}/cwd_key=stray")
 
 
 @query("a14_write_session_logs", _SESSIONS_WITH_ASSISTANT)
 def a14_write_session_logs(spark, sf_dir):
-    """Session logs written one folder per session under its working directory
+    """Session logs written one file per session under its working directory
     (header first), then read back with directory, line order and every field."""
     out = scratch_dir(spark, "sessions")
     _write_sessions(spark, sf_dir, out)

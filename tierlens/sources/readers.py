@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierlens.sources.session_files import LATER_CHUNK
+
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 CHAT_EXAMPLE = T.StructType([T.StructField("messages", T.ArrayType(MESSAGE))])
 FEEDBACK = T.StructType([
@@ -88,30 +90,34 @@ def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
                  .option("enforceSchema", True).csv(path))
 
 
-def numbered_file_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_file_lines(spark: SparkSession, path: str, later: str | None = None) -> DataFrame:
     """(file, seq, line) for every line of the text files under ``path``;
-    ``seq`` is the 0-based line number within its file.
+    ``seq`` is the 0-based line number within its file. Files whose names differ
+    only by what the pattern ``later`` matches are one file, joined by name order.
 
     Files are read by line, so a large file is split across tasks. A line's
     number comes from its split (start offset in the file) and its position
     in the split (the row ids of one split are consecutive); one small row
     per split, summed over the earlier splits of the same file, gives each
     split's first line number."""
+    name = F.col("_metadata.file_path")
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-    splits = raw.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id0"))
-    earlier = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "_blk", "_id0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    return raw.join(splits, ["file", "_blk"]).select(
+        (F.regexp_replace(name, later, ".jsonl") if later else name).alias("file"), name.alias("_name"),
+        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    split = ["file", "_name", "_blk"]
+    splits = raw.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id0"))
+    earlier = Window.partitionBy("file").orderBy("_name", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*split, "_id0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return raw.join(splits, split).select(
         "file", (F.col("_off") + F.col("_id") - F.col("_id0")).cast("bigint").alias("seq"), "line")
 
 
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
     """Session JSONL files as (file, seq, raw line, parsed row); blank lines and
     lines that are not JSON objects are dropped; ``seq`` is the true line
-    number (files are read by line, not whole)."""
-    lines = numbered_file_lines(spark, path).filter(F.trim("line") != "")
+    number (files are read by line, not whole). A session written in several
+    chunks is one file."""
+    lines = numbered_file_lines(spark, path, LATER_CHUNK).filter(F.trim("line") != "")
     parsed = lines.withColumn("e", F.from_json("line", SESSION_LINE, {"mode": "PERMISSIVE"}))
     ok = F.trim("line").startswith("{") & F.col("e.type").isNotNull()
     return parsed.filter(ok)

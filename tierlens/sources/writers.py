@@ -7,6 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Consecutive entries of a session that go to one file.
+SESSION_CHUNK = 1 << 20
+
 
 def append_cost_records(df: DataFrame, path: str) -> None:
     """Append cost records, partitioned by kind."""
@@ -32,10 +35,17 @@ def close_batch(open_rows: DataFrame, archive_path: str, archive_ts: str) -> Non
               .option("partitionOverwriteMode", "dynamic").partitionBy("archive_ts").json(archive_path))
 
 
-def write_session_logs(headers: DataFrame, entries: DataFrame, path: str) -> None:
-    """One output group per session under its cleaned working directory;
-    the header row first (seq -1), then the entries in order. Sessions without
-    an assistant message are not written (left-semi)."""
+def write_session_logs(headers: DataFrame, entries: DataFrame, path: str, chunk: int = SESSION_CHUNK) -> None:
+    """One file per session under its cleaned working directory; the header
+    row first (seq -1), then the entries in order. Sessions without an assistant
+    message are not written (left-semi).
+
+    Rows are dealt by (directory, session, chunk of ``chunk`` consecutive ``seq``
+    values), so a session holding a third of all rows is written by many tasks: its
+    later chunks are files of their own, which the reader joins by name order. An
+    earlier folder at ``path`` is replaced."""
+    from tierlens.sources import session_files as SF
+
     has_asst = entries.filter((F.col("type") == "message") & (F.col("role") == "assistant")).select("session_id").distinct()
     h = headers.join(has_asst, "session_id", "left_semi")
     e = entries.join(has_asst, "session_id", "left_semi")
@@ -46,11 +56,12 @@ def write_session_logs(headers: DataFrame, entries: DataFrame, path: str) -> Non
                                              F.col("cwd").alias("cwd"))).alias("value"))
     ent_lines = e.join(h.select("session_id", cwd_key.alias("cwd_key")), "session_id").select(
         "session_id", "cwd_key", F.col("seq").cast("bigint").alias("seq"), F.to_json(session_line(e)).alias("value"))
-    out = head_lines.unionByName(ent_lines)
-    (out.repartition("cwd_key", "session_id").sortWithinPartitions("cwd_key", "session_id", "seq")
-        .select("cwd_key", "session_id", "value").write.mode("overwrite")
-        .partitionBy("cwd_key", "session_id").text(path))
-
+    nth = F.floor(F.greatest(F.col("seq"), F.lit(0)) / F.lit(chunk)).cast("bigint")
+    out = head_lines.unionByName(ent_lines).withColumns({"session_id": F.col("session_id").cast("string"), "chunk": nth})
+    key = ["cwd_key", "session_id", "chunk"]
+    headers.sparkSession.dataSource.register(SF.SessionFiles)
+    (out.repartition(*key).sortWithinPartitions(*key, "seq").select(*key, "value")
+        .write.format(SF.FORMAT).mode("overwrite").save(path))
 
 
 def stored_parts(parts: Column) -> Column:
