@@ -1,3 +1,7 @@
+import hashlib
+import re
+from collections import Counter
+
 import public_tokenizers
 import sentencepiece
 
@@ -36,3 +40,32 @@ def test_stages_take_odd_rows(spark, sf_dir, messy, empty):
         assert stage(spark, docs, sf_dir).columns == list(cp.COLUMNS)
         assert stage(spark, empty, sf_dir).collect() == []
     assert near_dedup.BANDS * near_dedup.ROWS > 100
+
+
+def test_encoding_stage_of_odd_rows(spark, sf_dir, messy, messy_rows, empty):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def expected(doc_id, text):
+        ids = library.encode(text or "", add_bos=True, add_eos=True)
+        return doc_id, len(ids), b"".join(i.to_bytes(4, "little") for i in ids), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+    got = [(r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in cp.encode(spark, messy, sf_dir).collect()]
+    assert Counter(got) == Counter(expected(r[0], r[1]) for r in messy_rows)
+    assert cp.encode(spark, empty, sf_dir).collect() == []
+
+
+def test_dedup_stages_of_odd_rows(spark, sf_dir, messy, messy_rows):
+    """Rows whose id stays go on, null ids among them."""
+    def last(i):
+        return float("inf") if i is None else i
+
+    texts = {}
+    for i, text, *_ in sorted(messy_rows, key=lambda r: last(r[0])):
+        key = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        if key not in texts or len(text or "") > texts[key][0]:
+            texts[key] = (len(text or ""), i)
+    stay = {i for _, i in texts.values()}
+    got = cp.drop_copies(spark, messy, sf_dir)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in messy_rows if r[0] in stay)
+    near = {r.doc_id for r in cp.drop_near_copies(spark, got, sf_dir).collect()}
+    assert {8, 9, 12, 14, 19, None} <= near and 6 not in near and 18 not in near
