@@ -26,6 +26,14 @@ TOPIC_SHIFT_WORD = "NONE"
 TOPIC_SHIFT_MAX_LEN = 15
 SKILL_NAME_MAX = 64
 SKILL_DESCRIPTION_MAX = 1024
+SKILL_NAME_PATTERN = r"^[a-z0-9-]+$"
+WARN_DIRECTORY = 'name "%s" does not match directory "%s"'
+WARN_NAME_LENGTH = f"name exceeds {SKILL_NAME_MAX} characters"
+WARN_NAME_CHARACTERS = "name must be lowercase a-z, 0-9, hyphens only"
+WARN_HYPHEN_ENDS = "name must not start or end with hyphen"
+WARN_HYPHEN_PAIRS = "name must not contain consecutive hyphens"
+WARN_NO_DESCRIPTION = "description is required"
+WARN_DESCRIPTION_LENGTH = f"description exceeds {SKILL_DESCRIPTION_MAX} characters"
 GUIDELINE_FILE_NAMES = ["AGENTS.md", "CLAUDE.md"]
 SKILLS_SECTION_HEAD = [
     "# Skills",
@@ -223,13 +231,13 @@ def skill_checks(name: Column, description: Column, dir_name: Column) -> Column:
     """H5: warnings of one skill, in rule order (array of strings)."""
     d = F.coalesce(description, F.lit(""))
     rules = [
-        F.when(name != dir_name, F.format_string('name "%s" does not match directory "%s"', name, dir_name)),
-        F.when(F.length(name) > SKILL_NAME_MAX, F.lit(f"name exceeds {SKILL_NAME_MAX} characters")),
-        F.when(~name.rlike(r"^[a-z0-9-]+$"), F.lit("name must be lowercase a-z, 0-9, hyphens only")),
-        F.when(name.startswith("-") | name.endswith("-"), F.lit("name must not start or end with hyphen")),
-        F.when(name.contains("--"), F.lit("name must not contain consecutive hyphens")),
-        F.when(strip_ws(d) == "", F.lit("description is required")),
-        F.when(F.length(d) > SKILL_DESCRIPTION_MAX, F.lit(f"description exceeds {SKILL_DESCRIPTION_MAX} characters")),
+        F.when(name != dir_name, F.format_string(WARN_DIRECTORY, name, dir_name)),
+        F.when(F.length(name) > SKILL_NAME_MAX, F.lit(WARN_NAME_LENGTH)),
+        F.when(~name.rlike(SKILL_NAME_PATTERN), F.lit(WARN_NAME_CHARACTERS)),
+        F.when(name.startswith("-") | name.endswith("-"), F.lit(WARN_HYPHEN_ENDS)),
+        F.when(name.contains("--"), F.lit(WARN_HYPHEN_PAIRS)),
+        F.when(strip_ws(d) == "", F.lit(WARN_NO_DESCRIPTION)),
+        F.when(F.length(d) > SKILL_DESCRIPTION_MAX, F.lit(WARN_DESCRIPTION_LENGTH)),
     ]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
