@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tierlens.llm import toxicity as tx
@@ -14,6 +16,41 @@ def test_windows_cover_the_whole_text():
     assert tx.windows(b"") == tx.windows(b" \n") == []
 
 
+def test_score_matches_a_plain_reckoning():
+    """Lengths from a fresh compressor per window, features and curve one number at a time."""
+    texts = [(f"you are a vile idiot number {i} " if i % 2 else f"the garden of house {i} is quiet ").encode() * (1 + i % 5) for i in range(90)]
+    model = tx.Classifier(texts, [i % 2 for i in range(90)], 0.2)
+    assert model.beta is not None and model.distance.parts[0] != model.distance.parts[1]
+
+    def length(window, raw):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=tx.LEVEL)
+        made = zstandard.ZstdCompressor(level=tx.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        packed = made.compress(window)
+        assert zstandard.ZstdDecompressor(dict_data=d).decompress(packed, max_output_size=len(window)) == window
+        return len(packed)
+
+    for text in [b"You are a VILE person", b"a quiet garden " * 40, texts[1], texts[2], b"x", b"vile " * 300 + b"garden " * 300, b"\xff\xfe odd bytes"]:
+        toxic, ordinary = model.distance.parts
+        saved = [length(w, ordinary) - length(w, toxic) for w in tx.windows(text)]
+        feats = [sum(saved) / len(saved), math.log1p(len(saved)), *[sum(s >= c for s in saved) / len(saved) for c in tx.CUTS]]
+        z = model.beta[0] + sum(b * (f - m) / s for b, f, m, s in zip(model.beta[1:], feats, model.mean, model.scale))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-12)
+    assert model.score(b"") == model.score(b" \n") == 0.0
+
+
+def test_calibrated_to_the_rate():
+    """The curve's mean over the calibration rows, weighted to the rate, is the rate."""
+    texts = [(f"vile idiot {i} " if i % 3 == 0 else f"quiet garden {i} ").encode() * (1 + i % 7) for i in range(120)]
+    y = [int(i % 3 == 0 or i % 10 == 1) for i in range(120)]
+    for rate in (0.05, 0.4):
+        model = tx.Classifier(texts, y, rate)
+        rest = [(model.score(t), k) for i, (t, k) in enumerate(zip(texts, y)) if i % 3 == 2]
+        share = sum(k for _, k in rest) / len(rest)
+        mean = sum(s * (rate / share if k else (1 - rate) / (1 - share)) for s, k in rest) / len(rest)
+        assert mean == pytest.approx(rate, abs=1e-3)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs = read(spark, sf, "documents")
