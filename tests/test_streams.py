@@ -1,6 +1,7 @@
 import pandas as pd
 
 from tierlens.operators import streams as ST
+from tierlens.streaming import buckets as B
 from tierlens.streaming import harness as H
 from tierlens.streaming import jobs as J
 
@@ -174,3 +175,59 @@ def test_trigger_reads_batches_since_the_last_one(spark):
     J.retrain_step(spark, 5, acc, arch, trig, ["conv_id", "turn"], threshold=8)  # a replay of the batch
     assert sorted(tuple(r) for r in spark.read.schema("n_archived long, batch_id long").json(trig).collect()) == got
     assert J.last_closed(spark, 5, trig) == 2
+
+
+def test_keys_of_a_bucket_give_what_each_gives_alone():
+    """Rows of many keys in one group, batch by batch: each key's rows, state and timeout stay its own."""
+    keys, alone, bucket = range(5), {k: _State() for k in range(5)}, _State()
+    both = B.per_bucket(J._ASSEMBLE)
+    got, expected = [], []
+    for a in (0, 4, 8):  # key 3 falls silent after its first parts, key 4 comes late
+        frames = [pd.DataFrame([(k, *p[1:]) for p in PARTS[a:a + 4]], columns=COLS).assign(ts_s=100 + a) for k in keys if (k != 3 or a == 0) and (k != 4 or a == 8)]
+        for f in frames:
+            expected += J._assemble_fn((int(f.stream_id.iloc[0]),), iter([f]), alone[int(f.stream_id.iloc[0])])
+        mixed = pd.concat(frames).sample(frac=1, random_state=a)
+        got += both((0,), iter([mixed.iloc[:7], mixed.iloc[7:]]), bucket)
+    assert not any(alone[k].exists for k in (0, 1, 2, 4)) and alone[3].exists
+    assert bucket.get[0] == [3] and bucket.timeout_ms == alone[3].timeout_ms
+
+    def rows(frames):
+        return sorted(map(str, pd.concat(frames).itertuples(index=False, name=None)))
+
+    assert rows(got) == rows(expected) and len(rows(got)) > 30
+    bucket.getCurrentWatermarkMs = lambda: bucket.timeout_ms + 1
+    late = pd.DataFrame([(9, *PARTS[0][1:])], columns=COLS).assign(ts_s=2000)
+    out = pd.concat(both((0,), iter([late]), bucket))  # another key's rows: the silent key is closed beside them
+    assert out[out.stream_id == 3]["stop_reason"].tolist() == ["stop"] and bucket.get[0] == [9]
+    bucket.hasTimedOut, bucket.getCurrentWatermarkMs = True, lambda: bucket.timeout_ms + 1
+    assert pd.concat(both((0,), iter([late.iloc[:0]]), bucket))["stream_id"].tolist() == [9] and not bucket.exists
+
+
+def test_groups_do_not_grow_with_the_keys(spark):
+    """A micro-batch of many more streams than buckets keeps a state row a bucket, not one a stream."""
+    w = H.workdir(spark, "bucket-test")
+    schema = "stream_id long, seq long, part_type string, text string, signature string, call_id string, name string, args_delta string, stop_reason string, ts_s long"
+    spark.range(3000).selectExpr("id stream_id", "0L seq", "'text' part_type", "'a' text", "'' signature", "'' call_id", "'' name", "'' args_delta", "'' stop_reason",
+                                 "100L ts_s").write.json(w["input"])
+    q = J.assemble_stream(H.file_stream(spark, w["input"], schema)).writeStream.format("parquet").option("path", w["out"]) \
+        .option("checkpointLocation", w["ckpt"]).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]][-1] <= B.BUCKETS
+    assert spark.read.parquet(w["out"]).count() == 3000
+
+
+def test_slices_come_from_a_table_worked_out_once(spark):
+    """The input of a replay is derived once, whatever the number of slices."""
+    runs, w = spark.sparkContext.accumulator(0), H.workdir(spark, "slices-test")
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    rp = H.stage_slices(spark.range(100).mapInPandas(seen, "id long"), w["input"], "id", n_slices=7)
+    sizes = [spark.read.schema("id long").json(w["input"]).count()]
+    for i in range(1, 7):
+        rp.write(i)
+        sizes.append(spark.read.schema("id long").json(w["input"]).count())
+    assert sizes == [15, 30, 45, 60, 75, 90, 100] and runs.value == 100

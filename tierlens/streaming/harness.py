@@ -8,6 +8,8 @@ which exercises exactly that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +20,27 @@ class Replay:
     """A table cut into event-time slices that enter a file-stream folder one
     at a time. Each slice is written by every task that holds its rows."""
 
-    def __init__(self, sliced: DataFrame | None, path: str, n_slices: int):
+    def __init__(self, sliced: Callable[[int], DataFrame] | None, path: str, n_slices: int):
         self.sliced, self.path, self.n_slices = sliced, path, n_slices
 
     def write(self, i: int) -> None:
-        self.sliced.filter(F.col("_slice") == i).drop("_slice").write.mode("append").json(self.path)
+        self.sliced(i).write.mode("append").json(self.path)
 
 
 def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 6) -> Replay:
     """Cut ``df`` into ``n_slices`` equal ranges of ``order_col`` and write the
-    first; :func:`run_slices` writes the others between query runs."""
+    first; :func:`run_slices` writes the others between query runs. ``df`` is
+    worked out once, into a table beside ``path`` that the slices are read from."""
+    staged = f"{path}-staged"
+    df.write.mode("overwrite").parquet(staged)
+    df = df.sparkSession.read.schema(df.schema).parquet(staged)
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
         df.limit(0).write.mode("overwrite").json(path)
         return Replay(None, path, 1)
     width = max(1, (hi - lo + n_slices) // n_slices)
-    sliced = df.withColumn("_slice", F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int"))
-    rp = Replay(sliced, path, n_slices)
+    rp = Replay(lambda i: df.filter(F.col(order_col).between(lo + i * width, lo + (i + 1) * width - 1)), path, n_slices)
     rp.write(0)
     return rp
 

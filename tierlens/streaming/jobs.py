@@ -1,9 +1,10 @@
 """Streaming operators.
 
 Stateless steps reuse the batch operators on the stream (Catalyst plans them
-incrementally). Keyed state (I4, I5, I7, I9) uses ``applyInPandasWithState``:
-rows of one key in a micro-batch are sorted by ``seq`` before they touch the
-state, and the state is checkpointed with the query. ``foreachBatch`` sinks
+incrementally). Keyed state (I4, I5, I7, I9) uses ``applyInPandasWithState``
+over buckets of keys (:mod:`tierlens.streaming.buckets`): rows of one key in a
+micro-batch are sorted by ``seq`` before they touch the key's state, and the
+state is checkpointed with the query. ``foreachBatch`` sinks
 (I1, I2, I3, I10) key every write by the batch id, so a replayed batch
 overwrites its own output instead of duplicating it.
 """
@@ -23,6 +24,7 @@ from tierlens.operators import feedback as fb
 from tierlens.operators import sessions as S
 from tierlens.sources import readers as R
 from tierlens.sources import writers as W
+from tierlens.streaming.buckets import Keyed, per_key, stateful
 
 
 # ---------------------------------------------------------------- I1 / I2 / I10
@@ -205,24 +207,25 @@ def _keep(state, value: tuple, ts: int, idle_s: int) -> None:
     state.setTimeoutTimestamp(max(ts * 1000, state.getCurrentWatermarkMs()) + idle_s * 1000)
 
 
-def _pivot_fn(idle_s: int):
-    def fn(key, pdfs, state):
-        import pandas as pd
-
+def _pivots(idle_s: int) -> Keyed:
+    def step(conv, rows, state):
         if state.hasTimedOut:
             state.remove()
-            return
+            return []
         last, before = state.get if state.exists else (None, None)
-        pdf = pd.concat(list(pdfs)).sort_values("turn")
         out = []
-        for turn, tier, ts in zip(pdf["turn"], pdf["tier"], pdf["ts_s"]):
+        for turn, tier, ts in rows:
             if before is not None and ts - before > idle_s:
                 last = None
-            out.append((int(key[0]), int(turn), None if last is None else int(last), bool(last is not None and tier != last)))
-            last, before = int(tier), int(ts)
+            out.append((conv, turn, last, last is not None and tier != last))
+            last, before = tier, ts
         _keep(state, (last,), before, idle_s)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "prev_tier", "is_pivot"]).astype({"prev_tier": "Int32"})
-    return fn
+        return out
+    return Keyed(step, "conv_id", "turn", ("turn", "tier", "ts_s"), PIVOT_OUT, PIVOT_STATE)
+
+
+def _pivot_fn(idle_s: int):
+    return per_key(_pivots(idle_s))
 
 
 def pivot_stream(stream: DataFrame, idle_s: int = IDLE_S, watermark: str = "0 seconds") -> DataFrame:
@@ -231,8 +234,7 @@ def pivot_stream(stream: DataFrame, idle_s: int = IDLE_S, watermark: str = "0 se
     one before has no previous tier, whatever batch it comes in; once the
     watermark is that far, the state is gone. Turns older than the watermark are
     dropped."""
-    return _timed(stream, watermark).groupBy("conv_id").applyInPandasWithState(
-        _pivot_fn(idle_s), PIVOT_OUT, PIVOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful(_timed(stream, watermark), _pivots(idle_s))
 
 
 # ---------------------------------------------------------------- I9
@@ -241,29 +243,30 @@ COMPACT_OUT = T.StructType([T.StructField("conv_id", T.LongType()), T.StructFiel
 COMPACT_STATE = T.StructType([T.StructField("entries", T.LongType()), T.StructField("calls", T.LongType()), T.StructField("ts_s", T.LongType())])
 
 
-def _compact_state_fn(interval: int, idle_s: int):
-    def fn(key, pdfs, state):
-        import pandas as pd
-
+def _compactions(interval: int, idle_s: int) -> Keyed:
+    def step(conv, rows, state):
         if state.hasTimedOut:
             state.remove()
-            return
+            return []
         entries, calls, before = state.get if state.exists else (0, 0, None)
-        pdf = pd.concat(list(pdfs)).sort_values("turn")
         out = []
-        for turn, ts in zip(pdf["turn"], pdf["ts_s"]):
+        for turn, ts in rows:
             if before is not None and ts - before > idle_s:
                 entries = calls = 0
-            before = int(ts)
+            before = ts
             calls += 1
             fire = entries >= interval
             if fire:
                 entries = 1
             entries += 2
-            out.append((int(key[0]), int(turn), int(calls), bool(fire)))
-        _keep(state, (int(entries), int(calls)), before, idle_s)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "call_no", "compact_before"])
-    return fn
+            out.append((conv, turn, calls, fire))
+        _keep(state, (entries, calls), before, idle_s)
+        return out
+    return Keyed(step, "conv_id", "turn", ("turn", "ts_s"), COMPACT_OUT, COMPACT_STATE)
+
+
+def _compact_state_fn(interval: int, idle_s: int):
+    return per_key(_compactions(interval, idle_s))
 
 
 def compaction_stream(stream: DataFrame, interval: int = dims.SUMMARY_INTERVAL, idle_s: int = IDLE_S,
@@ -272,8 +275,7 @@ def compaction_stream(stream: DataFrame, interval: int = dims.SUMMARY_INTERVAL,
     a call, a log of ``interval`` or more entries is compacted to one summary;
     every call adds two entries. A log silent for more than ``idle_s`` seconds is
     closed as in :func:`pivot_stream`: a later call starts one at zero."""
-    return _timed(stream, watermark).groupBy("conv_id").applyInPandasWithState(
-        _compact_state_fn(interval, idle_s), COMPACT_OUT, COMPACT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful(_timed(stream, watermark), _compactions(interval, idle_s))
 
 
 # ---------------------------------------------------------------- I5
@@ -291,34 +293,31 @@ BLOCK_STATE = T.StructType([T.StructField("message", T.LongType()), T.StructFiel
                             T.StructField("calls", T.LongType()), T.StructField("err", T.BooleanType())])
 
 
-def _assemble_fn(key, pdfs, state):
+def _assemble(sid, rows, state):
     """State is the open block's number and kind: a few bytes however long the message."""
-    import pandas as pd
-
     message, n, kind, calls, err = state.get if state.exists else (None, 0, None, 0, False)
-    sid, out, last, done, stop = int(key[0]), [], 0, False, None
-    pdf = None if state.hasTimedOut else pd.concat(list(pdfs)).sort_values("seq")
-    for r in pdf.itertuples() if pdf is not None else ():
-        t, last = r.part_type, max(last, int(r.ts_s))
+    out, last, done, stop = [], 0, False, None
+    for seq, t, text, signature, call_id, name, args_delta, stop_reason, ts in rows:
+        last = max(last, ts)
         new = {"text": "text", "think": "thinking", "tool_call_start": "tool_call"}.get(t)
         if new is not None:
-            message = int(r.seq) if message is None else message
-            if t == "tool_call_start" or kind != new:
-                n, kind, calls = n + 1, new, calls + (t == "tool_call_start")
+            message = seq if message is None else message
+            start = t == "tool_call_start"
+            if start or kind != new:
+                n, kind, calls = n + 1, new, calls + start
             place = n + (CALLS_FROM if kind == "tool_call" else 0)
-            out.append((sid, message, int(r.seq), place, kind, "" if t == "tool_call_start" else r.text or "",
-                        r.name if t == "tool_call_start" else None, r.call_id if t == "tool_call_start" else None,
-                        None if t == "tool_call_start" else r.signature, None))
+            out.append((sid, message, seq, place, kind, "" if start else text or "", name if start else None,
+                        call_id if start else None, None if start else signature, None))
         elif t == "tool_call_delta":
             if kind == "tool_call":
-                out.append((sid, message, int(r.seq), n + CALLS_FROM, kind, r.args_delta or "", None, None, None, None))
+                out.append((sid, message, seq, n + CALLS_FROM, kind, args_delta or "", None, None, None, None))
         elif t == "done":
-            stop, err, done = r.stop_reason, False, True
+            stop, err, done = stop_reason, False, True
         elif t == "error":
             err = True
     if not done and not state.hasTimedOut:
         if message is not None:  # an error after the message was closed opens none
-            state.update((message, n, kind, calls, bool(err)))
+            state.update((message, n, kind, calls, err))
             state.setTimeoutTimestamp(max(last * 1000, state.getCurrentWatermarkMs()) + SILENT_S * 1000)
     else:
         if state.exists:
@@ -327,8 +326,12 @@ def _assemble_fn(key, pdfs, state):
             stop = "error" if err else (stop or "stop")
             stop = "tool_use" if stop == "stop" and calls else stop
             out.append((sid, message, None, None, None, None, None, None, None, stop))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in PIECE_OUT.fields]).astype({"seq": "Int64", "position": "Int64"})
+    return out
+
+
+_ASSEMBLE = Keyed(_assemble, "stream_id", "seq", ("seq", "part_type", "text", "signature", "call_id", "name", "args_delta", "stop_reason", "ts_s"),
+                  PIECE_OUT, BLOCK_STATE)
+_assemble_fn = per_key(_ASSEMBLE)
 
 
 def assemble_stream(stream: DataFrame) -> DataFrame:
@@ -338,8 +341,7 @@ def assemble_stream(stream: DataFrame) -> DataFrame:
     :data:`SILENT_S` past its last part (``ts_s``, seconds), so no state stays
     for ever. Parts after such a silence open a new message of the stream.
     :func:`assembled_blocks` joins the pieces of closed messages."""
-    return _timed(stream, "0 seconds").groupBy("stream_id").applyInPandasWithState(
-        _assemble_fn, PIECE_OUT, BLOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful(_timed(stream, "0 seconds"), _ASSEMBLE)
 
 
 def assembled_blocks(pieces: DataFrame) -> DataFrame:
