@@ -231,3 +231,22 @@ def test_slices_come_from_a_table_worked_out_once(spark):
         rp.write(i)
         sizes.append(spark.read.schema("id long").json(w["input"]).count())
     assert sizes == [15, 30, 45, 60, 75, 90, 100] and runs.value == 100
+
+
+def test_stalls_of_many_streams_share_state_rows(spark):
+    """Pending calls of more streams than buckets take a state row a bucket; each closes at its own time, with or without later rows."""
+    w = H.workdir(spark, "stall-test")
+    schema, query = "stream_id long, seq long, part_type string, ts_s long", None
+    started = spark.range(3000).selectExpr("id stream_id", "id seq", "'tool_call_start' part_type", "1000 + id % 7 ts_s")
+    later = spark.createDataFrame([(1, 5000, "text", 1050), (2, 5001, "text", 1500), (9999, 5002, "text", 1500)], schema)
+    last = spark.createDataFrame([(9999, 6000, "text", 1600)], schema)
+    kept = []
+    for batch in (started, later, last):
+        batch.write.mode("append").json(w["input"])
+        query = J.stall_stream(H.file_stream(spark, w["input"], schema), 120).writeStream.format("parquet").option("path", w["out"]) \
+            .option("checkpointLocation", w["ckpt"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert max(kept) <= B.BUCKETS and kept[-1] == 0
+    got = sorted(tuple(r) for r in spark.read.parquet(w["out"]).collect())
+    assert got == [(k, k, 1000 + k % 7 + 120) for k in range(3000) if k != 1]

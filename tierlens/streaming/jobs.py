@@ -364,37 +364,30 @@ STALL_OUT = T.StructType([T.StructField("stream_id", T.LongType()), T.StructFiel
 STALL_STATE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts_s", T.LongType())])
 
 
-def _stall_fn(timeout_s: int):
-    def fn(key, pdfs, state):
-        import pandas as pd
-
-        out = []
+def _stalls(timeout_s: int) -> Keyed:
+    def step(sid, rows, state):
+        pending = state.get if state.exists else None
         if state.hasTimedOut:
-            seq, ts = state.get
-            out.append((int(key[0]), int(seq), int(ts) + timeout_s))
             state.remove()
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "closed_at_s"])
-            return
-        pending = state.get if state.exists else None
-        pdf = pd.concat(list(pdfs)).sort_values("seq")
-        for r in pdf.itertuples():
-            if pending is not None and r.ts_s - pending[1] > timeout_s:
-                out.append((int(key[0]), int(pending[0]), int(pending[1]) + timeout_s))
-            pending = (int(r.seq), int(r.ts_s)) if r.part_type in ("tool_call_start", "tool_call_delta") else None
+            return [(sid, pending[0], pending[1] + timeout_s)]
+        out = []
+        for seq, part, ts in rows:
+            if pending is not None and ts - pending[1] > timeout_s:
+                out.append((sid, pending[0], pending[1] + timeout_s))
+            pending = (seq, ts) if part in ("tool_call_start", "tool_call_delta") else None
         if pending is not None:
             state.update(pending)
             state.setTimeoutTimestamp((pending[1] + timeout_s) * 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "closed_at_s"])
-    return fn
+        return out
+    return Keyed(step, "stream_id", "seq", ("seq", "part_type", "ts_s"), STALL_OUT, STALL_STATE)
 
 
 def stall_stream(stream: DataFrame, timeout_s: int = 120, watermark: str = "0 seconds") -> DataFrame:
     """I7 (stream): a call in progress followed by silence longer than the
     timeout is closed; event-time timeouts fire once the watermark passes."""
-    return _timed(stream, watermark).groupBy("stream_id").applyInPandasWithState(
-        _stall_fn(timeout_s), STALL_OUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful(_timed(stream, watermark), _stalls(timeout_s))
 
 
 # ---------------------------------------------------------------- I8 / I11
