@@ -98,3 +98,19 @@ def test_lines_of_a_diff_and_missing_sides(spark):
     assert got == [(1, 0, "added", None, 1, "c"), (1, 1, "kept", 1, 2, "a"), (1, 2, "removed", 2, None, "b"), (1, 3, "removed", 3, None, "c"),
                    (1, 4, "added", None, 3, "B"), (2, 0, "removed", 1, None, "gone"), (4, 0, "added", None, 1, "come")]
     assert {r.k: r.text for r in d.select("k", D.rendered().alias("text")).collect()}[3] == ""
+
+
+def test_line_diff_compares_every_text_once(spark, sf_dir):
+    """The query joins the two versions once and passes the joined rows through the matcher once."""
+    from tierlens.plans.q_corpus import h20_line_diff
+
+    plan = h20_line_diff(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Join FullOuter"), plan.count("EvalPython") + plan.count("MapInPandas"), plan.count("Union")) == (1, 1, 0)
+
+
+def test_columns_of_a_diff_come_with_its_lines(spark):
+    old = spark.createDataFrame([(1, "a\nb"), (2, "x")], "k int, text string")
+    new = spark.createDataFrame([(1, "a\nc"), (2, "x")], "k int, text string")
+    d = D.diff_texts(old, new, "k").withColumn("n", D.added())
+    got = [tuple(r) for r in D.diff_lines(d, "k", "n").orderBy("k", "position").select("k", "n", "kind", "line").collect()]
+    assert got == [(1, 1, "kept", "a"), (1, 1, "removed", "b"), (1, 1, "added", "c"), (2, 0, "kept", "x")]

@@ -35,12 +35,10 @@ def opcodes(old: list[str], new: list[str]) -> list[tuple]:
     return difflib.SequenceMatcher(None, old, new).get_opcodes()
 
 
-def _compared(parts):
-    for pdf in parts:
-        out = pdf.drop(columns=["old_lines", "new_lines"])
-        out["ops"] = [[dict(zip("tag a b c d".split(), op)) for op in opcodes(list(o), list(n))]
-                      for o, n in zip(pdf.old_lines, pdf.new_lines)]
-        yield out
+def _spans(old, new):
+    import pandas as pd
+
+    return pd.Series([None if o is None else [dict(zip("tag a b c d".split(), op)) for op in opcodes(list(o), list(n))] for o, n in zip(old, new)], dtype=object)
 
 
 def diff_texts(old: DataFrame, new: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -54,11 +52,10 @@ def diff_texts(old: DataFrame, new: DataFrame, key: str, text_col: str = "text")
     size = F.size("old_lines")
     whole = F.when(size > 0, F.array(F.struct(F.lit("equal").alias("tag"), F.lit(0).alias("a"), size.alias("b"), F.lit(0).alias("c"), size.alias("d")))) \
         .otherwise(F.array()).cast(_OPS)
-    settled = both.filter(same).withColumn("ops", whole)
-    changed = both.filter(~same).withColumns({"o": F.col("old_lines"), "n": F.col("new_lines")})
-    schema = f"{key} {both.schema[key].dataType.simpleString()}, o array<string>, n array<string>, ops {_OPS}"
-    found = changed.mapInPandas(_compared, schema).withColumnsRenamed({"o": "old_lines", "n": "new_lines"})
-    return settled.unionByName(found)
+    # one pass over the joined rows; as a non-deterministic function it is worked out once, however often ops is used
+    spans = F.pandas_udf(_spans, _OPS, F.PandasUDFType.SCALAR).asNondeterministic()
+    found = both.withColumn("_ops", spans(F.when(~same, F.col("old_lines")), F.when(~same, F.col("new_lines"))))
+    return found.select(key, "old_lines", "new_lines", F.when(same, whole).otherwise(F.col("_ops")).alias("ops"))
 
 
 def _total(of) -> Column:
@@ -73,10 +70,10 @@ def removed() -> Column:
     return _total(lambda op: F.when(op.tag == "equal", 0).otherwise(op.b - op.a))
 
 
-def diff_lines(diffs: DataFrame, key: str) -> DataFrame:
+def diff_lines(diffs: DataFrame, key: str, *more: str) -> DataFrame:
     """The lines of every diff in order: ``key, position, kind`` (kept, removed,
     added), ``old_line_no, new_line_no, line``; removed lines of a span come
-    before its added ones."""
+    before its added ones. Columns ``more`` of the diff come along with each line."""
     def rows(kind: str, lines: str, start: Column, end: Column, old: Column | None, new: Column | None) -> Column:
         none = F.lit(None).cast("bigint")
         return F.transform(F.slice(F.col(lines), start + 1, end - start), lambda line, i: F.struct(
@@ -87,7 +84,7 @@ def diff_lines(diffs: DataFrame, key: str) -> DataFrame:
         gone, come = rows("removed", "old_lines", op.a, op.b, op.a, None), rows("added", "new_lines", op.c, op.d, None, op.c)
         return F.when(op.tag == "equal", rows("kept", "old_lines", op.a, op.b, op.a, op.c)).otherwise(F.concat(gone, come))
 
-    return diffs.select(key, F.posexplode(F.flatten(F.transform("ops", of))).alias("position", "x")).select(key, "position", "x.*")
+    return diffs.select(key, *more, F.posexplode(F.flatten(F.transform("ops", of))).alias("position", "x")).select(key, *more, "position", "x.*")
 
 
 def rendered(context_lines: int = CONTEXT_LINES) -> Column:

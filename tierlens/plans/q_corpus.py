@@ -149,15 +149,15 @@ def h20_line_diff(spark, sf_dir):
     keep = F.size("x") - F.floor(F.size("x") / 3).cast("int")
     moved = F.concat(F.slice(edited, keep + 1, F.size("x") - keep), F.slice(edited, F.lit(1), keep))
     old, new = d.select("doc_id", F.array_join("x", "\n").alias("text")), d.select("doc_id", F.array_join(moved, "\n").alias("text"))
-    diffs = D.diff_texts(old, new, "doc_id")
-    changes = D.diff_lines(diffs, "doc_id").filter("kind != 'kept'")
-    listed = changes.groupBy("doc_id").agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "removed", F.col("old_line_no")))).cast("array<string>"), ",")).alias("removed_md5"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "added", F.struct("new_line_no", "line")))),
-                                       lambda x: F.concat(x.new_line_no.cast("string"), F.lit(" "), x.line)), "\n")).alias("added_md5"))
-    none = F.md5(F.lit(""))
-    return diffs.select("doc_id", D.added().alias("added"), D.removed().alias("removed")).join(listed, "doc_id", "left").select(
-        "doc_id", "added", "removed", F.coalesce("removed_md5", none).alias("removed_md5"), F.coalesce("added_md5", none).alias("added_md5"))
+    diffs = D.diff_texts(old, new, "doc_id").withColumns({"n_added": D.added(), "n_removed": D.removed()})
+    # a document's first line stands for it where nothing changed
+    changes = D.diff_lines(diffs, "doc_id", "n_added", "n_removed").filter("kind != 'kept' or position = 0")
+    removed = F.array_sort(F.collect_list(F.when(F.col("kind") == "removed", F.col("old_line_no"))))
+    added = F.array_sort(F.collect_list(F.when(F.col("kind") == "added", F.struct("new_line_no", "line"))))
+    return changes.groupBy("doc_id").agg(
+        F.first("n_added").alias("added"), F.first("n_removed").alias("removed"),
+        F.md5(F.array_join(removed.cast("array<string>"), ",")).alias("removed_md5"),
+        F.md5(F.array_join(F.transform(added, lambda x: F.concat(x.new_line_no.cast("string"), F.lit(" "), x.line)), "\n")).alias("added_md5"))
 
 
 @query("h1_token_estimate", """
