@@ -127,3 +127,17 @@ def test_session_lines_keep_every_field(spark):
     message = next(x for x in stored if x.get("id") == "e2")["message"]
     assert message["content"][2] == {"type": "tool_call", "id": "c1", "name": "read", "arguments": {"path": "/x", "n": 3}}
     assert message["usage"]["cache_read_tokens"] == 7 and message["stop_reason"] == "tool_use"
+
+
+def test_key_files_share_folders(spark):
+    """One file a key whatever the number of keys, in a fixed number of folders; appended files stand beside them; a null key has a file."""
+    out = scratch_dir(spark, "key-files")
+    rows = spark.createDataFrame([(k, t, f"q{k}-{t}") for k in [*range(400), None] for t in (2, 0, 1)], "conv_id long, turn long, query string")
+    W.write_key_files(rows.filter("conv_id is null or conv_id >= 10"), "conv_id", "turn", out, folders=16)
+    W.write_key_files(rows.filter("conv_id < 10"), "conv_id", "turn", out, "append", folders=16)
+    paths = [r.path for r in R.list_files(spark, out, "*.json", 1000).collect()]
+    assert len(paths) == 401 and len({p.rsplit("/", 1)[0] for p in paths}) <= 16
+    back = spark.read.schema("conv_id long, turn long, query string").json(paths)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    one = next(p for p in paths if p.endswith("session-7.json"))
+    assert [r.value for r in spark.read.text(one).collect()] == [f'{{"conv_id":7,"turn":{t},"query":"q7-{t}"}}' for t in range(3)]

@@ -278,8 +278,8 @@ def a13_list_files(spark, sf_dir):
     r = _t(spark, sf_dir, "v_routed").select("conv_id", "turn", "query")
     last = F.broadcast(r.select("conv_id").distinct().orderBy(F.col("conv_id").asc_nulls_last()).limit(100))
     for mode, how in (("overwrite", "left_anti"), ("append", "left_semi")):
-        r.join(last, "conv_id", how).repartition("conv_id").write.mode(mode).partitionBy("conv_id").json(out)
+        W.write_key_files(r.join(last, "conv_id", how), "conv_id", "turn", out, mode)
         time.sleep(1.1)  # some stores keep modification times in whole seconds
     paths = [f.path for f in R.list_files(spark, out, "*.json").collect()]
-    rows = spark.read.schema("turn bigint, query string, conv_id bigint").option("basePath", out).json(paths or out)
+    rows = spark.read.schema("turn bigint, query string, conv_id bigint").json(paths or out)
     return rows.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))

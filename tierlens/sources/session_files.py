@@ -9,7 +9,8 @@ writes ``_SUCCESS``; a failed job leaves no such mark.
 
 Later chunks of a session are ``session-<session>~<chunk>.jsonl``, eight digits, so
 that name order is line order. Characters of ids that a name cannot hold are
-percent-encoded; a null or empty folder is Spark's default partition name.
+percent-encoded; a null or empty folder is Spark's default partition name. Option
+``suffix`` names another ending than ``.jsonl``.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def folder_name(cwd_key: str | None) -> str:
     return "cwd_key=" + (quote(cwd_key, safe=" ") if cwd_key else "__HIVE_DEFAULT_PARTITION__")
 
 
-def file_name(session_id: str, chunk: int) -> str:
+def file_name(session_id: str, chunk: int, suffix: str = ".jsonl") -> str:
     part = f"~{chunk:08d}" if chunk else ""
-    return f"session-{quote(session_id, safe='').replace('~', '%7E')}{part}.jsonl"
+    return f"session-{quote(session_id, safe='').replace('~', '%7E')}{part}{suffix}"
 
 
 def file_system(path: str):
@@ -51,12 +52,12 @@ class SessionFiles(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> SessionFilesWriter:
-        return SessionFilesWriter(self.options["path"].rstrip("/"), overwrite)
+        return SessionFilesWriter(self.options["path"].rstrip("/"), overwrite, self.options.get("suffix", ".jsonl"))
 
 
 class SessionFilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool, suffix: str = ".jsonl"):
+        self.path, self.suffix = path, suffix
         if overwrite:  # as Spark's own file sinks: what was there goes before the job
             fs, root = file_system(path)
             fs.delete_dir_contents(root, missing_dir_ok=True)
@@ -74,7 +75,7 @@ class SessionFilesWriter(DataSourceArrowWriter):
                         key, out = k, None
                         folder = f"{root}/{folder_name(k[0])}"
                         fs.create_dir(folder, recursive=True)
-                        target, hidden = f"{folder}/{file_name(k[1], k[2])}", f"{folder}/_{uuid.uuid4().hex}"
+                        target, hidden = f"{folder}/{file_name(k[1], k[2], self.suffix)}", f"{folder}/_{uuid.uuid4().hex}"
                         out = fs.open_output_stream(hidden)
                     out.write((value + "\n").encode())
             if out is not None:

@@ -64,6 +64,20 @@ def write_session_logs(headers: DataFrame, entries: DataFrame, path: str, chunk:
         .write.format(SF.FORMAT).mode("overwrite").save(path))
 
 
+def write_key_files(df: DataFrame, key: str, order: str, path: str, mode: str = "overwrite", folders: int = 128) -> None:
+    """One file of JSON lines per value of ``key`` (``.json``, rows in ``order``), spread
+    over ``folders`` folders by hash. Files are written and named by the tasks, a
+    folder's by one; the number of tasks is fixed, for a file costs more than its bytes."""
+    from tierlens.sources import session_files as SF
+
+    df.sparkSession.dataSource.register(SF.SessionFiles)
+    folder = F.pmod(F.xxhash64(key), F.lit(folders)).cast("string")
+    lines = df.select(folder.alias("cwd_key"), F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("session_id"),
+                      F.lit(0).cast("bigint").alias("chunk"), F.to_json(F.struct(*df.columns)).alias("value"), F.col(order).alias("_order"))
+    (lines.repartition(folders, "cwd_key").sortWithinPartitions("cwd_key", "session_id", "_order").drop("_order")
+          .write.format(SF.FORMAT).option("suffix", ".json").mode(mode).save(path))
+
+
 def stored_parts(parts: Column) -> Column:
     """Content parts (as the reader gives them) in their stored form, a variant;
     arguments are stored as the JSON they are (keys in alphabetical order), where they are JSON."""
