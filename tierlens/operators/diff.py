@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,7 @@ def opcodes(old: list[str], new: list[str]) -> list[tuple]:
     return difflib.SequenceMatcher(None, old, new).get_opcodes()
 
 
-def _spans(old, new):
-    import pandas as pd
-
+def _spans(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([None if o is None else [dict(zip("tag a b c d".split(), op)) for op in opcodes(list(o), list(n))] for o, n in zip(old, new)], dtype=object)
 
 
@@ -53,7 +52,7 @@ def diff_texts(old: DataFrame, new: DataFrame, key: str, text_col: str = "text")
     whole = F.when(size > 0, F.array(F.struct(F.lit("equal").alias("tag"), F.lit(0).alias("a"), size.alias("b"), F.lit(0).alias("c"), size.alias("d")))) \
         .otherwise(F.array()).cast(_OPS)
     # one pass over the joined rows; as a non-deterministic function it is worked out once, however often ops is used
-    spans = F.pandas_udf(_spans, _OPS, F.PandasUDFType.SCALAR).asNondeterministic()
+    spans = F.pandas_udf(_spans, _OPS).asNondeterministic()
     found = both.withColumn("_ops", spans(F.when(~same, F.col("old_lines")), F.when(~same, F.col("new_lines"))))
     return found.select(key, "old_lines", "new_lines", F.when(same, whole).otherwise(F.col("_ops")).alias("ops"))
 
